@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import bpe
+from graphwright.llm import bpe, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every whole text and names its group."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text; the digests are those of the identifiers and of the decoded text."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +41,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op9_token_counts": op9_token_counts,
 }
