@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import bpe, simhash, suffix
+from graphwright.llm import bpe, quality, sampling, simhash, suffix, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,27 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text for toxicity, by weights learned outside the held-out fold."""
+    docs, labels, held = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), sampling.in_fold("doc_id", 4, 2)
+    model = toxicity.learn(sampling.labelled_sample(docs, labels, "toxic", ~held, toxicity.SAMPLE))
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Trees:
+    """Trees learned outside the held-out fold."""
+    return quality.learn(sampling.labelled_sample(docs, labels, "quality", ~sampling.in_fold("doc_id", 3, 1), quality.SAMPLE))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text for quality, by trees learned outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    trees = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.select("doc_id", sampling.in_fold("doc_id", 3, 1).alias("held_out"), quality.score(F.col("text"), trees).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text; the digests are those of the identifiers and of the decoded text."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -49,7 +70,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_quality": op7_quality,
     "op9_token_counts": op9_token_counts,
 }
 
