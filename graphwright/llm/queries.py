@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import bpe, quality, sampling, simhash, suffix, toxicity
+from graphwright.llm import bpe, langid, quality, sampling, simhash, suffix, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,13 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names the language of every whole text, by models counted outside the held-out fold."""
+    docs, held = documents(spark, sf_dir), sampling.in_fold("doc_id", 4, 2)
+    found = docs.select("doc_id", held.alias("held_out"), langid.identify(F.col("text"), langid.learn(docs.where(~held))).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of every whole text; over_limit marks texts of more than 1024."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
 }
 
