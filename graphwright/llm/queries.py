@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import bpe, langid, quality, sampling, simhash, suffix, toxicity
+from graphwright.llm import bpe, editprint, langid, quality, sampling, simhash, suffix, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every whole text and its edited text, and compares them and the next document's."""
+    found = editprint.with_next(documents(spark, sf_dir)).select("id", editprint.compare(F.col("text"), F.col("next_text")).alias("c"))
+    prints = [F.lower(F.hex(f"c.{c}")).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select(F.col("id").alias("doc_id"), "c.n_chars", F.sha2(F.encode("c.edited", "UTF-8"), 256).alias("edited_sha256"), *prints, "c.near_edited", "c.near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
