@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import bpe, editprint, langid, quality, sampling, simhash, suffix, toxicity
+from graphwright.llm import bpe, editprint, langid, licences, quality, sampling, simhash, suffix, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names the licences whose sentences every whole text has."""
+    found = licences.scan(documents(spark, sf_dir).select("doc_id", "text")).withColumn("n_sentences", F.size(licences.sentences(F.col("text"))).cast("long"))
+    return found.select("doc_id", "n_sentences", F.array_join("licence.sentence_ids", ",").alias("sentence_ids"), F.array_join("licence.licences", ",").alias("licences"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every whole text for toxicity, by weights learned outside the held-out fold."""
     docs, labels, held = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), sampling.in_fold("doc_id", 4, 2)
@@ -84,6 +90,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_licences": op3_licences,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality": op7_quality,
@@ -92,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle()}
