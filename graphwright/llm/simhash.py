@@ -80,7 +80,7 @@ def links(prints: DataFrame, distance: int = 3, column: str = "fp") -> DataFrame
     first = F.lit(None).cast("int")
     for mask, lo in reversed(list(zip(masks, edges, strict=False))):
         part = differ.bitwiseAND(F.lit(signed(mask)))
-        place = F.when(part == 0, F.lit(lo)).otherwise(F.bit_count(part - 1).cast("int"))
+        place = F.when(part == 0, F.lit(lo)).when(part < 0, F.lit(BITS - 1)).otherwise(F.bit_count(part - 1).cast("int"))
         first = F.when(F.bit_count(part) <= 1, place).otherwise(first)
     found = left.join(right, ["bit", "signature"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (F.col("bit") == first))
     return found.select("a", "b")
