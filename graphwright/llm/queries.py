@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import bpe, editprint, langid, licences, quality, sampling, simhash, suffix, toxicity
+from graphwright.llm import bpe, decontaminate, editprint, langid, licences, quality, sampling, simhash, suffix, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.array_join("licence.sentence_ids", ",").alias("sentence_ids"), F.array_join("licence.licences", ",").alias("licences"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that stand in whole texts with at most 8 edits for 100 characters."""
+    found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=decontaminate.RATE)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "ends_at")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every whole text for toxicity, by weights learned outside the held-out fold."""
     docs, labels, held = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), sampling.in_fold("doc_id", 4, 2)
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_licences": op3_licences,
+    "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality": op7_quality,
