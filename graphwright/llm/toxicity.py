@@ -19,6 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphwright.llm.blocks import blocks
+
+#: Characters of text to make features of at a time.
+BLOCK = 1 << 20
 #: Labelled documents to learn from, at most.
 SAMPLE = 16_000
 HASH_BITS = 20
@@ -107,8 +111,10 @@ def learn(sample: DataFrame, **how) -> tuple[np.ndarray, np.ndarray, float]:
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            text, place = features(batch.column("text").to_pylist())
-            ordered = np.unique(text << HASH_BITS | place)
+            if not batch.num_rows:
+                continue
+            texts = batch.column("text").to_pylist()
+            ordered = np.concatenate([np.unique((own + lo) << HASH_BITS | place) for lo, hi in blocks(texts, BLOCK) for own, place in [features(texts[lo:hi])]])
             cuts = np.searchsorted(ordered, np.arange(batch.num_rows + 1) << HASH_BITS)
             places = (ordered & ((1 << HASH_BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label"), "places": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places))})
@@ -139,10 +145,12 @@ def score(text: Column, model: tuple[np.ndarray, np.ndarray, float]) -> Column:
         dense = np.zeros(1 << HASH_BITS, np.float32)
         dense[at] = weight
         for column in texts:
-            owner, place = features(column.to_pylist())
-            some = dense[place] != 0
-            pairs = np.unique(owner[some] << HASH_BITS | place[some])
-            total = bias + np.bincount(pairs >> HASH_BITS, dense[pairs & ((1 << HASH_BITS) - 1)], len(column))
+            texts, total = column.to_pylist(), np.full(len(column), bias)
+            for lo, hi in blocks(texts, BLOCK):
+                owner, place = features(texts[lo:hi])
+                some = dense[place] != 0
+                pairs = np.unique(owner[some] << HASH_BITS | place[some])
+                total[lo:hi] += np.bincount(pairs >> HASH_BITS, dense[pairs & ((1 << HASH_BITS) - 1)], hi - lo)
             yield pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
