@@ -41,18 +41,22 @@ def wilson(passed: Column, n: Column) -> tuple[Column, Column]:
     return tuple(F.when(n > 0, F.round(x, 4)).otherwise(0.0) for x in (low, high))
 
 
-@F.pandas_udf("double")
-def fisher_exact(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """The two-sided p-value of a 2 by 2 table of counts: the sum over tables with the same margins that are no likelier."""
 
     def p_value(a: int, b: int, c: int, d: int) -> float:
         n, row, column = a + b + c + d, a + b, a + c
-        log = lambda x: math.lgamma(row + 1) + math.lgamma(n - row + 1) + math.lgamma(column + 1) + math.lgamma(n - column + 1) - math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(row - x + 1) - math.lgamma(column - x + 1) - math.lgamma(n - row - column + x + 1)
+        whole = sum(map(math.lgamma, (row + 1, n - row + 1, column + 1, n - column + 1))) - math.lgamma(n + 1)
+        log = lambda x: whole - sum(math.lgamma(k + 1) for k in (x, row - x, column - x, n - row - column + x))
         seen = log(a)
         return min(1.0, sum(math.exp(v) for x in range(max(0, row + column - n), min(row, column) + 1) if (v := log(x)) <= seen + 1e-7))
 
-    for a, b, c, d in columns:
-        yield pd.Series([p_value(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d, strict=True)])
+    def batches(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for table in columns:
+            yield pd.Series([p_value(*map(int, row)) for row in zip(*table, strict=True)], dtype=float)
+
+    batches.__annotations__ = {"columns": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(batches, "double")(a, b, c, d)
 
 
 def chi_square(a: Column, b: Column, c: Column, d: Column) -> Column:

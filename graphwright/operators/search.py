@@ -20,9 +20,18 @@ def tokens(text: Column, stemmed: bool = False) -> Column:
     return stems(F.filter(found, lambda w: ~w.isin(*STOP_WORDS))) if stemmed else found
 
 
-@F.pandas_udf("array<string>")
-def stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [stem(w) for w in ws])
+def stems(words: Column) -> Column:
+    """Each word's stem."""
+
+    def batch(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: [stem(w) for w in ws])
+
+    batch.__annotations__ = {"words": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "array<string>")(words)
+
+
+def _count(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
 
 
 def _query_terms(query: str, stemmed: bool) -> list[str]:
@@ -39,7 +48,7 @@ def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text_column: st
     """
     terms = _query_terms(query, stemmed)
     rows = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column), stemmed).alias("words"))
-    rows = rows.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    rows = rows.select("id", F.size("words").alias("length"), *[_count("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(10.0)).alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
@@ -90,7 +99,7 @@ def rank_nodes(nodes: DataFrame, query: str, group: str = "uri") -> DataFrame:
     rows = nodes.withColumn("words", tokens(F.concat_ws(" ", "directive_content", "applies_to_context", "rationale"), True)).withColumn("length", F.size("words"))
     score: Column = F.lit(0.0)
     for i, term in enumerate(terms):
-        rows = rows.withColumn(f"tf{i}", F.size(F.filter("words", lambda w, t=term: w == t)))
+        rows = rows.withColumn(f"tf{i}", _count("words", term))
         df, n = F.count_if(F.col(f"tf{i}") > 0).over(whole), F.count("*").over(whole)
         tf = F.col(f"tf{i}")
         score = score + F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.greatest(F.avg("length").over(whole), F.lit(1e-9))))
