@@ -28,7 +28,9 @@ DIMENSIONS = {
     "LifecycleHook": ("PreFlightCheck", "PostFlightValidation", "RollbackProcedure"),
 }
 OPERATIONAL = ("Procedure", "CodePattern", "OutputFormat", "Command", "Prerequisite")
-SAFETY_NOTES = ("Review the code before running it.", "Run it in a sandbox with the least rights it needs.")
+# Notes that come with a payload, and without one.
+SAFETY_NOTES = ("Payload execution is delegated to the calling agent.", "The MCP server does not execute code.")
+NO_PAYLOAD = ("Skill has no execution payload.",)
 
 
 def subclass_edges(spark) -> DataFrame:
@@ -143,7 +145,7 @@ def payloads(t: DataFrame) -> DataFrame:
     held = facts(t, "oc:hasPayload", "uri", "payload")
     wide = star(t, ["oc:executor", "oc:code", "oc:timeout", "oc:executionPath"]).withColumnRenamed("s", "payload")
     out = held.join(wide, "payload", "left").withColumn("timeout", as_long(F.col("timeout")))
-    return out.withColumn("available", F.col("executor").isNotNull() & F.col("code").isNotNull()).withColumn("safety_notes", F.array(*map(F.lit, SAFETY_NOTES)))
+    return out.withColumn("available", F.col("executor").isNotNull() & F.col("code").isNotNull()).withColumn("safety_notes", F.when(F.col("available"), F.array(*map(F.lit, SAFETY_NOTES))).otherwise(F.array(*map(F.lit, NO_PAYLOAD))))
 
 
 def knowledge(t: DataFrame, inherited: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphwright.operators.triples import facts
 
 # Titles of sections that tell what to do instead.
-ALTERNATIVES = ("best practice", "recommended", "instead", "correct", "solution", "good example", "do this")
+ALTERNATIVES = ("correct", "recommended", "proper", "instead", "best practice", "right way", "should")
 
 
 def _words(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -11,8 +11,9 @@ from graphwright.operators.triples import facts
 
 # Words in an intent that mark a way in.
 ENTRY_WORDS = ("create", "import", "load", "init", "start", "open", "new")
-# Phrases in the first or second person.
-PERSON = ("\\bI can\\b", "\\bI will\\b", "\\bI'll\\b", "\\bI am\\b", "\\bI'm\\b", "\\bI help\\b", "\\byou can\\b", "\\byou should\\b", "\\byou will\\b", "\\byour\\b", "\\bwe can\\b", "\\bwe will\\b")
+# Words and phrases in the first or second person.
+PERSON = ("I", "I'm", "I'll", "I've", "me", "my", "mine", "we", "our", "You can", "You should", "Your")
+EDGE = "[^\\p{L}\\p{N}_]"
 MOST_LINES = 500
 
 
@@ -61,11 +62,17 @@ def workflow_cycles(t: DataFrame) -> DataFrame:
     return _issues(rows, "error", "workflow-cycle", local_name(F.element_at("x", 1)), F.element_at("x", 2))
 
 
+def person_pattern(phrase: str) -> str:
+    """A phrase as a whole, in any case of ASCII letters; for Java and RE2 alike."""
+    return f"(?i)(^|{EDGE}){phrase}($|{EDGE})"
+
+
 def third_person(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Texts that address the reader: the distinct phrases found, in lower case and sorted."""
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text_column, F.lit("(?i)(" + "|".join(PERSON) + ")"), 1), F.lower)))
-    rows = docs.withColumn("found", found).where(F.size("found") > 0)
-    return _issues(rows, "warning", "third-person", F.col(id_column).cast("string"), F.array_join("found", ","))
+    """Texts in the first or second person: the phrases found, in any case of letters and as whole words, in the order of PERSON."""
+    text = F.col(text_column)
+    found = F.array_compact(F.array(*[F.when(text.rlike(person_pattern(p)), F.lit(p)) for p in PERSON]))
+    rows = docs.select(F.col(id_column).cast("string").alias("id"), found.alias("found")).where(F.size("found") > 0)
+    return _issues(rows, "warning", "third-person", F.col("id"), F.array_join("found", ","))
 
 
 def body_length(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = MOST_LINES) -> DataFrame:

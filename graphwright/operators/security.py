@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Classes of threats and their patterns, for Java and RE2 alike.
+# Classes of threats and their patterns.
 PATTERNS = {
-    "prompt_injection": ["ignore\\s+(all\\s+)?(previous|prior|above)\\s+instructions", "disregard\\s+(all\\s+)?(previous|prior|above)", "you\\s+are\\s+now\\s+(in\\s+)?(developer|admin|god)\\s+mode"],
-    "command_injection": [";\\s*rm\\s+-rf\\s+/", "\\$\\(\\s*(curl|wget)[^)]*\\)", "\\|\\s*(bash|sh)\\b"],
-    "data_exfiltration": ["curl\\s+[^\\n]*--data[^\\n]*\\$\\{?[A-Za-z_]+", "(send|post|upload)\\s+[^\\n]{0,40}(credentials|secrets|passwords)\\s+to"],
-    "path_traversal": ["\\.\\./\\.\\./\\.\\./"],
-    "credential_exposure": ["(api[_-]?key|secret|password|token)\\s*[:=]\\s*['\"]?[A-Za-z0-9_\\-]{16,}", "AKIA[0-9A-Z]{16}"],
+    "prompt_injection": [
+        r"(?i)(ignore|disregard|forget)\s+(previous|all|above|prior)\s+(instructions?|rules?|prompts?)",
+        r"(?i)you\s+are\s+now\s+",
+        r"(?i)system\s*:\s*",
+    ],
+    "command_injection": [
+        r";\s*(rm\s+-rf|del\s+/s|format\s+:|shutdown|reboot|chmod\s+777|chown\s+root)",
+        r"\|\s*(bash|sh|zsh|cmd|powershell)\s+-c\s*['\"]",
+        r"\$\(['\"]\s*(rm|del|format|curl|wget)",
+    ],
+    "data_exfiltration": [
+        r"(?i)(curl|wget)\s+(-d|--data|-F|--form)\s+.*['\"]?(password|secret|token|key|credential)",
+        r"(?i)(upload|send|transmit|exfil)\s+.*\s+(password|secret|token|api[_-]?key)",
+    ],
+    "path_traversal": [
+        r"\.\./\.\./\.\./",
+        r"/etc/(passwd|shadow|hosts)",
+    ],
+    "credential_exposure": [
+        r"(?i)(api[_-]?key|password|secret|token)\s*=\s*['\"][a-zA-Z0-9]{20,}['\"]",
+    ],
 }
-ZERO_WIDTH = "[\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufeff]"
+ZERO_WIDTH = r"[\u200b-\u200f\u2028-\u202f\u205f-\u206f\ufeff]"
+
+
+def group(pattern: str) -> int:
+    """The group that a pattern's match shows: the first, or the whole of it if it has none."""
+    return min(1, re.compile(pattern).groups)
 
 
 def normalise(text: Column) -> Column:
@@ -36,6 +58,6 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     All patterns are tried in one pass over a text; rows without a match never leave it. Patterns always run; a review by other means can follow.
     """
     text = normalise(F.col(text_column)) if normalised else F.col(text_column)
-    tries = F.array(*[F.struct(F.lit(kind).alias("threat_type"), F.lit(i).alias("pattern"), F.regexp_extract(F.col("_text"), f"(?i)({p})", 1).alias("match")) for kind, patterns in PATTERNS.items() for i, p in enumerate(patterns)])
+    tries = F.array(*[F.struct(F.lit(kind).alias("threat_type"), F.lit(i).alias("pattern"), F.regexp_extract(F.col("_text"), p, group(p)).alias("match")) for kind, patterns in PATTERNS.items() for i, p in enumerate(patterns)])
     rows = docs.select(F.col(id_column).alias("id"), text.alias("_text"))
     return rows.select("id", F.explode(F.filter(tries, lambda x: x["match"] != "")).alias("x")).select("id", "x.*")

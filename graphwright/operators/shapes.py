@@ -46,7 +46,7 @@ CONSTRAINTS = (
     Constraint("Payload", "oc:ExecutionPayload", "oc:code|oc:executionPath", "or"),
     Constraint("Payload", "oc:ExecutionPayload", "oc:executor", "min", 1),
     Constraint("Payload", "oc:ExecutionPayload", "oc:executor", "max", 1),
-    Constraint("Payload", "oc:ExecutionPayload", "oc:executor", "in", ("python", "bash", "shell", "node", "claude_tool")),
+    Constraint("Payload", "oc:ExecutionPayload", "oc:executor", "in", ("shell", "python", "node", "claude_tool")),
     Constraint("Payload", "oc:ExecutionPayload", "oc:timeout", "datatype", "xsd:integer"),
     Constraint("State", "*oc:requiresState", "rdfs:label", "min", 1, "Warning"),
     Constraint("KnowledgeNode", "oc:KnowledgeNode", "oc:directiveContent", "min", 1),
@@ -57,6 +57,7 @@ CONSTRAINTS = (
     Constraint("CodeExample", "oc:CodeExample", "oc:codeContent", "min", 1),
     Constraint("Table", "oc:Table", "oc:tableMarkdown", "min", 1),
     Constraint("Flowchart", "oc:Flowchart", "oc:flowchartType", "in", ("graphviz", "mermaid")),
+    Constraint("Template", "oc:Template", "oc:templateType", "in", ("prompt", "output", "boilerplate")),
     Constraint("Paragraph", "oc:Paragraph", "oc:textContent", "min", 1),
     Constraint("BulletList", "oc:BulletList", "oc:hasItem", "class", "oc:BulletItem"),
     Constraint("WorkflowStep", "oc:WorkflowStep", "oc:stepOrder", "datatype", "xsd:integer"),

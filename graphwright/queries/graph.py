@@ -229,9 +229,9 @@ def lint_dup_intents(spark, sf_dir):
 
 
 @query(
-    "SELECT 'warning' AS severity, 'third-person' AS code, CAST(doc_id AS VARCHAR) AS skill_id, array_to_string(list_sort(list_distinct(list_transform(f, lambda x: lower(x)))), ',') AS detail FROM (SELECT doc_id, regexp_extract_all(text, '(?i)("
-    + "|".join(p.replace("'", "''") for p in lint.PERSON)
-    + ")') AS f FROM documents) WHERE len(f) > 0",
+    "SELECT 'warning' AS severity, 'third-person' AS code, CAST(doc_id AS VARCHAR) AS skill_id, array_to_string(f, ',') AS detail FROM (SELECT doc_id, list_filter(["
+    + ", ".join("CASE WHEN regexp_matches(text, '{}') THEN '{}' END".format(lint.person_pattern(p).replace("'", "''"), p.replace("'", "''")) for p in lint.PERSON)
+    + "], lambda x: x IS NOT NULL) AS f FROM documents) WHERE len(f) > 0",
     skills=False,
 )
 def lint_third_person(spark, sf_dir):

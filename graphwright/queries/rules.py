@@ -73,7 +73,7 @@ def shacl_summary(spark, sf_dir):
 
 @query(
     "SELECT doc_id AS id, threat_type, CAST(pattern AS INTEGER) AS pattern, match FROM (SELECT doc_id, unnest(["
-    + ", ".join("struct_pack(threat_type := '{}', pattern := {}, match := regexp_extract(text, '(?i)({})', 1))".format(kind, i, p.replace("'", "''")) for kind, ps in security.PATTERNS.items() for i, p in enumerate(ps))
+    + ", ".join("struct_pack(threat_type := '{}', pattern := {}, match := regexp_extract(text, '{}', {}))".format(kind, i, p.replace("'", "''"), security.group(p)) for kind, ps in security.PATTERNS.items() for i, p in enumerate(ps))
     + "], recursive := true) FROM documents) WHERE match <> ''",
     skills=False,
 )
