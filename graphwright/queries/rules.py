@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwright.operators import catalog, links, reason, registry, security, shapes
 from graphwright.operators.triples import facts
+from graphwright.plans import sparql
 from graphwright.queries.graph import query, table
 from graphwright.sources import star_graph as sg
 
@@ -135,3 +136,30 @@ def reg_resolve(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("n"), F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("r"), "n_name")
     refs = nation.select(F.explode(F.array("n", "n_name", F.concat_ws("/", "r", "n", F.lit("skill")), "r")).alias("ref"))
     return registry.resolve_packages(refs, nation.select(F.concat_ws("/", "r", "n").alias("package_id")))
+
+
+# --- query text -------------------------------------------------------------------------------------------
+
+
+@query("SELECT s, p_name AS n, CASE WHEN p_partkey > 0 THEN 'oc:skill_' || (p_partkey // 2) END AS parent FROM k WHERE skill_type = 'executable' AND contains(p_name, 'ring') AND tier IN ('official', 'local')")
+def sparql_optional_filter(spark, sf_dir):
+    """Query text with a type, an OPTIONAL and filters."""
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?s ?n ?parent WHERE { ?s a oc:ExecutableSkill ; oc:nature ?n ; oc:trustTier ?t . OPTIONAL { ?s oc:extends ?parent } FILTER(CONTAINS(?n, \"ring\") && ?t IN (\"official\", \"local\")) }")
+
+
+@query("SELECT p_type AS c, CAST(count(*) AS BIGINT) AS n FROM k WHERE lower(p_name) LIKE '%widget%' GROUP BY p_type")
+def sparql_group_count(spark, sf_dir):
+    """Query text with an aggregate."""
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?c (COUNT(DISTINCT ?s) AS ?n) WHERE { ?s oc:hasCategory ?c . ?s oc:resolvesIntent ?i FILTER(LCASE(?i) = \"widget\") } GROUP BY ?c")
+
+
+@query(", p(src, dst) AS (SELECT src, dst FROM ups UNION SELECT p.src, ups.dst FROM p JOIN ups ON p.dst = ups.src) SELECT dst AS a, 'part-' || substr(dst, 10) AS id FROM p WHERE src = 'oc:skill_777' ORDER BY a LIMIT 5")
+def sparql_path(spark, sf_dir):
+    """Query text with a path of any length, an order and a limit."""
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?a ?id WHERE { oc:skill_777 oc:extends+ ?a . ?a dcterms:identifier ?id } ORDER BY ?a LIMIT 5")
+
+
+@query("SELECT s, 'needs' AS role, requires AS state FROM k WHERE p_type = 'PROMO' UNION ALL SELECT s, 'gives', yields FROM k WHERE p_type = 'PROMO'")
+def sparql_union(spark, sf_dir):
+    """Query text with UNION and BIND."""
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?s ?role ?state WHERE { ?s oc:hasCategory \"PROMO\" . { ?s oc:requiresState ?state . BIND(\"needs\" AS ?role) } UNION { ?s oc:yieldsState ?state . BIND(\"gives\" AS ?role) } }")
