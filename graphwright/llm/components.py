@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure checkpoint() has a folder: the one in spark.checkpoint.dir, or one of our own where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphwright-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint; the shuffles behind it can then be dropped."""
-    shared_folder(df.sparkSession)
-    out = df.checkpoint()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+from graphwright.sources.scratch import drop, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,11 +13,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014) until a round changes
     nothing; each round is two aggregations and two joins, which adaptive execution splits at
-    hubs, and its result is checkpointed. Edges from a node to itself, repeated edges and edges
+    hubs, and its result is written to a table. Edges from a node to itself, repeated edges and edges
     with a null end add nothing. An empty table gives an empty table.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    pairs, before = cut(pairs), None
+    pairs, before = stored(pairs), None
     while True:
         # large-star: neighbours above a node go to the smallest of the node and its neighbours
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         small = star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        pairs = cut(small)
+        last, pairs = pairs, stored(small)
+        drop(last)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -13,9 +13,11 @@ is unique are dropped, for nothing longer that starts there can repeat:
 2. rank of the whole stretch that a run's strings cover, from the pair of ranks at `length` at
    its two ends. A stretch that repeats settles all starts in it at once, so that copies
    and near copies are not dealt with byte by byte.
-3. rank at `length` of single starts, from the pair of ranks at 128 and at the offset that is
-   left: for runs whose anchor repeats but whose stretch doesn't, against one of
-   each group of equal stretches.
+3. runs whose anchor repeats but whose stretch doesn't, against one of each group of equal stretches, in
+   pieces of STEP starts, placed by their distance to the anchor: a piece whose core, the bytes that all its strings
+   share, is unique goes; one whose stretch repeats is settled.
+4. rank at `length` of single starts, from the pair of ranks at 128 and at the offset that is
+   left: for the pieces that remain.
 """
 
 from __future__ import annotations
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.components import cut
+from graphwright.llm.blocks import blocks
+from graphwright.sources.scratch import drop, stored
 
 #: Bytes of an anchor, at most; half of a shorter `length`.
 GRAM = 64
 #: Bytes of text that are named at a time, or one text if that is longer.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
+#: Starts of a piece.
+STEP = 16
 #: In packed places: bits for the number of starts in a run.
 RUN_BITS = 16
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -46,21 +51,10 @@ def _gram(length: int) -> int:
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A name for each pair of names."""
+    """A name for each pair of names; where b is shorter, 0 stands for the rest."""
     out = a * ODD[0]
     out ^= out >> np.uint64(29)
-    out += b
-    out *= ODD[1]
-    out ^= out >> np.uint64(32)
-    return out
-
-
-def _shifted(a: np.ndarray, by: int) -> np.ndarray:
-    """a from place `by` on, filled up with 0; results for places that reach so far are never used."""
-    out = np.empty_like(a)
-    by = min(by, len(a))
-    out[: len(a) - by] = a[by:]
-    out[len(a) - by :] = 0
+    out[: len(b)] += b
     return out
 
 
@@ -69,30 +63,23 @@ def _ranks(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     k, rank, out = 1, data.astype(np.uint64) + np.uint64(1), {}
     for want in sorted(lengths):
         while 2 * k <= want:
-            rank, k = _pair(rank, _shifted(rank, k)), 2 * k
-        out[want] = rank if k == want else _pair(rank, _shifted(rank, want - k))
+            rank, k = _pair(rank, rank[k:]), 2 * k
+        out[want] = _pair(rank, rank[want - k :])
+        out[want] *= ODD[1]
+        out[want] ^= out[want] >> np.uint64(32)
     return out
 
 
 def _extreme(a: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
-    """The least or the greatest of each window of so many values."""
-    k, out = 1, a
-    while 2 * k <= width:
-        out = of(out, _shifted(out, k))
-        k *= 2
-    return out if k == width else of(out, _shifted(out, width - k))
-
-
-def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts to name together."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BLOCK:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if texts:
-        yield first, len(texts)
+    """The least or the greatest of each window of so many values, or of as many as there are."""
+    out, spare = a.copy(), np.empty_like(a)
+    steps = [1 << i for i in range(width.bit_length() - 1)]
+    for step in [*steps, width - 2 * steps[-1] if steps else 0]:
+        if 0 < step < len(a):
+            of(out[:-step], out[step:], out=spare[:-step])
+            spare[-step:] = out[-step:]
+            out, spare = spare, out
+    return out
 
 
 def runs_of(texts: list[bytes], length: int, stretches: bool) -> dict[str, np.ndarray]:
@@ -101,7 +88,7 @@ def runs_of(texts: list[bytes], length: int, stretches: bool) -> dict[str, np.nd
     gram = _gram(length)
     width = length - gram + 1  # grams in a string
     out: list[list[np.ndarray]] = []
-    for lo, hi in _blocks(texts):
+    for lo, hi in blocks(texts, BLOCK):
         sizes = np.array([len(t) for t in texts[lo:hi]], np.int64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
@@ -152,14 +139,40 @@ def _recurs(rank: np.ndarray, anchor: np.ndarray, width: int, heads: np.ndarray,
     return out
 
 
-def starts_of(text: bytes, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each start in some runs: the run (its index), the start, and the two ranks whose pair names the string there."""
+def pieces_of(text: bytes, places: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Pieces of some runs: the run (its index), place, the two ranks whose pair names the core, and the name of the stretch.
+
+    A start's distance is that to the first place of the run's anchor from it on, which its string alone decides.
+    """
+    gram = _gram(length)
+    width, step = length - gram + 1, min(STEP, length - 2)
+    core = length - step + 1  # bytes that all strings of a piece share
+    half = 1 << (core.bit_length() - 1)
+    rank = _ranks(np.frombuffer(text, np.uint8), tuple({gram, half, length}))
+    out: list[tuple[np.ndarray, ...]] = []
+    for i, place in enumerate(places.tolist()):
+        first, n = place >> RUN_BITS, place & ((1 << RUN_BITS) - 1)
+        reach = rank[gram][first : first + n - 1 + width]
+        anchors = first + np.flatnonzero(reach == reach.min())
+        starts = np.arange(first, first + n)
+        anchor = anchors[np.searchsorted(anchors, starts)]
+        piece = (anchor - starts) // step
+        head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])))
+        size = np.diff(np.append(head, n))
+        at, low = starts[head], (anchor - step * piece)[head]
+        form = _pair(_pair(rank[length][at], rank[length][at + size - 1]), ((low - at) << RUN_BITS | size).astype(np.uint64))
+        out.append((np.full(len(head), i), at << RUN_BITS | size, rank[half][low].view(np.int64), rank[half][low + core - half].view(np.int64), form.view(np.int64)))
+    return {k: np.concatenate([o[j] for o in out]) for j, k in enumerate(("run", "place", "c1", "c2", "form"))}
+
+
+def starts_of(text: bytes, places: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Single starts of some runs: the run (its index), place, and the two ranks whose pair names the string there."""
     half = 1 << (length.bit_length() - 1)
     rank = _ranks(np.frombuffer(text, np.uint8), (half,))[half]
     n = places & ((1 << RUN_BITS) - 1)
     run = np.repeat(np.arange(len(places)), n)
     start = np.repeat(places >> RUN_BITS, n) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    return run, start, rank[start].view(np.int64), rank[start + length - half].view(np.int64)
+    return {"run": run, "place": start << RUN_BITS | 1, "h1": rank[start].view(np.int64), "h2": rank[start + length - half].view(np.int64)}
 
 
 def _covered(size: int, places: np.ndarray, length: int) -> np.ndarray:
@@ -183,18 +196,22 @@ def _map_texts(texts: DataFrame, length: int, stretches: bool) -> DataFrame:
     return texts.mapInArrow(batches, "anchor long, weight long" + ", stretch long, place long, k1 long, k2 long" * stretches)
 
 
-def _map_starts(texts: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, k1, k2, place, single) for each start of the runs in `todo`."""
+def _map_todo(texts: DataFrame, todo: DataFrame, length: int, pieces: bool) -> DataFrame:
+    """Pieces or single starts of runs (k1, k2, place, single), each with its own place, name and `single`."""
+    keys = ["k1", "k2"]
+    todo = todo.groupBy(*keys).agg(F.collect_list(F.struct("place", "single")).alias("todo"))
+    whole = texts.join(todo.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for k1, k2, text, todo in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "todo")), strict=True):
-                places = np.array([t["place"] for t in todo], np.int64)
-                single = np.array([t["single"] for t in todo], bool)
-                run, start, h1, h2 = starts_of(text, places, length)
-                yield pa.RecordBatch.from_pydict({"h1": h1, "h2": h2, "k1": np.full(len(run), k1), "k2": np.full(len(run), k2), "place": start << RUN_BITS | 1, "single": single[run]})
+            for k1, k2, text, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "todo")), strict=True):
+                places = np.array([t["place"] for t in runs], np.int64)
+                single = np.array([t["single"] for t in runs], bool)
+                found = pieces_of(text, places, length) if pieces else starts_of(text, places, length)
+                run = found.pop("run")
+                yield pa.RecordBatch.from_pydict(found | {"k1": np.full(len(run), k1), "k2": np.full(len(run), k2), "single": single[run]})
 
-    return texts.mapInArrow(batches, "h1 long, h2 long, k1 long, k2 long, place long, single boolean")
+    return whole.join(todo, keys).mapInArrow(batches, ("place long, c1 long, c2 long, form long" if pieces else "place long, h1 long, h2 long") + ", k1 long, k2 long, single boolean")
 
 
 def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
@@ -204,20 +221,30 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     """
     keys = ["k1", "k2"]
     # round 1: anchors
-    anchors = cut(_map_texts(texts, length, False).groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"))
-    runs = cut(_map_texts(texts, length, True).join(anchors, "anchor", "left_semi"))
+    anchors = stored(_map_texts(texts, length, False).groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"))
+    runs = stored(_map_texts(texts, length, True).join(anchors, "anchor", "left_semi"))
+    drop(anchors)
     # round 2: stretches
-    classes = cut(runs.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min(F.struct(*keys, "place")).alias("one")))
-    settled = runs.join(classes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select(*keys, "place")
-    # round 3: single starts of runs whose anchor has several stretches
-    mixed = cut(classes.groupBy("anchor").agg(F.sum("weight").alias("forms")).where("forms > 1").select("anchor"))
+    classes = stored(runs.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min(F.struct(*keys, "place")).alias("one")))
+    settled = stored(runs.join(classes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").groupBy(*keys).agg(F.collect_set("place").alias("places")))
+    drop(runs)
+    # round 3: pieces of runs whose anchor has several stretches
+    mixed = stored(classes.groupBy("anchor").agg(F.sum("weight").alias("forms")).where("forms > 1").select("anchor"))
     todo = classes.join(mixed, "anchor", "left_semi").select("one.*", (F.col("n") == 1).alias("single"))
-    todo = cut(todo.groupBy(*keys).agg(F.collect_list(F.struct("place", "single")).alias("todo")))
-    whole = texts.join(todo.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
-    starts = cut(_map_starts(whole.join(todo, keys), length))
-    again = cut(starts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("single").alias("single")).where("n > 1 and single").select("h1", "h2"))
+    pieces = stored(_map_todo(texts, todo, length, True))
+    drop(classes, mixed)
+    forms = stored(pieces.groupBy("c1", "c2", "form").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct(*keys, "place")).alias("one")))
+    whole = pieces.where("single").join(forms.where("n > 1 and single").select("c1", "c2", "form"), ["c1", "c2", "form"], "left_semi").select(*keys, "place")
+    # round 4: single starts of pieces whose core has several forms, one of them not settled
+    mixed = stored(forms.groupBy("c1", "c2").agg(F.count("*").alias("forms"), F.max(F.col("single") & (F.col("n") == 1)).alias("open")).where("forms > 1 and open").select("c1", "c2"))
+    todo = forms.join(mixed, ["c1", "c2"], "left_semi").select("one.*", (F.col("single") & (F.col("n") == 1)).alias("single"))
+    starts = stored(_map_todo(texts, todo, length, False))
+    again = stored(starts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("single").alias("single")).where("n > 1 and single").select("h1", "h2"))
     found = starts.where("single").join(again, ["h1", "h2"], "left_semi").select(*keys, "place")
-    return settled.union(found).groupBy(*keys).agg(F.collect_set("place").alias("places"))
+    every = settled.withColumn("place", F.explode("places")).select(*keys, "place").union(whole).union(found)
+    out = stored(every.groupBy(*keys).agg(F.collect_set("place").alias("places")))
+    drop(settled, pieces, forms, mixed, starts, again)
+    return out
 
 
 def without_repeats(docs: DataFrame, text_column: str = "text", length: int = 200, out: str = "repeats", whole_characters: bool = False) -> DataFrame:
@@ -234,7 +261,7 @@ def without_repeats(docs: DataFrame, text_column: str = "text", length: int = 20
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text")).select("row", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(length), "text").alias("k2"))
-    found = cut(repeated_runs(rows.where(F.length("text") >= length).select("k1", "k2", "text"), length))
+    found = repeated_runs(rows.where(F.length("text") >= length).select("k1", "k2", "text"), length)
 
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
