@@ -32,6 +32,8 @@ PACE = 2
 STRIDE = 256
 #: Characters that walk together, or one text if that is longer; it bounds memory at some bytes for each.
 BLOCK = 1 << 25
+#: Characters of rows that are compared together; their edited and next texts come on top.
+ROWS = 1 << 23
 LAST = 1 << 40
 
 
@@ -153,6 +155,10 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def _bytes(prints: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in prints], pa.binary())
+
+
 def compare(text: Column, next_text: Column) -> Column:
     """struct<n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next> of a text and the one after it.
 
@@ -163,16 +169,17 @@ def compare(text: Column, next_text: Column) -> Column:
 
     def batches(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for both in columns:
-            texts, following = ([t or "" for t in c.to_pylist()] for c in both)
-            changed = [edited(t, n) for t, n in zip(texts, following, strict=True)]
-            places: dict[str, int] = {}
-            rows = [np.array([places.setdefault(t, len(places)) for t in some], np.int64) for some in (texts, changed, following)]
-            prints = fingerprints(list(places))
-            own, other, after = (prints[r] for r in rows)
-            as_bytes = lambda p: pa.array([x.tobytes() for x in p], pa.binary())
-            yield pa.StructArray.from_arrays(
-                [pa.array([len(t) for t in texts], pa.int64()), pa.array(changed, pa.string()), as_bytes(own), as_bytes(other), pa.array(likeness(own, other)), pa.array(likeness(own, after))], fields=list(kind)
-            )
+            parts: list[pa.Array] = []
+            every = [c.to_pylist() for c in both]
+            for lo, hi in blocks(every[0], ROWS):
+                texts, following = ([t or "" for t in c[lo:hi]] for c in every)
+                changed = [edited(t, n) for t, n in zip(texts, following, strict=True)]
+                places: dict[str, int] = {}
+                rows = [np.array([places.setdefault(t, len(places)) for t in some], np.int64) for some in (texts, changed, following)]
+                own, other, after = map(fingerprints(list(places)).__getitem__, rows)
+                columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(changed, pa.string()), _bytes(own), _bytes(other), pa.array(likeness(own, other)), pa.array(likeness(own, after))]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     batches.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, "n_chars bigint, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")(text, next_text)

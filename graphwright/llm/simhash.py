@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.components import components, cut
+from graphwright.llm.components import components
+from graphwright.sources.scratch import stored
 
 BITS = 64
 #: A-Z to a-z, other bytes as they are.
@@ -35,13 +36,22 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
     return [digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[min(words, len(found)) :], strict=False)]
 
 
-def _fingerprints(texts: list[str | None], words: int, seed: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
+def _majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of some 64-bit hashes."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def _fingerprints(texts: list[str | None], words: int, seed: int, prints: int = 1) -> np.ndarray:
+    """A row for each text, a column for each fingerprint: the first of the hashes, the others of mixtures of them."""
+    out = np.zeros((len(texts), prints), np.uint64)
     for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, words, seed), ">u8")
-        if len(hashes):
-            ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            out[i] = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        hashes = np.array(shingle_hashes(text, words, seed), np.uint64)
+        for k in range(prints if len(hashes) else 0):
+            if k:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes ^= hashes >> np.uint64(32)
+            out[i, k] = _majority(hashes)
     return out
 
 
@@ -54,7 +64,7 @@ def fingerprint(text: Column, words: int = 3, seed: int = 42) -> Column:
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            yield pa.array(_fingerprints(column.to_pylist(), words, seed).view(np.int64))
+            yield pa.array(_fingerprints(column.to_pylist(), words, seed)[:, 0].view(np.int64))
 
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, "bigint")(text)
@@ -93,7 +103,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kept and never smallest; a group of null ids alone has a null component. Other columns of
     `docs` aren't looked at. No rows give no rows.
     """
-    prints = cut(docs.select(F.col(id_column).alias("id"), fingerprint(F.col(text_column), words, seed).alias("fp")))
+    prints = stored(docs.select(F.col(id_column).alias("id"), fingerprint(F.col(text_column), words, seed).alias("fp")))
     groups = components(links(prints, distance))
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -107,7 +117,42 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its near-duplicate group; rows with a null id stay."""
-    kept = near_duplicates(docs, id_column, text_column, **how).where("id = component_id").select(F.col("id").alias(id_column)).distinct()
-    return docs.join(kept, id_column, "left_semi").unionByName(docs.where(F.col(id_column).isNull()))
+def _several(text: Column, words: int, seed: int, prints: int) -> Column:
+    def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield pa.array(_fingerprints(column.to_pylist(), words, seed, prints).view(np.int64).tolist(), pa.list_(pa.int64()))
+
+    batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(batches, "array<bigint>")(text)
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, seed: int = 42, prints: int = 4, distance: int = 5, share: float = 0.14) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its group of similar texts.
+
+    For similar texts one fingerprint is too coarse and the distance that its index can bear too
+    short, so each text has several: two texts are candidates if any fingerprint of the one is within `distance` bits of the other's, and
+    linked if at most `share` of the bits of all of them differ. On texts of a five-word shingle
+    similarity of 0.8 that is the share to be expected. Rows with a null id stay and take no part; so do null, empty and blank
+    texts. Of rows with one id all stay or none.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike("[^ \t-\r]"))
+    texts = stored(rows.select("id", _several(F.col("text"), words, seed, prints).alias("fps")))
+    distinct = stored(texts.groupBy("fps").agg(F.min("id").alias("node")))
+    differing = sum((F.bit_count(F.col("a_fps")[k].bitwiseXOR(F.col("b_fps")[k])) for k in range(prints)), F.lit(0))
+    found = None
+    for k in range(prints):
+        own = distinct.select(F.col("fps")[k].alias("fp"), "node", "fps")
+        near = links(own, distance)
+        # texts that share this fingerprint, by way of the smallest of them
+        least = own.groupBy("fp").agg(F.min("node").alias("least"))
+        same = own.join(least, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        one, other = (own.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab")
+        pairs = near.join(one, "a").join(other, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).union(same)
+        found = pairs if found is None else found.union(pairs)
+    pairs = found.distinct()
+    for x in "ab":
+        pairs = pairs.join(distinct.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")), x)
+    groups = components(pairs.where(differing <= int(share * BITS * prints)))
+    gone = texts.join(distinct, "fps").join(groups, "node", "left").where(F.col("id") != F.coalesce("component", "node")).select(F.col("id").alias(id_column))
+    kept = texts.join(distinct, "fps").join(groups, "node", "left").where(F.col("id") == F.coalesce("component", "node")).select(F.col("id").alias(id_column))
+    return docs.join(gone.join(kept, id_column, "left_anti"), id_column, "left_anti").select(docs.columns)
