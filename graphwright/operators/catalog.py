@@ -182,7 +182,7 @@ def knowledge(t: DataFrame, inherited: bool = True) -> DataFrame:
 
 
 def epistemic_rules(nodes: DataFrame, kind: str | None = None, dimension: str | None = None, severity: str | None = None, context: str | None = None, limit: int = 0) -> DataFrame:
-    """Knowledge rows that satisfy all filters, in order of kind, dimension, owner and node."""
+    """Knowledge rows that satisfy all filters, in order of kind, dimension, owner, node and skill."""
     out = nodes
     if kind:
         out = out.where(F.col("kind") == snake(F.lit(kind)))
@@ -192,7 +192,7 @@ def epistemic_rules(nodes: DataFrame, kind: str | None = None, dimension: str |
         out = out.where(F.col("severity_level") == severity.strip().upper())
     if context:
         out = out.where(F.contains(F.lower("applies_to_context"), F.lit(context.lower())))
-    return out.orderBy(F.asc_nulls_first("kind"), F.asc_nulls_first("dimension"), "owner", "node").limit(limit_of(limit))
+    return out.orderBy(F.asc_nulls_first("kind"), F.asc_nulls_first("dimension"), "owner", "node", "uri").limit(limit_of(limit))
 
 
 def section_content(t: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ class Parser:
         else:
             step = self.term()
         if self.see("+", "*"):
-            return ("closure", step[1], self.take() == "*")
+            step = ("closure", step[1], self.take() == "*")
         if self.see("/"):
             self.take()
             return ("sequence", step, self.path())

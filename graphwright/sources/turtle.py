@@ -193,7 +193,7 @@ def parse(text: str, base: str = "") -> list[tuple]:
 
 def read_turtle(spark: SparkSession, *paths: str) -> DataFrame:
     """The triple table of Turtle files; graph_id is the file's path, and blank nodes are its own. A text that isn't Turtle ends the job with its path."""
-    files = spark.read.option("wholetext", True).text(list(paths)).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -265,7 +265,7 @@ def imports(spark: SparkSession, root: str, limit: int = 10_000) -> list[str]:
         if path in found or not at.getFileSystem(conf).exists(at):
             continue
         found.append(path)
-        text = spark.read.option("wholetext", True).text(path).first().value
+        text = spark.read.text(path, wholetext=True).first().value
         for _, _, p, o, kind, _, _ in parse(text, path):
             if p == "owl:imports" and kind == "iri":
                 local = f"{path.rsplit('/', 1)[0]}/{o.rsplit('/', 1)[-1]}"
