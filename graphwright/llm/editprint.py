@@ -14,15 +14,15 @@ texts of nearly the same length therefore sample the same steps.
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphwright.llm.blocks import blocks
+from graphwright.llm.blocks import blocks, spans
 
 SLOTS = 512
 SEED = 20160619
@@ -32,8 +32,8 @@ PACE = 2
 STRIDE = 256
 #: Characters that walk together, or one text if that is longer; it bounds memory at some bytes for each.
 BLOCK = 1 << 25
-#: Characters of rows that are compared together; their edited and next texts come on top.
-ROWS = 1 << 23
+#: Bytes of rows that are compared together; their edited texts come on top.
+ROWS = 1 << 22
 LAST = 1 << 40
 
 
@@ -53,7 +53,7 @@ def _samples() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return steps, slots, after, bits
 
 
-@functools.lru_cache(4096)
+@functools.lru_cache(1024)
 def _choices(stride: int) -> np.ndarray:
     """Whether to go on, for each step of a stride and character class; never from the end, class 0."""
     out = np.random.default_rng((SEED, stride)).integers(0, 2, (STRIDE, 256), np.uint8)
@@ -155,34 +155,39 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def edited_text(text: Column, after: Column) -> Column:
+    """`edited` for columns without nulls."""
+    half = F.floor(F.length(text) / 2).cast("int")
+    return F.concat(F.substr(text, F.lit(1), F.length(text) - half), F.substr(after, F.lit(1), half))
+
+
 def _bytes(prints: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in prints], pa.binary())
 
 
 def compare(text: Column, next_text: Column) -> Column:
-    """struct<n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next> of a text and the one after it.
+    """struct<fingerprint, edited_fingerprint, near_edited, near_next> of a text and the one after it.
 
     Null texts are empty. The edited text is `edited(text, next_text)`, fingerprints are packed bits, and near_*
     are likenesses of the text's fingerprint to the edited text's and to the next one's.
     """
-    kind = pa.struct([("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    kind = pa.struct([("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def batches(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for both in columns:
             parts: list[pa.Array] = []
-            every = [c.to_pylist() for c in both]
-            for lo, hi in blocks(every[0], ROWS):
-                texts, following = ([t or "" for t in c[lo:hi]] for c in every)
+            sizes = np.maximum(pc.binary_length(both[0]).fill_null(0).to_numpy(zero_copy_only=False), pc.binary_length(both[1]).fill_null(0).to_numpy(zero_copy_only=False))
+            for lo, hi in spans(sizes, ROWS):
+                texts, following = ([t or "" for t in c.slice(lo, hi - lo).to_pylist()] for c in both)
                 changed = [edited(t, n) for t, n in zip(texts, following, strict=True)]
                 places: dict[str, int] = {}
                 rows = [np.array([places.setdefault(t, len(places)) for t in some], np.int64) for some in (texts, changed, following)]
                 own, other, after = map(fingerprints(list(places)).__getitem__, rows)
-                columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(changed, pa.string()), _bytes(own), _bytes(other), pa.array(likeness(own, other)), pa.array(likeness(own, after))]
-                parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+                parts.append(pa.StructArray.from_arrays([_bytes(own), _bytes(other), pa.array(likeness(own, other)), pa.array(likeness(own, after))], fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     batches.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, "n_chars bigint, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")(text, next_text)
+    return F.arrow_udf(batches, "fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")(text, next_text)
 
 
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, band_bits: int = 32, column: str = "fingerprint") -> DataFrame:

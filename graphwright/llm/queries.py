@@ -88,9 +88,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints every whole text and its edited text, and compares them and the next document's."""
-    found = editprint.with_next(documents(spark, sf_dir)).select("id", editprint.compare(F.col("text"), F.col("next_text")).alias("c"))
+    both = editprint.with_next(documents(spark, sf_dir))
+    changed = F.sha2(F.encode(editprint.edited_text(F.col("text"), F.col("next_text")), "UTF-8"), 256)
+    found = both.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), changed.alias("edited_sha256"), editprint.compare(F.col("text"), F.col("next_text")).alias("c"))
     prints = [F.lower(F.hex(f"c.{c}")).alias(c) for c in ("fingerprint", "edited_fingerprint")]
-    return found.select(F.col("id").alias("doc_id"), "c.n_chars", F.sha2(F.encode("c.edited", "UTF-8"), 256).alias("edited_sha256"), *prints, "c.near_edited", "c.near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "c.near_edited", "c.near_next")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
