@@ -18,6 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits allowed for a character of an item.
 RATE = 0.08
@@ -128,6 +129,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     parts = dealt(items.select(F.col(item_column).alias("item"), F.col(item_text).alias("text")), block)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
     id_kind, item_kind = texts.schema["id"].dataType.simpleString(), items.schema[item_column].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_column].dataType)
     out = None
     for part in parts:
 
@@ -136,7 +138,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
             for batch in rows:
                 found = [(i, *f) for i, t in enumerate(batch.column("text").to_pylist()) for f in ready.found(normalised(t))]
                 columns = [*zip(*found, strict=True)] or [[], [], [], []]
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(columns[0], pa.int64())), "item": list(columns[1]), "distance": pa.array(columns[2], pa.int32()), "ends_at": pa.array(columns[3], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(columns[0], pa.int64())), "item": pa.array(columns[1], item_type), "distance": pa.array(columns[2], pa.int32()), "ends_at": pa.array(columns[3], pa.int32())})
 
         found = texts.mapInArrow(batches, f"id {id_kind}, item {item_kind}, distance int, ends_at int")
         out = found if out is None else out.union(found)
