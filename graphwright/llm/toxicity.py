@@ -27,6 +27,8 @@ BLOCK = 1 << 20
 SAMPLE = 16_000
 HASH_BITS = 20
 STEMS = (3, 4, 5)
+#: The bias where there is nothing to learn from.
+NOTHING_LEARNED = -10.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered with their hashes, per worker; a table this full starts anew with the next batch.
 REMEMBERED = 300_000
@@ -125,6 +127,8 @@ def learn(sample: DataFrame, **how) -> tuple[np.ndarray, np.ndarray, float]:
             ids += batch.column("id").to_pylist()
             labels += batch.column("label").to_pylist()
             places += [p.values.to_numpy() for p in batch.column("places")]
+        if not ids:
+            return
         order = sorted(range(len(ids)), key=lambda i: ids[i])
         w, bias = ftrl([places[i] for i in order], np.array([labels[i] for i in order], float), **how)
         at = np.flatnonzero(w)
@@ -132,8 +136,8 @@ def learn(sample: DataFrame, **how) -> tuple[np.ndarray, np.ndarray, float]:
 
     kind = sample.schema["id"].dataType.simpleString()
     rows = sample.mapInArrow(made, f"id {kind}, label int, places array<int>").repartition(1).mapInArrow(learned, "place binary, weight binary, bias double").collect()
-    if not rows:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), -10.0
+    if not rows:  # no task had any
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), NOTHING_LEARNED
     return np.frombuffer(rows[0].place, "<i4"), np.frombuffer(rows[0].weight, "<f4"), rows[0].bias
 
 
