@@ -11,22 +11,22 @@ from graphwright.sources.scratch import drop, stored
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: bool = False, most: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(src, dst): distinct pairs joined by a path of one edge or more; of none too if `reflexive`.
 
-    Semi-naive: each round joins only the pairs found in the last one with the edges, and keeps what is new. Rounds are written to tables,
-    so that plans stay short and an executor's loss costs a round at most. `most` bounds the number of rounds (paths of at most
-    most + 1 edges). `nodes` (one column) adds nodes without edges to the zero-length pairs. Edges with a null end don't count.
+    Semi-naive: each round joins only the pairs found in the last one, with all known pairs, and keeps what is new. A shortest path is
+    a prefix as long as the longest found last and a rest that is known, so lengths double and rounds are logarithmic in the depth. `most` bounds
+    paths to most + 1 edges; then each round adds one edge. Rounds are written to tables, so that plans stay short and an executor's loss costs a
+    round at most. `nodes` (one column) adds nodes without edges to the zero-length pairs. Edges with a null end don't count.
     """
     step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
-    step = stored(step)
-    known, parts, delta, turn = step, [step], step, 0
-    onward = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    step = stored(step, release=False)
+    known, delta, turn = step, step, 0
     while most is None or turn < most:
         turn += 1
+        onward = (known if most is None else step).select(F.col("src").alias("dst"), F.col("dst").alias("next"))
         new = delta.join(onward, "dst").select("src", F.col("next").alias("dst")).distinct()
-        new = stored(new.join(known, ["src", "dst"], "left_anti"))
+        new = stored(new.join(known, ["src", "dst"], "left_anti"), release=False)
         if new.isEmpty():
             drop(new)
             break
-        parts.append(new)
         delta, known = new, known.union(new)
     if reflexive:
         ends = step.select("src").union(step.select("dst"))

@@ -38,8 +38,8 @@ def _delete_all() -> None:
             _open.pop(path, None)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table written now. Shuffles behind it, if nothing else needs them, go."""
+def stored(df: DataFrame, release: bool = True) -> DataFrame:
+    """The same rows, read from a table written now. With `release`, shuffles behind it that nothing else needs go at once, not when memory is next cleared."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/graphwright-{uuid.uuid4().hex}"
     _open[path] = spark
@@ -47,8 +47,9 @@ def stored(df: DataFrame) -> DataFrame:
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -144,12 +144,12 @@ def test_statistics(spark):
 
 
 def test_registry(spark):
-    packages = spark.createDataFrame([("marea/office",), ("marea/web",), ("other/office",), ("solo",)], "package_id string")
-    refs = spark.createDataFrame([("marea/office",), ("marea",), ("office",), ("marea/office/xlsx",), ("solo",)], "ref string")
+    packages = spark.createDataFrame([("acme/office",), ("acme/web",), ("other/office",), ("solo",)], "package_id string")
+    refs = spark.createDataFrame([("acme/office",), ("acme",), ("office",), ("acme/office/xlsx",), ("solo",)], "ref string")
     got = {}
     for r in registry.resolve_packages(refs, packages).collect():
         got.setdefault(r.ref, set()).add((r.package_id, r.level, r.n))
-    assert got == {"marea/office": {("marea/office", 1, 1)}, "marea": {("marea/office", 2, 2), ("marea/web", 2, 2)}, "office": {("marea/office", 3, 2), ("other/office", 3, 2)}, "marea/office/xlsx": {("marea/office", 4, 1)}, "solo": {("solo", 1, 1)}}
+    assert got == {"acme/office": {("acme/office", 1, 1)}, "acme": {("acme/office", 2, 2), ("acme/web", 2, 2)}, "office": {("acme/office", 3, 2), ("other/office", 3, 2)}, "acme/office/xlsx": {("acme/office", 4, 1)}, "solo": {("solo", 1, 1)}}
     files = spark.createDataFrame([(1, "a", [1.0], ["x"]), (2, "a", [2.0], ["y", "x"]), (2, None, [1.0], [])], "file_ord int, intent string, embedding array<double>, skills array<string>")
     assert [tuple(r) for r in registry.merge_intents(files).collect()] == [("a", [1.0], ["x", "y"])]
 
