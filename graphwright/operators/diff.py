@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphwright.operators.triples import facts
-
 #: predicate: (category, change if removed, change if added)
 RULES = {
     "oc:resolvesIntent": ("intent", "breaking", "additive"),
@@ -17,34 +15,46 @@ RULES = {
 }
 
 
-def _skills(t: DataFrame) -> DataFrame:
-    return facts(t, "oc:resolvesIntent", "skill", "x").select("skill").distinct()
+INTENT = "oc:resolvesIntent"
+
+
+def _marked(old: DataFrame, new: DataFrame, *predicates: str) -> DataFrame:
+    """(skill, p, value, mask, has): mask is 1 for a fact of the old graph, 2 for one of the new, 3 for one of both; has is the same for the skill,
+    which is in a graph if it has an intent there. One shuffle, by skill, serves the aggregation and the window."""
+    wanted = {*predicates, INTENT}
+    side = lambda t, bit: t.where(F.col("p").isin(*wanted)).select(F.col("s").alias("skill"), "p", F.col("o").alias("value"), F.lit(bit).alias("side"))
+    facts = side(old, 1).union(side(new, 2)).repartition("skill").groupBy("skill", "p", "value").agg(F.bit_or("side").alias("mask"))
+    return facts.withColumn("has", F.bit_or(F.when(F.col("p") == INTENT, F.col("mask"))).over(Window.partitionBy("skill")))
+
+
+def _values(marked: DataFrame, *predicates: str) -> DataFrame:
+    category, lost, gained = (F.create_map(*[F.lit(x) for p, rule in RULES.items() for x in (p, rule[i])])[F.col("p")] for i in range(3))
+    rows = marked.where((F.col("has") == 3) & (F.col("mask") < 3) & F.col("p").isin(*predicates))
+    was = F.col("mask") == 1
+    return rows.select("skill", category.alias("category"), F.when(was, lost).otherwise(gained).alias("change_type"), F.when(was, "removed").otherwise("added").alias("action"), "value")
+
+
+def _whole(marked: DataFrame) -> DataFrame:
+    rows = marked.where("has < 3").select("skill", "has").distinct()
+    gone = F.col("has") == 1
+    return rows.select("skill", F.lit("skill").alias("category"), F.when(gone, "breaking").otherwise("additive").alias("change_type"), F.when(gone, "removed").otherwise("added").alias("action"), F.col("skill").alias("value"))
 
 
 def skill_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Skills (subjects with intents) that are gone, which breaks, and that are new."""
-    gone = _skills(old).join(_skills(new), "skill", "left_anti").select("skill", F.lit("skill").alias("category"), F.lit("breaking").alias("change_type"), F.lit("removed").alias("action"), F.col("skill").alias("value"))
-    came = _skills(new).join(_skills(old), "skill", "left_anti").select("skill", F.lit("skill").alias("category"), F.lit("additive").alias("change_type"), F.lit("added").alias("action"), F.col("skill").alias("value"))
-    return gone.union(came)
+    return _whole(_marked(old, new))
 
 
 def value_changes(old: DataFrame, new: DataFrame, *predicates: str) -> DataFrame:
-    """Values that skills of both graphs have lost or gained: one full outer join for all predicates."""
+    """Values that skills of both graphs have lost or gained, of some predicates or of all in RULES."""
     wanted = predicates or tuple(RULES)
-    both = _skills(old).join(_skills(new), "skill", "left_semi")
-
-    def values(t: DataFrame, side: str) -> DataFrame:
-        rows = t.where(F.col("p").isin(*wanted)).select(F.col("s").alias("skill"), "p", F.col("o").alias("value")).distinct()
-        return rows.join(both, "skill", "left_semi").withColumn(side, F.lit(True))
-
-    joined = values(old, "was").join(values(new, "is"), ["skill", "p", "value"], "full").where("was is null or is is null")
-    category, lost, gained = (F.create_map(*[F.lit(x) for p, rule in RULES.items() for x in (p, rule[i])])[F.col("p")] for i in range(3))
-    return joined.select("skill", category.alias("category"), F.when(F.col("is").isNull(), lost).otherwise(gained).alias("change_type"), F.when(F.col("is").isNull(), "removed").otherwise("added").alias("action"), "value")
+    return _values(_marked(old, new, *wanted), *wanted)
 
 
 def compute_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """All changes."""
-    return skill_changes(old, new).unionByName(value_changes(old, new))
+    marked = _marked(old, new, *RULES)
+    return _whole(marked).union(_values(marked, *RULES))
 
 
 def suggestions(changes: DataFrame) -> DataFrame:
