@@ -70,29 +70,59 @@ def fingerprint(text: Column, words: int = 3, seed: int = 42) -> Column:
     return F.arrow_udf(batches, "bigint")(text)
 
 
+def _segments(distance: int) -> list[tuple[int, int, int]]:
+    """(mask, lowest bit, highest bit) of each segment, the mask as a signed number."""
+    n = (distance + 2) // 2
+    edges = [BITS * i // n for i in range(n + 1)]
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    return [(signed(((1 << (hi - lo)) - 1) << lo), lo, hi - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def _signatures(prints: DataFrame, distance: int) -> DataFrame:
+    """The rows of `prints`, once for each bit, with `bit` and the `signature` that masks it within its segment of `fp`."""
+    segments = F.array(*[F.struct(F.lit(mask).alias("mask"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for mask, lo, hi in _segments(distance)])
+    cut = prints.select("*", F.explode(segments).alias("s")).select(*prints.columns, "s.*").select(*prints.columns, "mask", F.explode(F.sequence("low", "high")).alias("bit"))
+    one = F.expr("shiftleft(1L, bit)")
+    return cut.select(*prints.columns, F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.col("mask")).bitwiseAND(F.bitwise_not(one)).alias("signature"))
+
+
+def _first(differ: Column, distance: int) -> Column:
+    """The bit of the one signature that gives a pair: of the first segment with at most one differing bit, that bit or the segment's lowest."""
+    first = F.lit(None).cast("int")
+    for mask, lo, _ in reversed(_segments(distance)):
+        part = differ.bitwiseAND(F.lit(mask))
+        place = F.when(part == 0, F.lit(lo)).when(part < 0, F.lit(BITS - 1)).otherwise(F.bit_count(part - 1).cast("int"))
+        first = F.when(F.bit_count(part) <= 1, place).otherwise(first)
+    return first
+
+
 def links(prints: DataFrame, distance: int = 3, column: str = "fp") -> DataFrame:
     """(a, b), a < b: the distinct fingerprints of a bigint column that differ in 1 to `distance` bits.
 
     Fingerprints are made distinct first, so copies cost nothing. Null fingerprints link to nothing.
     """
-    n = (distance + 2) // 2
-    edges = [BITS * i // n for i in range(n + 1)]
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    segments = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(signed(m)).alias("mask"), F.lit(lo).alias("low"), F.lit(hi - 1).alias("high")) for i, (m, lo, hi) in enumerate(zip(masks, edges, edges[1:], strict=False))])
-    one = lambda bit: F.expr(f"shiftleft(1L, {bit})")
-    distinct = prints.select(F.col(column).alias("fp")).where(F.col(column).isNotNull()).distinct()
-    signed_fp = distinct.select("fp", F.explode(segments).alias("s")).select("fp", "s.*").select("fp", "segment", "mask", F.explode(F.sequence("low", "high")).alias("bit"))
-    index = signed_fp.select("fp", F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.col("mask")).bitwiseAND(F.bitwise_not(one("bit"))).alias("signature"))
+    index = _signatures(prints.select(F.col(column).alias("fp")).where(F.col(column).isNotNull()).distinct(), distance)
     left, right = (index.select(F.col("fp").alias(x), "bit", "signature") for x in "ab")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    # the one signature that gives the pair: of the first segment with at most one differing bit, that bit or the segment's lowest
-    first = F.lit(None).cast("int")
-    for mask, lo in reversed(list(zip(masks, edges, strict=False))):
-        part = differ.bitwiseAND(F.lit(signed(mask)))
-        place = F.when(part == 0, F.lit(lo)).when(part < 0, F.lit(BITS - 1)).otherwise(F.bit_count(part - 1).cast("int"))
-        first = F.when(F.bit_count(part) <= 1, place).otherwise(first)
-    found = left.join(right, ["bit", "signature"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (F.col("bit") == first))
+    found = left.join(right, ["bit", "signature"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (F.col("bit") == _first(differ, distance)))
+    return found.select("a", "b")
+
+
+def _to_pivots(prints: DataFrame, distance: int) -> DataFrame:
+    """(a, b): each node and the smallest one of a signature that it has too and is within `distance` of; so few links that they grow with the nodes."""
+    index = _signatures(prints, distance)
+    pivots = index.groupBy("bit", "signature").agg(F.min(F.struct("node", "fp")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bit", "signature", F.col("pivot.node").alias("b"), F.col("pivot.fp").alias("b_fp"))
+    differ = F.col("fp").bitwiseXOR(F.col("b_fp"))
+    found = index.join(pivots, ["bit", "signature"]).where((F.col("node") != F.col("b")) & (F.bit_count(differ) <= distance) & (F.col("bit") == _first(differ, distance)))
+    return found.select(F.col("node").alias("a"), "b")
+
+
+def _across(prints: DataFrame, distance: int) -> DataFrame:
+    """(a, b), a < b: nodes within `distance` of each other that no group (column `component`) has together yet."""
+    index = _signatures(prints, distance)
+    left, right = (index.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("component").alias(f"{x}_component"), "bit", "signature") for x in "ab")
+    differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+    found = left.join(right, ["bit", "signature"]).where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & (F.bit_count(differ) <= distance) & (F.col("bit") == _first(differ, distance)))
     return found.select("a", "b")
 
 
@@ -139,20 +169,22 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     texts = stored(rows.select("id", _several(F.col("text"), words, seed, prints).alias("fps")))
     distinct = stored(texts.groupBy("fps").agg(F.min("id").alias("node")))
     differing = sum((F.bit_count(F.col("a_fps")[k].bitwiseXOR(F.col("b_fps")[k])) for k in range(prints)), F.lit(0))
-    found = None
-    for k in range(prints):
-        own = distinct.select(F.col("fps")[k].alias("fp"), "node", "fps")
-        near = links(own, distance)
-        # texts that share this fingerprint, by way of the smallest of them
-        least = own.groupBy("fp").agg(F.min("node").alias("least"))
-        same = own.join(least, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        one, other = (own.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab")
-        pairs = near.join(one, "a").join(other, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).union(same)
-        found = pairs if found is None else found.union(pairs)
-    pairs = found.distinct()
-    for x in "ab":
-        pairs = pairs.join(distinct.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")), x)
-    groups = components(pairs.where(differing <= int(share * BITS * prints)))
-    gone = texts.join(distinct, "fps").join(groups, "node", "left").where(F.col("id") != F.coalesce("component", "node")).select(F.col("id").alias(id_column))
-    kept = texts.join(distinct, "fps").join(groups, "node", "left").where(F.col("id") == F.coalesce("component", "node")).select(F.col("id").alias(id_column))
-    return docs.join(gone.join(kept, id_column, "left_anti"), id_column, "left_anti").select(docs.columns)
+
+    def linked(nodes: DataFrame, find) -> DataFrame:
+        """The pairs found by any fingerprint that are alike in all of them."""
+        found = None
+        for k in range(prints):
+            pairs = find(nodes.withColumn("fp", F.col("fps")[k]).drop("fps"), distance)
+            found = pairs if found is None else found.union(pairs)
+        pairs = stored(found.distinct())
+        for x in "ab":
+            pairs = pairs.join(distinct.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")), x)
+        return stored(pairs.where(differing <= int(share * BITS * prints)).select("a", "b"))
+
+    # links to few texts first; then only those that join two groups, so that not all pairs of a large group are made
+    near = linked(distinct, _to_pivots)
+    groups = distinct.join(components(near), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = components(near.union(linked(stored(groups), _across)))
+    named = stored(texts.join(distinct, "fps").join(groups, "node", "left").select(F.col("id").alias(id_column), (F.col("id") == F.coalesce("component", "node")).alias("kept")))
+    gone = named.where("not kept").select(id_column).distinct().join(named.where("kept").select(id_column), id_column, "left_anti")
+    return docs.join(gone, id_column, "left_anti").select(docs.columns)
