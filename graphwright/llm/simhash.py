@@ -10,6 +10,7 @@ leave it, each from one signature.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm.components import components
-from graphwright.sources.scratch import stored
+from graphwright.sources.scratch import drop, stored
 
 BITS = 64
 #: A-Z to a-z, other bytes as they are.
@@ -172,14 +173,14 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     def linked(nodes: DataFrame, find) -> DataFrame:
         """The pairs found by any fingerprint that are alike in all of them."""
-        found = None
-        for k in range(prints):
-            pairs = find(nodes.withColumn("fp", F.col("fps")[k]).drop("fps"), distance)
-            found = pairs if found is None else found.union(pairs)
-        pairs = stored(found.distinct())
+        # one fingerprint's index at a time: its shuffles go before the next one's come
+        parts = [stored(find(nodes.withColumn("fp", F.col("fps")[k]).drop("fps"), distance)) for k in range(prints)]
+        pairs = reduce(DataFrame.union, parts).distinct()
         for x in "ab":
             pairs = pairs.join(distinct.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")), x)
-        return stored(pairs.where(differing <= int(share * BITS * prints)).select("a", "b"))
+        out = stored(pairs.where(differing <= int(share * BITS * prints)).select("a", "b"))
+        drop(*parts)
+        return out
 
     # links to few texts first; then only those that join two groups, so that not all pairs of a large group are made
     near = linked(distinct, _to_pivots)
