@@ -43,19 +43,22 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(texts: list[str | None], words: int, seed: int, prints: int = 1) -> np.ndarray:
-    """A row for each text, a column for each fingerprint: the first of the hashes, the others of mixtures of them."""
-    out = np.zeros((len(texts), prints), np.uint64)
-    for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, words, seed), np.uint64)
-        for k in range(prints if len(hashes) else 0):
-            if k:
-                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                hashes ^= hashes >> np.uint64(32)
-            out[i, k] = _majority(hashes)
+def _several(hashes: np.ndarray, prints: int) -> np.ndarray:
+    """Fingerprints of some hashes: the first of the hashes, the others of mixtures of them."""
+    out = np.zeros(prints, np.uint64)
+    for k in range(prints if len(hashes) else 0):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(32)
+        out[k] = _majority(hashes)
     return out
 
 
+def _fingerprints(texts: list[str | None], words: int, seed: int, prints: int = 1) -> np.ndarray:
+    """A row for each text, a column for each fingerprint of its shingles, repeats included."""
+    return np.array([_several(np.array(shingle_hashes(t, words, seed), np.uint64), prints) for t in texts], np.uint64).reshape(-1, prints)
+
+
 def fingerprint(text: Column, words: int = 3, seed: int = 42) -> Column:
     """The SimHash (bigint, to be read as 64 bits) of a text column's word shingles.
 
@@ -148,44 +151,80 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")
 
 
-def _several(text: Column, words: int, seed: int, prints: int) -> Column:
+def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets that aren't both empty."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)
+
+
+def _described(text: Column, words: int, seed: int, prints: int) -> Column:
+    """struct<node, n, fps>: XXH64 of a text's shingle set, the set's size and several fingerprints of it."""
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("fps", pa.list_(pa.int64()))])
+
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            yield pa.array(_fingerprints(column.to_pylist(), words, seed, prints).view(np.int64).tolist(), pa.list_(pa.int64()))
+            rows = []
+            for t in column:
+                hashes = shingle_set(t.as_py(), words, seed)
+                node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64)
+                rows.append({"node": int(node), "n": len(hashes), "fps": _several(hashes, prints).view(np.int64).tolist()})
+            yield pa.array(rows, kind)
 
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, "array<bigint>")(text)
+    return F.arrow_udf(batches, "node bigint, n bigint, fps array<bigint>")(text)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int, seed: int) -> DataFrame:
+    """(a, b): those pairs of nodes whose texts have a shingle similarity of `least` or more, counted exactly; `texts` has a text for each node."""
+
+    def batches(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for both in columns:
+            sets = (tuple(shingle_set(t.as_py(), words, seed) for t in ab) for ab in zip(*both, strict=True))
+            yield pa.array([similarity(x, y) >= least for x, y in sets], pa.bool_())
+
+    batches.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")), x)
+    return stored(pairs.where(F.arrow_udf(batches, "boolean")("a_text", "b_text")).select("a", "b"))
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, seed: int = 42, prints: int = 4, distance: int = 5, share: float = 0.14) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, seed: int = 42, prints: int = 4, distance: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its group of similar texts.
 
-    For similar texts one fingerprint is too coarse and the distance that its index can bear too
-    short, so each text has several: two texts are candidates if any fingerprint of the one is within `distance` bits of the other's, and
-    linked if at most `share` of the bits of all of them differ. On texts of a five-word shingle
-    similarity of 0.8 that is the share to be expected. Rows with a null id stay and take no part; so do null, empty and blank
+    Two texts are linked if the Jaccard similarity of their sets of shingles is at least `least`. Fingerprints only
+    propose pairs: each text has several of its distinct shingles, and two texts are compared if any fingerprint of the one is within
+    `distance` bits of the other's. Rows with a null id stay and take no part; so do null, empty and blank
     texts. Of rows with one id all stay or none.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike("[^ \t-\r]"))
-    texts = stored(rows.select("id", _several(F.col("text"), words, seed, prints).alias("fps")))
-    distinct = stored(texts.groupBy("fps").agg(F.min("id").alias("node")))
-    differing = sum((F.bit_count(F.col("a_fps")[k].bitwiseXOR(F.col("b_fps")[k])) for k in range(prints)), F.lit(0))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    described = stored(rows.select("id", "mark", _described(F.col("text"), words, seed, prints).alias("d")).select("id", "mark", "d.*"))
+    nodes = stored(described.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps")))
 
     def linked(nodes: DataFrame, find) -> DataFrame:
-        """The pairs found by any fingerprint that are alike in all of them."""
+        """The pairs found by any fingerprint that are alike."""
         # one fingerprint's index at a time: its shuffles go before the next one's come
-        parts = [stored(find(nodes.withColumn("fp", F.col("fps")[k]).drop("fps"), distance)) for k in range(prints)]
+        parts = [stored(find(nodes.withColumn("fp", F.col("fps")[k]).drop("fps", "first", "n"), distance)) for k in range(prints)]
         pairs = reduce(DataFrame.union, parts).distinct()
         for x in "ab":
-            pairs = pairs.join(distinct.select(F.col("node").alias(x), F.col("fps").alias(f"{x}_fps")), x)
-        out = stored(pairs.where(differing <= int(share * BITS * prints)).select("a", "b"))
-        drop(*parts)
-        return out
+            pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n")), x)
+        # sets of sizes further apart can't be alike
+        pairs = stored(pairs.where(F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= least).select("a", "b"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.*"), "node")
+        out = _alike(pairs, ends.join(rows, ["id", "mark"]).select("node", "text"), least, words, seed)
+        drop(*parts, pairs)
+        return out.distinct()
 
     # links to few texts first; then only those that join two groups, so that not all pairs of a large group are made
-    near = linked(distinct, _to_pivots)
-    groups = distinct.join(components(near), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    groups = components(near.union(linked(stored(groups), _across)))
-    named = stored(texts.join(distinct, "fps").join(groups, "node", "left").select(F.col("id").alias(id_column), (F.col("id") == F.coalesce("component", "node")).alias("kept")))
+    near = linked(nodes, _to_pivots)
+    groups = stored(nodes.join(components(near), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    groups = components(near.union(linked(groups, _across)))
+    named = described.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    named = stored(named.join(named.groupBy("component").agg(F.min("id").alias("smallest")), "component").select(F.col("id").alias(id_column), (F.col("id") == F.col("smallest")).alias("kept")))
     gone = named.where("not kept").select(id_column).distinct().join(named.where("kept").select(id_column), id_column, "left_anti")
     return docs.join(gone, id_column, "left_anti").select(docs.columns)

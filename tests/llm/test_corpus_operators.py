@@ -82,6 +82,14 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_shingles_not_by_bits(spark):
+    random.seed(4)
+    line = " ".join(f"notice{i}" for i in range(12))
+    texts = [" ".join([" ".join(f"w{random.randrange(10**6)}" for _ in range(200)), *[line] * 20]) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert simhash.keep_one(df).count() == 20
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 300 + i) for i in range(50)] + [(7, 7), (None, 1)]
