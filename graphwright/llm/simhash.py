@@ -1,16 +1,17 @@
-"""SimHash near-duplicates: fingerprints of word shingles and the groups that they link.
+"""SimHash near-duplicates: fingerprints of word shingles and the groups that they link; and groups of texts by exact shingle similarity.
 
 Candidates come from deletion-variant signatures. For a distance of d, a fingerprint is cut
 into ceil((d + 1) / 2) segments, so that two fingerprints within d have a segment that differs
 in one bit at most. Each segment is indexed once for each of its bits, with that bit
 masked; equal signatures are joined and verified in the join itself, so that only true links
 leave it, each from one signature.
+
+The pipeline's `keep_one` takes candidates from MinHash bands instead and compares their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,12 @@ from graphwright.sources.scratch import drop, stored
 BITS = 64
 #: A-Z to a-z, other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: MinHash bands and the minima in each, for `keep_one`; two texts of similarity s share a band with a chance of 1 - (1 - s**ROWS)**BANDS.
+BANDS, ROWS = 25, 5
+#: Bytes of texts and shingle sets that a task remembers.
+REMEMBERED = 1 << 25
+#: Odd multipliers; the products with one of them order hashes at random.
+ORDERS = np.random.default_rng(42).integers(2**64, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
@@ -43,22 +50,15 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _several(hashes: np.ndarray, prints: int) -> np.ndarray:
-    """Fingerprints of some hashes: the first of the hashes, the others of mixtures of them."""
-    out = np.zeros(prints, np.uint64)
-    for k in range(prints if len(hashes) else 0):
-        if k:
-            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            hashes ^= hashes >> np.uint64(32)
-        out[k] = _majority(hashes)
+def _fingerprints(texts: list[str | None], words: int, seed: int) -> np.ndarray:
+    """A row for each text, one column: the fingerprint of its shingles, repeats included."""
+    out = np.zeros((len(texts), 1), np.uint64)
+    for i, text in enumerate(texts):
+        if hashes := shingle_hashes(text, words, seed):
+            out[i] = _majority(np.array(hashes, np.uint64))
     return out
 
 
-def _fingerprints(texts: list[str | None], words: int, seed: int, prints: int = 1) -> np.ndarray:
-    """A row for each text, a column for each fingerprint of its shingles, repeats included."""
-    return np.array([_several(np.array(shingle_hashes(t, words, seed), np.uint64), prints) for t in texts], np.uint64).reshape(-1, prints)
-
-
 def fingerprint(text: Column, words: int = 3, seed: int = 42) -> Column:
     """The SimHash (bigint, to be read as 64 bits) of a text column's word shingles.
 
@@ -112,24 +112,6 @@ def links(prints: DataFrame, distance: int = 3, column: str = "fp") -> DataFrame
     return found.select("a", "b")
 
 
-def _to_pivots(prints: DataFrame, distance: int) -> DataFrame:
-    """(a, b): each node and the smallest one of a signature that it has too and is within `distance` of; so few links that they grow with the nodes."""
-    index = _signatures(prints, distance)
-    pivots = index.groupBy("bit", "signature").agg(F.min(F.struct("node", "fp")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bit", "signature", F.col("pivot.node").alias("b"), F.col("pivot.fp").alias("b_fp"))
-    differ = F.col("fp").bitwiseXOR(F.col("b_fp"))
-    found = index.join(pivots, ["bit", "signature"]).where((F.col("node") != F.col("b")) & (F.bit_count(differ) <= distance) & (F.col("bit") == _first(differ, distance)))
-    return found.select(F.col("node").alias("a"), "b")
-
-
-def _across(prints: DataFrame, distance: int) -> DataFrame:
-    """(a, b), a < b: nodes within `distance` of each other that no group (column `component`) has together yet."""
-    index = _signatures(prints, distance)
-    left, right = (index.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("component").alias(f"{x}_component"), "bit", "signature") for x in "ab")
-    differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-    found = left.join(right, ["bit", "signature"]).where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & (F.bit_count(differ) <= distance) & (F.col("bit") == _first(differ, distance)))
-    return found.select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
     """(id, fp, component_id) for each row: its fingerprint and the smallest id that its links reach, its own included.
 
@@ -162,30 +144,70 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def _described(text: Column, words: int, seed: int, prints: int) -> Column:
-    """struct<node, n, fps>: XXH64 of a text's shingle set, the set's size and several fingerprints of it."""
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("fps", pa.list_(pa.int64()))])
+def _minima(hashes: np.ndarray) -> np.ndarray:
+    """MinHash: the least of the hashes under each of BANDS * ROWS orders."""
+    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(out, np.multiply.outer(hashes[i : i + 1024], ORDERS).min(axis=0), out=out)
+    return out
+
+
+def _sketch(minima: np.ndarray) -> np.ndarray:
+    """Four 64-bit numbers: the last bit of each minimum in two of them, the last but one in the others."""
+    last = np.packbits(np.stack([minima & np.uint64(1), minima >> np.uint64(1) & np.uint64(1)]).astype(np.uint8), axis=1)
+    return np.pad(last, ((0, 0), (0, 16 - last.shape[1]))).view(np.int64).ravel()
+
+
+def _described(text: Column, words: int, seed: int) -> Column:
+    """struct<node, n, keys, sketch>: XXH64 of a text's shingle set, the set's size, a key for each MinHash band, and bits of the minima."""
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for column in texts:
             rows = []
             for t in column:
                 hashes = shingle_set(t.as_py(), words, seed)
-                node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64)
-                rows.append({"node": int(node), "n": len(hashes), "fps": _several(hashes, prints).view(np.int64).tolist()})
+                minima = _minima(hashes)
+                keys = [signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(minima.reshape(BANDS, ROWS))]
+                rows.append({"node": signed(xxhash.xxh64_intdigest(hashes.tobytes())), "n": len(hashes), "keys": keys, "sketch": _sketch(minima).tolist()})
             yield pa.array(rows, kind)
 
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, "node bigint, n bigint, fps array<bigint>")(text)
+    return F.arrow_udf(batches, "node bigint, n bigint, keys array<bigint>, sketch array<bigint>")(text)
+
+
+def _differing(a: str, b: str) -> Column:
+    """How many minima have other last bits in two sketches."""
+    x = [F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(4)]
+    return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
+
+
+def _most_differing(least: float) -> int:
+    """The number of minima that differ in their last two bits at a similarity of `least`, and 4.5 standard deviations more."""
+    n, p = BANDS * ROWS, 0.75 * (1 - least)
+    return int(n * p + 4.5 * (n * p * (1 - p)) ** 0.5)
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int, seed: int) -> DataFrame:
     """(a, b): those pairs of nodes whose texts have a shingle similarity of `least` or more, counted exactly; `texts` has a text for each node."""
 
     def batches(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        sets, held = {}, 0
+
+        def known(text: str) -> np.ndarray:
+            """Its shingle set, remembered for a while: texts of a large group come again and again."""
+            nonlocal held
+            if text not in sets:
+                if held > REMEMBERED:
+                    sets.clear()
+                    held = 0
+                sets[text] = shingle_set(text, words, seed)
+                held += sets[text].nbytes + 2 * len(text)
+            return sets[text]
+
         for both in columns:
-            sets = (tuple(shingle_set(t.as_py(), words, seed) for t in ab) for ab in zip(*both, strict=True))
-            yield pa.array([similarity(x, y) >= least for x, y in sets], pa.bool_())
+            yield pa.array([similarity(known(a.as_py()), known(b.as_py())) >= least for a, b in zip(*both, strict=True)], pa.bool_())
 
     batches.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     for x in "ab":
@@ -193,37 +215,39 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int, seed: i
     return stored(pairs.where(F.arrow_udf(batches, "boolean")("a_text", "b_text")).select("a", "b"))
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, seed: int = 42, prints: int = 4, distance: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its group of similar texts.
 
-    Two texts are linked if the Jaccard similarity of their sets of shingles is at least `least`. Fingerprints only
-    propose pairs: each text has several of its distinct shingles, and two texts are compared if any fingerprint of the one is within
-    `distance` bits of the other's. Rows with a null id stay and take no part; so do null, empty and blank
+    Two texts are linked if the Jaccard similarity of their sets of shingles is at least `least`. A SimHash of 64 bits can't
+    propose nearly all such pairs, so MinHash does: texts are compared if they share one of BANDS bands of ROWS minima, as 99.995 % of pairs of a
+    similarity of 0.8 do, and their sketches allow it, as about 99.998 % of those do. Rows with a null id stay and take no part; so do null, empty and blank
     texts. Of rows with one id all stay or none.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike("[^ \t-\r]"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    described = stored(rows.select("id", "mark", _described(F.col("text"), words, seed, prints).alias("d")).select("id", "mark", "d.*"))
-    nodes = stored(described.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps")))
-
-    def linked(nodes: DataFrame, find) -> DataFrame:
-        """The pairs found by any fingerprint that are alike."""
-        # one fingerprint's index at a time: its shuffles go before the next one's come
-        parts = [stored(find(nodes.withColumn("fp", F.col("fps")[k]).drop("fps", "first", "n"), distance)) for k in range(prints)]
-        pairs = reduce(DataFrame.union, parts).distinct()
-        for x in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n")), x)
-        # sets of sizes further apart can't be alike
-        pairs = stored(pairs.where(F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= least).select("a", "b"))
+    described = stored(rows.select("id", "mark", _described(F.col("text"), words, seed).alias("d")).select("id", "mark", "d.*"))
+    nodes = stored(described.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    index = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = index.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").select("key", "pivot")
+    shared = stored(index.join(buckets, "key"))
+    facts = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    # sets of sizes further apart can't be alike
+    likely = (F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= least) & (_differing("a_sketch", "b_sketch") <= _most_differing(least))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those pairs that are alike."""
+        pairs = stored(pairs.distinct())
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.*"), "node")
-        out = _alike(pairs, ends.join(rows, ["id", "mark"]).select("node", "text"), least, words, seed)
-        drop(*parts, pairs)
-        return out.distinct()
-
-    # links to few texts first; then only those that join two groups, so that not all pairs of a large group are made
-    near = linked(nodes, _to_pivots)
-    groups = stored(nodes.join(components(near), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    groups = components(near.union(linked(groups, _across)))
+        out = _alike(pairs, ends.join(rows, ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), least, words, seed)
+        drop(pairs)
+        return out
+
+    # links to a bucket's smallest text first; then only those that join two groups, so that not all pairs of a large group are made
+    near = linked(shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(facts("a"), "a").join(facts("b"), "b").where(likely).select("a", "b"))
+    groups = components(near)
+    placed = stored(shared.select("key", "node").join(groups, "node", "left").join(nodes.select("node", "n", "sketch"), "node").withColumn("component", F.coalesce("component", "node")))
+    left, right = (placed.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("component", "n", "sketch")]) for x in "ab")
+    groups = components(near.union(linked(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & likely).select("a", "b"))))
     named = described.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     named = stored(named.join(named.groupBy("component").agg(F.min("id").alias("smallest")), "component").select(F.col("id").alias(id_column), (F.col("id") == F.col("smallest")).alias("kept")))
     gone = named.where("not kept").select(id_column).distinct().join(named.where("kept").select(id_column), id_column, "left_anti")

@@ -90,6 +90,19 @@ def test_keep_one_goes_by_shingles_not_by_bits(spark):
     assert simhash.keep_one(df).count() == 20
 
 
+def test_keep_one_finds_pairs_near_its_limit(spark):
+    random.seed(8)
+    rows, want = [], set()
+    for i in range(200):
+        text = [f"w{random.randrange(10**6)}" for _ in range(300)]
+        end = text[: random.randint(264, 278)] + [f"x{random.randrange(10**6)}" for _ in range(35)]
+        x, y = ({" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, end))
+        want |= {2 * i} if len(x & y) / len(x | y) >= 0.8 else {2 * i, 2 * i + 1}
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(end))]
+    assert 220 < len(want) < 380
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()} == want
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 300 + i) for i in range(50)] + [(7, 7), (None, 1)]
