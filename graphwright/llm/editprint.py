@@ -14,6 +14,7 @@ texts of nearly the same length therefore sample the same steps.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,18 +191,22 @@ def compare(text: Column, next_text: Column) -> Column:
     return F.arrow_udf(batches, "fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")(text, next_text)
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, band_bits: int = 32, column: str = "fingerprint") -> DataFrame:
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int | None = None, band_bits: int = 16, column: str = "fingerprint") -> DataFrame:
     """(a, b, likeness), a < b: distinct fingerprints (binary) that are at least so alike and share a band.
 
-    A band is `band_bits` bits sampled at random. Fingerprints are made distinct before bands are joined, so copies
+    A band is `band_bits` bits sampled at random. Unless `bands` is given, there are so many that a pair at `least`
+    shares one with a chance of about 99.99 %. Fingerprints are made distinct before bands are joined, so copies
     add nothing; a pair leaves the join once, from its first shared band, and verified. Null fingerprints pair with nothing.
     """
+    if bands is None:
+        agree = ((1 + least) / 2) ** band_bits
+        bands = math.ceil(math.log(1e-4) / math.log1p(-agree)) if agree < 1 else 1
     random = np.random.default_rng(SEED + 1)
     places = np.stack([random.choice(SLOTS, band_bits, replace=False) for _ in range(bands)])
 
     def cut(column: pa.Array) -> pa.Array:
         bits = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS // 8), axis=1)
-        keys = np.stack([np.packbits(bits[:, p], axis=1).view(f">u{band_bits // 8}").ravel() if band_bits in (8, 16, 32, 64) else bits[:, p] @ (1 << np.arange(band_bits)) for p in places], axis=1)
+        keys = np.stack([np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view(f">u{band_bits // 8}").ravel() if band_bits in (8, 16, 32, 64) else bits[:, p] @ (1 << np.arange(band_bits)) for p in places], axis=1)
         return pa.array(keys.astype(np.int64).tolist(), pa.list_(pa.int64()))
 
     def measured(a: pa.Array, b: pa.Array) -> pa.Array:

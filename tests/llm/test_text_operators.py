@@ -214,6 +214,19 @@ def test_near_fingerprints(spark):
     assert editprint.near_pairs(df.limit(0)).count() == 0
 
 
+def test_near_fingerprints_at_the_limit(spark):
+    rng = np.random.default_rng(9)
+    bits = rng.integers(2, size=(300, editprint.SLOTS), dtype=np.uint8)
+    near = bits.copy()
+    for row in near:
+        row[rng.choice(editprint.SLOTS, 51, replace=False)] ^= 1
+    a, b = (np.packbits(x, axis=1) for x in (bits, near))
+    want = {frozenset((x.tobytes(), y.tobytes())) for x, y, n in zip(a, b, editprint.likeness(a, b), strict=True) if n >= 0.8}
+    df = spark.createDataFrame([(x.tobytes(),) for x in [*a, *b]], "fingerprint binary")
+    assert len(want) == 300
+    assert {frozenset((bytes(p.a), bytes(p.b))) for p in editprint.near_pairs(df).collect()} == want
+
+
 def test_op10_digests(spark):
     sf = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
