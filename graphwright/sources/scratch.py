@@ -15,9 +15,13 @@ _open: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own: for a local session a temporary one, else one in the warehouse, which a cluster shares."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), "graphwright-tables")
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return os.path.join(tempfile.gettempdir(), "graphwright-tables")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/graphwright-tables"
 
 
 def _delete(path: str) -> None:
@@ -38,8 +42,9 @@ def _delete_all() -> None:
             _open.pop(path, None)
 
 
-def stored(df: DataFrame, release: bool = True) -> DataFrame:
-    """The same rows, read from a table written now. With `release`, shuffles behind it that nothing else needs go at once, not when memory is next cleared."""
+def stored(df: DataFrame, release: bool = False) -> DataFrame:
+    """The same rows, read from a table written now. With `release`, large shuffles behind it that nothing else needs leave the disks at once, not
+    when the driver's memory is next cleared."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/graphwright-{uuid.uuid4().hex}"
     _open[path] = spark
