@@ -34,4 +34,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
     tops = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+    out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+    out.stored_at = pairs.stored_at  # for `drop`
+    return out

@@ -6,7 +6,8 @@ in one bit at most. Each segment is indexed once for each of its bits, with that
 masked; equal signatures are joined and verified in the join itself, so that only true links
 leave it, each from one signature.
 
-The pipeline's `keep_one` takes candidates from MinHash bands instead and compares their shingles.
+`keep_one`, for the pipeline, asks for a similarity of shingle sets. It takes candidates from SimHash signatures, adds those that 64 bits
+can't propose from MinHash bands, and verifies all of them on their shingles.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm.components import components
+from graphwright.llm.linking import linked_groups
 from graphwright.sources.scratch import drop, stored
 
 BITS = 64
@@ -27,10 +29,12 @@ BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: MinHash bands and the minima in each, for `keep_one`; two texts of similarity s share a band with a chance of 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 25, 5
+#: Minima of which a sketch keeps two bits each; a multiple of 64. The first BANDS * ROWS make the bands.
+MINIMA = 512
 #: Bytes of texts and shingle sets that a task remembers.
 REMEMBERED = 1 << 25
-#: Odd multipliers; the products with one of them order hashes at random.
-ORDERS = np.random.default_rng(42).integers(2**64, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Odd multipliers; the products with one of them order hashes at random, those with another mix a minimum's bits.
+ORDERS, MIXERS = np.random.default_rng(42).integers(2**32, size=(2, MINIMA), dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
@@ -103,7 +107,8 @@ def _first(differ: Column, distance: int) -> Column:
 def links(prints: DataFrame, distance: int = 3, column: str = "fp") -> DataFrame:
     """(a, b), a < b: the distinct fingerprints of a bigint column that differ in 1 to `distance` bits.
 
-    Fingerprints are made distinct first, so copies cost nothing. Null fingerprints link to nothing.
+    Fingerprints are made distinct first, so copies cost nothing, and one of them has links to at most the C(64, 1) + ... + C(64, distance)
+    values around it (43,744 for 3), whatever the input. Null fingerprints link to nothing.
     """
     index = _signatures(prints.select(F.col(column).alias("fp")).where(F.col(column).isNotNull()).distinct(), distance)
     left, right = (index.select(F.col("fp").alias(x), "bit", "signature") for x in "ab")
@@ -120,7 +125,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     `docs` aren't looked at. No rows give no rows.
     """
     prints = stored(docs.select(F.col(id_column).alias("id"), fingerprint(F.col(text_column), words, seed).alias("fp")))
-    groups = components(links(prints, distance))
+    linked = stored(links(prints, distance), release=True)
+    groups = components(linked)
+    drop(linked)
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -145,22 +152,24 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _minima(hashes: np.ndarray) -> np.ndarray:
-    """MinHash: the least of the hashes under each of BANDS * ROWS orders."""
-    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        np.minimum(out, np.multiply.outer(hashes[i : i + 1024], ORDERS).min(axis=0), out=out)
+    """MinHash: the least product of the hashes' upper halves with each of ORDERS, modulo 2**32."""
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    out, products = np.full(MINIMA, 2**32 - 1, np.uint32), np.empty((128, MINIMA), np.uint32)
+    for i in range(0, len(upper), 128):
+        some = upper[i : i + 128]
+        np.minimum(out, np.multiply(some[:, None], ORDERS, out=products[: len(some)]).min(axis=0), out=out)
     return out
 
 
 def _sketch(minima: np.ndarray) -> np.ndarray:
-    """Four 64-bit numbers: the last bit of each minimum in two of them, the last but one in the others."""
-    last = np.packbits(np.stack([minima & np.uint64(1), minima >> np.uint64(1) & np.uint64(1)]).astype(np.uint8), axis=1)
-    return np.pad(last, ((0, 0), (0, 16 - last.shape[1]))).view(np.int64).ravel()
+    """Two mixed bits of each minimum, as 64-bit numbers: first one bit of all of them, then the other."""
+    mixed = minima * MIXERS
+    return np.packbits(np.stack([mixed >> np.uint32(31), mixed >> np.uint32(30) & np.uint32(1)]).astype(np.uint8)).view(np.int64)
 
 
 def _described(text: Column, words: int, seed: int) -> Column:
-    """struct<node, n, keys, sketch>: XXH64 of a text's shingle set, the set's size, a key for each MinHash band, and bits of the minima."""
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """struct<node, n, fp, keys, sketch>: XXH64 of a text's shingle set, the set's size and SimHash, a key for each MinHash band, and bits of the minima."""
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -169,24 +178,27 @@ def _described(text: Column, words: int, seed: int) -> Column:
             for t in column:
                 hashes = shingle_set(t.as_py(), words, seed)
                 minima = _minima(hashes)
-                keys = [signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(minima.reshape(BANDS, ROWS))]
-                rows.append({"node": signed(xxhash.xxh64_intdigest(hashes.tobytes())), "n": len(hashes), "keys": keys, "sketch": _sketch(minima).tolist()})
+                keys = [signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(minima[: BANDS * ROWS].reshape(BANDS, ROWS))]
+                rows.append({"node": signed(xxhash.xxh64_intdigest(hashes.tobytes())), "n": len(hashes), "fp": signed(_majority(hashes)), "keys": keys, "sketch": _sketch(minima)})
             yield pa.array(rows, kind)
 
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, "node bigint, n bigint, keys array<bigint>, sketch array<bigint>")(text)
+    return F.arrow_udf(batches, "node bigint, n bigint, fp bigint, keys array<bigint>, sketch array<bigint>")(text)
 
 
-def _differing(a: str, b: str) -> Column:
-    """How many minima have other last bits in two sketches."""
-    x = [F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(4)]
-    return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
+def _likely(least: float):
+    """A test of sizes and sketches that pairs of a similarity of `least` pass: sets of sizes further apart can't be alike, and of
+    the sketches' places as many differ as are to be expected and 4.3 standard deviations more."""
+    p = 0.75 * (1 - least)
+    most, half = int(MINIMA * p + 4.3 * (MINIMA * p * (1 - p)) ** 0.5), MINIMA // 64
 
+    def likely(a: str, b: str) -> Column:
+        other = [F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i]) for i in range(2 * half)]
+        differing = sum((F.bit_count(other[i].bitwiseOR(other[half + i])) for i in range(half)), F.lit(0))
+        n = [F.col(f"{x}_n") for x in (a, b)]
+        return (F.least(*n) >= least * F.greatest(*n)) & (differing <= most)
 
-def _most_differing(least: float) -> int:
-    """The number of minima that differ in their last two bits at a similarity of `least`, and 4.5 standard deviations more."""
-    n, p = BANDS * ROWS, 0.75 * (1 - least)
-    return int(n * p + 4.5 * (n * p * (1 - p)) ** 0.5)
+    return likely
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int, seed: int) -> DataFrame:
@@ -212,43 +224,36 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int, seed: i
     batches.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")), x)
-    return stored(pairs.where(F.arrow_udf(batches, "boolean")("a_text", "b_text")).select("a", "b"))
+    return stored(pairs.where(F.arrow_udf(batches, "boolean")("a_text", "b_text")).select("a", "b"), release=True)
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, seed: int = 42, least: float = 0.8, distance: int = 3) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its group of similar texts.
 
-    Two texts are linked if the Jaccard similarity of their sets of shingles is at least `least`. A SimHash of 64 bits can't
-    propose nearly all such pairs, so MinHash does: texts are compared if they share one of BANDS bands of ROWS minima, as 99.995 % of pairs of a
-    similarity of 0.8 do, and their sketches allow it, as about 99.998 % of those do. Rows with a null id stay and take no part; so do null, empty and blank
+    Two texts are linked if the Jaccard similarity of their sets of shingles is at least `least`. Candidates are texts whose SimHashes, over distinct shingles,
+    `links` finds within `distance` bits. A similarity of 0.8 leaves some 10 of 64 bits different, which no index of signatures
+    reaches, so MinHash proposes the rest: texts that share one of BANDS bands of ROWS minima, as 99.995 % of pairs of a
+    similarity of 0.8 do, and whose sketches allow it, as about 99.998 % of those do. Rows with a null id stay and take no part; so do null, empty and blank
     texts. Of rows with one id all stay or none.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike("[^ \t-\r]"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     described = stored(rows.select("id", "mark", _described(F.col("text"), words, seed).alias("d")).select("id", "mark", "d.*"))
-    nodes = stored(described.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    index = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = index.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").select("key", "pivot")
-    shared = stored(index.join(buckets, "key"))
-    facts = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    # sets of sizes further apart can't be alike
-    likely = (F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= least) & (_differing("a_sketch", "b_sketch") <= _most_differing(least))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those pairs that are alike."""
-        pairs = stored(pairs.distinct())
+    nodes = stored(described.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")]))
+    members = described.select("id", "node")
+    # of the nodes of one fingerprint, all are compared with the smallest, and so are the smallest of linked fingerprints
+    tops = nodes.groupBy("fp").agg(F.min("node").alias("top"))
+    near = links(nodes, distance)
+    near = near.join(tops.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(tops.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = near.union(nodes.join(tops, "fp").where("node != top").select(F.col("node").alias("a"), F.col("top").alias("b")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.*"), "node")
-        out = _alike(pairs, ends.join(rows, ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), least, words, seed)
-        drop(pairs)
-        return out
-
-    # links to a bucket's smallest text first; then only those that join two groups, so that not all pairs of a large group are made
-    near = linked(shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(facts("a"), "a").join(facts("b"), "b").where(likely).select("a", "b"))
-    groups = components(near)
-    placed = stored(shared.select("key", "node").join(groups, "node", "left").join(nodes.select("node", "n", "sketch"), "node").withColumn("component", F.coalesce("component", "node")))
-    left, right = (placed.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("component", "n", "sketch")]) for x in "ab")
-    groups = components(near.union(linked(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & likely).select("a", "b"))))
-    named = described.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-    named = stored(named.join(named.groupBy("component").agg(F.min("id").alias("smallest")), "component").select(F.col("id").alias(id_column), (F.col("id") == F.col("smallest")).alias("kept")))
+        return _alike(pairs, ends.join(rows, ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), least, words, seed)
+
+    groups = linked_groups(nodes.select("node", "n", "sketch", "keys"), ["n", "sketch"], _likely(least), verified, near)
+    named = members.join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    named = stored(named.join(named.groupBy("component").agg(F.min("id").alias("smallest")), "component").select(F.col("id").alias(id_column), (F.col("id") == F.col("smallest")).alias("kept")), release=True)
+    drop(described, nodes, groups)
     gone = named.where("not kept").select(id_column).distinct().join(named.where("kept").select(id_column), id_column, "left_anti")
     return docs.join(gone, id_column, "left_anti").select(docs.columns)

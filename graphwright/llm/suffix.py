@@ -221,28 +221,28 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     """
     keys = ["k1", "k2"]
     # round 1: anchors
-    anchors = stored(_map_texts(texts, length, False).groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"))
-    runs = stored(_map_texts(texts, length, True).join(anchors, "anchor", "left_semi"))
+    anchors = stored(_map_texts(texts, length, False).groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"), release=True)
+    runs = stored(_map_texts(texts, length, True).join(anchors, "anchor", "left_semi"), release=True)
     drop(anchors)
     # round 2: stretches
-    classes = stored(runs.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min(F.struct(*keys, "place")).alias("one")))
-    settled = stored(runs.join(classes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").groupBy(*keys).agg(F.collect_set("place").alias("places")))
+    classes = stored(runs.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min(F.struct(*keys, "place")).alias("one")), release=True)
+    settled = stored(runs.join(classes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").groupBy(*keys).agg(F.collect_set("place").alias("places")), release=True)
     drop(runs)
     # round 3: pieces of runs whose anchor has several stretches
     mixed = stored(classes.groupBy("anchor").agg(F.sum("weight").alias("forms")).where("forms > 1").select("anchor"))
     todo = classes.join(mixed, "anchor", "left_semi").select("one.*", (F.col("n") == 1).alias("single"))
-    pieces = stored(_map_todo(texts, todo, length, True))
+    pieces = stored(_map_todo(texts, todo, length, True), release=True)
     drop(classes, mixed)
-    forms = stored(pieces.groupBy("c1", "c2", "form").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct(*keys, "place")).alias("one")))
+    forms = stored(pieces.groupBy("c1", "c2", "form").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct(*keys, "place")).alias("one")), release=True)
     whole = pieces.where("single").join(forms.where("n > 1 and single").select("c1", "c2", "form"), ["c1", "c2", "form"], "left_semi").select(*keys, "place")
     # round 4: single starts of pieces whose core has several forms, one of them not settled
     mixed = stored(forms.groupBy("c1", "c2").agg(F.count("*").alias("forms"), F.max(F.col("single") & (F.col("n") == 1)).alias("open")).where("forms > 1 and open").select("c1", "c2"))
     todo = forms.join(mixed, ["c1", "c2"], "left_semi").select("one.*", (F.col("single") & (F.col("n") == 1)).alias("single"))
-    starts = stored(_map_todo(texts, todo, length, False))
+    starts = stored(_map_todo(texts, todo, length, False), release=True)
     again = stored(starts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("single").alias("single")).where("n > 1 and single").select("h1", "h2"))
     found = starts.where("single").join(again, ["h1", "h2"], "left_semi").select(*keys, "place")
     every = settled.withColumn("place", F.explode("places")).select(*keys, "place").union(whole).union(found)
-    out = stored(every.groupBy(*keys).agg(F.collect_set("place").alias("places")))
+    out = stored(every.groupBy(*keys).agg(F.collect_set("place").alias("places")), release=True)
     drop(settled, pieces, forms, mixed, starts, again)
     return out
 
