@@ -26,7 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Pre-tokens remembered per worker; a full table becomes the older one of two.
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 150_000
 #: Bits of an identifier in the key of a pair.
 PAIR = 20
 #: Longer pre-tokens are merged each time they occur.
