@@ -1,6 +1,6 @@
 """A toxicity classifier: FTRL-proximal logistic regression over hashed words, word pairs and skip-pairs.
 
-Features are the words of a text, the stems of its longer words (their first 3, 4 and 5 letters), pairs of
+Features are the words of a text, the stems of its longer words (their first 4 to 8 letters), pairs of
 neighbouring words and pairs with one word between them, each hashed to a place below
 2**HASH_BITS and counted once a text. Per-coordinate rates and L1 keep few weights above zero;
 they are one compact row, at most 2**HASH_BITS weights, sent with the scoring function.
@@ -26,7 +26,7 @@ BLOCK = 1 << 20
 #: Labelled documents to learn from, at most.
 SAMPLE = 16_000
 HASH_BITS = 20
-STEMS = (3, 4, 5)
+STEMS = (4, 5, 6, 7, 8)
 #: The bias where there is nothing to learn from.
 NOTHING_LEARNED = -10.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -82,7 +82,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
     """Dense weights, mostly zero, and the bias. rows: distinct places of each text. Rows are taken in a fixed shuffled order."""
     size = 1 << HASH_BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last place is the bias, which has no L1
