@@ -3,12 +3,12 @@
 Two texts walk through the same random choices: at each step a text shows its present character
 and goes on to the next one if the choice for this step and character says so. Few edits then
 leave most steps alike, so edit distance becomes Hamming distance between what is shown. The
-fingerprint samples SLOTS steps and keeps a bit of each character shown. A slot's step
-depends on the text's length only, and is spread evenly over the walk: of a series of steps, shared by
+fingerprint samples SLOTS steps of each of WALKS independent walks, since one walk may lose its way for long after an edit, and keeps a bit of
+each character shown; two fingerprints are as alike as their most alike walks. A slot's step depends on the text's length only, and is spread evenly over the walk: of a series of steps, shared by
 all texts, in which each is a uniformly chosen fraction of the next, the last one within the length counts;
 texts of nearly the same length therefore sample the same steps.
 
-`near_pairs` finds alike fingerprints by bands of sampled bits and verifies them.
+`near_groups` finds alike fingerprints by bands of sampled bits and verifies them.
 """
 
 from __future__ import annotations
@@ -24,13 +24,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.llm.blocks import blocks, spans
+from graphwright.llm.linking import linked_groups
+from graphwright.sources.scratch import drop, stored
 
+WALKS = 2
+#: Sampled steps of a walk, one bit each; a multiple of 64.
 SLOTS = 512
 SEED = 20160619
 #: Expected steps for a character.
 PACE = 2
 #: Steps between looks at which walks have ended, and steps of choices made together.
 STRIDE = 256
+#: Bits of a band: so many that unlike texts hardly ever share one, in a billion too.
+BAND_BITS = 32
 #: Characters that walk together, or one text if that is longer; it bounds memory at some bytes for each.
 BLOCK = 1 << 25
 #: Bytes of rows that are compared together; their edited texts come on top.
@@ -39,9 +45,9 @@ LAST = 1 << 40
 
 
 @functools.cache
-def _samples() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _samples(walk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by step: the step, its slot, the slot's next step; and a bit for each slot and character class."""
-    random = np.random.default_rng(SEED)
+    random = np.random.default_rng((SEED, walk))
     found: list[tuple[int, int, int]] = []
     for slot in range(SLOTS):
         step = 1
@@ -55,9 +61,9 @@ def _samples() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(1024)
-def _choices(stride: int) -> np.ndarray:
+def _choices(walk: int, stride: int) -> np.ndarray:
     """Whether to go on, for each step of a stride and character class; never from the end, class 0."""
-    out = np.random.default_rng((SEED, stride)).integers(0, 2, (STRIDE, 256), np.uint8)
+    out = np.random.default_rng((SEED, walk, stride)).integers(0, 2, (STRIDE, 256), np.uint8)
     out[:, 0] = 0
     return out
 
@@ -72,15 +78,16 @@ def _classes(text: str) -> np.ndarray:
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """SLOTS bits, packed, for each text."""
-    out = np.zeros((len(texts), SLOTS // 8), np.uint8)
+    """WALKS * SLOTS bits, packed, for each text."""
+    out = np.zeros((len(texts), WALKS, SLOTS // 8), np.uint8)
     for lo, hi in blocks(texts, BLOCK):
-        out[lo:hi] = _walk(texts[lo:hi])
-    return out
+        for walk in range(WALKS):
+            out[lo:hi, walk] = _walk(texts[lo:hi], walk)
+    return out.reshape(len(texts), -1)
 
 
-def _walk(texts: list[str]) -> np.ndarray:
-    steps, slots, after, bits = _samples()
+def _walk(texts: list[str], walk: int) -> np.ndarray:
+    steps, slots, after, bits = _samples(walk)
     sizes = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-sizes, kind="stable")
     shown = np.zeros((SLOTS, len(texts)), np.uint8)  # longest text first; 0 where a walk has ended before
@@ -98,7 +105,7 @@ def _walk(texts: list[str]) -> np.ndarray:
             at, who = at[on], who[on]
         if not len(at):
             break
-        choices, reached = _choices(stride), reach[who]
+        choices, reached = _choices(walk, stride), reach[who]
         for step in range(stride * STRIDE + 1, (stride + 1) * STRIDE + 1):
             now = classes[at]
             while next_sample < len(steps) and steps[next_sample] == step:
@@ -114,21 +121,22 @@ def _walk(texts: list[str]) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """1 for equal fingerprints, 0 for those no more alike than chance makes them, from packed bits."""
-    return np.maximum(0.0, 1 - 2 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) / SLOTS)
+    """1 for equal fingerprints, 0 for those no more alike than chance makes them, from packed bits; that of the walk in which they are most alike."""
+    other = np.bitwise_count(a ^ b).reshape(len(a), WALKS, -1).sum(axis=2, dtype=np.int64).min(axis=1, initial=SLOTS)
+    return np.maximum(0.0, 1 - 2 * other / SLOTS)
 
 
-def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_together: int = 5_000, most: int = 10_000) -> DataFrame:
+def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_together: int = 5_000) -> DataFrame:
     """(id, text, next_text): the text of the next row in order of (id, text), after the last that of the first.
 
-    Null texts are empty; a null id comes first. Rows are dealt by ranges of ids of about `rows_together` rows,
-    at most `most` ranges; ids are numbers. Each range also gets the first row of the range that follows. What goes to the driver
-    is the bounds and first ids of ranges.
+    Null texts are empty; null ids come first and make one range. Rows are dealt by ranges of ids of about `rows_together` rows; ids are numbers.
+    Each range also gets the first row of the range that follows. What goes to the driver is the bounds and first ids of ranges.
+    Rows with one id stand in one range. Other columns aren't looked at.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    ranges = int(min(most, -(-rows.count() // rows_together))) or 1
+    ranges = -(-rows.count() // rows_together) or 1
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("id", shares, max(10_000, 10 * ranges)).alias("cuts")).first().cuts if shares else []
+    cuts = rows.agg(F.percentile_approx("id", shares, max(10_000, 2 * ranges)).alias("cuts")).first().cuts if shares else []
     bounds = np.array(sorted(set(cuts or [])))
 
     def dealt(column: pa.Array) -> pa.Array:
@@ -191,34 +199,44 @@ def compare(text: Column, next_text: Column) -> Column:
     return F.arrow_udf(batches, "fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")(text, next_text)
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int | None = None, band_bits: int = 16, column: str = "fingerprint") -> DataFrame:
-    """(a, b, likeness), a < b: distinct fingerprints (binary) that are at least so alike and share a band.
+def bands_for(least: float, miss: float, band_bits: int = BAND_BITS) -> int:
+    """So many bands that two fingerprints whose walks are `least` alike share none with a chance of `miss`."""
+    agree = ((1 + least) / 2) ** band_bits
+    return math.ceil(math.log(miss) / math.log1p(-agree)) if agree < 1 else 1
+
+
+def near_groups(prints: DataFrame, least: float = 0.9, miss: float = 0.01, id_column: str = "doc_id", column: str = "fingerprint") -> DataFrame:
+    """`prints` with a column group_id, which replaces one of its name: the smallest id that links between alike fingerprints (binary) reach, its own included.
 
-    A band is `band_bits` bits sampled at random. Unless `bands` is given, there are so many that a pair at `least`
-    shares one with a chance of about 99.99 %. Fingerprints are made distinct before bands are joined, so copies
-    add nothing; a pair leaves the join once, from its first shared band, and verified. Null fingerprints pair with nothing.
+    Two fingerprints are linked if their likeness is at least `least` and they share a band: BAND_BITS bits of one walk, sampled at random. There are so many
+    bands a walk that a pair at `least` is missed with a chance of `miss`, and one more alike less often. Fingerprints are made distinct before
+    bands are joined, and named by 64-bit hashes, so copies add nothing; candidates are verified by their bits within the join. Null fingerprints link
+    to nothing and have no group; null ids are never smallest. No rows give no rows.
     """
-    if bands is None:
-        agree = ((1 + least) / 2) ** band_bits
-        bands = math.ceil(math.log(1e-4) / math.log1p(-agree)) if agree < 1 else 1
     random = np.random.default_rng(SEED + 1)
-    places = np.stack([random.choice(SLOTS, band_bits, replace=False) for _ in range(bands)])
+    places = np.stack([walk * SLOTS + random.choice(SLOTS, BAND_BITS, replace=False) for walk in range(WALKS) for _ in range(bands_for(least, miss))])
+    weights = np.uint64(1) << np.arange(BAND_BITS, dtype=np.uint64)
+    kind = pa.struct([("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def cut(column: pa.Array) -> pa.Array:
-        bits = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS // 8), axis=1)
-        keys = np.stack([np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view(f">u{band_bits // 8}").ravel() if band_bits in (8, 16, 32, 64) else bits[:, p] @ (1 << np.arange(band_bits)) for p in places], axis=1)
-        return pa.array(keys.astype(np.int64).tolist(), pa.list_(pa.int64()))
+        packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WALKS * SLOTS // 8)
+        bits = np.unpackbits(packed, axis=1)
+        keys = np.stack([bits[:, p] @ weights | np.uint64(band << BAND_BITS) for band, p in enumerate(places)], axis=1).astype(np.int64)
+        lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (packed.view(np.int64), keys)]
+        return pa.StructArray.from_arrays(lists, fields=list(kind))
 
-    def measured(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SLOTS // 8) for c in (a, b))
-        return pa.array(likeness(x, y))
+    def alike(a: str, b: str) -> Column:
+        other = [F.bit_count(F.col(f"{a}_words")[i].bitwiseXOR(F.col(f"{b}_words")[i])) for i in range(WALKS * SLOTS // 64)]
+        walks = [sum(other[w * SLOTS // 64 : (w + 1) * SLOTS // 64], F.lit(0)) for w in range(WALKS)]
+        return F.least(*walks) <= int((1 - least) / 2 * SLOTS + 1e-9)
 
     cut.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    measured.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    distinct = prints.select(F.col(column).alias("print")).where(F.col(column).isNotNull()).distinct()
-    keyed = distinct.select("print", F.arrow_udf(cut, "array<bigint>")("print").alias("keys"))
-    banded = keyed.select("print", "keys", F.posexplode("keys").alias("band", "key"))
-    left, right = (banded.select(F.col("print").alias(x), F.col("keys").alias(f"{x}_keys"), "band", "key") for x in "ab")
-    shared = F.array_position(F.zip_with("a_keys", "b_keys", lambda x, y: x == y), True) - 1
-    pairs = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (shared == F.col("band"))).select("a", "b")
-    return pairs.withColumn("likeness", F.arrow_udf(measured, "double")("a", "b")).where(F.col("likeness") >= least)
+    kept = [F.col(f"`{c}`") for c in prints.columns if c != "group_id"]
+    rows = prints.select(F.struct(*kept).alias("row"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{column}`").alias("print"))
+    rows = rows.withColumn("node", F.when(F.col("print").isNotNull(), F.xxhash64("print")))
+    distinct = rows.where("print is not null").groupBy("node").agg(F.first("print").alias("print"))
+    nodes = stored(distinct.select("node", F.arrow_udf(cut, "words array<bigint>, keys array<bigint>")("print").alias("c")).select("node", "c.*"))
+    groups = linked_groups(nodes, ["words"], alike)
+    drop(nodes)
+    named = rows.join(groups, "node", "left").select("row", "id", F.coalesce("component", "node").alias("component"))
+    return named.join(named.groupBy("component").agg(F.min("id").alias("group_id")), "component", "left").select("row.*", "group_id")

@@ -19,13 +19,21 @@ from graphwright.sources.scratch import drop, stored
 TOGETHER = 512
 
 
-def linked_groups(nodes: DataFrame, facts: list[str], likely: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
+def linked_groups(nodes: DataFrame, facts: list[str], likely: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node that links reach, for each node with links.
 
     nodes: (node, keys array<bigint>, facts...), a row for each node; nodes with a key in common at any place are candidates. likely(a, b)
     is a test of the columns a_<fact> and b_<fact> that no linked pair fails; verified takes pairs (a, b) to those that are
-    linked, as a stored table. `more` are further candidates (a, b). Nodes without keys link through `more` only.
+    linked, as a stored table; without it the test decides. `more` are further candidates (a, b). Nodes without keys link through `more` only.
     """
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        if verified is None:
+            return pairs
+        out = verified(pairs)
+        drop(pairs)
+        return out
+
     index = nodes.select("node", F.explode("keys").alias("key"))
     shared = stored(index.join(index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), release=True)
     degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
@@ -36,9 +44,7 @@ def linked_groups(nodes: DataFrame, facts: list[str], likely: Callable[[str, str
 
     star = shared.join(pivots, "key").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     star = star.join(of("a"), "a").join(of("b"), "b").where(likely("a", "b")).select("a", "b")
-    pairs = stored((star if more is None else star.union(more)).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), release=True)
-    near = verified(pairs)
-    drop(pairs)
+    near = checked(stored((star if more is None else star.union(more)).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), release=True))
     groups = components(near)
     # rows outside the component of their bucket's pivot; buckets without any are done
     main = pivots.join(groups.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("main"))
@@ -54,9 +60,8 @@ def linked_groups(nodes: DataFrame, facts: list[str], likely: Callable[[str, str
     first = F.element_at("a_keys", F.array_position(F.zip_with("a_keys", "b_keys", lambda x, y: x == y), True).cast("int"))
     once = (F.col("a_component") != F.col("b_component")) & (~F.col("b_outside") | (F.col("a") < F.col("b")))
     cross = left.join(right, ["key", "salt"]).where(once & likely("a", "b") & (first == F.col("key")))
-    cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    far = verified(cross)
-    drop(rows, cross)
+    far = checked(stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    drop(rows)
     out = components(near.union(far))
     drop(near, far)
     return out

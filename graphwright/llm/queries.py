@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwright.llm import bpe, decontaminate, editprint, langid, licences, quality, sampling, simhash, suffix, toxicity
+from graphwright.sources.scratch import stored
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names the licences whose sentences every whole text has."""
-    found = licences.scan(documents(spark, sf_dir).select("doc_id", "text")).withColumn("n_sentences", F.size(licences.sentences(F.col("text"))).cast("long"))
-    return found.select("doc_id", "n_sentences", F.array_join("licence.sentence_ids", ",").alias("sentence_ids"), F.array_join("licence.licences", ",").alias("licences"))
+    found = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licence.sentence_ids", ",").alias("sentence_ids"), F.array_join("licence.licences", ",").alias("licences"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +74,9 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names the language of every whole text, by models counted outside the held-out fold."""
+    """Names the language of every whole text, by models counted outside the held-out fold. By contract only texts without letters are rejected."""
     docs, held = documents(spark, sf_dir), sampling.in_fold("doc_id", 4, 2)
-    found = docs.select("doc_id", held.alias("held_out"), langid.identify(F.col("text"), langid.learn(docs.where(~held))).alias("found"))
+    found = docs.select("doc_id", held.alias("held_out"), langid.identify(F.col("text"), langid.learn(docs.where(~held)), reject=False).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
@@ -87,12 +88,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints every whole text and its edited text, and compares them and the next document's."""
+    """Fingerprints every whole text and its edited text, compares them and the next document's, and names the group of documents with alike fingerprints."""
     both = editprint.with_next(documents(spark, sf_dir))
     changed = F.sha2(F.encode(editprint.edited_text(F.col("text"), F.col("next_text")), "UTF-8"), 256)
-    found = both.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), changed.alias("edited_sha256"), editprint.compare(F.col("text"), F.col("next_text")).alias("c"))
-    prints = [F.lower(F.hex(f"c.{c}")).alias(c) for c in ("fingerprint", "edited_fingerprint")]
-    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "c.near_edited", "c.near_next")
+    found = both.select("id", F.length("text").cast("long").alias("n_chars"), changed.alias("edited_sha256"), editprint.compare(F.col("text"), F.col("next_text")).alias("c"))
+    found = stored(found.select("id", "n_chars", "edited_sha256", "c.*"), release=True)
+    prints = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return editprint.near_groups(found, id_column="id").select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *prints, "near_edited", "near_next", "group_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

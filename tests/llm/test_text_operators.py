@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -53,12 +55,118 @@ def test_codec_columns_and_nulls(spark):
     assert df.limit(0).select(bpe.token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
-def test_licences_by_rules(spark):
-    mit = "\n".join(licences.SENTENCES["MIT"])
-    texts = [None, "", "Released under the MIT License.", "Intro. Licensed under the Apache License, Version 2.0.\nMore; this work is licensed under CC BY-NC 4.0.", mit, "\n".join(licences.SENTENCES["BSD-3-Clause"][:3]), "\n".join(licences.SENTENCES["BSD-3-Clause"]), "a mit license is not named so", "MIT"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("licence", F.lit("clash"))
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE_HEADER = """/*
+ * Copyright 2015 Some Company
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package some.where;
+"""
+GPL_HEADER = """# This file is part of Something.
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+GPL2_HEADER = GPL_HEADER.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2").replace("# ", "    ").replace("#", "")
+BSD_FILE = """Copyright (c) 1999, The Regents of Some University
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of Some University nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+BSD2_FILE = BSD_FILE.split("* Neither")[0].replace("* Redistributions of", "1. Redistributions of").replace("* Redistributions in", "2. Redistributions in")
+
+
+def test_licences_of_files_and_headers(spark):
+    want = [
+        (MIT_FILE, ["MIT"]),
+        (MIT_FILE.replace("\n", "\r\n"), ["MIT"]),
+        ("\n".join(f" // {x}" for x in MIT_FILE.split("\n")), ["MIT"]),
+        (APACHE_HEADER, ["Apache-2.0"]),
+        (GPL_HEADER, ["GPL-3.0"]),
+        (GPL2_HEADER, ["GPL-2.0"]),
+        (BSD_FILE, ["BSD-3-Clause"]),
+        (BSD2_FILE, ["BSD-2-Clause"]),
+        ("// SPDX-License-Identifier: MIT\nint main() {}\n", ["MIT"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-only */ int x;", ["GPL-2.0"]),
+        ("Name: x\nLicense: Apache-2.0\nAuthor: y", ["Apache-2.0"]),
+        (APACHE_HEADER + "\n\n" + MIT_FILE, ["Apache-2.0", "MIT"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        ("Permission is granted. The software is good. Under no licence at all.", []),
+        ("x " * 50_000 + "\n\n" + MIT_FILE, ["MIT"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id int, text string")
     got = {r.doc_id: list(r.licence.licences) for r in licences.scan(df).collect()}
-    assert got == {0: [], 1: [], 2: ["MIT"], 3: ["Apache-2.0", "CC-BY-NC-4.0"], 4: ["MIT"], 5: ["BSD-2-Clause"], 6: ["BSD-3-Clause"], 7: [], 8: []}
+    assert got == {i: w for i, (_, w) in enumerate(want)}
+
+
+def test_licences_by_rules(spark):
+    mit = licences.TEXTS["MIT"]
+    bsd = licences.TEXTS["BSD-3-Clause"].split("\n\n")
+    texts = [None, "", "Released under the MIT License.", "Intro. Licensed under the Apache License, Version 2.0.\nMore; this work is licensed under CC BY-NC 4.0.", mit, "\n\n".join(bsd[:3]), "\n\n".join(bsd), "a mit license is not named so", "MIT", mit, mit]
+    df = spark.createDataFrame([*enumerate(texts), (4, mit)], "doc_id int, text string").withColumn("licence", F.lit("clash"))
+    rows = licences.scan(df).collect()
+    got = {r.doc_id: list(r.licence.licences) for r in rows}
+    assert len(rows) == 12 and got == {0: [], 1: [], 2: ["MIT"], 3: ["Apache-2.0", "CC-BY-NC-4.0"], 4: ["MIT"], 5: ["BSD-2-Clause"], 6: ["BSD-3-Clause"], 7: [], 8: [], 9: ["MIT"], 10: ["MIT"]}
+    assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_licence_keywords_lose_nothing():
+    assert all(re.search(licences.KEYWORDS, sentence) for sentence in licences.tables()[0])
 
 
 def test_licences_need_no_python_on_executors(spark):
@@ -150,12 +258,65 @@ def test_languages(spark):
     assert len(rows) == 1000 and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.99
     docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "x", None)], "doc_id int, text string, lang string")
     models = langid.learn(docs)
-    tries = spark.createDataFrame([(1, "the dog"), (2, "die katze"), (3, None), (4, ""), (5, "12 !?"), (6, "𝒳😀"), (7, "漢字")], "doc_id int, text string")
-    got = {r.doc_id: r.f for r in tries.select("doc_id", langid.identify(F.col("text"), models).alias("f")).collect()}
-    assert (got[1].lang, got[2].lang) == ("en", "de") and [got[i].lang for i in (3, 4, 5)] == ["und"] * 3 and got[7].lang in ("en", "de")
+    tries = spark.createDataFrame([(1, "the dog"), (2, "die katze"), (3, None), (4, ""), (5, "12 !?"), (6, "𝒳😀"), (7, "漢字"), (1, "the dog"), (8, "the dog " * 50_000)], "doc_id int, text string").withColumn("lang", F.lit("clash")).withColumn("score", F.lit(9))
+    rows = tries.withColumn("f", langid.identify(F.col("text"), models, reject=False)).collect()
+    got = {r.doc_id: r.f for r in rows}
+    assert len(rows) == 9 and rows[0].lang == "clash" and (got[1].lang, got[2].lang, got[8].lang) == ("en", "de", "en") and [got[i].lang for i in (3, 4, 5)] == ["und"] * 3 and got[7].lang in ("en", "de")
     assert langid.learn(docs.limit(0)) is None
     assert tries.select(langid.identify(F.col("text"), None).alias("f")).first().f.lang == "und"
-    assert {r.f.lang for r in tries.select(langid.identify(F.col("text"), models, reject=1.1).alias("f")).collect()} == {"und"}
+    assert tries.limit(0).select(langid.identify(F.col("text"), models)).count() == 0
+
+
+def test_rejection_is_calibrated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = langid.learn(docs.where(~sampling.in_fold("doc_id", 4, 2)))
+    held = docs.where(sampling.in_fold("doc_id", 4, 2)).select("text", langid.identify(F.col("text"), models).alias("f")).collect()
+    letters = [r for r in held if any(c.isalpha() for c in r.text or "")]
+    assert sum(r.f.lang != "und" for r in letters) / len(letters) > 0.93
+    random.seed(7)
+    noise = ["".join(random.choice("qxzjvkw ") for _ in range(400)), "Быстрая коричневая лиса прыгает через ленивую собаку", "ὁ βίος βραχύς ἡ δὲ τέχνη μακρή", "漢字仮名交じり文"]
+    df = spark.createDataFrame([(t,) for t in noise], "text string")
+    assert {r.f.lang for r in df.select(langid.identify(F.col("text"), models).alias("f")).collect()} == {"und"}
+
+
+def brute_kneser_ney(texts):
+    """chance(context, letter) by the textbook, on lists of letters and word ends."""
+    rows = []
+    for word in " ".join(texts).split():
+        for i in range(len(word) + 1):
+            rows.append((tuple(word[max(i - 3, 0) : i]), word[i] if i < len(word) else ""))
+    full = lambda c: ("",) * (3 - len(c)) + c
+    top = Counter((full(c), x) for c, x in rows)
+
+    def level(k):
+        """Counts of contexts of k letters and the letter after them; below the top, of the different letters before."""
+        return top if k == 3 else Counter((c[1:], x) for c, x in level(k + 1))
+
+    def chance(context, letter, k=3):
+        if k < 0:
+            return 2.0**-langid.BITS
+        counts = level(k)
+        after = {x: n for (c, x), n in counts.items() if c == context}
+        low = chance(context[1:], letter, k - 1)
+        if not after:
+            return low
+        total = sum(after.values())
+        return max(after.get(letter, 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(after) / total * low
+
+    return chance, full
+
+
+def test_language_models_are_brute_forces():
+    texts = ["the cat and the dog", "an apple there", "thé ñandú жизнь"]
+    owner, gram = langid.grams(texts)
+    keys, n = np.unique(gram, return_counts=True)
+    models = langid.build({"en": (keys, n)})
+    chance, full = brute_kneser_ney(texts)
+    for context, letter in [("", "t"), ("t", "h"), ("th", "e"), ("the", ""), ("the", "r"), ("the", "z"), ("qqq", "q"), ("an", "d"), ("жиз", "н"), ("é", "a")]:
+        number = 0
+        for c in [*full(tuple(context)), letter]:
+            number = number << langid.BITS | (ord(c) if c else 0)
+        assert np.isclose(models.chance(4, np.array([number], np.uint64))[0, 0], chance(full(tuple(context)), letter)), (context, letter)
 
 
 def test_language_models_are_distributions():
@@ -163,8 +324,9 @@ def test_language_models_are_distributions():
     owner, gram = langid.grams(texts)
     keys, n = np.unique(gram, return_counts=True)
     models = langid.build({"en": (keys, n)})
-    for context in (0, 5, 20 * 48 + 8, (20 * 48 + 8) * 48 + 5):
-        assert np.isclose(models.chance(4, np.arange(48) + context * 48).sum(), 1)
+    t, h, e = (ord(c) for c in "the")
+    for context in (0, e, t << 16 | h, (t << 16 | h) << 16 | e):
+        assert np.isclose(models.chance(4, np.arange(1 << 16, dtype=np.uint64) | np.uint64(context << 16)).sum(), 1)
     assert len(owner) == sum(len(t.replace(" ", "")) + len(t.split()) for t in texts)
 
 
@@ -182,9 +344,9 @@ def test_edit_fingerprints(spark):
     assert editprint.with_next(df.limit(0)).count() == 0
 
 
-def walk(text):
+def walk(text, which):
     """The embedding of one text, step by step."""
-    steps, slots, after, bits = editprint._samples()
+    steps, slots, after, bits = editprint._samples(which)
     classes, reach, at = editprint._classes(text), max(editprint.PACE * len(text), 1), 0
     shown, wanted = np.zeros(editprint.SLOTS, np.uint8), {}
     for step, slot, end in zip(steps, slots, after, strict=True):
@@ -193,38 +355,73 @@ def walk(text):
     for step in range(1, reach + 1):
         c = int(classes[at]) if at < len(classes) else 0
         shown[wanted.get(step, [])] = c
-        at += int(editprint._choices((step - 1) // editprint.STRIDE)[(step - 1) % editprint.STRIDE][c])
+        at += int(editprint._choices(which, (step - 1) // editprint.STRIDE)[(step - 1) % editprint.STRIDE][c])
     return np.packbits(bits[np.arange(editprint.SLOTS), shown])
 
 
 def test_walks_together_are_walks_alone():
     random.seed(4)
     texts = ["", "a", "ab", "é中😀"] + ["".join(random.choice("abcdé ") for _ in range(random.randint(1, 900))) for _ in range(25)]
-    assert (editprint.fingerprints(texts) == np.stack([walk(t) for t in texts])).all()
+    assert (editprint.fingerprints(texts) == np.stack([np.concatenate([walk(t, w) for w in range(editprint.WALKS)]) for t in texts])).all()
+
+
+def brute_groups(prints, ids, least):
+    """The smallest id that links reach, by comparing all pairs; and the links."""
+    n = len(prints)
+    likely = np.stack([editprint.likeness(np.broadcast_to(p, prints.shape), prints) >= least for p in prints])
+    top = np.arange(n)
+    while True:
+        new = np.minimum(top, np.where(likely, top[None], n).min(axis=1))
+        new = new[new]
+        if (new == top).all():
+            return [min(ids[j] for j in np.flatnonzero(top == t)) for t in top], likely
+        top = new
 
 
-def test_near_fingerprints(spark):
+def test_near_groups_of_odd_tables(spark):
     random.seed(6)
     base = "".join(random.choice("abcdefgh ") for _ in range(1000))
     texts = [base, base[:990] + "changed at the end", base, "".join(random.choice("abcdefgh ") for _ in range(1000))]
-    prints = editprint.fingerprints(texts)
-    df = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)] + [(9, None)], "doc_id int, fingerprint binary")
-    pairs = editprint.near_pairs(df, least=0.8).collect()
-    assert {frozenset((bytes(p.a), bytes(p.b))) for p in pairs} == {frozenset((prints[0].tobytes(), prints[1].tobytes()))} and len(pairs) == 1
-    assert editprint.near_pairs(df.limit(0)).count() == 0
+    prints = [p.tobytes() for p in editprint.fingerprints(texts)]
+    rows = [(5, prints[0], 1), (3, prints[1], 2), (4, prints[2], 3), (1, prints[3], 4), (9, None, 5), (None, prints[0], 6), (5, prints[0], 7)]
+    df = spark.createDataFrame(rows, "doc_id int, fingerprint binary, group_id int").withColumn("node", F.lit(0))
+    got = editprint.near_groups(df)
+    assert got.columns == ["doc_id", "fingerprint", "node", "group_id"]
+    assert sorted(((r.doc_id, r.group_id) for r in got.collect()), key=str) == sorted([(5, 3), (3, 3), (4, 3), (1, 1), (9, None), (None, 3), (5, 3)], key=str)
+    assert editprint.near_groups(df.limit(0)).count() == 0
 
 
-def test_near_fingerprints_at_the_limit(spark):
+def test_near_groups_at_the_limit(spark):
     rng = np.random.default_rng(9)
-    bits = rng.integers(2, size=(300, editprint.SLOTS), dtype=np.uint8)
-    near = bits.copy()
-    for row in near:
-        row[rng.choice(editprint.SLOTS, 51, replace=False)] ^= 1
-    a, b = (np.packbits(x, axis=1) for x in (bits, near))
-    want = {frozenset((x.tobytes(), y.tobytes())) for x, y, n in zip(a, b, editprint.likeness(a, b), strict=True) if n >= 0.8}
-    df = spark.createDataFrame([(x.tobytes(),) for x in [*a, *b]], "fingerprint binary")
-    assert len(want) == 300
-    assert {frozenset((bytes(p.a), bytes(p.b))) for p in editprint.near_pairs(df).collect()} == want
+    bits = rng.integers(2, size=(400, editprint.WALKS, editprint.SLOTS), dtype=np.uint8)
+    near = rng.integers(2, size=bits.shape, dtype=np.uint8)
+    for x, y in zip(bits, near, strict=True):  # alike in one walk only, and just so
+        w = rng.integers(editprint.WALKS)
+        y[w] = x[w]
+        y[w, rng.choice(editprint.SLOTS, 25, replace=False)] ^= 1
+    packed = np.packbits(np.stack([bits, near], axis=1).reshape(800, -1), axis=1)
+    df = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(packed)], "doc_id int, fingerprint binary")
+    got = {r.doc_id: r.group_id for r in editprint.near_groups(df).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got) and sum(got[2 * i + 1] == 2 * i for i in range(400)) >= 0.97 * 400
+
+
+def test_near_groups_of_the_table(spark):
+    rows = sorted((r.doc_id, bytes.fromhex(r.fingerprint), r.group_id) for r in queries.op10_fingerprints(spark, "/root/testdata/sf0.01").collect())
+    prints = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+    want, likely = brute_groups(prints, [r[0] for r in rows], 0.9)
+    group = np.array([r[2] for r in rows])
+    pairs = np.argwhere(np.triu(likely, 1))
+    assert len(pairs) > 20 and (group[pairs[:, 0]] == group[pairs[:, 1]]).mean() >= 0.98
+    assert all(g >= w for g, w in zip(group, want, strict=True)) and np.mean(group == want) > 0.99
+
+
+def test_edits_leave_likeness():
+    random.seed(12)
+    texts = ["".join(random.choice("abcdefghij klmno") for _ in range(500)) for _ in range(150)]
+    edits = [t[:k] + random.choice(["", "x", "yz"]) + t[k + 1 :] for t in texts for k in [random.randrange(500)]]
+    near = editprint.likeness(editprint.fingerprints(texts), editprint.fingerprints(edits))
+    far = editprint.likeness(editprint.fingerprints(texts), editprint.fingerprints(edits[1:] + edits[:1]))
+    assert (near >= 0.8).mean() > 0.9 and far.max() < 0.4
 
 
 def test_op10_digests(spark):
