@@ -59,17 +59,20 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.pandas_udf(batches, "double")(a, b, c, d)
 
 
-def chi_square(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Yates-corrected chi-square of a 2 by 2 table; null if a margin is zero."""
-    n = a + b + c + d
-    gap = F.greatest(F.abs(a * d - b * c) - n / 2, F.lit(0.0))
-    return F.try_divide(n * gap * gap, (a + b) * (c + d) * (a + c) * (b + d))
+def chi_square(passed_a: Column, n_a: Column, passed_b: Column, n_b: Column) -> Column:
+    """The approximate chi-square of two shares, to 4 places: how far the first's passes are from those expected, less a half, squared, by
+    those expected but at least 0.01; null without trials."""
+    n = n_a + n_b
+    expected = F.try_divide(n_a * (passed_a + passed_b), n)
+    gap = F.abs(passed_a - expected) - 0.5
+    return F.round(gap * gap / F.greatest(expected, F.lit(0.01)), 4)
 
 
 def merge_first(results: DataFrame, key: str = "task_id", source: str = "dir_ord", tie: str | None = None) -> DataFrame:
-    """One row for each task: that of the first source."""
-    order = Window.partitionBy(key).orderBy(source, *([tie] if tie else []))
-    return results.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """One row for each task: that of the first source. An aggregation, so that a task with very many rows is reduced before its rows meet."""
+    others = [c for c in results.columns if c != key]
+    first = F.min_by(F.struct(*others), F.struct(source, *([tie] if tie else [])))
+    return results.groupBy(key).agg(first.alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in results.columns])
 
 
 def attempts(rows: DataFrame, task: str = "task_id", attempt: str = "attempt", reward: str = "reward", counted: str = "counted") -> DataFrame:
@@ -90,21 +93,103 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
 def percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean, extremes and nearest-rank percentiles: the value at places n*50 div 100 and n*99 div 100, from 0.
 
-    Places come from a window over each key, so that no group is gathered in an array.
+    Places are counted over distinct values, each with the number of its rows, which are added up before they meet; a value's first place is
+    the number of rows below it. What a key's task orders is its distinct values, not its rows.
     """
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * p / 100), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), at(50).alias("p50"), at(99).alias("p99"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_up_to", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    at = lambda p: F.max(F.when((F.floor(F.col("_n") * p / 100) < F.col("_up_to")) & (F.floor(F.col("_n") * p / 100) >= F.col("_up_to") - F.col("_c")), F.col(value)))
+    return ranked.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), at(50).alias("p50"), at(99).alias("p99"))
 
 
 def rate_limited(message: Column) -> Column:
     """Whether an error is one of rate limits, to be tried again."""
     low = F.lower(message)
-    return F.contains(low, F.lit("rate limit")) | F.contains(low, F.lit("429")) | F.contains(low, F.lit("too many requests"))
+    return F.contains(low, F.lit("rate limit")) | F.contains(low, F.lit("429")) | F.contains(low, F.lit("ratelimiterror")) | F.contains(low, F.lit("too many requests"))
 
 
 def knowledge_yield(nodes: DataFrame, dimensions: DataFrame, skills: int) -> DataFrame:
     """Nodes of each dimension, zero where there are none, and how many that is for a skill."""
     counts = nodes.groupBy("dimension").agg(F.count("*").alias("n"))
     return dimensions.join(counts, "dimension", "left").select("dimension", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / max(skills, 1)).alias("density"))
+
+
+def compare_agents(metrics: DataFrame, base: str, other: str, agent: str = "agent", bench: str = "bench") -> DataFrame:
+    """Per benchmark of either agent: difference of accuracy, percent fewer tokens, percent change of latency; null where an agent lacks the benchmark or the base is zero.
+
+    metrics: (agent, bench, accuracy, avg_total_tokens, avg_latency_ms).
+    """
+    side = lambda name, x: metrics.where(F.col(agent) == name).select(bench, *[F.col(c).cast("double").alias(f"{x}_{c}") for c in ("accuracy", "avg_total_tokens", "avg_latency_ms")])
+    rows = side(base, "a").join(side(other, "b"), bench, "full")
+    tokens = F.try_divide((F.col("a_avg_total_tokens") - F.col("b_avg_total_tokens")) * 100, F.col("a_avg_total_tokens"))
+    latency = F.try_divide((F.col("b_avg_latency_ms") - F.col("a_avg_latency_ms")) * 100, F.col("a_avg_latency_ms"))
+    return rows.select(bench, (F.col("b_accuracy") - F.col("a_accuracy")).alias("accuracy_delta"), tokens.alias("token_reduction_pct"), latency.alias("latency_delta_pct"))
+
+
+def overall(comparison: DataFrame) -> DataFrame:
+    """The plain means over benchmarks of `compare_agents`."""
+    return comparison.agg(F.avg("accuracy_delta").alias("accuracy_delta"), F.avg("token_reduction_pct").alias("token_reduction_pct"))
+
+
+def tool_counts(results: DataFrame, bench: str = "bench", tools: str = "tool_names") -> DataFrame:
+    """(bench, tool, n): how often each tool was used."""
+    return results.select(bench, F.explode(tools).alias("tool")).groupBy(bench, "tool").agg(F.count("*").alias("n"))
+
+
+def pair_tasks(a: DataFrame, b: DataFrame, task: str = "task_id") -> DataFrame:
+    """(task, reward and passed of both, class): tasks of either agent. A task in which both have no reward at all failed for want of
+    infrastructure; the rest tells of skill."""
+    side = lambda df, x: df.select(task, F.col("reward").cast("double").alias(f"{x}_reward"), F.col("passed").alias(f"{x}_passed"))
+    rows = side(a, "a").join(side(b, "b"), task, "full")
+    rows = rows.withColumns({f"{x}_{c}": F.coalesce(f"{x}_{c}", F.lit(none)) for x in "ab" for c, none in (("reward", 0.0), ("passed", False))})
+    return rows.withColumn("class", F.when((F.col("a_reward") == 0) & (F.col("b_reward") == 0), "infrastructure_failure").otherwise("skill_knowledge"))
+
+
+def chart_statistics(pairs: DataFrame) -> DataFrame:
+    """(scope, n, passed, rate and interval of both): over all tasks, and over those that tell of skill."""
+    rows = pairs.select(F.explode(F.when(F.col("class") == "skill_knowledge", F.array(F.lit("all"), F.lit("skill_only"))).otherwise(F.array(F.lit("all")))).alias("scope"), "a_passed", "b_passed")
+    out = rows.groupBy("scope").agg(F.count("*").alias("n"), F.count_if("a_passed").alias("a_n"), F.count_if("b_passed").alias("b_n"))
+    for x in "ab":
+        low, high = wilson(F.col(f"{x}_n"), F.col("n"))
+        out = out.withColumns({f"{x}_rate": F.round(F.col(f"{x}_n") / F.col("n"), 4), f"{x}_low": low, f"{x}_high": high})
+    return out
+
+
+def token_efficiency(base_tokens: Column, other_tokens: Column) -> Column:
+    """Percent fewer input tokens; null on a base of zero."""
+    return F.when(base_tokens > 0, (base_tokens - other_tokens) / base_tokens * 100)
+
+
+def case_summary(results: DataFrame, case: str = "case") -> DataFrame:
+    """(case, total, passed, avg_reward) by case: the best reward, else the reward, else none; sorted."""
+    reward = F.coalesce(*[F.col(c).cast("double") for c in ("best_reward", "reward") if c in results.columns], F.lit(0.0))
+    return results.groupBy(case).agg(F.count("*").alias("total"), F.count_if(reward >= 1).alias("passed"), F.avg(reward).alias("avg_reward")).orderBy(case)
+
+
+def coverage_summary(shares: DataFrame, target: float = 95.0) -> DataFrame:
+    """(n, avg, below, reached) of coverage shares (doc_id, share), each to one place: how many, their mean, how many are below the target, and whether the mean reaches it."""
+    share = F.round("share", 1)
+    return shares.agg(F.count("*").alias("n"), F.coalesce(F.avg(share), F.lit(0.0)).alias("avg"), F.count_if(share < target).alias("below")).withColumn("reached", F.col("avg") >= target)
+
+
+def report(comparison: DataFrame, tools: DataFrame | None = None) -> str:
+    """A comparison as Markdown; benchmarks are few, so their rows go to the driver."""
+    number = lambda v: "n/a" if v is None else f"{v:.2f}"
+    rows = comparison.orderBy("bench").collect()
+    lines = ["# Comparison", "", "| Benchmark | Accuracy delta | Token reduction % | Latency delta % |", "|---|---|---|---|"]
+    lines += [f"| {r.bench} | {number(r.accuracy_delta)} | {number(r.token_reduction_pct)} | {number(r.latency_delta_pct)} |" for r in rows]
+    mean = overall(comparison).first()
+    lines += ["", "## Overall", "", f"- Accuracy delta: {number(mean.accuracy_delta)}", f"- Token reduction: {number(mean.token_reduction_pct)} %"]
+    if tools is not None:
+        lines += ["", "## Tools", "", *(f"- {r.bench}: {r.tool} {r.n}" for r in tools.orderBy("bench", F.desc("n"), "tool").collect())]
+    return "\n".join(lines) + "\n"
+
+
+# Seconds to wait after each of some rate-limit errors in a row, and how many in a row end a run.
+BACKOFF, MOST_IN_A_ROW = (5, 10, 20, 60, 120), 5
+
+
+def backoff(errors: int) -> int | None:
+    """Seconds to wait after so many rate-limit errors in a row; None if the run is to end."""
+    return None if errors >= MOST_IN_A_ROW else BACKOFF[min(max(errors, 1), len(BACKOFF)) - 1]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.terms import compact, requirement_type, snake
-from graphwright.operators.closure import closure
+from graphwright.operators.closure import closure, reached
 from graphwright.operators.triples import as_long, facts, of_class, star
 
 #: Trust tiers in the order in which they are preferred, and their weights in searches. Fixed values.
@@ -33,11 +33,33 @@ SAFETY_NOTES = ("Payload execution is delegated to the calling agent.", "The MCP
 NO_PAYLOAD = ("Skill has no execution payload.",)
 
 
-def subclass_edges(spark) -> DataFrame:
-    """(sub, super): the fixed class tree, a small local table."""
+def class_tree() -> list[tuple[str, str]]:
+    """(sub, super) of the fixed class tree."""
     rows = [("ExecutableSkill", "Skill"), ("DeclarativeSkill", "Skill")]
     rows += [(d, "KnowledgeNode") for d in DIMENSIONS] + [(k, d) for d, kinds in DIMENSIONS.items() for k in kinds] + [(k, "KnowledgeNode") for k in OPERATIONAL]
-    return spark.createDataFrame([(f"oc:{a}", f"oc:{b}") for a, b in rows], "sub string, super string")
+    return [(f"oc:{a}", f"oc:{b}") for a, b in rows]
+
+
+def subclass_edges(spark) -> DataFrame:
+    """(sub, super): the fixed class tree, a small local table."""
+    return spark.createDataFrame(class_tree(), "sub string, super string")
+
+
+def superclasses(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """What each class of a class tree falls under, itself included, sorted. For trees as small as vocabularies are."""
+    up: dict[str, set[str]] = {}
+    for sub, sup in pairs:
+        up.setdefault(sub, {sub}).add(sup)
+        up.setdefault(sup, {sup})
+    grown = True
+    while grown:
+        grown = False
+        for above in up.values():
+            more = set().union(*(up[c] for c in above)) - above
+            if more:
+                above |= more
+                grown = True
+    return {c: sorted(above) for c, above in up.items()}
 
 
 def skills(t: DataFrame) -> DataFrame:
@@ -47,7 +69,7 @@ def skills(t: DataFrame) -> DataFrame:
     """
     wide = star(
         t,
-        ["dcterms:identifier", "oc:nature", "oc:hasCategory", "oc:inPackage", "oc:trustTier", "oc:isUserInvocable", "oc:version"],
+        ["dcterms:identifier", "oc:nature", "oc:hasCategory", "oc:inPackage", "oc:trustTier", "oc:isUserInvocable", "oc:version", "skos:broader", "oc:differentia"],
         ["rdf:type", "oc:resolvesIntent", "oc:requiresState", "oc:yieldsState", "oc:extends", "oc:dependsOnSkill", "oc:contradicts", "oc:hasAlias"],
     ).where("identifier is not null and nature is not null")
     kind = F.when(F.array_contains("type", "oc:ExecutableSkill"), "executable").when(F.array_contains("type", "oc:DeclarativeSkill"), "declarative").otherwise("unknown")
@@ -69,6 +91,8 @@ def skills(t: DataFrame) -> DataFrame:
         F.col("dependsOnSkill").alias("depends_on"),
         F.col("contradicts"),
         F.col("hasAlias").alias("aliases"),
+        F.col("broader").alias("genus"),
+        "differentia",
     )
 
 
@@ -151,7 +175,8 @@ def payloads(t: DataFrame) -> DataFrame:
 def knowledge(t: DataFrame, inherited: bool = True) -> DataFrame:
     """One row for each skill and knowledge node that it imparts, itself or by what it extends; its own row beats an inherited one.
 
-    kind is the node's least type besides KnowledgeNode, in snake case; dimension the one of the ten that it falls under.
+    kind is the node's least type besides KnowledgeNode, in snake case; dimension the one of the ten that it falls under. links are the titles of
+    what is right instead and the labels of the steps it applies to: sorted, distinct (property, target_title, target_type).
     """
     own = facts(t, "oc:impartsKnowledge", "owner", "node")
     held = own.select(F.col("owner").alias("uri"), "owner", "node", F.lit(False).alias("inherited"))
@@ -163,7 +188,7 @@ def knowledge(t: DataFrame, inherited: bool = True) -> DataFrame:
     dimension = F.create_map(*[F.lit(x) for d, kinds in DIMENSIONS.items() for k in kinds for x in (f"oc:{k}", d)])
     kinds = facts(t, "rdf:type", "node", "kind").where("kind <> 'oc:KnowledgeNode'").groupBy("node").agg(F.min("kind").alias("kind"))
     wide = star(t, ["oc:directiveContent", "oc:appliesToContext", "oc:severityLevel", "oc:hasRationale", "oc:codeLanguage", "oc:stepOrder"], ["oc:templateVariables"]).withColumnRenamed("s", "node")
-    nodes = kinds.join(wide.where("directiveContent is not null"), "node")
+    nodes = kinds.join(wide.where("directiveContent is not null"), "node").join(node_links(t), "node", "left")
     return held.join(nodes, "node").select(
         "uri",
         "owner",
@@ -178,9 +203,21 @@ def knowledge(t: DataFrame, inherited: bool = True) -> DataFrame:
         F.col("codeLanguage").alias("code_language"),
         as_long(F.col("stepOrder")).alias("step_order"),
         F.col("templateVariables").alias("template_variables"),
+        F.coalesce("links", F.array().cast("array<struct<property:string,target_title:string,target_type:string>>")).alias("links"),
     )
 
 
+def node_links(t: DataFrame) -> DataFrame:
+    """(node, links): where knowledge nodes point to."""
+    link = lambda p, title, kind: F.struct(F.lit(p).alias("property"), title.alias("target_title"), kind.alias("target_type"))
+    titles = star(t, ["oc:sectionTitle", "oc:codeContent"]).select(F.col("s").alias("target"), F.coalesce("sectionTitle", "codeContent").alias("title"))
+    right = facts(t, "oc:correctAlternative", "node", "target").join(facts(t, "rdf:type", "target", "kind"), "target").join(titles, "target").where("title is not null")
+    right = right.select("node", link("correctAlternative", F.col("title"), F.substring_index("kind", ":", -1)).alias("link"))
+    steps = facts(t, "oc:appliesToStep", "node", "target").join(facts(t, "oc:stepLabel", "target", "label"), "target")
+    steps = steps.select("node", link("appliesToStep", F.col("label"), F.lit("WorkflowStep")).alias("link"))
+    return right.union(steps).groupBy("node").agg(F.array_sort(F.collect_set("link")).alias("links"))
+
+
 def epistemic_rules(nodes: DataFrame, kind: str | None = None, dimension: str | None = None, severity: str | None = None, context: str | None = None, limit: int = 0) -> DataFrame:
     """Knowledge rows that satisfy all filters, in order of kind, dimension, owner, node and skill."""
     out = nodes
@@ -196,7 +233,7 @@ def epistemic_rules(nodes: DataFrame, kind: str | None = None, dimension: str |
 
 
 def section_content(t: DataFrame) -> DataFrame:
-    """(uri, content_type, section_title, content, language, section_order) of code examples and tables in a skill's sections, at any depth."""
+    """(uri, content_type, section_title, content, language, section_order, block) of code examples and tables in a skill's sections, at any depth."""
     below = closure(facts(t, "oc:hasSubsection", "src", "dst"), reflexive=True, nodes=facts(t, "oc:hasSection", "s", "section").select("section"))
     sections = facts(t, "oc:hasSection", "uri", "src").join(below, "src").select("uri", F.col("dst").alias("section"))
     blocks = facts(t, "oc:hasContent", "section", "block")
@@ -206,8 +243,8 @@ def section_content(t: DataFrame) -> DataFrame:
     table = F.coalesce("tableMarkdown", "textContent")
     content = F.when(F.col("kind") == "oc:CodeExample", F.col("codeContent")).when(F.col("tableCaption").isNotNull(), F.concat_ws("\n", "tableCaption", table)).otherwise(table)
     out = sections.join(blocks, "section").join(kinds, "block").join(wide, "block").join(titles, "section", "left")
-    out = out.select("uri", F.when(F.col("kind") == "oc:Table", "table").otherwise("code").alias("content_type"), F.col("sectionTitle").alias("section_title"), content.alias("content"), F.col("codeLanguage").alias("language"), as_long(F.col("sectionOrder")).alias("section_order"), "block")
-    return out.where(F.trim("content") != "").orderBy("uri", F.coalesce("section_order", F.lit(999)), "block").drop("block")
+    out = out.select("uri", F.when(F.col("kind") == "oc:Table", "table").otherwise("code_example").alias("content_type"), F.col("sectionTitle").alias("section_title"), content.alias("content"), F.col("codeLanguage").alias("language"), as_long(F.col("sectionOrder")).alias("section_order"), "block")
+    return out.where(F.trim("content") != "").orderBy("uri", F.coalesce("section_order", F.lit(999)), "block")
 
 
 def explain(t: DataFrame, skills_wide: DataFrame) -> DataFrame:
@@ -235,3 +272,52 @@ def facets(packages: DataFrame, text: str | None = None, tier: str | None = None
     if category:
         rows = rows.where(F.col("category") == category)
     return rows.orderBy(F.col("id").desc() if descending else F.col("id"))
+
+
+def context(t: DataFrame, wide: DataFrame, skill_id: str, inherited: bool = True) -> dict:
+    """A skill with its payload, knowledge and sections, as one record; LookupError if there is none of this name.
+
+    The skill is resolved first, so that everything else is read for one subject, and what is collected is that of one skill.
+    """
+    spark = t.sparkSession
+    found = resolve(spark.createDataFrame([(skill_id,)], "ref string"), wide).join(wide, "uri").limit(1).collect()
+    if not found:
+        raise LookupError(f"unknown skill {skill_id!r}")
+    skill = found[0].asDict(recursive=True)
+    one = lambda df: df.where(F.col("uri") == skill["uri"])
+    needs = [r.asDict() for r in one(requirements(t)).orderBy("requirement").collect()]
+    load = one(payloads(t)).limit(1).collect()
+    ups = reached(facts(t, "oc:extends", "src", "dst"), spark.createDataFrame([(skill["uri"],)], "node string")) if inherited else spark.createDataFrame([(skill["uri"],)], "node string")
+    own = t.where(F.col("p") != "oc:impartsKnowledge").union(t.where(F.col("p") == "oc:impartsKnowledge").join(ups.withColumnRenamed("node", "s"), "s", "left_semi").select(t.columns))
+    nodes = knowledge(own, inherited=False).withColumn("inherited", F.col("uri") != skill["uri"])
+    first = Window.partitionBy("node").orderBy("inherited", "owner")
+    nodes = nodes.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "uri").orderBy("node")
+    return {
+        "skill": {k: v for k, v in skill.items() if k not in ("ref", "level")} | {"requirements": needs},
+        "payload": load[0].asDict() if load else {"available": False, "safety_notes": list(NO_PAYLOAD)},
+        "knowledge_nodes": [r.asDict(recursive=True) for r in nodes.collect()],
+        "sections": [r.asDict() for r in one(section_content(t)).collect()],
+        "include_inherited_knowledge": inherited,
+    }
+
+
+def trust_tiers(wide: DataFrame) -> DataFrame:
+    """(id, trust_tier): of skills of one id the tier of the last by qualified id."""
+    return wide.groupBy("id").agg(F.max_by("trust_tier", "qualified_id").alias("trust_tier"))
+
+
+def skill_records(found: DataFrame, lock: DataFrame) -> DataFrame:
+    """Index records (id, uri, qualified_id, package_id, trust_tier, version, source, aliases) of skills found in module files.
+
+    found: (path, uri, id), a file's path below the root as `path`; lock: (module_path, package_id, trust_tier, version, source, aliases). A file that the lock knows takes
+    package and tier from it; another below author/ is verified and its package is the folder there; all others are local. Of records of one
+    qualified id the first by path counts. core.ttl has no skills.
+    """
+    rows = found.where(F.substring_index("path", "/", -1) != "core.ttl").join(lock.withColumnRenamed("module_path", "path").withColumn("locked", F.lit(True)), "path", "left")
+    parts = F.split("path", "/")
+    authored = (F.element_at(parts, 1) == "author") & (F.size(parts) > 1)
+    package = F.when(F.col("locked"), F.col("package_id")).when(authored, F.element_at(parts, 2)).otherwise("local")
+    rows = rows.withColumn("package", package).withColumn("tier", F.when(F.col("locked"), F.col("trust_tier")).when(authored, "verified").otherwise("local"))
+    rows = rows.select("id", "uri", F.concat_ws("/", "package", "id").alias("qualified_id"), F.col("package").alias("package_id"), F.col("tier").alias("trust_tier"), "version", "source", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "path")
+    first = Window.partitionBy("qualified_id").orderBy("path", "uri")
+    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "path")

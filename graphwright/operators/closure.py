@@ -1,4 +1,4 @@
-"""Transitive closure of an edge table, safe for cycles."""
+"""Transitive closure of an edge table, what some nodes reach, and nodes on cycles; all safe for cycles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from graphwright.sources.scratch import drop, stored
 
+#: Steps of a search along edges that make one round, whose result is written.
+STEPS = 3
+
+
+def _steps(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
+
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: bool = False, most: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(src, dst): distinct pairs joined by a path of one edge or more; of none too if `reflexive`.
@@ -15,15 +22,15 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: boo
     a prefix as long as the longest found last and a rest that is known, so lengths double and rounds are logarithmic in the depth. `most` bounds
     paths to most + 1 edges; then each round adds one edge. Rounds are written to tables, so that plans stay short and an executor's loss costs a
     round at most. `nodes` (one column) adds nodes without edges to the zero-length pairs. Edges with a null end don't count.
+    The result has a row for each pair: where only some nodes matter, use `reached` or `on_cycles`.
     """
-    step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
-    step = stored(step, release=False)
+    step = stored(_steps(edges, src, dst))
     known, delta, turn = step, step, 0
     while most is None or turn < most:
         turn += 1
         onward = (known if most is None else step).select(F.col("src").alias("dst"), F.col("dst").alias("next"))
         new = delta.join(onward, "dst").select("src", F.col("next").alias("dst")).distinct()
-        new = stored(new.join(known, ["src", "dst"], "left_anti"), release=False)
+        new = stored(new.join(known, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             drop(new)
             break
@@ -34,3 +41,71 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: boo
             ends = ends.union(nodes.toDF("src"))
         known = known.union(ends.distinct().select("src", F.col("src").alias("dst"))).distinct()
     return known
+
+
+def reached(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
+    """(node): the seeds (one column) and all that paths of edges from them reach, by at most `most` edges if given.
+
+    Breadth first from the seeds: a round joins only the nodes found in the last one to their edges.
+    """
+    step = _steps(edges, src, dst)
+    known = front = stored(seeds.toDF("node").where("node is not null").distinct())
+    turn = 0
+    while most is None or turn < most:
+        turn += 1
+        new = step.join(front.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = stored(new.join(known, "node", "left_anti"))
+        if front.isEmpty():
+            drop(front)
+            break
+        known = known.union(front)
+    return known
+
+
+def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node): the nodes that lie on a cycle, loops included.
+
+    Edges from nodes that nothing leads to, and to nodes that lead nowhere, are peeled off until none is left, which leaves cycles and ways
+    between them. If there are as many edges as nodes then, all are on cycles. Else each node gets the least node that reaches it and
+    the least that it reaches, edges between nodes whose labels differ go, and so on until none goes: what is left are strongly connected parts.
+    """
+    rest = stored(_steps(edges, src, dst))
+    n = rest.count()
+    while n:
+        last, before = rest, n
+        for _ in range(STEPS):
+            rest = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        rest = stored(rest)
+        n = rest.count()
+        drop(last)
+        if n == before:
+            break
+    ends = lambda t: t.select(F.col("src").alias("node")).union(t.select(F.col("dst").alias("node"))).distinct()
+    while n and n != ends(rest).count():
+        ahead, back = _least(rest, "src", "dst"), _least(rest, "dst", "src")
+        labels = stored(ahead.join(back.withColumnRenamed("label", "other"), "node").select("node", F.struct("label", "other").alias("label")))
+        cut = rest.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
+        last, before, rest = rest, n, stored(cut)
+        drop(last, labels, ahead, back)
+        n = rest.count()
+        if n == before:
+            break
+    return ends(rest)
+
+
+def _least(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, label): the least node that reaches each node, itself included."""
+    step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    labels = stored(step.select(F.col("src").alias("node")).union(step.select(F.col("dst").alias("node"))).distinct().withColumn("label", F.col("node")))
+    while True:
+        new = labels.withColumn("changed", F.lit(False))
+        for _ in range(STEPS):
+            sent = step.join(new.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("sent"))
+            new = new.join(sent, "node", "left").select("node", F.least("label", "sent").alias("label"), (F.col("changed") | F.coalesce(F.col("sent") < F.col("label"), F.lit(False))).alias("changed"))
+        new = stored(new)
+        moved = not new.where("changed").isEmpty()
+        drop(labels)
+        labels = new.select("node", "label")
+        labels.stored_at = new.stored_at
+        if not moved:
+            return labels

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.functions.terms import local_name
-from graphwright.operators.closure import closure
+from graphwright.operators.closure import on_cycles
 from graphwright.operators.triples import facts
 
 # Words in an intent that mark a way in.
@@ -36,8 +36,8 @@ def unreachable(t: DataFrame) -> DataFrame:
 
 def circular(t: DataFrame) -> DataFrame:
     """Every skill on a cycle of dependsOnSkill."""
-    rows = closure(facts(t, "oc:dependsOnSkill", "src", "dst")).where("src = dst")
-    return _issues(rows, "error", "circular-dep", local_name(F.col("src")), local_name(F.col("src")))
+    rows = on_cycles(facts(t, "oc:dependsOnSkill", "src", "dst"))
+    return _issues(rows, "error", "circular-dep", local_name(F.col("node")), local_name(F.col("node")))
 
 
 def duplicate_intents(t: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def workflow_cycles(t: DataFrame) -> DataFrame:
     named = steps.join(ids, "step")
     edges = named.join(needs, "step").select("workflow", F.concat_ws("\t", "workflow", "id").alias("src"), F.concat_ws("\t", "workflow", "needs").alias("dst"))
     edges = edges.join(named.select(F.concat_ws("\t", "workflow", "id").alias("dst")), "dst", "left_semi")
-    rows = closure(edges).where("src = dst").select(F.split("src", "\t").alias("x"))
+    rows = on_cycles(edges).select(F.split("node", "\t").alias("x"))
     return _issues(rows, "error", "workflow-cycle", local_name(F.element_at("x", 1)), F.element_at("x", 2))
 
 

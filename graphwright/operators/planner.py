@@ -1,38 +1,55 @@
 """Backward chaining over states: which skills to run, in order, to reach a goal.
 
 A plan's search is bounded in depth and looks at the producers of the states it needs, so the graph's adjacency, not its texts, is what a
-search needs. One search runs on the driver over the part of the graph that a few rounds of joins reach from its
-target; `plan_many` deals targets to tasks.
+search needs. A search runs on the driver, as the answer to one request, over the part of the graph that a few rounds of joins
+reach from its targets; what is collected is checked against MOST.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.functions.terms import BASE
+from graphwright.operators.closure import reached
+
 MAX_DEPTH = 10
+#: Skills that one request may reach; more is an error, not a cut.
+MOST = 1_000_000
+
+
+@dataclass
+class Skill:
+    id: str
+    qualified_id: str
+    requires: list[str]
+    yields: list[str]
+    depends_on: list[str] = field(default_factory=list)
+    contradicts: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Plan:
+    target: str
     steps: list[str] = field(default_factory=list)
-    states: set[str] = field(default_factory=set)
     unresolved: set[str] = field(default_factory=set)
 
     @property
-    def rank(self) -> tuple[int, int]:
-        return len(self.unresolved), len(self.steps)
+    def rank(self) -> tuple[int, int, str]:
+        return len(self.unresolved), len(self.steps), self.target
 
 
-@dataclass
 class Skills:
-    """requires and yields by skill, and producers by state."""
+    """Skills by id, and the ids of producers by state, in order of qualified ids."""
 
-    requires: dict[str, list[str]]
-    yields: dict[str, list[str]]
-    producers: dict[str, list[str]]
+    def __init__(self, skills: list[Skill]):
+        self.known = {s.id: s for s in skills}
+        self.producers: dict[str, list[str]] = {}
+        for s in sorted(skills, key=lambda s: s.qualified_id):
+            for state in s.yields:
+                self.producers.setdefault(state, []).append(s.id)
 
 
 def depth_limit(depth: int) -> int:
@@ -40,87 +57,126 @@ def depth_limit(depth: int) -> int:
     return min(depth or MAX_DEPTH, MAX_DEPTH)
 
 
-def build(skills: Skills, target: str, current: set[str], depth: int = 0, stack: tuple[str, ...] = ()) -> Plan:
-    """The best plan for a skill from some states: for each state missing, its producers' plans are tried and the best is kept:
-    fewest unresolved states, then fewest steps, then the first producer by name. A producer already on the way is skipped."""
+def normalised_states(states: list[str], base: str = BASE) -> list[str]:
+    """`oc:` terms and http(s) addresses as compact terms, sorted and distinct; anything else is an error."""
+    out = set()
+    for state in states:
+        if not state.startswith(("oc:", "http://", "https://")):
+            raise ValueError(f"not a state: {state!r}")
+        out.add("oc:" + state[len(base) :] if state.startswith(base) else state)
+    return sorted(out)
+
+
+def build(skills: Skills, target: str, current: set[str], depth: int = 0) -> Plan:
+    """The best plan for a skill from some states.
+
+    For each required state that isn't there yet, its producers' plans are tried and the best is taken over, with what its steps yield: the one with
+    the fewest unresolved states, then the fewest steps, then the first id. Producers already on the way are skipped. A skill at the limit of
+    depth still runs; what it lacks is unresolved.
+    """
     limit = depth_limit(depth)
-    plan = Plan(states=set(current))
-    for state in sorted(skills.requires.get(target, ())):
-        if state in plan.states:
-            continue
-        best: tuple[tuple, Plan] | None = None
-        if len(stack) + 1 < limit:
-            for producer in sorted(skills.producers.get(state, ())):
-                if producer == target or producer in stack:
-                    continue
-                tried = build(skills, producer, plan.states, limit, (*stack, target))
-                key = (*tried.rank, producer)
-                if best is None or key < best[0]:
-                    best = (key, tried)
-        if best is not None:
-            plan.steps += [s for s in best[1].steps if s not in plan.steps]
-            plan.states |= best[1].states
-            plan.unresolved |= best[1].unresolved
-        if state not in plan.states:
-            plan.unresolved.add(state)
-    if target not in plan.steps:
-        plan.steps.append(target)
-    plan.states |= set(skills.yields.get(target, ()))
-    return plan
+
+    def plan_of(name: str, states: frozenset[str], level: int, way: frozenset[str]) -> Plan:
+        skill, had, plan = skills.known[name], set(states), Plan(name)
+        for state in skill.requires:
+            if state in had:
+                continue
+            best: Plan | None = None
+            if level < limit:
+                for producer in skills.producers.get(state, ()):
+                    if producer not in way:
+                        tried = plan_of(producer, frozenset(had), level + 1, way | {producer})
+                        best = tried if best is None or tried.rank < best.rank else best
+            if best is not None:
+                plan.unresolved |= best.unresolved
+                for step in best.steps:
+                    had.update(skills.known[step].yields)
+                    if step not in plan.steps:
+                        plan.steps.append(step)
+            if state not in had:
+                plan.unresolved.add(state)
+        plan.steps.append(name)
+        return plan
+
+    return plan_of(target, frozenset(current), 0, frozenset([target]))
 
 
 def reachable(skills_wide: DataFrame, targets: list[str], depth: int = 0) -> Skills:
-    """The skills that plans for some targets can use: a round of two joins for each step of depth, and no more than those are collected."""
-    wide = skills_wide.select("id", "requires_state", "yields_state")
-    makers = wide.select(F.col("id").alias("maker"), F.explode("yields_state").alias("state"))
-    seen: dict[str, tuple[list[str], list[str]]] = {}
-    front = sorted(set(targets))
-    for _ in range(depth_limit(depth)):
-        if not front:
-            break
-        rows = wide.where(F.col("id").isin(front)).collect()
-        seen |= {r.id: (list(r.requires_state), list(r.yields_state)) for r in rows}
-        needed = sorted({s for r in rows for s in r.requires_state})
-        front = [r.maker for r in makers.where(F.col("state").isin(needed)).select("maker").distinct().collect() if r.maker not in seen] if needed else []
-    producers: dict[str, list[str]] = {}
-    for name, (_, yields) in seen.items():
-        for state in yields:
-            producers.setdefault(state, []).append(name)
-    return Skills({k: v[0] for k, v in seen.items()}, {k: v[1] for k, v in seen.items()}, producers)
+    """The skills that plans for some targets can use: those that paths of at most `depth` steps from a need to its producers reach."""
+    makers = skills_wide.select(F.col("id").alias("dst"), F.explode("yields_state").alias("state"))
+    edges = skills_wide.select(F.col("id").alias("src"), F.explode("requires_state").alias("state")).join(makers, "state").select("src", "dst").distinct()
+    spark = skills_wide.sparkSession
+    ids = reached(edges, spark.createDataFrame([(t,) for t in targets], "node string"), most=depth_limit(depth))
+    rows = skills_wide.join(ids.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "qualified_id", "requires_state", "yields_state", "depends_on", "contradicts").limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"the plan reaches over {MOST} skills")
+    return Skills([Skill(r.id, r.qualified_id, sorted(r.requires_state), sorted(r.yields_state), list(r.depends_on), list(r.contradicts)) for r in rows])
 
 
 def evaluate(skills_wide: DataFrame, current: list[str], intent: str | None = None, skill_id: str | None = None, depth: int = 0) -> dict:
-    """Plans for an intent or a skill, exactly one of them, the best first: fewest unresolved, fewest steps, then by id."""
+    """Plans for an intent or a skill, exactly one of them, the best first: fewest unresolved, fewest steps, then by id.
+
+    An unknown skill is an error (LookupError); an intent that nothing resolves gives a result without a recommendation.
+    """
     if (intent is None) == (skill_id is None):
         raise ValueError("give an intent or a skill id, and not both")
+    limit, states = depth_limit(depth), normalised_states(current)
     found = skills_wide.where(F.exists("intents", lambda i: F.lower(i) == intent.lower()) if intent is not None else F.col("id") == skill_id)
-    targets = sorted(r.id for r in found.select("id").collect())
-    skills = reachable(skills_wide, targets, depth)
-    plans = sorted(((build(skills, t, set(current), depth), t) for t in targets), key=lambda p: (*p[0].rank, p[1]))
-    warnings = [f"No skill yields {s}." for p, _ in plans[:1] for s in sorted(p.unresolved)]
-    best = plans[0] if plans else None
-    return {
-        "recommended": best[1] if best else None,
-        "applicable": bool(best and not best[0].unresolved),
-        "steps": best[0].steps if best else [],
-        "missing_states": sorted(best[0].unresolved) if best else [],
-        "current_states": sorted(set(current)),
-        "warnings": warnings,
-        "candidates": [{"skill": t, "steps": p.steps, "missing_states": sorted(p.unresolved)} for p, t in plans],
-        "summary": f"{len(plans)} candidates; {best[1]} takes {len(best[0].steps)} steps, {len(best[0].unresolved)} states missing." if best else "No candidate.",
+    targets = [r.id for r in found.select("id", "qualified_id").orderBy("qualified_id").collect()]
+    if skill_id is not None and not targets:
+        raise LookupError(f"unknown skill {skill_id!r}")
+    out = {"intent": intent, "requested_skill": skill_id, "matching_skills": targets, "current_states": states}
+    if not targets:
+        return out | {"recommended_skill": None, "applicable": False, "required_states": [], "missing_states": [], "dependency_warnings": [], "conflict_warnings": [], "plan_steps": [], "reasoning_summary": f"No skills resolve intent '{intent}'."}
+    skills = reachable(skills_wide, targets, limit)
+    best = min((build(skills, t, set(states), limit) for t in dict.fromkeys(targets)), key=lambda p: p.rank)
+    chosen, missing = skills.known[best.target], sorted(best.unresolved)
+    begin = f"Evaluated {len(targets)} skills for intent '{intent}'." if intent is not None else f"Evaluated requested skill '{skill_id}'."
+    why = f"but these states remain unresolved within depth {limit}: {', '.join(missing)}." if missing else f"because all required states can be satisfied within depth {limit}."
+    return out | {
+        "recommended_skill": best.target,
+        "applicable": not missing,
+        "required_states": sorted(chosen.requires),
+        "missing_states": missing,
+        "dependency_warnings": [f"Skill '{chosen.id}' declares dependencies on: {', '.join(chosen.depends_on)}"] if chosen.depends_on else [],
+        "conflict_warnings": [f"Skill '{chosen.id}' contradicts '{c}'" for c in chosen.contradicts],
+        "plan_steps": [{"skill_id": s, "purpose": f"Execute skill '{s}'", "requires_state": skills.known[s].requires, "yields_state": skills.known[s].yields} for s in best.steps],
+        "reasoning_summary": f"{begin} Recommended '{best.target}' {why}",
     }
 
 
-def first_steps(skills_wide: DataFrame, rounds: int = 3) -> DataFrame:
-    """(id, depth): skills whose required states can all be had from nothing in so many rounds: a set-based, forward form of planning.
+def direct_plans(skills_wide: DataFrame, current: list[str]) -> DataFrame:
+    """(id, state, producer): for every skill and each state that it requires and that isn't there, the first producer, by id, that can run at once; null if
+    there is none. Plans of depth one for all skills at the same time, by joins."""
+    had = F.array(*map(F.lit, normalised_states(current)))
+    needs = skills_wide.select("id", F.explode("requires_state").alias("state")).where(~F.array_contains(had, F.col("state")))
+    ready = skills_wide.where(F.forall("requires_state", lambda s: F.array_contains(had, s))).select(F.col("id").alias("producer"), F.explode("yields_state").alias("state"))
+    first = ready.groupBy("state").agg(F.min("producer").alias("producer"))
+    return needs.join(first, "state", "left").select("id", "state", "producer")
+
 
-    A round adds the skills whose requirements are yielded so far: an anti-join of missing requirements.
+def first_steps(skills_wide: DataFrame, current: list[str], rounds: int = MAX_DEPTH) -> DataFrame:
+    """(id, depth): skills whose required states can all be had from some states in so many rounds: a set-based, forward form of planning.
+
+    Each state gets the round that first yields it; a skill's is that of its latest state. A round looks only at skills that the states of the
+    last one complete. Stops when nothing is new.
     """
-    wide = skills_wide.select("id", "requires_state", "yields_state")
-    done = wide.where(F.size("requires_state") == 0).select("id", F.lit(0).alias("depth"))
-    for depth in range(1, rounds + 1):
-        had = wide.join(done, "id", "left_semi").select(F.explode("yields_state").alias("state")).distinct()
-        open_ = wide.join(done, "id", "left_anti")
-        missing = open_.select("id", F.explode("requires_state").alias("state")).join(had, "state", "left_anti").select("id").distinct()
-        done = done.union(open_.join(missing, "id", "left_anti").select("id", F.lit(depth).alias("depth")))
+    from graphwright.sources.scratch import stored
+
+    spark = skills_wide.sparkSession
+    needs = skills_wide.select("id", F.explode("requires_state").alias("state")).distinct()
+    counts = skills_wide.select("id", F.size(F.array_distinct("requires_state")).alias("wanted"))
+    yields = skills_wide.select("id", F.explode("yields_state").alias("state")).distinct()
+    had = spark.createDataFrame([(s, 0) for s in normalised_states(current)], "state string, round int")
+    done = None
+    for depth in range(rounds + 1):
+        met = needs.join(had, "state").groupBy("id").agg(F.count("*").alias("n"))
+        able = counts.join(met, "id", "left").where(F.coalesce("n", F.lit(0)) == F.col("wanted")).select("id")
+        new = able if done is None else able.join(done, "id", "left_anti")
+        new = stored(new.select("id", F.lit(depth).alias("depth")))
+        done = new if done is None else done.union(new)
+        more = yields.join(new, "id").select("state").distinct().join(had, "state", "left_anti")
+        had = stored(had.union(more.select("state", F.lit(depth + 1))))
+        if new.isEmpty():
+            break
     return done

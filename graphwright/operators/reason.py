@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphwright.operators.catalog import superclasses
 from graphwright.operators.closure import closure
 from graphwright.operators.triples import TYPE, facts
 from graphwright.sources.scratch import drop, stored
@@ -66,17 +67,17 @@ def transitive(links: DataFrame) -> DataFrame:
     return out
 
 
-def types(links: DataFrame, subclasses: DataFrame) -> DataFrame:
-    """Types from domains, ranges and superclasses. subclasses: (sub, super), small."""
-    up = closure(subclasses, "sub", "super", reflexive=True)
+def types(links: DataFrame, subclasses: list[tuple[str, str]]) -> DataFrame:
+    """Types from domains, ranges and superclasses. subclasses: (sub, super) pairs of a vocabulary."""
+    up = F.create_map(*[x for c, above in superclasses(subclasses).items() for x in (F.lit(c), F.array(*map(F.lit, above)))])
     given = facts_of(links, TYPE, "s", "c")
     for p, (domain, range_) in DOMAINS.items():
         rows = links.where(F.col("p") == p)
         given = given.union(rows.select("s", F.lit(domain))).union(rows.select("o", F.lit(range_)))
-    return given.distinct().join(F.broadcast(up), F.col("c") == F.col("src"), "left").select("s", F.lit(TYPE).alias("p"), F.coalesce("dst", "c").alias("o")).distinct()
+    return given.distinct().select("s", F.lit(TYPE).alias("p"), F.explode(F.coalesce(F.element_at(up, F.col("c")), F.array("c"))).alias("o")).distinct()
 
 
-def infer(t: DataFrame, subclasses: DataFrame) -> DataFrame:
+def infer(t: DataFrame, subclasses: list[tuple[str, str]]) -> DataFrame:
     """(s, p, o): all links of a graph and what the rules add, to the fixpoint."""
     known = stored(_links(t))
     while True:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.operators.catalog import TIERS
-from graphwright.operators.closure import closure
+from graphwright.operators.closure import reached
 
 
 def tier_rank(tier: Column) -> Column:
@@ -16,14 +16,15 @@ def tier_rank(tier: Column) -> Column:
 
 
 def resolve_packages(references: DataFrame, packages: DataFrame) -> DataFrame:
-    """(ref, package_id, level, n) for each reference: 1 a package's id, 2 an author's packages (no slash), 3 the end of an id,
-    4 a skill in a package (package/skill). n counts the packages on the best level; more than 1 on level 3 is ambiguous."""
+    """(ref, package_id, level, n) for each reference: 1 a package's id, 2 an author's packages (no slash), 3 the end of an id, any number of its
+    segments, 4 a skill in a package (package/skill). n counts the packages on the best level; more than 1 on level 3 is ambiguous."""
     ids = packages.select("package_id").distinct()
-    keys = ids.select("package_id", F.explode(F.array(
+    segments = F.split("package_id", "/")
+    ends = F.when(F.size(segments) > 1, F.transform(F.sequence(F.lit(2), F.size(segments)), lambda i: F.array_join(F.slice(segments, i, F.size(segments)), "/"))).otherwise(F.array().cast("array<string>"))
+    keys = ids.select("package_id", F.explode(F.concat(F.array(
         F.struct(F.lit(1).alias("level"), F.col("package_id").alias("key")),
         F.struct(F.lit(2).alias("level"), F.when(F.contains("package_id", F.lit("/")), F.substring_index("package_id", "/", 1)).alias("key")),
-        F.struct(F.lit(3).alias("level"), F.when(F.contains("package_id", F.lit("/")), F.substring_index("package_id", "/", -1)).alias("key")),
-    )).alias("k")).select("package_id", "k.*").where("key is not null")
+    ), F.transform(ends, lambda e: F.struct(F.lit(3).alias("level"), e.alias("key"))))).alias("k")).select("package_id", "k.*").where("key is not null")
     wanted = references.select("ref").distinct()
     parts = F.split("ref", "/")
     prefixes = wanted.select("ref", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))).alias("key"))
@@ -38,7 +39,7 @@ def enable(lock: DataFrame, dependencies: DataFrame, wanted: DataFrame) -> DataF
 
     dependencies: (skill_id, needs). Of a skill in several packages the one of the best tier, then package, is enabled.
     """
-    needed = closure(dependencies, "skill_id", "needs").join(wanted.select(F.col("skill_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("skill_id")).union(wanted.select("skill_id")).distinct()
+    needed = reached(dependencies, wanted.select("skill_id"), "skill_id", "needs").withColumnRenamed("node", "skill_id")
     order = Window.partitionBy("skill_id").orderBy(tier_rank(F.col("trust_tier")), "package_id")
     chosen = lock.join(needed, "skill_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").select("package_id", "skill_id", F.lit(True).alias("now"))
     return lock.join(chosen, ["package_id", "skill_id"], "left").withColumn("enabled", F.col("enabled") | F.coalesce("now", F.lit(False))).select(lock.columns)
@@ -46,7 +47,7 @@ def enable(lock: DataFrame, dependencies: DataFrame, wanted: DataFrame) -> DataF
 
 def disable(lock: DataFrame, dependencies: DataFrame, unwanted: DataFrame) -> DataFrame:
     """`lock` with the unwanted skills, and all that need them, disabled."""
-    users = closure(dependencies, "needs", "skill_id").join(unwanted.select(F.col("skill_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("skill_id")).union(unwanted.select("skill_id")).distinct()
+    users = reached(dependencies, unwanted.select("skill_id"), "needs", "skill_id").withColumnRenamed("node", "skill_id")
     return lock.join(users.withColumn("gone", F.lit(True)), "skill_id", "left").withColumn("enabled", F.col("enabled") & F.col("gone").isNull()).select(lock.columns)
 
 
@@ -95,3 +96,46 @@ def text_search(skills: DataFrame, query: str) -> DataFrame:
     """Skills with a text in any of their id, qualified id, aliases, intents and description, in any case."""
     fields = [F.array_join(c, " ") if kind.startswith("array") else F.col(c) for c, kind in skills.dtypes if c in ("id", "qualified_id", "aliases", "intents", "description")]
     return skills.where(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(query.lower())))
+
+
+def sibling_dependencies(skills: DataFrame) -> DataFrame:
+    """(package_id, skill_id, siblings, standalone) of skills (package_id, skill_id, needs array): what each needs of its own package, in its order, and whether that is nothing."""
+    wanted = skills.select("package_id", "skill_id", F.posexplode("needs").alias("n", "need"))
+    known = skills.select("package_id", F.col("skill_id").alias("need")).distinct()
+    found = wanted.join(known, ["package_id", "need"], "left_semi").groupBy("package_id", "skill_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "need"))), lambda x: x["need"]).alias("siblings"))
+    rows = skills.select("package_id", "skill_id").join(found, ["package_id", "skill_id"], "left").withColumn("siblings", F.coalesce("siblings", F.array().cast("array<string>")))
+    return rows.withColumn("standalone", F.size("siblings") == 0)
+
+
+def install_closure(skills: DataFrame, package_id: str, skill_id: str) -> DataFrame:
+    """(skill_id): a skill of a package and all that it needs of that package, directly or not."""
+    own = skills.where(F.col("package_id") == package_id)
+    ids = own.select(F.col("skill_id").alias("need"))
+    edges = own.select("skill_id", F.explode("needs").alias("need")).join(ids, "need", "left_semi")
+    return reached(edges, own.where(F.col("skill_id") == skill_id).select("skill_id"), "skill_id", "need").withColumnRenamed("node", "skill_id")
+
+
+def install(lock: DataFrame, manifests: DataFrame, package_id: str, skill_id: str | None = None) -> DataFrame:
+    """`lock` (package_id, skill_id, module_path, trust_tier, enabled) after a package, or one skill of it, is installed.
+
+    manifests: (package_id, skill_id, path, trust_tier, source_tier, source_order), skills of packages by source; the first source that has the package counts, and its tier where the
+    package has none. Rows of the package are replaced by the manifest's; a skill that was enabled stays so. With a skill, only that is added, enabled, and others of the
+    package keep their rows. A name that isn't there is an error (LookupError).
+    """
+    rows = manifests.where(F.col("package_id") == package_id)
+    first = rows.agg(F.min("source_order").alias("source_order"))
+    rows = rows.join(first, "source_order", "left_semi")
+    if skill_id is not None:
+        rows = rows.where(F.col("skill_id") == skill_id)
+    if rows.isEmpty():
+        raise LookupError(f"not found: {package_id}" + (f"/{skill_id}" if skill_id else ""))
+    was = lock.select("package_id", "skill_id", F.col("enabled").alias("was"))
+    new = rows.join(was, ["package_id", "skill_id"], "left").select("package_id", "skill_id", F.concat_ws("/", F.lit("author"), "package_id", "path").alias("module_path"), F.coalesce("trust_tier", "source_tier").alias("trust_tier"), F.coalesce(F.lit(True) if skill_id is not None else F.col("was"), F.lit(False)).alias("enabled"))
+    gone = lock.where(F.col("package_id") == package_id) if skill_id is None else lock.where((F.col("package_id") == package_id) & (F.col("skill_id") == skill_id))
+    return lock.join(gone.select("package_id", "skill_id"), ["package_id", "skill_id"], "left_anti").select(new.columns).union(new)
+
+
+def modules_of(modules: DataFrame, skill_path: str) -> DataFrame:
+    """Module paths (module) of one skill: those below the folder of its own, which is among them."""
+    folder = skill_path.rsplit("/", 1)[0] + "/" if "/" in skill_path else ""
+    return modules.where(F.startswith("module", F.lit(folder)) | (F.col("module") == skill_path))

@@ -3,85 +3,158 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bytes for the knowledge of a skill, for what a line takes besides its text, and for its sections.
+# Bytes for the knowledge of a skill, for what a node takes besides its text, and for its sections.
 NODE_BUDGET, LINE_EXTRA, SECTION_BUDGET = 12_000, 80, 3_000
-# Which kinds of knowledge come first where no step order tells.
-PRIORITY = {k: i for i, k in enumerate(("procedure", "command", "code_pattern", "prerequisite", "output_format", "constraint", "anti_pattern", "standard", "heuristic"))}
-
-
-def search_lines(results: DataFrame) -> DataFrame:
-    """One line for each result (id, score, trust_tier, intents): the first three intents are shown."""
-    intents = F.array_join(F.slice("intents", 1, 3), ", ")
-    return results.select("id", F.format_string("- %s (%s, %.2f): %s", "id", "trust_tier", "score", intents).alias("line"))
-
-
-def search_text(results: DataFrame, head: int = 5) -> str:
-    """The first results as text."""
-    lines = [r.line for r in search_lines(results.orderBy(F.desc("score"), "id").limit(head)).collect()]
-    return "\n".join(lines) if lines else "No results found."
+# Which kinds of knowledge come first where no step order tells; others come last, as nodes without a step order do.
+PRIORITY = {"procedure": 0, "constraint": 1, "design_principle": 2, "heuristic": 3, "anti_pattern": 4, "recovery_tactic": 5, "best_practice": 6, "rule": 7}
+LAST_KIND, LAST_STEP = 99, 999
+SEVERE = ("CRITICAL", "HIGH")
+# How many results, intents and skills a search shows, and warnings a plan.
+RESULTS, RESULT_INTENTS, MATCHES, MATCH_SKILLS, WARNINGS = 5, 2, 3, 3, 3
+ARROW = "→"
+
+
+def search_text(found: Mapping) -> str:
+    """A search's result as text: its mode, then a line for each of the first results (skills), matches (intents) or skills."""
+    mode = found.get("mode") or ""
+    lines = [f"- {r.get('skill_id', '')} [{r.get('trust_tier', '')}]: {'; '.join((r.get('intents') or [])[:RESULT_INTENTS])}" for r in (found.get("results") or [])[:RESULTS]]
+    lines += [f"- {m.get('intent', '')} (score={m.get('score', 0.0):.2f}): {', '.join((m.get('skills') or [])[:MATCH_SKILLS])}" for m in (found.get("matches") or [])[:MATCHES]]
+    skills = (found.get("skills") or [])[:RESULTS]
+    if mode == "alias":
+        lines += [f"- {s.get('id') or s.get('skill_id') or ''} [{s.get('trust_tier') or ''}]" for s in skills]
+    elif mode != "bm25":
+        lines += [f"- {s.get('id') or ''} ({s.get('nature') or ''})" for s in skills]
+    return "\n".join([f"Search mode: {mode}", *lines]) if lines else "No results found."
+
+
+def node_head(node: Mapping) -> str:
+    """A node's kind, its context, and its severity where that is high."""
+    parts = [node["kind"].replace("_", " ").upper()]
+    if node.get("applies_to_context"):
+        parts.append(f"({node['applies_to_context']})")
+    if node.get("severity_level") in SEVERE:
+        parts.append(f"[{node['severity_level']}]")
+    return f"  {' '.join(parts)}:"
+
+
+def link_lines(node: Mapping) -> list[str]:
+    forms = {"correctAlternative": '  {} Correct: "{}"', "appliesToStep": "  {} Applies to: {}"}
+    return [forms[x["property"]].format(ARROW, x["target_title"]) for x in node.get("links") or [] if x["property"] in forms]
+
+
+def context_text(skill: Mapping, nodes: Iterable[Mapping], sections: Iterable[Mapping] = ()) -> str:
+    """A skill's context. Nodes come in the order given; the first that would pass the budget ends them, and the rationale of a severe one
+    is added, and counted, after that test. Sections, in the order given, are skipped where they don't fit."""
+    lines = [f"## {skill['id']}"]
+    if skill.get("differentia") is not None:
+        lines.append(f"{skill.get('genus') or ''} — {skill['differentia']}")
+    if len(skill.get("intents") if skill.get("intents") is not None else []):
+        lines.append("Intents: " + "; ".join(skill["intents"]))
+    if len(skill.get("requirements") if skill.get("requirements") is not None else []):
+        lines.append("Requires: " + "; ".join(skill["requirements"]))
+    used, told = 0, []
+    any_node = False
+    for node in nodes:
+        any_node = True
+        text = (node["directive_content"] or "").strip()
+        if not text:
+            continue
+        size = len(text.encode()) + LINE_EXTRA
+        if used + size > NODE_BUDGET:
+            break
+        used += size
+        told += [node_head(node), f"  {text}"]
+        if node.get("severity_level") in SEVERE and node.get("rationale"):
+            told.append(f"  Why: {node['rationale']}")
+            used += len(node["rationale"].encode())
+        told += link_lines(node)
+    if any_node:
+        lines += ["", *told]
+    left, shown = SECTION_BUDGET, []
+    for section in sections:
+        size = len(section["content"].encode())
+        if size > left:
+            continue
+        left -= size
+        if section.get("section_title"):
+            shown.append(f"[{section['section_title']}]")
+        body = section["content"].splitlines()
+        shown += [f"```{section.get('language') or ''}", *body, "```"] if section["content_type"] == "code_example" else body
+        if left <= 0:
+            break
+    if shown:
+        lines += ["", "Examples & Reference Tables:", *shown]
+    return "\n".join(lines)
+
+
+def ranked_nodes(nodes: DataFrame) -> DataFrame:
+    """Knowledge rows with `place` in their skill's context: by score where a column of it has any above zero, else by step order, kind, and node.
+
+    Only rows that a context can show at all are kept: each takes more than LINE_EXTRA bytes of the budget, so that places beyond its quotient are never
+    reached. A skill with very many nodes is cut before its rows meet in one task.
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
+    order = [F.coalesce("step_order", F.lit(LAST_STEP)), F.coalesce(kinds[F.col("kind")], F.lit(LAST_KIND)), F.col("node")]
+    if "score" in nodes.columns:
+        order = [F.col("score").desc_nulls_last(), *order]
+    window = Window.partitionBy("uri").orderBy(*order)
+    return nodes.where(F.trim("directive_content") != "").withColumn("place", F.row_number().over(window)).where(F.col("place") <= NODE_BUDGET // (LINE_EXTRA + 1))
 
 
-def contexts(nodes: DataFrame, sections: DataFrame | None = None, group: str = "uri") -> DataFrame:
-    """(uri, text): each skill's knowledge, and sections, as text.
+def contexts(skills: DataFrame, nodes: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """(uri, text): each skill's context (see `context_text`).
 
-    Nodes come by score where there is one, else by step order and kind; the first that would pass the budget ends them, and the rationale of a
-    CRITICAL or HIGH one is added after the test. Sections that don't fit are skipped. A skill is one call; what it is given is its own knowledge.
+    skills: (uri, id, genus, differentia, intents, requirements), nodes: rows of `catalog.knowledge`, sections: rows of `catalog.section_content`. Sections
+    longer than the budget go before rows meet.
     """
-
-    def text(rows: pd.DataFrame) -> pd.DataFrame:
-        if "score" in rows and (rows["score"] > 0).any():
-            rows = rows.sort_values(["score", "node"], ascending=[False, True], kind="stable")
-        else:
-            order = rows.assign(_step=rows["step_order"].fillna(999), _kind=rows["kind"].map(lambda k: PRIORITY.get(k, len(PRIORITY))))
-            rows = order.sort_values(["_step", "_kind", "node"], kind="stable")
-        used, lines = 0, [f"# {rows[group].iloc[0]}"]
-        for row in rows.itertuples():
-            size = len((row.directive_content or "").encode())
-            if used + size + LINE_EXTRA > NODE_BUDGET:
-                break
-            used += size + LINE_EXTRA
-            lines.append(f"- [{row.kind}{' inherited' if row.inherited else ''}] {row.directive_content}")
-            if row.severity_level in ("CRITICAL", "HIGH") and isinstance(row.rationale, str):
-                lines.append(f"  because: {row.rationale}")
-                used += len(row.rationale.encode())
-        return pd.DataFrame({group: [rows[group].iloc[0]], "text": ["\n".join(lines)]})
-
-    out = nodes.groupBy(group).applyInPandas(text, f"{group} string, text string")
-    if sections is None:
-        return out
-
-    def section_text(rows: pd.DataFrame) -> pd.DataFrame:
-        left, lines = SECTION_BUDGET, []
-        for row in rows.sort_values(["section_order", "content"], na_position="last", kind="stable").itertuples():
-            if len(row.content.encode()) <= left:
-                left -= len(row.content.encode())
-                lines.append(f"## {row.section_title or ''}\n{row.content}")
-        return pd.DataFrame({group: [rows[group].iloc[0]], "more": ["\n".join(lines)]})
-
-    more = sections.groupBy(group).applyInPandas(section_text, f"{group} string, more string")
-    return out.join(more, group, "left").select(group, F.concat_ws("\n", "text", "more").alias("text"))
-
-
-def plan_text(plan: dict) -> str:
+    heads = skills.select("uri", F.struct(*[c for c in ("id", "genus", "differentia", "intents", "requirements") if c in skills.columns]).alias("skill"))
+    node = F.struct(*[c for c in ("kind", "directive_content", "rationale", "applies_to_context", "severity_level", "links") if c in nodes.columns])
+    rows = ranked_nodes(nodes).select("uri", F.lit(0).alias("part"), F.col("place").cast("long").alias("place"), F.to_json(node).alias("row"))
+    rows = rows.union(heads.select("uri", F.lit(-1), F.lit(0).cast("long"), F.to_json("skill")))
+    if sections is not None:
+        order = Window.partitionBy("uri").orderBy(F.coalesce("section_order", F.lit(LAST_STEP)), "block")
+        fit = sections.where(F.octet_length("content") <= SECTION_BUDGET).withColumn("place", F.row_number().over(order))
+        rows = rows.union(fit.select("uri", F.lit(1), F.col("place").cast("long"), F.to_json(F.struct("content_type", "section_title", "language", "content"))))
+
+    def text(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["part", "place"], kind="stable")
+        parts = {p: [json.loads(r) for r in group.loc[group["part"] == p, "row"]] for p in (-1, 0, 1)}
+        if not parts[-1]:
+            return pd.DataFrame({"uri": [], "text": []})
+        return pd.DataFrame({"uri": [group["uri"].iloc[0]], "text": [context_text(parts[-1][0], parts[0], parts[1])]})
+
+    return rows.groupBy("uri").applyInPandas(text, "uri string, text string")
+
+
+def plan_text(plan: Mapping) -> str:
     """A plan as text, with at most three warnings."""
-    lines = [plan["summary"], *(f"{i}. {s}" for i, s in enumerate(plan["steps"], 1))]
+    lines = [f"Applicable: {'Yes' if plan['applicable'] else 'No'}"]
+    if plan["recommended_skill"] is not None:
+        lines.append(f"Recommended: {plan['recommended_skill']}")
+    if plan["plan_steps"]:
+        lines += ["Plan:", *(f"  {i}. {s['skill_id']}: {s['purpose']}" for i, s in enumerate(plan["plan_steps"], 1))]
     if plan["missing_states"]:
-        lines.append("Missing: " + ", ".join(plan["missing_states"]))
-    return "\n".join([*lines, *(f"Warning: {w}" for w in plan["warnings"][:3])])
+        lines.append("Missing states: " + ", ".join(plan["missing_states"]))
+    if plan["dependency_warnings"]:
+        lines.append("Warnings: " + "; ".join(plan["dependency_warnings"][:WARNINGS]))
+    return "\n".join(lines)
 
 
-def rules_text(rules: DataFrame) -> str:
+def rules_text(rules: Iterable[Mapping]) -> str:
     """Rules, already limited, as text."""
-    lines = [f"- [{r.kind}] {r.directive_content}" + (f" ({r.severity_level})" if r.severity_level else "") for r in rules.collect()]
-    return "\n".join(lines) if lines else "No rules found."
+    lines: list[str] = []
+    for rule in rules:
+        if text := (rule["directive_content"] or "").strip():
+            lines += [node_head(rule), f"  {text}", *link_lines(rule)]
+    return "\n".join(lines) if lines else "No knowledge nodes found."
 
 
-def envelope(structured, text: str, error: bool = False) -> str:
-    """A response as JSON; a list is wrapped, since structured content is an object."""
-    content = {"items": structured} if isinstance(structured, list) else structured
-    return json.dumps({"content": [{"type": "text", "text": text}], "structuredContent": content, "isError": error}, ensure_ascii=False)
+def envelope(structured, text: str, error: bool = False) -> dict:
+    """A response; structured content that is no object is wrapped in one."""
+    return {"content": [{"type": "text", "text": text}], "structuredContent": structured if isinstance(structured, Mapping) else {"result": structured}, "isError": error}

@@ -2,7 +2,9 @@
 
 A record has: id, hash, nature, genus, differentia, intents, requirements (array of type, value, optional), depends_on, extends,
 contradicts, requires_state, yields_state, handles_failure, payload (executor, code, timeout), knowledge (array of node_type, directive,
-rationale, context, severity, language, step_order), category, package, is_user_invocable, aliases. Any of them may be null.
+rationale, context, severity, language, step_order and perhaps variables), category, package, is_user_invocable, aliases. Any of them may be null. It may have
+argument_hint, allowed_tools, reference_files (relative_path, purpose) with files (relative_path, content_hash, file_size, mime_type), workflows (workflow_id, name, description,
+steps of step_id, description, expected_outcome, depends_on) and examples (name, input_description, output_example, tags).
 """
 
 from __future__ import annotations
@@ -55,7 +57,9 @@ def skill_triples(records: DataFrame) -> DataFrame:
             ("oc:hasCategory", F.col("category"), "literal", "xsd:string"),
             ("oc:inPackage", F.col("package"), "literal", "xsd:string"),
             ("oc:isUserInvocable", F.col("is_user_invocable"), "literal", "xsd:boolean"),
+            *([("oc:hasArgumentHint", F.nullif("argument_hint", F.lit("")), "literal", "xsd:string")] if "argument_hint" in rows.columns else []),
         ),
+        *([_each(rows, "oc:hasAllowedTool", F.col("allowed_tools"), "literal")] if "allowed_tools" in rows.columns else []),
         _each(rows, "oc:resolvesIntent", F.col("intents"), "literal"),
         _each(rows, "oc:hasAlias", F.col("aliases"), "literal"),
         _each(rows, "oc:dependsOnSkill", F.transform(F.filter("depends_on", lambda x: x != F.col("id")), target), "iri"),
@@ -67,7 +71,7 @@ def skill_triples(records: DataFrame) -> DataFrame:
     ]
     needs = rows.select("graph_id", F.col("s").alias("skill"), F.explode("requirements").alias("r")).withColumn("s", hashed_node("req", 8, F.col("r.type"), F.col("r.value")))
     out.append(needs.select("graph_id", F.col("skill").alias("s"), F.lit("oc:hasRequirement").alias("p"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt")))
-    out.append(_facts(needs, ("rdf:type", F.concat(F.lit("oc:Requirement"), F.initcap("r.type")), "iri", None), ("oc:requirementValue", F.col("r.value"), "literal", "xsd:string"), ("oc:isOptional", F.coalesce("r.optional", F.lit(False)), "literal", "xsd:boolean")))
+    out.append(_facts(needs, ("rdf:type", F.concat(F.lit("oc:Requirement"), F.col("r.type")), "iri", None), ("oc:requirementValue", F.col("r.value"), "literal", "xsd:string"), ("oc:isOptional", F.coalesce("r.optional", F.lit(False)), "literal", "xsd:boolean")))
     loads = rows.where("payload is not null").select("graph_id", F.col("s").alias("skill"), F.concat(F.lit("oc:payload_"), F.substring("hash", 1, 16)).alias("s"), "payload")
     out.append(loads.select("graph_id", F.col("skill").alias("s"), F.lit("oc:hasPayload").alias("p"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt")))
     out.append(_facts(loads, ("rdf:type", F.lit("oc:ExecutionPayload"), "iri", None), ("oc:executor", F.col("payload.executor"), "literal", "xsd:string"), ("oc:code", F.col("payload.code"), "literal", "xsd:string"), ("oc:timeout", F.when(F.col("payload.timeout") != 0, F.col("payload.timeout")), "literal", "xsd:integer")))
@@ -86,10 +90,125 @@ def skill_triples(records: DataFrame) -> DataFrame:
             ("oc:stepOrder", F.col("k.step_order"), "literal", "xsd:integer"),
         )
     )
+    if "variables" in knows.select("k.*").columns:
+        out.append(_each(knows, "oc:templateVariables", F.col("k.variables"), "literal"))
+    for made, needed in ((reference_files, "reference_files"), (workflows, "workflows"), (examples, "examples")):
+        if needed in rows.columns:
+            out.append(made(rows))
     rows = reduce(DataFrame.unionByName, out)
     return distinct_triples(rows.select("graph_id", "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_dt", F.lit(None).cast("string").alias("o_lang")))
 
 
+def content_node(prefix: str, kind: str, *parts: Column) -> Column:
+    """The node of a part of a skill's content: the record's hash, the kind of part and what tells it apart."""
+    return hashed_node(prefix, 16, F.col("hash"), F.lit(kind), *parts)
+
+
+def _link(rows: DataFrame, s: str, p: str, o: str) -> DataFrame:
+    """A link from a column to another."""
+    return rows.select("graph_id", F.col(s).alias("s"), F.lit(p).alias("p"), F.col(o).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt")).where("o is not null")
+
+
+def reference_files(rows: DataFrame) -> DataFrame:
+    """Triples of reference files; hash, size and type come from the file of the same path, where there is one."""
+    refs = rows.select("graph_id", "hash", F.col("s").alias("skill"), "files" if "files" in rows.columns else F.lit(None).cast("array<struct<relative_path:string,content_hash:string,file_size:bigint,mime_type:string>>").alias("files"), F.explode("reference_files").alias("r"))
+    refs = refs.withColumn("s", content_node("ref", "ref", F.col("r.relative_path"))).withColumn("f", F.try_element_at(F.filter("files", lambda f: f["relative_path"] == F.col("r.relative_path")), F.lit(-1)))
+    text = "xsd:string"
+    return _link(refs, "skill", "oc:hasReferenceFile", "s").union(_facts(
+        refs,
+        ("rdf:type", F.lit("oc:ReferenceFile"), "iri", None),
+        ("oc:filePath", F.col("r.relative_path"), "literal", text),
+        ("oc:purpose", F.col("r.purpose"), "literal", text),
+        ("oc:fileHash", F.col("f.content_hash"), "literal", text),
+        ("oc:fileSize", F.col("f.file_size"), "literal", "xsd:integer"),
+        ("oc:fileMimeType", F.col("f.mime_type"), "literal", text),
+    ))
+
+
+def workflows(rows: DataFrame) -> DataFrame:
+    """Triples of workflows and their steps. What a step depends on is a link to a step of the same workflow; see `unresolved_steps` for names that are none."""
+    text = "xsd:string"
+    flows = rows.select("graph_id", "hash", F.col("s").alias("skill"), F.explode("workflows").alias("w")).withColumn("s", content_node("wf", "workflow", F.col("w.workflow_id")))
+    out = _link(flows, "skill", "oc:hasWorkflow", "s").union(_facts(flows, ("rdf:type", F.lit("oc:Workflow"), "iri", None), ("oc:workflowId", F.col("w.workflow_id"), "literal", text), ("oc:workflowName", F.col("w.name"), "literal", text), ("dcterms:description", F.col("w.description"), "literal", text)))
+    node = lambda step: content_node("step", "step", F.concat_ws("_", F.col("w.workflow_id"), step))
+    steps = flows.select("graph_id", "hash", F.col("s").alias("flow"), "w", F.explode("w.steps").alias("t")).withColumn("s", node(F.col("t.step_id")))
+    out = out.union(_link(steps, "flow", "oc:hasStep", "s")).union(_facts(steps, ("rdf:type", F.lit("oc:WorkflowStep"), "iri", None), ("oc:stepId", F.col("t.step_id"), "literal", text), ("dcterms:description", F.col("t.description"), "literal", text), ("oc:expectedOutcome", F.nullif("t.expected_outcome", F.lit("")), "literal", text)))
+    needs = steps.select("graph_id", "hash", "s", "w", F.explode("t.depends_on").alias("need")).where(F.array_contains("w.steps.step_id", F.col("need"))).withColumn("o", node(F.col("need")))
+    return out.union(_link(needs, "s", "oc:stepDependsOn", "o"))
+
+
+def unresolved_steps(records: DataFrame) -> DataFrame:
+    """(id, workflow_id, step_id, need): dependencies on steps that their workflow doesn't have."""
+    flows = records.select("id", F.explode("workflows").alias("w"))
+    steps = flows.select("id", "w", F.explode("w.steps").alias("t")).select("id", "w", "t", F.explode("t.depends_on").alias("need"))
+    return steps.where(~F.array_contains("w.steps.step_id", F.col("need"))).select("id", F.col("w.workflow_id").alias("workflow_id"), F.col("t.step_id").alias("step_id"), "need")
+
+
+def examples(rows: DataFrame) -> DataFrame:
+    """Triples of examples, told apart by their place, so that two of one name don't meet."""
+    text = "xsd:string"
+    found = rows.select("graph_id", "hash", F.col("s").alias("skill"), F.posexplode("examples").alias("n", "e")).withColumn("s", content_node("ex", "example", F.concat_ws(":", F.col("n").cast("string"), "e.name")))
+    out = _link(found, "skill", "oc:hasExample", "s").union(_facts(found, ("rdf:type", F.lit("oc:Example"), "iri", None), ("oc:exampleName", F.col("e.name"), "literal", text), ("oc:inputDescription", F.col("e.input_description"), "literal", text), ("oc:outputExample", F.col("e.output_example"), "literal", text)))
+    return out.union(_each(found, "oc:hasTag", F.col("e.tags"), "literal"))
+
+
+# Of each list of content, its class, the relation to it, the prefix and kind of its nodes, and the predicates of content, kind and annotation.
+FLAT = {
+    "code_blocks": ("CodeExample", "hasCodeExample", "code", "code", "codeContent", "codeLanguage"),
+    "tables": ("Table", "hasTable", "tab", "table", "tableMarkdown", "tableCaption"),
+    "flowcharts": ("Flowchart", "hasFlowchart", "flow", "flow", "flowchartSource", "flowchartType"),
+    "templates": ("Template", "hasTemplate", "tmpl", "tmpl", "templateContent", "templateVariables"),
+    "procedures": ("Workflow", "hasWorkflow", "wf", "proc", None, None),
+}
+ANNOTATED = {"code_blocks": ("codePurpose", "codeContext"), "tables": ("tablePurpose",), "flowcharts": ("flowchartDescription",), "templates": ("templateType",)}
+BLOCK_TYPES = {"code_blocks": "code_block", "tables": "table", "flowcharts": "flowchart", "templates": "template", "procedures": "ordered_procedure"}
+
+
+def flat_triples(lists: DataFrame, documents: DataFrame, annotations: DataFrame | None = None, steps: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """Triples of a document's typed lists, for documents without sections: never both.
+
+    lists: rows of `markdown.flat_lists`; documents: (doc_id, hash, skill); annotations: (doc_id, list, idx, first, second), what is said of the list's block of that place;
+    steps: (doc_id, block_id, position, text) of procedures; sections: (doc_id, ...) of documents that have a section tree.
+    """
+    text = "xsd:string"
+    rows = lists.join(documents, "doc_id") if sections is None else lists.join(documents, "doc_id").join(sections.select("doc_id"), "doc_id", "left_anti")
+    if annotations is not None:
+        rows = rows.join(annotations.groupBy("doc_id", "list", "idx").agg(F.min(F.struct("first", "second")).alias("said")), ["doc_id", "list", "idx"], "left")
+    rows = rows.withColumn("graph_id", F.col("doc_id").cast("string"))
+    out = []
+    for name, (kind, relation, prefix, part, content, told) in FLAT.items():
+        apart = {"code_blocks": F.coalesce("language", F.lit("")), "tables": F.coalesce(F.nullif("caption", F.lit("")), F.lit("untitled")), "flowcharts": F.coalesce("language", F.lit("")), "templates": F.array_join("variables", ","), "procedures": None}[name]
+        number = F.col("idx").cast("string")
+        some = rows.where(F.col("list") == name).withColumn("s", content_node(prefix, part, number if apart is None else F.concat_ws(":", number, apart)))
+        facts = [("rdf:type", F.lit(f"oc:{kind}"), "iri", None), ("oc:blockType", F.lit(BLOCK_TYPES[name]), "literal", text), ("oc:contentOrder", F.col("idx") + 1, "literal", "xsd:integer")]
+        if content:
+            facts.append((f"oc:{content}", F.col("content"), "literal", text))
+        if name in ("code_blocks", "flowcharts"):
+            facts.append((f"oc:{told}", F.coalesce("language", F.lit("")), "literal", text))
+        if name == "code_blocks":
+            facts.append(("oc:sourceLocation", F.concat(F.lit("lines "), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string")), "literal", text))
+        if name == "tables":
+            facts += [("oc:tableCaption", F.nullif("caption", F.lit("")), "literal", text), ("oc:rowCount", F.col("row_count"), "literal", "xsd:integer")]
+        if name == "procedures":
+            facts += [("oc:workflowId", F.concat(F.lit("procedure_"), number), "literal", text), ("oc:workflowName", F.lit("Ordered Procedure"), "literal", text)]
+        if annotations is not None:
+            facts += [(f"oc:{p}", F.col(f"said.{c}"), "literal", text) for p, c in zip(ANNOTATED.get(name, ()), ("first", "second"), strict=False)]
+        out += [_link(some, "skill", f"oc:{relation}", "s"), _facts(some, *facts)]
+        if name == "templates":
+            out.append(_each(some, "oc:templateVariables", F.col("variables"), "literal"))
+        if name == "procedures" and steps is not None:
+            done = some.withColumnRenamed("s", "flow").select("doc_id", "graph_id", "hash", "idx", "flow", "block_id").join(steps, ["doc_id", "block_id"]).withColumn("s", content_node("step", "step", F.concat_ws("_", number, F.col("position").cast("string"))))
+            out += [_link(done, "flow", "oc:hasStep", "s"), _facts(done, ("rdf:type", F.lit("oc:WorkflowStep"), "iri", None), ("oc:blockType", F.lit("workflow_step"), "literal", text), ("oc:stepId", F.concat(F.lit("step_"), F.col("position").cast("string")), "literal", text), ("dcterms:description", F.col("text"), "literal", text), ("oc:stepOrder", F.col("position"), "literal", "xsd:integer"))]
+    made = reduce(DataFrame.unionByName, out)
+    return distinct_triples(made.select("graph_id", "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_dt", F.lit(None).cast("string").alias("o_lang")))
+
+
+def known_ids_text(skills: DataFrame) -> str:
+    """A line `id: description`, of at most 120 characters of it, for each skill (id, description), sorted; a text for a request, so for as many skills as one can take."""
+    rows = skills.select(F.concat(F.col("id"), F.lit(": "), F.substring(F.coalesce("description", F.lit("")), 1, 120)).alias("line"), "id")
+    return "\n".join(r.line for r in rows.orderBy("id").toLocalIterator())
+
+
 # The class of each kind of block and where its content goes.
 BLOCK_CLASSES = {"paragraph": ("Paragraph", "textContent"), "code_block": ("CodeExample", "codeContent"), "table": ("Table", "tableMarkdown"), "flowchart": ("Flowchart", "flowchartSource"), "template": ("Template", "templateContent"), "bullet_list": ("BulletList", "textContent"), "ordered_procedure": ("Workflow", "textContent"), "blockquote": ("BlockQuote", "quoteContent"), "html_block": ("HTMLBlock", "htmlContent"), "frontmatter": ("FrontmatterBlock", "rawYaml"), "bullet_item": ("BulletItem", "itemText"), "procedure_step": ("WorkflowStep", "stepDescription")}
 
@@ -130,12 +249,16 @@ def enrich(records: DataFrame, paths: DataFrame, known: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     above = paths.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("above")).where("above <> ''")
     parents = above.join(paths.select(F.col("path").alias("above"), F.col("id").alias("parent")), "above").where("parent <> id").groupBy("id").agg(F.max_by("parent", F.length("above")).alias("parent"))
-    names = known.agg(F.collect_set("id").alias("known"))
-    rows = records.join(parents, "id", "left").crossJoin(F.broadcast(names))
-    some = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast(LIST)), lambda x: F.array_contains("known", x) & (x != F.col("id")))
+    ids = known.select(F.col("id").alias("other")).distinct()
+    every = [records.select("id", F.lit(c).alias("relation"), F.posexplode(F.coalesce(F.col(c), F.array().cast(LIST))).alias("n", "other")) for c in ("extends", "depends_on", "contradicts")]
+    # relations are rows while they are looked up, so known ids meet them in one semi-join
+    kept = reduce(DataFrame.union, every).where("other <> id").join(ids, "other", "left_semi")
+    lists = kept.groupBy("id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == c, F.struct("n", "other")))), lambda x: x["other"]).alias(f"_{c}") for c in ("extends", "depends_on", "contradicts")])
+    rows = records.join(parents, "id", "left").join(lists, "id", "left")
+    some = lambda c: F.coalesce(F.col(f"_{c}"), F.array().cast(LIST))
     extends = F.array_distinct(F.concat(some("extends"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast(LIST))))
     rows = rows.withColumn("extends", extends).withColumn("contradicts", some("contradicts"))
-    return rows.withColumn("depends_on", F.array_except(some("depends_on"), "extends")).drop("parent", "known")
+    return rows.withColumn("depends_on", F.array_except(some("depends_on"), "extends")).select(records.columns)
 
 
 def valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:

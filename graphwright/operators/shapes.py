@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.operators.closure import closure
+from graphwright.operators.catalog import superclasses
 from graphwright.operators.triples import TYPE
 
 
@@ -64,15 +64,15 @@ CONSTRAINTS = (
 )
 
 
-def validate(t: DataFrame, subclasses: DataFrame, constraints: tuple[Constraint, ...] = CONSTRAINTS) -> DataFrame:
+def validate(t: DataFrame, subclasses: list[tuple[str, str]], constraints: tuple[Constraint, ...] = CONSTRAINTS) -> DataFrame:
     """(shape, focus, path, kind, value, severity, message) of each violation.
 
     Counts of all paths of all targets come from one join and one aggregation; the table of constraints is a local one.
-    Classes include their subclasses; nothing else is inferred.
+    Classes include their subclasses; nothing else is inferred. subclasses: (sub, super) pairs of a vocabulary, a map within the plan.
     """
-    up = F.broadcast(closure(subclasses, "sub", "super", reflexive=True))
+    up = F.create_map(*[x for c, above in superclasses(subclasses).items() for x in (F.lit(c), F.array(*map(F.lit, above)))])
     given = t.where(F.col("p") == TYPE).select(F.col("s").alias("focus"), F.col("o").alias("c"))
-    typed = given.join(up, F.col("c") == F.col("src"), "left").select("focus", F.coalesce("dst", "c").alias("target")).distinct()
+    typed = given.select("focus", F.explode(F.coalesce(F.element_at(up, F.col("c")), F.array("c"))).alias("target")).distinct()
     objects = [c.target[1:] for c in constraints if c.target.startswith("*")]
     typed = typed.union(t.where(F.col("p").isin(*objects)).select(F.col("o").alias("focus"), F.concat(F.lit("*"), "p").alias("target")).distinct())
     rows = [(i, c.shape, c.target, path, c.kind, c.severity, c.message, c.argument if isinstance(c.argument, int) else None, c.argument if isinstance(c.argument, str) else None, list(c.argument) if isinstance(c.argument, tuple) else None) for i, c in enumerate(constraints) for path in c.path.split("|")]

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.operators.closure import closure
+from graphwright.operators.closure import closure, reached
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')(?P<tail>@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w-]*:[\w-]+))?
@@ -307,25 +307,43 @@ def _value(e: tuple, have: list[str]) -> Column:
 _AGGREGATES = {"COUNT": F.count, "SUM": lambda c: F.sum(c.try_cast("double")), "AVG": lambda c: F.avg(c.try_cast("double")), "MIN": F.min, "MAX": F.max, "SAMPLE": F.min}
 
 
+def _variables(e) -> set[str]:
+    """The variables that an expression names."""
+    if isinstance(e, tuple) and len(e) == 2 and e[0] == "var":
+        return {e[1]}
+    return set().union(*map(_variables, e)) if isinstance(e, (tuple, list)) else set()
+
+
 class Planner:
-    """Plans over one triple table; closures are made once for each predicate."""
+    """Plans over one triple table; closures are made once for each predicate.
+
+    The graphs of the table are read as one: a triple that several of them have counts once, unless `merged` says that none repeats.
+    """
+
+    def __init__(self, t: DataFrame, merged: bool = False):
+        self.t = t if merged else t.select("s", "p", "o", "o_kind", "o_dt", "o_lang").distinct()
+        self.closures, self.made = {}, 0
 
-    def __init__(self, t: DataFrame):
-        self.t, self.closures, self.made = t, {}, 0
+    def path(self, s: tuple, p: tuple, o: tuple) -> DataFrame:
+        """(s, o) of a path of any length. With a node given at one end only what that node reaches is searched, not all pairs."""
+        edges = self.t.where((F.col("p") == p[1]) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+        if s[0] == "var" and o[0] == "var":
+            key = (p[1], p[2])
+            if key not in self.closures:
+                nodes = self.t.select("s").union(self.t.where("o_kind <> 'literal'").select("o")) if p[2] else None
+                self.closures[key] = closure(edges, reflexive=p[2], nodes=nodes)
+            return self.closures[key].select(F.col("src").alias("s"), F.col("dst").alias("o"))
+        at, near, far, here, there = (s[1], "src", "dst", "s", "o") if s[0] != "var" else (o[1], "dst", "src", "o", "s")
+        seeds = self.t.sparkSession.createDataFrame([(at,)], "node string") if p[2] else edges.where(F.col(near) == at).select(far)
+        return reached(edges, seeds, near, far).select(F.lit(at).alias(here), F.col("node").alias(there))
 
     def scan(self, s: tuple, p: tuple, o: tuple) -> DataFrame:
         if p[0] == "sequence":
             self.made += 1
             middle = ("var", f"_m{self.made}")
-            return self.join(self.scan(s, p[1], middle), self.scan(middle, p[2], o), "inner").drop(middle[1])
+            return self.scan(s, p[1], middle).join(self.scan(middle, p[2], o), middle[1]).drop(middle[1])
         if p[0] == "closure":
-            key = (p[1], p[2])
-            if key not in self.closures:
-                edges = self.t.where((F.col("p") == p[1]) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
-                nodes = self.t.select("s").union(self.t.where("o_kind <> 'literal'").select("o")) if p[2] else None
-                self.closures[key] = closure(edges, reflexive=p[2], nodes=nodes)
-            rows = self.closures[key].select(F.col("src").alias("s"), F.col("dst").alias("o"))
-            places = [("s", s), ("o", o)]
+            rows, places = self.path(s, p, o), [("s", s), ("o", o)]
         else:
             rows, places = self.t, [("s", s), ("p", p), ("o", o)]
         out: dict[str, str] = {}
@@ -342,73 +360,117 @@ class Planner:
         return rows.select(*[F.col(c).alias(v) for v, c in out.items()] or [F.lit(1).alias("_")])
 
     @staticmethod
-    def join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-        """Rows that agree on shared variables. Variables that an earlier OPTIONAL may have left unbound agree with anything only if bound."""
-        shared = [c for c in a.columns if c in b.columns]
-        return a.join(b, shared, how) if shared else a.join(b, F.lit(True), how)
-
-    def group(self, g: Group) -> DataFrame | None:
-        out: DataFrame | None = None
-        for part in g.parts:
+    def join(a: tuple[DataFrame, set[str]], b: tuple[DataFrame, set[str]], how: str = "inner", filters: list[tuple] = ()) -> tuple[DataFrame, set[str]]:
+        """Rows that agree on shared variables, and the variables that may be unbound in them.
+
+        A variable that may be unbound agrees with anything where it is. Filters hold for pairs, as those of an OPTIONAL do. Sides that share
+        no variable that is always bound would be paired row by row, which is refused; a pattern without variables only has to hold.
+        """
+        (x, open_x), (y, open_y) = a, b
+        if y.columns == ["_"]:
+            return (x.join(y.limit(1).select(F.lit(1).alias("_holds")), F.lit(True), how).drop("_holds"), open_x)
+        if x.columns == ["_"]:
+            return (y.join(x.limit(1).select(F.lit(1).alias("_holds")), F.lit(True), how).drop("_holds"), open_y)
+        shared = [c for c in x.columns if c in y.columns]
+        loose = [c for c in shared if c in open_x | open_y]
+        if len(loose) == len(shared):
+            raise QueryError("patterns must share a variable that is bound in both")
+        new = [c for c in y.columns if c not in shared]
+        y = y.select(*[F.col(c).alias(f"_of_{c}") for c in shared], *new)
+        same = F.lit(True)
+        for c in shared:
+            equal = F.col(c) == F.col(f"_of_{c}")
+            same = same & (equal | F.col(c).isNull() | F.col(f"_of_{c}").isNull() if c in loose else equal)
+        for f in filters:
+            same = same & F.coalesce(_value(f, [*x.columns, *new]), F.lit(False))
+        out = x.join(y, same, how).select(*[F.coalesce(c, f"_of_{c}").alias(c) if c in loose else F.col(c) for c in x.columns], *new)
+        bound = {c for c in loose if how == "inner" and not (c in open_x and c in open_y)}
+        return out, ((open_x | open_y) - bound) | (set(new) if how == "left" else set())
+
+    def ordered(self, parts: list[tuple]) -> list[tuple]:
+        """Parts with neighbouring triples in an order in which each shares a variable with what comes before, as far as there is one."""
+        out, left, seen = [], list(parts), set()
+        while left:
+            n = next((i for i, p in enumerate(left) if p[0] != "triple"), len(left))
+            i = next((i for i in range(n) if not seen or _variables(left[i][1:]) & seen), 0) if n else 0
+            part = left.pop(i)
+            seen |= _variables(part[1:]) if part[0] == "triple" else set()
+            out.append(part)
+        return out
+
+    def group(self, g: Group, filtered: bool = True) -> tuple[DataFrame, set[str]] | None:
+        """A group's rows, and the variables that may be unbound in them."""
+        out: tuple[DataFrame, set[str]] | None = None
+        for part in self.ordered(g.parts):
             if part[0] == "triple":
-                rows = self.scan(*part[1:])
-                out = rows if out is None else self.join(out, rows, "inner")
+                rows = (self.scan(*part[1:]), set())
+                out = rows if out is None else self.join(out, rows)
             elif part[0] == "optional":
-                rows = self.group(part[1])
-                out = rows if out is None else self.join(out, rows, "left")
+                rows = self.group(part[1], filtered=False)
+                out = rows if out is None else self.join(out, rows, "left", part[1].filters)
             elif part[0] == "union":
-                rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.group(x) for x in part[1]])
-                out = rows if out is None else self.join(out, rows, "inner")
+                sides = [self.group(x) for x in part[1]]
+                rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x for x, _ in sides])
+                missing = {c for c in rows.columns for x, _ in sides if c not in x.columns}
+                rows = (rows, missing.union(*(x for _, x in sides)))
+                out = rows if out is None else self.join(out, rows)
             else:
-                out = (out if out is not None else self.t.sparkSession.range(1).select(F.lit(1).alias("_"))).withColumn(part[1], _value(part[2], out.columns if out is not None else []).cast("string"))
-        for f in g.filters:
-            out = out.where(_value(f, out.columns))
+                df, loose = out if out is not None else (self.t.sparkSession.range(1).select(F.lit(1).alias("_")), set())
+                out = df.withColumn(part[1], _value(part[2], df.columns).cast("string")), loose
+        if out is not None and filtered:
+            df, loose = out
+            for f in g.filters:
+                df = df.where(_value(f, df.columns))
+            out = df, loose
         return out
 
     def run(self, q: Query) -> DataFrame:
-        rows = self.group(q.where)
-        if rows is None:
+        found = self.group(q.where)
+        if found is None:
             raise QueryError("nothing is asked for")
+        rows = found[0]
         names = [c for c in rows.columns if not c.startswith("_")]
         aggregates = [(n, e) for n, e in q.columns if e and e[0] == "call" and e[1] in _AGGREGATES]
+        plain = [(n, e) for n, e in q.columns if e and (n, e) not in aggregates]
         if aggregates or q.group:
+            loose = {n for n, e in q.columns if not e} | set().union(*(_variables(e) for _, e in plain))
+            if loose - set(q.group):
+                raise QueryError(f"not grouped by: {', '.join(sorted(loose - set(q.group)))}")
             made = []
             for name, (_, function, distinct, args) in aggregates:
                 column = F.lit(1) if args == [("star",)] else _value(args[0], rows.columns)
                 made.append((F.count_distinct(column) if distinct and function == "COUNT" else _AGGREGATES[function](column)).alias(name))
             rows = rows.groupBy(*q.group).agg(*made) if made else rows.select(*q.group).distinct()
-        else:
-            for name, e in q.columns:
-                if e:
-                    rows = rows.withColumn(name, _value(e, rows.columns))
+        for name, e in plain:
+            rows = rows.withColumn(name, _value(e, rows.columns))
         wanted = [n for n, _ in q.columns] or names
-        missing = [n for n in wanted if n not in rows.columns]
-        for n in missing:
+        for n in (n for n in wanted if n not in rows.columns):
             rows = rows.withColumn(n, F.lit(None).cast("string"))
-        if q.order and not q.distinct:
-            rows = rows.orderBy(*[_value(e, rows.columns).desc_nulls_last() if down else _value(e, rows.columns).asc_nulls_first() for e, down in q.order])
+        keys = [(f"_key{i}", _value(e, rows.columns), down) for i, (e, down) in enumerate(q.order)]
+        if q.distinct:  # of rows that become one the first in order counts
+            rows = rows.withColumns({k: v for k, v, _ in keys}) if keys else rows
+            rows = rows.groupBy(*wanted).agg(*[(F.max if down else F.min)(k).alias(k) for k, _, down in keys]) if keys else rows.select(*wanted).distinct()
+            rows = rows.orderBy(*[F.col(k).desc_nulls_last() if down else F.col(k).asc_nulls_first() for k, _, down in keys]) if keys else rows
+        elif keys:
+            rows = rows.orderBy(*[v.desc_nulls_last() if down else v.asc_nulls_first() for _, v, down in keys])
         rows = rows.select(*wanted)
-        if q.distinct:
-            rows = rows.distinct()
-            if q.order:
-                rows = rows.orderBy(*[_value(e, rows.columns).desc_nulls_last() if down else _value(e, rows.columns).asc_nulls_first() for e, down in q.order])
-        elif q.limit is not None and not q.order:
+        if q.limit is not None and not q.order:
             rows = rows.orderBy(*wanted)  # a limit without an order is any row; a fixed order makes it the same one each time
         if q.offset:
             rows = rows.offset(q.offset)
         return rows.limit(q.limit) if q.limit is not None else rows
 
 
-def select(t: DataFrame, text: str) -> DataFrame:
-    """The rows of a SELECT query over a triple table. Updates are refused by their form, not by words in the text."""
-    return Planner(t).run(Parser(text).query())
+def select(t: DataFrame, text: str, merged: bool = False) -> DataFrame:
+    """The rows of a SELECT query over a triple table. Updates are refused by their form, not by words in the text. `merged`: no triple repeats."""
+    return Planner(t, merged).run(Parser(text).query())
 
 
-def show(rows: DataFrame, kind: str = "table", most: int = 1000) -> str:
-    """Up to `most` rows as a table, as JSON, or as `variable: value` lines."""
+def show(rows: DataFrame, kind: str = "table") -> str:
+    """All rows as a table, as JSON, or as `variable: value` lines; a text for people, so a query should have its own limit."""
     import json
 
-    found = [r.asDict() for r in rows.limit(most).collect()]
+    found = [r.asDict() for r in rows.toLocalIterator()]
     if kind == "json":
         return json.dumps(found, ensure_ascii=False, indent=2)
     if kind == "lines":

@@ -45,21 +45,21 @@ def rsn_violations(spark, sf_dir):
 def shacl_min_count(spark, sf_dir):
     """Executable skills have no payload in this graph."""
     wanted = tuple(c for c in shapes.CONSTRAINTS if c.shape == "ExecutableSkill")
-    return shapes.validate(sg.old_graph(spark, sf_dir), catalog.subclass_edges(spark), wanted).select("shape", "focus", "path", "value")
+    return shapes.validate(sg.old_graph(spark, sf_dir), catalog.class_tree(), wanted).select("shape", "focus", "path", "value")
 
 
 @query("SELECT s AS focus, tier AS value FROM k WHERE tier NOT IN ('official', 'local')")
 def shacl_in(spark, sf_dir):
     """Values outside a list."""
     wanted = (shapes.Constraint("Tier", "oc:Skill", "oc:trustTier", "in", ("official", "local")),)
-    return shapes.validate(sg.old_graph(spark, sf_dir), catalog.subclass_edges(spark), wanted).select("focus", "value")
+    return shapes.validate(sg.old_graph(spark, sf_dir), catalog.class_tree(), wanted).select("focus", "value")
 
 
 @query("SELECT s AS focus, 'oc:skill_' || (p_partkey // 2) AS value FROM k WHERE p_partkey > 0 AND (SELECT p_size % 2 FROM part q WHERE q.p_partkey = k.p_partkey // 2) = 1")
 def shacl_class(spark, sf_dir):
     """Parents that aren't executable."""
     wanted = (shapes.Constraint("Parent", "oc:Skill", "oc:extends", "class", "oc:ExecutableSkill"),)
-    return shapes.validate(sg.old_graph(spark, sf_dir), catalog.subclass_edges(spark), wanted).select("focus", "value")
+    return shapes.validate(sg.old_graph(spark, sf_dir), catalog.class_tree(), wanted).select("focus", "value")
 
 
 @query("""SELECT severity, shape, CAST(n AS BIGINT) AS n FROM (
@@ -69,7 +69,7 @@ def shacl_class(spark, sf_dir):
   UNION ALL SELECT 'Warning', 'KnowledgeNode', count(*) FROM documents) WHERE n > 0""")
 def shacl_summary(spark, sf_dir):
     """Violations of all constraints by severity and shape."""
-    return shapes.validate(sg.graph(spark, sf_dir), catalog.subclass_edges(spark)).groupBy("severity", "shape").agg(F.count("*").alias("n"))
+    return shapes.validate(sg.graph(spark, sf_dir), catalog.class_tree()).groupBy("severity", "shape").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -86,12 +86,12 @@ def sec_scan(spark, sf_dir):
 @query("""SELECT node, section, CAST(shared AS BIGINT) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY shared DESC, section) AS i FROM (
   SELECT node, section, count(DISTINCT word) AS shared FROM
     (SELECT s_suppkey AS node, unnest(list_distinct(list_filter(regexp_split_to_array(lower(context), '[^\\p{L}\\p{N}_]+'), lambda w: w <> ''))) AS word FROM (SELECT s_suppkey, p_name || ' ' || p_type AS context FROM supplier JOIN part ON p_partkey = s_suppkey * 3))
-    JOIN (SELECT p_partkey AS section, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part WHERE p_partkey < 200) USING (word) GROUP BY node, section) WHERE shared >= 2) WHERE i = 1""", skills=False)
+    JOIN (SELECT p_partkey AS section, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name)) USING (word) GROUP BY node, section) WHERE shared >= 2) WHERE i = 1""", skills=False)
 def link_derived_section(spark, sf_dir):
-    """Contexts and titles that share words, on suppliers and parts."""
+    """Contexts and titles that share words: suppliers stand for contexts and parts for titles. Parts of one name are one title, with the least key, as the first of equals wins."""
     part = table(spark, sf_dir, "part")
     contexts = table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey") * 3).select(F.col("s_suppkey").alias("node"), F.lit(1).alias("scope"), F.concat_ws(" ", "p_name", "p_type").alias("context"))
-    titles = part.where("p_partkey < 200").select(F.col("p_partkey").alias("section"), F.lit(1).alias("scope"), F.col("p_name").alias("title"))
+    titles = part.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("section")).withColumn("scope", F.lit(1))
     return links.best_sections(contexts, titles)
 
 
@@ -144,22 +144,22 @@ def reg_resolve(spark, sf_dir):
 @query("SELECT s, p_name AS n, CASE WHEN p_partkey > 0 THEN 'oc:skill_' || (p_partkey // 2) END AS parent FROM k WHERE skill_type = 'executable' AND contains(p_name, 'ring') AND tier IN ('official', 'local')")
 def sparql_optional_filter(spark, sf_dir):
     """Query text with a type, an OPTIONAL and filters."""
-    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?s ?n ?parent WHERE { ?s a oc:ExecutableSkill ; oc:nature ?n ; oc:trustTier ?t . OPTIONAL { ?s oc:extends ?parent } FILTER(CONTAINS(?n, \"ring\") && ?t IN (\"official\", \"local\")) }")
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?s ?n ?parent WHERE { ?s a oc:ExecutableSkill ; oc:nature ?n ; oc:trustTier ?t . OPTIONAL { ?s oc:extends ?parent } FILTER(CONTAINS(?n, \"ring\") && ?t IN (\"official\", \"local\")) }", merged=True)
 
 
 @query("SELECT p_type AS c, CAST(count(*) AS BIGINT) AS n FROM k WHERE lower(p_name) LIKE '%widget%' GROUP BY p_type")
 def sparql_group_count(spark, sf_dir):
     """Query text with an aggregate."""
-    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?c (COUNT(DISTINCT ?s) AS ?n) WHERE { ?s oc:hasCategory ?c . ?s oc:resolvesIntent ?i FILTER(LCASE(?i) = \"widget\") } GROUP BY ?c")
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?c (COUNT(DISTINCT ?s) AS ?n) WHERE { ?s oc:hasCategory ?c . ?s oc:resolvesIntent ?i FILTER(LCASE(?i) = \"widget\") } GROUP BY ?c", merged=True)
 
 
 @query(", p(src, dst) AS (SELECT src, dst FROM ups UNION SELECT p.src, ups.dst FROM p JOIN ups ON p.dst = ups.src) SELECT dst AS a, 'part-' || substr(dst, 10) AS id FROM p WHERE src = 'oc:skill_777' ORDER BY a LIMIT 5")
 def sparql_path(spark, sf_dir):
     """Query text with a path of any length, an order and a limit."""
-    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?a ?id WHERE { oc:skill_777 oc:extends+ ?a . ?a dcterms:identifier ?id } ORDER BY ?a LIMIT 5")
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?a ?id WHERE { oc:skill_777 oc:extends+ ?a . ?a dcterms:identifier ?id } ORDER BY ?a LIMIT 5", merged=True)
 
 
 @query("SELECT s, 'needs' AS role, requires AS state FROM k WHERE p_type = 'PROMO' UNION ALL SELECT s, 'gives', yields FROM k WHERE p_type = 'PROMO'")
 def sparql_union(spark, sf_dir):
     """Query text with UNION and BIND."""
-    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?s ?role ?state WHERE { ?s oc:hasCategory \"PROMO\" . { ?s oc:requiresState ?state . BIND(\"needs\" AS ?role) } UNION { ?s oc:yieldsState ?state . BIND(\"gives\" AS ?role) } }")
+    return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?s ?role ?state WHERE { ?s oc:hasCategory \"PROMO\" . { ?s oc:requiresState ?state . BIND(\"needs\" AS ?role) } UNION { ?s oc:yieldsState ?state . BIND(\"gives\" AS ?role) } }", merged=True)

@@ -43,20 +43,50 @@ def html_sections(spark, sf_dir):
     return markdown.html_headings(table(spark, sf_dir, "pages"))
 
 
-@query()
+_EVEN = [0, 2, 4, 6, 8]
+
+
+def _even_states(brand: int) -> list[str]:
+    return [f"oc:S_Brand_{brand}_{n}" for n in _EVEN]
+
+
+@query(""", had AS (SELECT 'oc:S_Brand_' || b || '_' || n AS state FROM range(1, 26) r(b), (VALUES (0), (2), (4), (6), (8)) v(n)),
+first AS (SELECT yields AS state, min(id) AS producer FROM k WHERE requires IN (SELECT state FROM had) GROUP BY yields)
+SELECT id, requires AS state, producer FROM k LEFT JOIN first ON first.state = requires WHERE requires NOT IN (SELECT state FROM had)""")
+def plan_direct(spark, sf_dir):
+    """For every skill each state missing, and the skill to run for it."""
+    return planner.direct_plans(skills(spark, sf_dir), [s for b in range(1, 26) for s in _even_states(b)])
+
+
+@query(""", me AS (SELECT * FROM k WHERE id = 'part-7'), had AS (SELECT replace(requires, regexp_extract(requires, '[0-9]+$'), '') || n AS state FROM me, (VALUES (0), (2), (4), (6), (8)) v(n)),
+maker AS (SELECT min(id) AS id FROM k WHERE yields = (SELECT requires FROM me) AND requires IN (SELECT state FROM had) AND id <> 'part-7')
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS n, step, (SELECT requires IN (SELECT state FROM had) OR maker.id IS NOT NULL FROM me, maker) AS applicable FROM (
+  SELECT 0 AS o, maker.id AS step FROM maker, me WHERE me.requires NOT IN (SELECT state FROM had) AND maker.id IS NOT NULL UNION ALL SELECT 1, id FROM me)""")
 def plan_bounded(spark, sf_dir):
-    """A plan for one intent from no states, its steps a row each."""
-    plan = planner.evaluate(skills(spark, sf_dir), ["oc:S_Brand_1_1"], skill_id="part-7", depth=2)
-    return spark.createDataFrame([(i, s, plan["applicable"]) for i, s in enumerate(plan["steps"])], "n int, step string, applicable boolean")
+    """A plan for one skill, with the default depth, from the even states of its brand; a row for each step."""
+    wide = skills(spark, sf_dir)
+    brand = wide.where("id = 'part-7'").first().requires_state[0].split("_")[2]
+    plan = planner.evaluate(wide, _even_states(brand), skill_id="part-7")
+    return spark.createDataFrame([(i, s["skill_id"], plan["applicable"]) for i, s in enumerate(plan["plan_steps"])], "n int, step string, applicable boolean")
 
 
-@query()
+@query(""", had(state, depth) AS (SELECT 'oc:S_Brand_' || b || '_0', 0 FROM range(1, 26) r(b) UNION SELECT yields, depth + 1 FROM had JOIN k ON requires = state WHERE depth < 10)
+SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM had JOIN k ON requires = state GROUP BY id""")
 def plan_forward(spark, sf_dir):
-    """Skills that can run after some rounds."""
-    return planner.first_steps(skills(spark, sf_dir))
+    """When each skill can run, from the first state of each brand."""
+    return planner.first_steps(skills(spark, sf_dir), [f"oc:S_Brand_{b}_0" for b in range(1, 26)])
 
 
-@query()
+@query(""", n AS (SELECT count(*) AS n FROM part),
+kn AS (SELECT doc_id % n AS p_partkey, 'oc:kn_' || doc_id AS node, doc_id % 5 AS kind, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text,
+  CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'CRITICAL' WHEN quality = 0 THEN 'HIGH' ELSE 'LOW' END AS severity FROM documents LEFT JOIN labels l USING (doc_id), n),
+told AS (SELECT *, sum(strlen(text) + 80) OVER (PARTITION BY p_partkey ORDER BY CASE kind WHEN 4 THEN 0 WHEN 1 THEN 3 ELSE 99 END, node) AS used, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE kind WHEN 4 THEN 0 WHEN 1 THEN 3 ELSE 99 END, node) AS place FROM kn WHERE text <> ''),
+lines AS (SELECT p_partkey, string_agg('  ' || ['STANDARD', 'HEURISTIC', 'KNOWN ISSUE', 'SIDE EFFECT', 'PROCEDURE'][kind + 1] || CASE WHEN source <> '' THEN ' (' || source || ')' ELSE '' END || CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN ' [' || severity || ']' ELSE '' END || ':' || chr(10) || '  ' || text, chr(10) ORDER BY place) AS body FROM told WHERE used <= 12000 GROUP BY p_partkey)
+SELECT s AS uri, '## ' || id || chr(10) || 'Intents: ' || (SELECT string_agg(intent, '; ' ORDER BY intent) FROM intents i WHERE i.p_partkey = k.p_partkey) || chr(10) || 'Requires: ' || p_brand
+  || CASE WHEN k.p_partkey IN (SELECT p_partkey FROM told) THEN chr(10) || coalesce(chr(10) || body, '') ELSE '' END AS text FROM k LEFT JOIN lines USING (p_partkey)""")
 def ctx_compact(spark, sf_dir):
-    """Each skill's own knowledge as text within the budget."""
-    return render.contexts(catalog.knowledge(sg.graph(spark, sf_dir), inherited=False))
+    """Each skill's context as text within the budget: intents, requirements and its own knowledge."""
+    t = sg.graph(spark, sf_dir)
+    needs = catalog.requirements(t).groupBy("uri").agg(F.array_sort(F.collect_set("value")).alias("requirements"))
+    heads = catalog.skills(t).join(needs, "uri", "left").select("uri", "id", "genus", "differentia", "intents", "requirements")
+    return render.contexts(heads, catalog.knowledge(t, inherited=False))

@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.sources.scratch import stored
+
 # Fence languages that are flowcharts, and those that may hold a template.
 CHARTS = {"dot": "graphviz", "graphviz": "graphviz", "mermaid": "mermaid"}
-NEUTRAL = ("", "text", "txt", "markdown", "md", "plaintext")
+NEUTRAL = ("", "text", "markdown", "md", "prompt", "jinja", "j2", "jinja2", "template")
+#: Lists within lists beyond this depth aren't read.
+MAX_NESTING = 20
 VARIABLE = re.compile(r"\{([A-Za-z_]\w*)\}")
 
 BLOCKS = "block_id string, parent_block_id string, block_type string, line_start int, line_end int, content_order int, level int, language string, content string, caption string, row_count int, attribution string, variables array<string>, position int"
@@ -62,12 +66,23 @@ def fence_block(number: str, language: str, content: str, start: int, end: int)
 class Reader:
     """Blocks of one text, ids blk_1, blk_2 and so on in order; children of items are blk_n_item_k."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, depth: int = 0):
         self.lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         self.blocks: list[Block] = []
+        self.depth, self.made = depth, 0
 
     def _new(self) -> str:
-        return f"blk_{sum(b.parent_block_id is None for b in self.blocks) + 1}"
+        """The id of the next top-level block."""
+        self.made += 1
+        return f"blk_{self.made}"
+
+    def _filled(self, at: int, step: int) -> str | None:
+        """The next line that isn't blank, from a place on, forwards or backwards."""
+        while 0 <= at < len(self.lines):
+            if self.lines[at].strip():
+                return self.lines[at]
+            at += step
+        return None
 
     def read(self) -> list[Block]:
         at = 0
@@ -129,8 +144,8 @@ class Reader:
         end = at + 2
         while end < len(self.lines) and "|" in self.lines[end] and self.lines[end].strip():
             end += 1
-        before = next((x.strip() for x in reversed(self.lines[:at]) if x.strip()), None)
-        caption = None if before is None or before.startswith("|") else before.rstrip(":")
+        before = self._filled(at - 1, -1)
+        caption = None if before is None or before.strip().startswith("|") else before.strip().rstrip(":")
         self.blocks.append(Block(self._new(), "table", at + 1, end, "\n".join(self.lines[at:end]), caption=caption, row_count=end - at - 2))
         return end
 
@@ -157,7 +172,7 @@ class Reader:
                     break
                 items.append((end, len(m[1]) + len(m[2]) + 1, [m[3] or ""]))
             elif not line.strip():
-                ahead = next((x for x in self.lines[end + 1 :] if x.strip()), None)
+                ahead = self._filled(end + 1, 1)
                 m = _ITEM.match(ahead) if ahead is not None else None
                 same = m and len(m[1]) <= indent + 1 and m[2][0].isdigit() == ordered
                 if not same and (ahead is None or len(ahead) - len(ahead.lstrip()) <= indent):
@@ -173,7 +188,7 @@ class Reader:
         texts = []
         children: list[Block] = []
         for k, (start, _, lines) in enumerate(items, 1):
-            inner = Reader("\n".join(lines)).read()
+            inner = Reader("\n".join(lines), self.depth + 1).read() if self.depth < MAX_NESTING else []
             head = inner[0].content if inner and inner[0].block_type == "paragraph" else ""
             texts.append(head)
             item = f"{number}_item_{k}"
@@ -254,3 +269,42 @@ def html_headings(pages: DataFrame, id_column: str = "page_id", html_column: str
     found = F.regexp_extract_all(html_column, F.lit("(?is)<h([1-6])[^>]*>.*?</h[1-6]>"), 0)
     rows = pages.select(F.col(id_column).alias("page_id"), F.posexplode(found).alias("n", "h"))
     return rows.select("page_id", "n", F.regexp_extract("h", "(?i)^<h([1-6])", 1).cast("int").alias("level"), F.trim(F.regexp_replace("h", "(?s)<[^>]*>", "")).alias("title"))
+
+
+# The lists that content of sections is sorted into, by kind of block.
+LISTS = {"code_block": "code_blocks", "table": "tables", "flowchart": "flowcharts", "ordered_procedure": "procedures", "template": "templates"}
+
+
+def flat_lists(found: DataFrame) -> DataFrame:
+    """(doc_id, list, idx, block_id, content, language, caption, row_count, variables, line_start, line_end): blocks of typed lists in the order of the section tree,
+    which is that of the text, numbered from 0 in each list."""
+    names = F.create_map(*[F.lit(x) for pair in LISTS.items() for x in pair])
+    rows = found.where(F.col("block_type").isin(*LISTS) & F.col("parent_block_id").isNull()).withColumn("list", names[F.col("block_type")])
+    order = Window.partitionBy("doc_id", "list").orderBy("line_start", "block_id")
+    return rows.select("doc_id", "list", (F.row_number().over(order) - 1).alias("idx"), "block_id", "content", "language", "caption", "row_count", "variables", "line_start", "line_end")
+
+
+def hydrate(skeleton: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections and their content from a skeleton of block ids and the blocks.
+
+    skeleton: (doc_id, node, parent_node, ord, block_id), ord giving the order of a document's nodes in the walk of the tree. Nodes whose block is missing or is a child
+    of a list item are left out with all below them. A heading is a section under its parent's; whatever stands at the root without being one goes to a preamble of
+    level 0. Returns (doc_id, section_id, parent_section_id, title, level, ord) and (doc_id, section_id, block_id, content_order). One join to blocks, then a
+    join for each level of the tree.
+    """
+    blocks_ = found.select("doc_id", "block_id", "block_type", "parent_block_id", F.col("content").alias("title"), "level")
+    nodes = skeleton.join(blocks_, ["doc_id", "block_id"]).where("parent_block_id is null").drop("parent_block_id")
+    heading = F.col("block_type") == "heading"
+    here = F.when(heading, F.col("block_id"))
+    front = nodes.where("parent_node is null").select("doc_id", "node", "block_id", "ord", "title", "level", heading.alias("heading"), F.coalesce(here, F.lit("preamble")).alias("section_id"), F.when(heading, F.lit(None).cast("string")).otherwise(F.lit("preamble")).alias("within"))
+    front = every = stored(front)
+    while not front.isEmpty():
+        below = nodes.join(front.select("doc_id", F.col("node").alias("parent_node"), F.col("section_id").alias("up")), ["doc_id", "parent_node"])
+        front = stored(below.select("doc_id", "node", "block_id", "ord", "title", "level", heading.alias("heading"), F.coalesce(here, F.col("up")).alias("section_id"), F.col("up").alias("within")))
+        every = every.union(front)
+    order = Window.partitionBy("doc_id", "parent_section_id").orderBy("ord")
+    heads = every.where("heading").select("doc_id", "section_id", F.col("within").alias("parent_section_id"), "title", "level", "ord").withColumn("ord", F.row_number().over(order))
+    preamble = every.where("not heading and section_id = 'preamble'").select("doc_id").distinct()
+    sections_ = heads.union(preamble.select("doc_id", F.lit("preamble"), F.lit(None).cast("string"), F.lit(""), F.lit(0), F.lit(0)))
+    content = every.where("not heading").withColumn("content_order", F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("ord"))).select("doc_id", "section_id", "block_id", "content_order")
+    return sections_, content

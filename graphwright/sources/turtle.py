@@ -250,24 +250,36 @@ def write_turtle(t: DataFrame, path: str, base: str) -> None:
     render(t).repartition("graph_id").mapInArrow(batches, "graph_id string, value string").write.partitionBy("graph_id").text(path)
 
 
-def imports(spark: SparkSession, root: str, limit: int = 10_000) -> list[str]:
-    """The files that a manifest imports, directly or not, in the order found; the manifest first. Missing files are skipped.
+def imports(spark: SparkSession, root: str) -> list[str]:
+    """The files that a manifest imports, directly or not, level by level, each once; the manifest first. Missing files are skipped.
 
-    Follows owl:imports as statements, all of a list; https imports stand for the file of that name beside the importer.
+    Follows owl:imports as statements, all of a list; https imports stand for the file of that name beside the importer. A level of files is
+    read by one job, in which each file's imports are found where it lies; what goes to the driver is their names.
     """
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found: list[str] = []
-    todo = [root]
-    while todo and len(found) < limit:
-        path = todo.pop(0)
-        at = fs_path(path)
-        if path in found or not at.getFileSystem(conf).exists(at):
-            continue
-        found.append(path)
-        text = spark.read.text(path, wholetext=True).first().value
-        for _, _, p, o, kind, _, _ in parse(text, path):
-            if p == "owl:imports" and kind == "iri":
-                local = f"{path.rsplit('/', 1)[0]}/{o.rsplit('/', 1)[-1]}"
-                todo.append(local if o.startswith("http") else o.removeprefix("file://"))
-    return found
+    from graphwright.sources.files import existing
+
+    found: dict[str, None] = {}
+    todo = existing(spark, [root])
+    while todo:
+        found |= dict.fromkeys(todo)
+        links = read_turtle(spark, *todo).where("p = 'owl:imports' and o_kind = 'iri'").select(F.col("graph_id").alias("path"), "o").orderBy("path", "o").collect()
+        named = [f"{r.path.rsplit('/', 1)[0]}/{r.o.rsplit('/', 1)[-1]}" if r.o.startswith("http") else r.o.removeprefix("file://") for r in links]
+        todo = [p for p in existing(spark, list(dict.fromkeys(named))) if p not in found and p.removeprefix("file://") not in found]
+    return list(found)
+
+
+def load(spark: SparkSession, root: str) -> DataFrame:
+    """The triple table of a folder: what system/index.enabled.ttl imports, or else what system/index.ttl does, or else all Turtle files below it.
+
+    No file at all is an error (FileNotFoundError).
+    """
+    from graphwright.sources.files import existing
+
+    for manifest in (f"{root}/system/index.enabled.ttl", f"{root}/system/index.ttl"):
+        if existing(spark, [manifest]):
+            return read_turtle(spark, *imports(spark, manifest))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.ttl").load(root).select("path") if existing(spark, [root]) else None
+    paths = [r.path for r in files.orderBy("path").collect()] if files is not None else []
+    if not paths:
+        raise FileNotFoundError(f"no ontology below {root}")
+    return read_turtle(spark, *paths)
