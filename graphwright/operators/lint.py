@@ -51,15 +51,14 @@ def duplicate_intents(t: DataFrame) -> DataFrame:
 
 
 def workflow_cycles(t: DataFrame) -> DataFrame:
-    """Every workflow with steps that depend on each other in a circle."""
+    """Every workflow with steps that depend on each other in a circle. A step names what it depends on by its node or by its id."""
     steps = facts(t, "oc:hasStep", "workflow", "step")
-    ids = facts(t, "oc:stepId", "step", "id")
-    needs = facts(t, "oc:stepDependsOn", "step", "needs")
-    named = steps.join(ids, "step")
-    edges = named.join(needs, "step").select("workflow", F.concat_ws("\t", "workflow", "id").alias("src"), F.concat_ws("\t", "workflow", "needs").alias("dst"))
-    edges = edges.join(named.select(F.concat_ws("\t", "workflow", "id").alias("dst")), "dst", "left_semi")
-    rows = on_cycles(edges).select(F.split("node", "\t").alias("x"))
-    return _issues(rows, "error", "workflow-cycle", local_name(F.element_at("x", 1)), F.element_at("x", 2))
+    named = steps.join(facts(t, "oc:stepId", "step", "id"), "step")
+    needs = named.join(facts(t, "oc:stepDependsOn", "step", "need"), "step").select("workflow", F.col("step").alias("src"), "need")
+    by_node = needs.join(named.select("workflow", F.col("step").alias("need")), ["workflow", "need"], "left_semi").select("src", F.col("need").alias("dst"))
+    by_id = needs.join(named.select("workflow", F.col("id").alias("need"), F.col("step").alias("dst")), ["workflow", "need"]).select("src", "dst")
+    rows = on_cycles(by_node.union(by_id)).withColumnRenamed("node", "step").join(named, "step")
+    return _issues(rows, "error", "workflow-cycle", local_name(F.col("workflow")), F.col("id"))
 
 
 def person_pattern(phrase: str) -> str:

@@ -35,12 +35,6 @@ def rsn_chain(spark, sf_dir):
     return reason.chains(sg.graph(spark, sf_dir).where("o_kind <> 'literal'").select("s", "p", "o"))
 
 
-@query("SELECT 'asymmetric' AS kind, a.src AS s, 'oc:dependsOnSkill' AS p, a.dst AS o FROM deps a JOIN deps b ON a.src = b.dst AND a.dst = b.src")
-def rsn_violations(spark, sf_dir):
-    """Links against axioms."""
-    return reason.violations(sg.old_graph(spark, sf_dir))
-
-
 @query("SELECT 'ExecutableSkill' AS shape, s AS focus, 'oc:hasPayload' AS path, '0' AS value FROM k WHERE skill_type = 'executable'")
 def shacl_min_count(spark, sf_dir):
     """Executable skills have no payload in this graph."""

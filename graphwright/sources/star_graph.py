@@ -84,3 +84,98 @@ def new_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = skill_triples(part, "new")
     renamed = (F.col("p") == "oc:resolvesIntent") & F.startswith("s", F.lit("oc:skill_")) & (F.when(F.startswith("s", F.lit("oc:skill_")), F.substring_index("s", "_", -1)).try_cast("bigint") % 7 == 0)
     return t.withColumn("o", F.when(renamed, F.concat("o", F.lit("_v2"))).otherwise(F.col("o")))
+
+
+def content_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What skills hold: payloads, aliases, sections with code and tables, notes, and workflows of two steps, each derived from a part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    node = lambda name: F.concat(F.lit(f"oc:{name}_"), k.cast("string"))
+    said = lambda text: F.concat(F.lit(text), k.cast("string"))
+    one_of = lambda *words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    skill, iri, text = _node(k), "iri", None
+    even, loops = k % 2 == 0, k % 7 == 0
+    plan: list[tuple[Column, str, Column, str | None, Column | None]] = [
+        (skill, "oc:hasPayload", node("pay"), iri, F.col("p_size") % 2 == 0),
+        (node("pay"), "rdf:type", F.lit("oc:ExecutionPayload"), iri, F.col("p_size") % 2 == 0),
+        (node("pay"), "oc:executor", one_of("shell", "python", "cobol"), text, F.col("p_size") % 2 == 0),
+        (node("pay"), "oc:code", said("run "), text, (F.col("p_size") % 2 == 0) & (k % 4 != 0)),
+        (node("pay"), "oc:timeout", F.when(k % 10 == 0, said("soon ")).otherwise((k % 60).cast("string")), text, (F.col("p_size") % 2 == 0) & (k % 5 == 0)),
+        (skill, "oc:hasAlias", said("al_"), text, k % 10 == 0),
+        (skill, "oc:hasSection", node("sec"), iri, None),
+        (node("sec"), "rdf:type", F.lit("oc:Section"), iri, None),
+        (node("sec"), "oc:sectionTitle", F.col("p_name"), text, None),
+        (node("sec"), "oc:sectionOrder", F.lit("1"), text, None),
+        (node("sec"), "oc:hasSubsection", node("sub"), iri, None),
+        (node("sub"), "rdf:type", F.lit("oc:Section"), iri, None),
+        (node("sub"), "oc:sectionTitle", one_of("Best practice", "Details", "Recommended way"), text, None),
+        (node("sub"), "oc:sectionOrder", (k % 4 + 2).cast("string"), text, None),
+        (node("sub"), "oc:hasContent", node("code"), iri, None),
+        (node("code"), "rdf:type", F.lit("oc:CodeExample"), iri, None),
+        (node("code"), "oc:codeContent", said("x = "), text, None),
+        (node("code"), "oc:codeLanguage", F.lit("python"), text, None),
+        (node("sec"), "oc:hasContent", node("tab"), iri, None),
+        (node("tab"), "rdf:type", F.lit("oc:Table"), iri, None),
+        (node("tab"), "oc:tableMarkdown", said("| a |"), text, k % 3 != 0),
+        (node("tab"), "oc:textContent", said("plain "), text, k % 3 == 0),
+        (node("tab"), "oc:tableCaption", said("cap "), text, even),
+        (skill, "oc:impartsKnowledge", node("note"), iri, None),
+        (node("note"), "rdf:type", F.lit("oc:KnowledgeNode"), iri, None),
+        (node("note"), "rdf:type", F.when(even, F.lit("oc:AntiPattern")).otherwise(F.lit("oc:Heuristic")), iri, None),
+        (node("note"), "oc:directiveContent", said("do "), text, None),
+        (node("note"), "oc:appliesToContext", F.when(k % 5 == 0, F.concat(F.lit("see step 0 or #"), (k * 2).cast("string"))).when(k % 5 == 1, F.concat(F.lit("in Label "), k.cast("string"), F.lit(";"))).otherwise(F.col("p_name")), text, None),
+        (node("note"), "oc:derivedFromSection", node("sub"), iri, (k % 4 == 0)),
+        (node("note"), "oc:derivedFromSection", node("sec"), iri, (k % 4 == 2)),
+        (node("note"), "oc:correctAlternative", node("code"), iri, k % 6 == 1),
+        (skill, "oc:hasWorkflow", node("wf"), iri, None),
+        *[x for n, other in ((1, 2), (2, 1)) for x in (
+            (node("wf"), "oc:hasStep", node(f"step{n}"), iri, None),
+            (node(f"step{n}"), "rdf:type", F.lit("oc:WorkflowStep"), iri, None),
+            (node(f"step{n}"), "oc:stepId", F.lit(str(n)), text, None),
+            (node(f"step{n}"), "oc:stepOrder", (k * 2 + n - 1).cast("string"), text, k > 0),
+            (node(f"step{n}"), "oc:stepDependsOn", node(f"step{other}"), iri, loops if n == 1 else loops | even),
+        )],
+        (node("step1"), "oc:stepLabel", F.concat(F.lit("label "), k.cast("string"), F.lit(";")), text, None),
+    ]
+    none = F.lit(None).cast("string")
+    facts = F.array(*[F.struct(F.when(condition if condition is not None else F.lit(True), s).alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind or "literal").alias("o_kind")) for s, p, o, kind, condition in plan])
+    rows = part.select(F.explode(F.filter(facts, lambda f: f["s"].isNotNull())).alias("f")).select("f.*")
+    number = (F.col("p").isin("oc:stepOrder", "oc:sectionOrder")) | ((F.col("p") == "oc:timeout") & ~F.startswith("o", F.lit("soon")))
+    return rows.select(F.lit("content").alias("graph_id"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", F.when(number, F.lit("xsd:integer")).alias("o_dt"), none.alias("o_lang"))
+
+
+def records(part: DataFrame) -> DataFrame:
+    """Structured records of skills, as a compiler makes them, derived from parts; see operators.serialise."""
+    k = F.col("p_partkey")
+    said = lambda text: F.concat(F.lit(text), k.cast("string"))
+    none = F.lit(None).cast("string")
+    step = lambda n, needs: F.struct(F.lit(n).alias("step_id"), said(f"step {n} of ").alias("description"), (F.when(k % 2 == 0, said("done ")) if n == "1" else none).alias("expected_outcome"), F.array(*map(F.lit, needs)).cast("array<string>").alias("depends_on"))
+    kinds = F.element_at(F.array(*map(F.lit, ("EnvVar", "Tool", "API"))), (k % 3 + 1).cast("int"))
+    knowledge = F.element_at(F.array(*map(F.lit, ("Standard", "AntiPattern", "Command"))), (k % 3 + 1).cast("int"))
+    return part.select(
+        said("part-").alias("id"),
+        F.when(k % 2 == 0, F.col("p_brand")).alias("package"),
+        F.sha2(k.cast("string"), 256).alias("hash"),
+        F.col("p_name").alias("nature"),
+        F.col("p_type").alias("genus"),
+        said("the one of ").alias("differentia"),
+        F.split("p_name", " ").alias("intents"),
+        F.array(F.struct(kinds.alias("type"), F.col("p_brand").alias("value"), F.when(k % 2 == 0, F.lit(True)).alias("optional"))).alias("requirements"),
+        F.array(said("part-"), F.concat(F.lit("part-"), F.floor(k / 2).cast("string"))).alias("depends_on"),
+        F.when(k % 3 == 0, F.array(F.lit("oc:skill_root"))).alias("extends"),
+        F.when(k % 5 == 0, F.array(F.lit("http://x.org/s"), F.lit("Some Skill"))).alias("contradicts"),
+        F.array(F.concat(F.lit("oc:S"), F.col("p_size").cast("string"))).alias("requires_state"),
+        F.array(F.concat(F.lit("Y"), F.col("p_size").cast("string"))).alias("yields_state"),
+        F.lit(None).cast("array<string>").alias("handles_failure"),
+        F.when(k % 4 == 0, F.struct(F.lit("python").alias("executor"), said("run ").alias("code"), (k % 8).cast("int").alias("timeout"))).alias("payload"),
+        F.array(F.struct(knowledge.alias("node_type"), said("do ").alias("directive"), none.alias("rationale"), F.col("p_type").alias("context"), F.lit("high").alias("severity"), none.alias("language"), (k % 9).cast("int").alias("step_order"), F.array(F.lit("v"), said("w")).alias("variables"))).alias("knowledge"),
+        F.col("p_type").alias("category"),
+        (k % 2 == 0).alias("is_user_invocable"),
+        F.array(said("al-")).alias("aliases"),
+        F.when(k % 2 == 0, said("hint ")).otherwise("").alias("argument_hint"),
+        F.array(F.lit("git"), said("tool")).alias("allowed_tools"),
+        F.array(F.struct(F.lit("reference/a.md").alias("relative_path"), F.lit("why").alias("purpose")), F.struct(said("r/").alias("relative_path"), F.lit("how").alias("purpose"))).alias("reference_files"),
+        F.array(F.struct(F.lit("reference/a.md").alias("relative_path"), said("h").alias("content_hash"), k.cast("long").alias("file_size"), F.lit("text/markdown").alias("mime_type"))).alias("files"),
+        F.array(F.struct(F.lit("w").alias("workflow_id"), said("flow ").alias("name"), none.alias("description"), F.array(step("1", ["9"]), step("2", ["1"])).alias("steps"))).alias("workflows"),
+        F.array(F.struct(F.lit("e").alias("name"), said("in ").alias("input_description"), said("out ").alias("output_example"), F.array(F.lit("t")).alias("tags"))).alias("examples"),
+    )

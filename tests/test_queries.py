@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from graphwright.queries import graph, rules, texts  # noqa: F401  they fill the tables
+from graphwright.queries import content, graph, rules, texts  # noqa: F401  they fill the tables
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
