@@ -35,25 +35,28 @@ def linked_groups(nodes: DataFrame, facts: list[str], likely: Callable[[str, str
         return out
 
     index = nodes.select("node", F.explode("keys").alias("key"))
-    shared = stored(index.join(index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), release=True)
-    degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    pivots = stored(shared.join(degrees, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot")))
+    buckets = index.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
+    met = index.join(buckets, "key").where("node != least").select("node", "key", "size").union(buckets.select("least", "key", "size"))
+    # a node's shared keys, as many as it has at most: what is looked up by node is looked up once, not for each key
+    held = stored(met.groupBy("node").agg(F.collect_list("key").alias("shared"), F.sum("size").alias("degree")), release=True)
+    pivots = held.select("node", "degree", F.explode("shared").alias("key")).groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+    pivots = stored(pivots)
 
     def of(x: str, *also: str) -> DataFrame:
         return nodes.select(F.col("node").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in (*facts, *also)])
 
-    star = shared.join(pivots, "key").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    star = held.select("node", F.explode("shared").alias("key")).join(pivots, "key").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     star = star.join(of("a"), "a").join(of("b"), "b").where(likely("a", "b")).select("a", "b")
     near = checked(stored((star if more is None else star.union(more)).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), release=True))
     groups = components(near)
-    # rows outside the component of their bucket's pivot; buckets without any are done
+    # nodes outside the component of a bucket's pivot; buckets without any are done
+    placed = stored(held.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "shared"))
     main = pivots.join(groups.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("main"))
-    placed = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).join(main, "key").withColumn("outside", F.col("component") != F.col("main"))
-    placed = stored(placed.select("key", "node", "component", "outside"))
-    drop(shared, pivots, groups)
-    open_buckets = placed.where("outside").groupBy("key").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
-    rows = stored(placed.join(open_buckets, "key").join(of("node", "keys").select("node", *[F.col(f"node_{f}").alias(f) for f in (*facts, "keys")]), "node"), release=True)
-    drop(placed)
+    spread = placed.select("node", "component", F.explode("shared").alias("key"))
+    outside = spread.join(main, "key").where("component != main").groupBy("key", "main").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
+    rows = spread.join(outside, "key").withColumn("outside", F.col("component") != F.col("main"))
+    rows = stored(rows.join(of("node", "keys").select("node", *[F.col(f"node_{f}").alias(f) for f in (*facts, "keys")]), "node").drop("main"), release=True)
+    drop(held, pivots, placed, groups)
     left, right = (rows.select("key", "salts", F.col("node").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in ("component", "outside", "keys", *facts)]) for x in "ab")
     left = left.where("a_outside").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")

@@ -87,12 +87,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def _compared(docs: DataFrame) -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document."""
+    both = editprint.with_next(docs)
+    changed = F.sha2(F.encode(editprint.edited_text(F.col("text"), F.col("next_text")), "UTF-8"), 256)
+    return both.select("id", F.length("text").cast("long").alias("n_chars"), changed.alias("edited_sha256"), editprint.compare(F.col("text"), F.col("next_text")).alias("c")).select("id", "n_chars", "edited_sha256", "c.*")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints every whole text and its edited text, compares them and the next document's, and names the group of documents with alike fingerprints."""
-    both = editprint.with_next(documents(spark, sf_dir))
-    changed = F.sha2(F.encode(editprint.edited_text(F.col("text"), F.col("next_text")), "UTF-8"), 256)
-    found = both.select("id", F.length("text").cast("long").alias("n_chars"), changed.alias("edited_sha256"), editprint.compare(F.col("text"), F.col("next_text")).alias("c"))
-    found = stored(found.select("id", "n_chars", "edited_sha256", "c.*"), release=True)
+    found = stored(_compared(documents(spark, sf_dir)), release=True)
     prints = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
     return editprint.near_groups(found, id_column="id").select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *prints, "near_edited", "near_next", "group_id")
 
