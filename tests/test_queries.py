@@ -2,6 +2,9 @@
 
 import glob
 import os
+import re
+import subprocess
+import sys
 
 import pytest
 
@@ -29,10 +32,50 @@ def test_query_equals_sql(spark, tables, name):
     assert rows(graph.QUERIES[name](spark, SF).toPandas()) == rows(tables.execute(graph.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", [n for n in graph.QUERIES if n not in graph.ORACLE_SQL])
-def test_other_queries_run(spark, name):
-    df = graph.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_all_queries_without_sql_have_tests_of_their_own():
+    assert {n for n in graph.QUERIES if n not in graph.ORACLE_SQL} == {"bm25_stemmed_topk", "md_blocks", "md_sections", "md_coverage", "html_sections"}
+
+
+def test_stemmed_search_is_brute_force(spark):
+    import math
+
+    from graphwright.functions.stem import STOP_WORDS, stem
+
+    docs = {r.doc_id: re.findall("[a-z0-9]+", (r.text or "").lower()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = {i: [stem(w) for w in words if w not in STOP_WORDS] for i, words in docs.items()}
+    mean, want = sum(map(len, docs.values())) / len(docs), {}
+    for term in {stem("released"), stem("licenses")}:
+        df = sum(term in words for words in docs.values())
+        for i, words in docs.items():
+            if tf := words.count(term):
+                want[i] = want.get(i, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+    best = sorted(((-round(s, 6), i) for i, s in want.items()))[:20]
+    assert [(-r.score, r.id) for r in graph.QUERIES["bm25_stemmed_topk"](spark, SF).collect()] == best
+
+
+def test_pages_as_markdown(spark):
+    heads = {}
+    for r in graph.QUERIES["html_sections"](spark, SF).collect():
+        heads.setdefault(r.page_id, []).append((r.n, r.level, r.title))
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for page, found in heads.items():
+        assert [(level, title) for _, level, title in sorted(found)] == [(int(m[0]), re.sub("(?s)<[^>]*>", "", m[1]).strip(" ")) for m in re.findall("(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", pages[page])]
+    blocks = graph.QUERIES["md_blocks"](spark, SF).collect()
+    assert sum(b.block_type == "heading" for b in blocks) == sum(map(len, heads.values())) == graph.QUERIES["md_sections"](spark, SF).count()
+
+
+def test_lines_that_blocks_cover(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = graph.QUERIES["md_coverage"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        lines = [x for x in (texts[r.doc_id] or "").split("\n") if x.strip(" ") and x.strip(" ") not in ("---", "***", "___")]
+        assert r.lines == len(lines) and 0 <= r.covered <= r.lines and r.share == (100.0 * r.covered / r.lines if lines else 100.0)
+
+
+def test_entry_without_corpus_operators():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; names = e.queries(); assert 'sp_bgp_star' in names and 'pipeline' not in names and not any(n.startswith('op') for n in names) and set(e.oracle_sql()) <= set(names)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
 
 
 def test_registered_scan_sees_through_zero_width_characters(spark, tmp_path):
