@@ -28,15 +28,17 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of texts of similar SimHashes, of five-word shingles."""
+    """Keeps the document with the smallest doc_id of each group of texts whose five-word shingles are 0.8 alike or more."""
     return simhash.keep_one(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts whole characters of strings of REPEAT bytes that also start elsewhere out of texts; documents stay, n_chars follows."""
-    cut = suffix.without_repeats(docs, length=REPEAT, out="repeats", whole_characters=True)
-    text = F.when(F.col("text").isNull() | (F.col("repeats.n_removed") == 0), F.col("text")).otherwise(F.decode("repeats.kept", "UTF-8"))
-    changed = cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("repeats.n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    out = next(name for i in range(len(docs.columns) + 1) if (name := f"repeats_{i}") not in docs.columns)
+    cut = suffix.without_repeats(docs, length=REPEAT, out=out, whole_characters=True)
+    same = F.col(f"{out}.n_removed") == 0
+    text = F.when(F.col("text").isNull() | same, F.col("text")).otherwise(F.decode(f"{out}.kept", "UTF-8"))
+    changed = cut.withColumn("text", text).withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return changed.select(docs.columns)
 
 
@@ -75,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir; each but the last is written to a table and read again."""
     docs = queries.documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir), release=True)
     return STAGES[-1][1](spark, docs, sf_dir)
