@@ -42,3 +42,47 @@ def test_stages_do_what_they_say(spark, tmp_path):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_stages_of_odd_tables(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " and more"
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, text, "en", "s", 5, 7), (2, near, "en", "s", 5, 8), (3, None, None, None, None, 9), (4, "", "en", "s", 0, 10), (None, text, "en", "s", 5, 11), (5, f"so {benchmark} it is", "en", "s", 9, 12), (5, f"so {benchmark} it is", "en", "s", 9, 12), (6, "x " * 30_000, "fr", "s", 60_000, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, repeats int")
+    by = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    assert ids(by["SimHash near-dedup"](spark, docs, SF)) == sorted([1, 3, 4, None, 5, 5, 6], key=str)
+    assert ids(by["benchmark decontamination"](spark, docs, SF)) == sorted([1, 2, 3, 4, None, 6], key=str)
+    cut = {(r.doc_id, r.repeats): r.text for r in by["suffix-array dedup"](spark, docs, SF).collect()}
+    assert len(cut) == 7 and cut[3, 9] is None and cut[4, 10] == "" and cut[1, 7] == "" and cut[2, 8] == " and more"[-len(cut[2, 8]):] and cut[6, 13] == ""
+    coded = by["BPE encoding and decoding"](spark, docs, SF).collect()
+    assert len(coded) == len(rows) and {r.n_tokens for r in coded if r.doc_id in (3, 4)} == {0}
+
+
+def test_near_dedup_of_the_table_is_brute_forces(spark):
+    """Every pair of similarity 0.8 or more is linked, and nothing else is."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+
+    def shingles(text):
+        words = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    sets = {i: s for i, t in rows if (s := shingles(t))}
+    top = {i: i for i in sets}
+    ids = sorted(sets)
+    changed = True
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            if top[a] != top[b]:
+                top[a] = top[b] = min(top[a], top[b])
+                changed = True
+    want = {i for i, _ in rows if i not in sets or top[i] == i}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF).collect()} == want and len(links) > 5
