@@ -59,6 +59,33 @@ def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text_column: st
     return hits.crossJoin(F.broadcast(totals)).select("id", score.alias("score"))
 
 
+def postings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", stemmed: bool = False) -> DataFrame:
+    """(term, id, tf, length): the index of a corpus. Written by `store_index`, a search reads the rows of its own words only.
+
+    A document without words has one row with a null term, so that it counts among the documents and in their mean length.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column), stemmed).alias("words")).select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term"))
+    return rows.groupBy("term", "id", "length").agg(F.count("term").alias("tf")).select("term", "id", "tf", "length")
+
+
+def store_index(index: DataFrame, path: str) -> None:
+    """Postings as Parquet clustered by term, with a table of the documents' number and mean length beside them."""
+    index.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    lengths = index.groupBy("id").agg(F.max("length").alias("length"))
+    lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(10.0)).alias("mean")).write.parquet(f"{path}/totals")
+
+
+def bm25_indexed(spark, path: str, query: str, stemmed: bool = False) -> DataFrame:
+    """(id, score) as `bm25` gives it, from a stored index: a filter on the term prunes its row groups, and documents with no word of the query aren't read."""
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(_query_terms(query, stemmed)))
+    totals = spark.read.parquet(f"{path}/totals")
+    seen = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word of the query
+    rows = hits.join(F.broadcast(seen), "term").crossJoin(F.broadcast(totals))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return rows.groupBy("id").agg(F.sum(part).alias("score"))
+
+
 def cutoff(scored: DataFrame, least: float, gap: float, partition: Sequence[str] = (), score: str = "score", tie: str = "id") -> DataFrame:
     """The rows of each partition up to an adaptive cut: none if the best is below `least`; up to the first fall of more than
     `gap` to a score below `least`; else all of at least `least`. For short lists, such as the best k of a search.

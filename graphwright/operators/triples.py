@@ -21,6 +21,16 @@ def distinct_triples(t: DataFrame) -> DataFrame:
     return t.dropDuplicates(["graph_id", "s", "p", "o", "o_kind", "o_dt", "o_lang"])
 
 
+def merged(t: DataFrame) -> DataFrame:
+    """The graphs of a table as one: each triple once, whatever graphs it is in. Operators read their table as one graph, so a table of several is merged once, when it is stored."""
+    return t.groupBy("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang").agg(F.min("graph_id").alias("graph_id")).select(t.columns)
+
+
+def store(t: DataFrame, path: str) -> None:
+    """A merged table as Parquet clustered by predicate and subject, so that what names a predicate reads its row groups only."""
+    merged(t).repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.parquet(path)
+
+
 def facts(t: DataFrame, predicate: str, s: str = "s", o: str = "o", kind: str | None = None) -> DataFrame:
     """(s, o) of one predicate, under names of the caller's choice; kind keeps only objects of it (iri, bnode or literal)."""
     rows = t.where(F.col("p") == predicate)

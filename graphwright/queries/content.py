@@ -12,7 +12,7 @@ from graphwright.plans import sparql
 from graphwright.queries.graph import query, skills, table
 from graphwright.sources import files, turtle
 from graphwright.sources import star_graph as sg
-from graphwright.sources.scratch import shared_folder, stored
+from graphwright.sources.scratch import fresh, stored
 
 # --- what skills hold -------------------------------------------------------------------------------------
 
@@ -267,13 +267,9 @@ def ser_orphans(spark, sf_dir):
 @query("""SELECT 'oc:' || 'skill_' || p_partkey AS s, 'oc:nature' AS p, p_name AS o FROM k UNION ALL SELECT 'oc:skill_' || p_partkey, 'oc:extends', 'oc:skill_' || (p_partkey // 2) FROM k WHERE p_partkey > 0""")
 def turtle_round_trip(spark, sf_dir):
     """A graph written as Turtle files and read again."""
-    import uuid
-
-    from graphwright.functions.terms import BASE
-
-    path = f"{shared_folder(spark)}/graphwright-turtle-{uuid.uuid4().hex}"
+    path = fresh(spark)
     t = sg.old_graph(spark, sf_dir).where("p in ('oc:nature', 'oc:extends')").withColumn("graph_id", F.pmod(F.xxhash64("s"), F.lit(16)).cast("string"))
-    turtle.write_turtle(t, path, BASE)
+    turtle.write_turtle(t, path, terms.BASE)
     return turtle.read_turtle(spark, f"{path}/*").select("s", "p", "o")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from graphwright.operators import bench, catalog, diff, graphs, lint, search
 from graphwright.operators.closure import closure
-from graphwright.operators.triples import facts, star
+from graphwright.operators.triples import facts, star, store
 from graphwright.sources import star_graph as sg
+from graphwright.sources.scratch import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -337,6 +338,23 @@ def bm25_topk(spark, sf_dir):
     return scored.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
+@query(_BM25, skills=False)
+def bm25_indexed_topk(spark, sf_dir):
+    """The same from postings, written once and read by term."""
+    path = fresh(spark)
+    search.store_index(search.postings(table(spark, sf_dir, "documents")), path)
+    return search.bm25_indexed(spark, path, "MIT license").select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query("SELECT 'oc:hasCategory' AS p, p_type AS category, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_type", skills=False)
+def sp_stored(spark, sf_dir):
+    """A pattern over a stored table, clustered by predicate, of a graph that two files have."""
+    path = fresh(spark)
+    t = sg.old_graph(spark, sf_dir)
+    store(t.union(t.withColumn("graph_id", F.lit("copy"))), path)
+    return facts(spark.read.parquet(path), "oc:hasCategory", "s", "category").groupBy("category").agg(F.count("*").alias("n")).select(F.lit("oc:hasCategory").alias("p"), "category", "n")
+
+
 @query()
 def bm25_stemmed_topk(spark, sf_dir):
     """The same with stems and without stop words."""

@@ -42,12 +42,18 @@ def _delete_all() -> None:
             _open.pop(path, None)
 
 
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used, deleted with whatever is written there when Python ends."""
+    path = f"{shared_folder(spark)}/graphwright-{uuid.uuid4().hex}"
+    _open[path] = spark
+    return path
+
+
 def stored(df: DataFrame, release: bool = False) -> DataFrame:
     """The same rows, read from a table written now. With `release`, large shuffles behind it that nothing else needs leave the disks at once, not
     when the driver's memory is next cleared."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark)}/graphwright-{uuid.uuid4().hex}"
-    _open[path] = spark
+    path = fresh(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
