@@ -24,6 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 RATE = 0.08
 #: Characters of items in a block.
 BLOCK = 4 << 20
+#: Characters of all items together, at most; a larger set is an error, since each block is a pass over the texts.
+MOST = 1 << 28
 
 
 def normalised(text: str | None) -> str:
@@ -106,10 +108,15 @@ class Items:
 
 
 def dealt(items: DataFrame, block: int) -> list[list[tuple[int, str]]]:
-    """Blocks of distinct (item, normalised text), each of at most `block` characters or one item."""
+    """Blocks of distinct (item, normalised text), each of at most `block` characters or one item. Items are the query set: more than MOST characters of them are an error."""
     parts: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item in sorted({(r.item, normalised(r.text)) for r in items.where("item is not null and text is not null").toLocalIterator()}):
+    known, total, size = set(), 0, 0
+    for r in items.where("item is not null and text is not null").distinct().toLocalIterator():
+        total += len(r.text)
+        if total > MOST:
+            raise ValueError(f"the items have over {MOST} characters")
+        known.add((r.item, normalised(r.text)))
+    for item in sorted(known):
         if size and size + len(item[1]) > block:
             parts.append([])
             size = 0
