@@ -235,7 +235,7 @@ def near_groups(prints: DataFrame, least: float = 0.9, miss: float = 0.01, id_co
     rows = prints.select(F.struct(*kept).alias("row"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{column}`").alias("print"))
     rows = rows.withColumn("node", F.when(F.col("print").isNotNull(), F.xxhash64("print")))
     distinct = rows.where("print is not null").groupBy("node").agg(F.first("print").alias("print"))
-    nodes = stored(distinct.select("node", F.arrow_udf(cut, "words array<bigint>, keys array<bigint>")("print").alias("c")).select("node", "c.*"))
+    nodes = stored(distinct.select("node", F.arrow_udf(cut, "words array<bigint>, keys array<bigint>")("print").alias("c")).select("node", "c.*"), release=True)
     groups = linked_groups(nodes, ["words"], alike)
     drop(nodes)
     named = rows.join(groups, "node", "left").select("row", "id", F.coalesce("component", "node").alias("component"))
