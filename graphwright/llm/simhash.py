@@ -113,7 +113,8 @@ def links(prints: DataFrame, distance: int = 3, column: str = "fp") -> DataFrame
     index = _signatures(prints.select(F.col(column).alias("fp")).where(F.col(column).isNotNull()).distinct(), distance)
     left, right = (index.select(F.col("fp").alias(x), "bit", "signature") for x in "ab")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    found = left.join(right, ["bit", "signature"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (F.col("bit") == _first(differ, distance)))
+    # Spark sizes an exploded table as if each row gave one, and would broadcast 64 rows for each fingerprint; a sort and merge doesn't pass the driver
+    found = left.join(right.hint("merge"), ["bit", "signature"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (F.col("bit") == _first(differ, distance)))
     return found.select("a", "b")
 
 

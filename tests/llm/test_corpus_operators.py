@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphwright.llm import queries, simhash, suffix
 from graphwright.llm.components import components
@@ -61,6 +62,13 @@ def test_links_of_all_distances(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_links_dont_pass_the_driver(spark, tmp_path):
+    """The index has 64 rows for each fingerprint, and Spark takes it for as small as the fingerprints."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "prints"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "prints")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "x y z"), (4, "x y z"), (2, "x y z"), (2, "x y z"), (7, None), (8, ""), (9, "other words here now")], "doc_id int, text string")
     got = sorted(((r.id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
