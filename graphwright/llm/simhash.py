@@ -31,6 +31,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BANDS, ROWS = 25, 5
 #: Minima of which a sketch keeps two bits each; a multiple of 64. The first BANDS * ROWS make the bands.
 MINIMA = 512
+#: Places of a shingle set's parities; a multiple of 64.
+PLACES = 1024
 #: Bytes of texts and shingle sets that a task remembers.
 REMEMBERED = 1 << 25
 #: Odd multipliers; the products with one of them order hashes at random, those with another mix a minimum's bits.
@@ -168,9 +170,16 @@ def _sketch(minima: np.ndarray) -> np.ndarray:
     return np.packbits(np.stack([mixed >> np.uint32(31), mixed >> np.uint32(30) & np.uint32(1)]).astype(np.uint8)).view(np.int64)
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of PLACES, dealt by the lowest bits, has an odd number of the hashes, as 64-bit numbers. Sets that differ in d hashes have at most d places unlike."""
+    counts = np.bincount((hashes & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _described(text: Column, words: int, seed: int) -> Column:
-    """struct<node, n, fp, keys, sketch>: XXH64 of a text's shingle set, the set's size and SimHash, a key for each MinHash band, and bits of the minima."""
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """struct<node, n, fp, keys, sketch, parities>: XXH64 of a text's shingle set, the set's size and SimHash, a key for each MinHash band, bits of the minima, and the set's parities."""
+    longs = pa.list_(pa.int64())
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", longs), ("sketch", longs), ("parities", longs)])
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -180,16 +189,17 @@ def _described(text: Column, words: int, seed: int) -> Column:
                 hashes = shingle_set(t.as_py(), words, seed)
                 minima = _minima(hashes)
                 keys = [signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(minima[: BANDS * ROWS].reshape(BANDS, ROWS))]
-                rows.append({"node": signed(xxhash.xxh64_intdigest(hashes.tobytes())), "n": len(hashes), "fp": signed(_majority(hashes)), "keys": keys, "sketch": _sketch(minima)})
+                rows.append({"node": signed(xxhash.xxh64_intdigest(hashes.tobytes())), "n": len(hashes), "fp": signed(_majority(hashes)), "keys": keys, "sketch": _sketch(minima), "parities": _parities(hashes)})
             yield pa.array(rows, kind)
 
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, "node bigint, n bigint, fp bigint, keys array<bigint>, sketch array<bigint>")(text)
+    return F.arrow_udf(batches, "node bigint, n bigint, fp bigint, keys array<bigint>, sketch array<bigint>, parities array<bigint>")(text)
 
 
 def _likely(least: float):
-    """A test of sizes and sketches that pairs of a similarity of `least` pass: sets of sizes further apart can't be alike, and of
-    the sketches' places as many differ as are to be expected and 4.3 standard deviations more."""
+    """A test of sizes, sketches and parities that pairs of a similarity of `least` pass: sets of sizes further apart can't be alike, of
+    the sketches' places as many differ as are to be expected and 4.3 standard deviations more, and no more parities than
+    the hashes in one set only that this similarity allows. Sizes and parities lose no pair; parities tell small sets apart almost exactly."""
     p = 0.75 * (1 - least)
     most, half = int(MINIMA * p + 4.3 * (MINIMA * p * (1 - p)) ** 0.5), MINIMA // 64
 
@@ -197,7 +207,8 @@ def _likely(least: float):
         other = [F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i]) for i in range(2 * half)]
         differing = sum((F.bit_count(other[i].bitwiseOR(other[half + i])) for i in range(half)), F.lit(0))
         n = [F.col(f"{x}_n") for x in (a, b)]
-        return (F.least(*n) >= least * F.greatest(*n)) & (differing <= most)
+        odd = sum((F.bit_count(F.col(f"{a}_parities")[i].bitwiseXOR(F.col(f"{b}_parities")[i])) for i in range(PLACES // 64)), F.lit(0))
+        return (F.least(*n) >= least * F.greatest(*n)) & (differing <= most) & (odd <= (1 - least) / (1 + least) * (n[0] + n[1]) + 1e-6)
 
     return likely
 
@@ -240,7 +251,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike("[^ \t-\r]"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     described = stored(rows.select("id", "mark", _described(F.col("text"), words, seed).alias("d")).select("id", "mark", "d.*"))
-    nodes = stored(described.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")]))
+    nodes = stored(described.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch", "parities")]))
     members = described.select("id", "node")
     # of the nodes of one fingerprint, all are compared with the smallest, and so are the smallest of linked fingerprints
     tops = nodes.groupBy("fp").agg(F.min("node").alias("top"))
@@ -252,7 +263,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.*"), "node")
         return _alike(pairs, ends.join(rows, ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), least, words, seed)
 
-    groups = linked_groups(nodes.select("node", "n", "sketch", "keys"), ["n", "sketch"], _likely(least), verified, near)
+    groups = linked_groups(nodes.select("node", "n", "sketch", "parities", "keys"), ["n", "sketch", "parities"], _likely(least), verified, near)
     named = members.join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     named = stored(named.join(named.groupBy("component").agg(F.min("id").alias("smallest")), "component").select(F.col("id").alias(id_column), (F.col("id") == F.col("smallest")).alias("kept")), release=True)
     drop(described, nodes, groups)

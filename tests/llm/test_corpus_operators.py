@@ -111,6 +111,39 @@ def test_keep_one_finds_pairs_near_its_limit(spark):
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()} == want
 
 
+def test_keep_one_compares_few_pairs_that_are_just_unlike(spark, monkeypatch):
+    """60 texts, any two of which are some 0.75 alike: none are linked, and few of their 1,770 pairs get as far as a comparison of texts."""
+    random.seed(9)
+    base = [f"w{k}" for k in range(600)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for k in random.sample(range(120), 9):
+            text[5 * k + 2] = f"x{i}_{k}"
+        rows.append((i, " ".join(text)))
+    sets = [simhash.shingle_set(t, 5, 42) for _, t in rows]
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    alike = {p for p in pairs if simhash.similarity(sets[p[0]], sets[p[1]]) >= 0.8}
+    compared, whole = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda some, *rest: compared.append(some.count()) or whole(some, *rest))
+    top = list(range(60))
+    for _ in top:
+        for i, j in alike:
+            top[i] = top[j] = min(top[i], top[j])
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {i for i in range(60) if top[i] == i} and not alike and sum(compared) < 300
+
+
+def test_parities_lose_no_pair():
+    random.seed(10)
+    for size in (1, 9, 150, 3000):
+        x = [random.getrandbits(64) for _ in range(size)]
+        for gone in (0, 1, size // 10, size // 9, size // 2):
+            y = x[gone:] + [random.getrandbits(64) for _ in range(gone)]
+            differ = simhash._parities(np.array(x, np.uint64)) ^ simhash._parities(np.array(y, np.uint64))
+            assert sum(int(d).bit_count() if d >= 0 else (int(d) + (1 << 64)).bit_count() for d in differ) <= len(set(x) ^ set(y))
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 300 + i) for i in range(50)] + [(7, 7), (None, 1)]
