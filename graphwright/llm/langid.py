@@ -6,9 +6,9 @@ Counts cover all documents to learn from: each batch counts its n-grams, and Spa
 sorted arrays of n-grams with a column of log-probabilities for each language. Their size is that of the n-grams within
 words of the languages, some hundred thousand for alphabets.
 
-A text's language is that of the lowest cross-entropy per letter. Scores and rejection are calibrated on a bounded sample of
-documents kept out of the counts of a second set of models: the score is a language's share after entropies are scaled by a fitted
-factor, and a text whose entropy is higher than that of all but a few texts of its language, given its length, can be rejected as `und`.
+A text's language is that of the lowest cross-entropy per letter. Scores and rejection are calibrated on all documents to learn from, each
+measured by models that were not counted from it: the documents are dealt to two halves, and either is measured by models of the other. The score is a language's share
+after entropies are scaled by a fitted factor, and a text whose entropy is higher than that of all but a few texts of its language, given its length, can be rejected as `und`.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm.blocks import blocks
+from graphwright.sources.scratch import drop, stored
 
 #: Characters of text to take n-grams of at a time.
 BLOCK = 1 << 20
@@ -29,8 +31,10 @@ ORDER = 4
 #: Bits of a symbol; 0 is the boundary.
 BITS = 16
 DISCOUNT = 0.75
-#: Documents to calibrate with, at most, and one in how many may be among them.
-SAMPLE, FOLDS = 2_000, 8
+#: Factors of entropies to choose from.
+SCALES = [2.0**k for k in range(-2, 7)]
+#: Values that may be collected to find one of a given rank, and bins to narrow more of them down with.
+FEW, BINS = 10_000, 4_096
 #: The share of a language's own texts that calibrated rejection is to accept, and how many texts a language needs for a limit of its own.
 ACCEPT, ENOUGH = 0.98, 200
 #: Letters beyond which the entropies of a language's texts come no closer together.
@@ -155,32 +159,51 @@ class Models:
         best = entropies.argmin(axis=1)
         return np.sqrt(np.minimum(n, SPREAD)) * (entropies.min(axis=1) - self.usual[best]) > self.limits[best]
 
-    def calibrate(self, entropies: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
-        """Fit scale and limits to texts of known languages (their places), measured by models that were not counted from them."""
-        if not len(truth):
-            return
-        rows = np.arange(len(truth))
-
-        def loss(scale: float) -> float:
-            self.scale = scale
-            return -np.log(np.maximum(self.shares(entropies)[rows, truth], 1e-12)).mean()
-
-        self.scale = min((2.0**k for k in range(-2, 7)), key=loss)
-        own = entropies[rows, truth]
-
-        def far(some: np.ndarray, usual: float) -> float:
-            """What so large a share of new texts stays within, whatever the distribution; no limit if there are too few texts to say."""
-            place = int(np.ceil((some.sum() + 1) * ACCEPT))
-            return np.sort(np.sqrt(np.minimum(n[some], SPREAD)) * (own[some] - usual))[place - 1] if place <= some.sum() else np.inf
-
-        everyone = np.ones(len(truth), bool)
-        self.usual = np.full(len(self.languages), np.average(own, weights=n))
-        self.limits = np.full(len(self.languages), far(everyone, self.usual[0]))
-        for i in range(len(self.languages)):
-            some = truth == i
-            if some.sum() >= ENOUGH:
-                self.usual[i] = np.average(own[some], weights=n[some])
-                self.limits[i] = far(some, self.usual[i])
+    def losses(self, entropies: np.ndarray, truth: np.ndarray) -> np.ndarray:
+        """What each text of a known language (its place) loses by each of SCALES."""
+        low, own = entropies.min(axis=1, keepdims=True), entropies[np.arange(len(truth)), truth]
+        most = -np.log(1e-12)
+        return np.stack([np.minimum(np.log(np.exp(-k * (entropies - low)).sum(axis=1)) + k * (own - low[:, 0]), most) for k in SCALES], axis=1)
+
+
+def ranked(values: DataFrame, place: int) -> float:
+    """The place-th smallest (from 1) of a column `v`, exactly: bins narrow it down until few values are left."""
+    while True:
+        n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+        if low == high:
+            return low
+        if n <= FEW:
+            return sorted(r.v for r in values.select("v").collect())[place - 1]
+        # the same product for the same value, so equal values share a bin and bins are in order
+        binned = values.withColumn("bin", F.floor((F.col("v") - low) * (BINS / (high - low))))
+        for bin, inside in sorted(tuple(r) for r in binned.groupBy("bin").count().collect()):
+            if place <= inside:
+                break
+            place -= inside
+        values = binned.where(F.col("bin") == bin).select("v")
+
+
+def calibrate(models: Models, measured: DataFrame) -> None:
+    """Fit scale and limits to texts of known languages, measured by models that were not counted from them: (lang, its place; n letters; own, the entropy
+    under its language; losses)."""
+    found = measured.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.sum(F.col("own") * F.col("n")).alias("own"), *[F.sum(F.col("losses")[k]).alias(f"loss{k}") for k in range(len(SCALES))])
+    totals = {r.lang: r for r in found.collect()}
+    if not totals:
+        return
+    models.scale = min(zip([sum(r[f"loss{k}"] for r in totals.values()) for k in range(len(SCALES))], SCALES, strict=True))[1]
+
+    def far(some: DataFrame, texts: int, usual: float) -> float:
+        """What so large a share of new texts stays within, whatever the distribution; no limit if there are too few texts to say."""
+        place = int(np.ceil((texts + 1) * ACCEPT))
+        return ranked(some.select((F.sqrt(F.least("n", F.lit(SPREAD))) * (F.col("own") - usual)).alias("v")), place) if place <= texts else np.inf
+
+    usual, texts = (sum(r.own for r in totals.values()) / sum(r.n for r in totals.values())), sum(r.texts for r in totals.values())
+    models.usual = np.full(len(models.languages), usual)
+    models.limits = np.full(len(models.languages), far(measured, texts, usual))
+    for i, r in totals.items():
+        if r.texts >= ENOUGH:
+            models.usual[i] = r.own / r.n
+            models.limits[i] = far(measured.where(F.col("lang") == i), r.texts, r.own / r.n)
 
 
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
@@ -211,15 +234,14 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     return models
 
 
-def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Models | None:
+def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> Models | None:
     """Models of the languages of `docs`, counted over all rows with a text and a language; None if there are none.
 
-    One row for each language and n-gram that occurs is collected. Documents whose ids hash to one of FOLDS folds are counted apart:
-    models without them measure up to SAMPLE of them, which fits scores and limits; the models that are returned count them too. Of repeated
-    ids all rows count, and all may be measured. Rows with a null id are counted only. Without enough documents nothing is calibrated.
+    One row for each language and n-gram that occurs is collected. Rows are dealt to two halves by their texts, so that copies stay together; models of either half measure
+    all rows of the other, which fits scores and limits; the models that are returned count both. Without all languages in both halves nothing is calibrated.
     """
-    known = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
-    rows = known.withColumn("apart", F.coalesce(F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(FOLDS)) == 0, F.lit(False)) & F.col("id").isNotNull())
+    known = docs.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
+    rows = known.withColumn("apart", F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(2)) == 1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,22 +259,28 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     if found.empty:
         return None
 
-    def built(counts: str) -> Models:
-        return build({lang: (g["gram"].to_numpy().view(np.uint64), g[counts].to_numpy()) for lang, g in found[found[counts] > 0].groupby("lang")})
+    def built(n: pd.Series) -> Models:
+        some = found[n > 0].assign(n=n[n > 0])
+        return build({lang: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for lang, g in some.groupby("lang")})
+
+    models, halves = built(found["n"]), [built(n) for n in (found["kept"], found["n"] - found["kept"]) if n.any()]
+    del found
+    if len(halves) == 2 and all(half.languages == models.languages for half in halves):
 
-    models, kept = built("n"), built("kept") if found["kept"].any() else None
-    if kept and kept.languages == models.languages:
-        languages = kept.languages
+        def measured_by(half: Models):
+            def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                logs = half.logs()
+                for batch in some:
+                    entropies, n = half.entropies(batch.column("text").to_pylist(), logs)
+                    truth = np.array([half.languages.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+                    yield pa.RecordBatch.from_pydict({"lang": truth, "n": n, "own": entropies[np.arange(len(truth)), truth], "losses": pa.array(half.losses(entropies, truth).tolist(), pa.list_(pa.float64()))})
 
-        def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            logs = kept.logs()
-            for batch in batches:
-                entropies, n = kept.entropies(batch.column("text").to_pylist(), logs)
-                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "n": n, "entropies": pa.array(entropies.tolist(), pa.list_(pa.float64()))})
+            return batches
 
-        chosen = rows.where("apart").select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).distinct()
-        sample = rows.where("apart").join(F.broadcast(chosen), "id").select("text", "lang").mapInArrow(measured, "lang string, n long, entropies array<double>").where("n > 0").limit(SAMPLE).toPandas()
-        models.calibrate(np.array(sample["entropies"].tolist(), float).reshape(-1, len(languages)), sample["n"].to_numpy(np.int64), np.array([languages.index(x) for x in sample["lang"]], np.int64))
+        first, second = (rows.where(which).select("text", "lang").mapInArrow(measured_by(half), "lang long, n long, own double, losses array<double>").where("n > 0") for which, half in zip(("apart", "not apart"), halves, strict=True))
+        measured = stored(first.union(second))
+        calibrate(models, measured)
+        drop(measured)
     return models
 
 

@@ -326,6 +326,24 @@ def test_rejection_is_calibrated(spark):
     assert {r.f.lang for r in df.select(langid.identify(F.col("text"), models).alias("f")).collect()} == {"und"}
 
 
+def test_calibration_measures_all_documents(spark, monkeypatch):
+    """Every document with letters, each once, by models counted without it; limits are of exact rank."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").where("text is not null and lang is not null")
+    seen, whole = [], langid.calibrate
+    monkeypatch.setattr(langid, "calibrate", lambda models, measured: seen.extend(measured.collect()) or whole(models, measured))
+    monkeypatch.setattr(langid, "FEW", 20)
+    models = langid.learn(docs.union(docs.limit(1)))
+    letters = [r.lang for r in docs.union(docs.limit(1)).collect() if any(c.isalpha() for c in r.text)]
+    assert Counter(models.languages[r.lang] for r in seen) == Counter(letters)
+    for i in {r.lang for r in seen}:
+        own = [r for r in seen if r.lang == i]
+        if len(own) >= langid.ENOUGH:
+            far = sorted(min(r.n, langid.SPREAD) ** 0.5 * (r.own - models.usual[i]) for r in own)
+            assert abs(models.limits[i] - far[-(-(len(own) + 1) * 98 // 100) - 1]) < 1e-9
+    loss = {k: sum(r.losses[j] for r in seen) for j, k in enumerate(langid.SCALES)}
+    assert models.scale == min(loss, key=loss.get)
+
+
 def brute_kneser_ney(texts):
     """chance(context, letter) by the textbook, on lists of letters and word ends."""
     rows = []
