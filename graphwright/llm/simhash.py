@@ -261,7 +261,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.*"), "node")
-        return _alike(pairs, ends.join(rows, ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), least, words, seed)
+        # the texts are sized by packed files, so a sort and merge keeps them from the driver
+        return _alike(pairs, ends.join(rows.hint("merge"), ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), least, words, seed)
 
     groups = linked_groups(nodes.select("node", "n", "sketch", "parities", "keys"), ["n", "sketch", "parities"], _likely(least), verified, near)
     named = members.join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))

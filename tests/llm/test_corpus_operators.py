@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphwright.llm import queries, simhash, suffix
+from graphwright.llm import linking, queries, simhash, suffix
 from graphwright.llm.components import components
 
 
@@ -134,6 +135,23 @@ def test_keep_one_compares_few_pairs_that_are_just_unlike(spark, monkeypatch):
     assert got == {i for i in range(60) if top[i] == i} and not alike and sum(compared) < 300
 
 
+def test_keep_ones_exploded_tables_and_texts_dont_pass_the_driver(spark, monkeypatch):
+    """Spark takes 25 rows for each node for one, and repeated facts and texts for as small as their packed files."""
+    rows = [(i, " ".join([f"w{k}" for k in range(100)] + [f"x{i // 2}_{k}" for k in range(20 + i % 2)])) for i in range(30)]
+    plans, write = [], simhash.stored
+
+    def spied(df, release=False):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, release)
+
+    docs = write(spark.createDataFrame(rows, "doc_id int, text string"))
+    monkeypatch.setattr(simhash, "stored", spied)
+    monkeypatch.setattr(linking, "stored", spied)
+    assert [r.doc_id for r in simhash.keep_one(docs).orderBy("doc_id").collect()] == list(range(0, 30, 2))
+    joins = [found for plan in plans for found in re.findall(r"(\w+Join) \[(key|id)#", plan)]
+    assert len(joins) >= 7 and set(joins) <= {("SortMergeJoin", "key"), ("SortMergeJoin", "id")}
+
+
 def test_parities_lose_no_pair():
     random.seed(10)
     for size in (1, 9, 150, 3000):
