@@ -22,13 +22,18 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphwright.llm.blocks import spans
+
 #: Pre-tokens remembered per worker; a full table becomes the older one of two.
 MAX_REMEMBERED = 150_000
 #: Bits of an identifier in the key of a pair.
 PAIR = 20
+#: Bytes of text that are encoded and decoded at a time, or one text if that is longer.
+BLOCK = 1 << 20
 #: Longer pre-tokens are merged each time they occur.
 MAX_WORD = 128
 
@@ -233,18 +238,26 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def coded(column: pa.Array, v: Vocabulary) -> pa.Array:
+    """struct<ids, decoded> of each text, made block by block: Python's lists of a whole batch would take several times its size."""
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+    out = [pa.array([], kind)]
+    for lo, hi in spans(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BLOCK):
+        ids = [v.encode(t or "") for t in column.slice(lo, hi - lo).to_pylist()]
+        out.append(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(v.decode, ids), pa.string())], fields=list(kind)))
+    return pa.concat_arrays(out)
+
+
 def encode_decode(text: Column, path: str) -> Column:
     """struct<ids binary, decoded string> of a text column; ids are little-endian unsigned 32-bit integers.
 
     path: a JSON vocabulary with word ends that every executor can open. Null texts count as empty.
     """
-    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for column in texts:
-            ids = [v.encode(t or "") for t in column.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(v.decode, ids), pa.string())], fields=list(kind))
+            yield coded(column, v)
 
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, "ids binary, decoded string")(text)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,6 +56,28 @@ def test_codec_columns_and_nulls(spark):
     assert df.limit(0).select(bpe.token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_codec_holds_a_block_of_a_batch_at_a_time(monkeypatch):
+    v, waiting, most = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json")), [], []
+    texts = ["Hello world", None, "", "\u00e4" * 40, *["one two three"] * 50, None]
+    want = [(ids := v.encode(t or ""), v.decode(ids)) for t in texts]
+    encode, decode = v.encode, v.decode
+
+    def encoded(text):
+        waiting.append(text)
+        most.append(sum(len(t.encode()) for t in waiting))
+        return encode(text)
+
+    def decoded(ids):
+        waiting.clear()
+        return decode(ids)
+
+    v.encode, v.decode = encoded, decoded
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    got = bpe.coded(pa.array(texts, pa.string()), v).to_pylist()
+    assert [(r["ids"], r["decoded"]) for r in got] == want and max(most) <= 80  # the longest text
+    assert len(bpe.coded(pa.array([], pa.string()), v)) == 0
+
+
 MIT_FILE = """MIT License
 
 Copyright (c) 2020 Some Body
