@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import bpe, decontaminate, editprint, langid, licences, quality, sampling, simhash, suffix, toxicity
+from graphwright.llm import bpe, decontaminate, divergence, editprint, langid, lexical, licences, quality, reputation, sampling, simhash, suffix, toxicity
 from graphwright.sources.scratch import stored
 
 
@@ -101,6 +101,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.near_groups(found, id_column="id").select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *prints, "near_edited", "near_next", "group_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language by their terms, and the terms that set each source apart."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    found = lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page by rules and by its host's reputation: a page is bad whose document, numbered in its path, is marked low in quality or toxic."""
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("pages", "labels"))
+    marks = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(1)).when((F.col("quality") == 1) | (F.col("toxic") == 0), F.lit(0))
+    doc = F.regexp_extract(reputation.path(F.col("url")), "/([0-9]+)", 1).try_cast("long")
+    judged = reputation.judge(pages, labels.select(F.col("doc_id").alias("doc"), marks.alias("bad")), doc=doc)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bound", 6).alias("bound"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -112,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_url_filters": op13_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle()}
+ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle(), "op11_source_divergence": divergence.oracle(), "op12_ranked_search": lexical.oracle(), "op13_url_filters": reputation.oracle()}
