@@ -99,6 +99,17 @@ def cutoff(scored: DataFrame, least: float, gap: float, partition: Sequence[str]
     return ranked.withColumn("keep", keep).where("rank <= keep").drop("before", "keep")
 
 
+def cut_score(scored: DataFrame, least: float, gap: float, score: str = "score") -> DataFrame:
+    """One row, (cut): the score that `cutoff` keeps rows from, of any number of rows and without an order of all; null if it keeps none.
+
+    A fall of more than `gap` is one between neighbouring buckets half as wide, from the least of one to the greatest of the next below, so only buckets are put in order.
+    """
+    buckets = scored.groupBy(F.floor(F.col(score) / (gap / 2)).alias("bucket")).agg(F.max(score).alias("high"), F.min(score).alias("low"))
+    below = F.lead("high").over(Window.orderBy(F.desc("bucket")))
+    falls = buckets.withColumn("next", below).select("high", F.when((F.col("low") - F.col("next") > gap) & (F.col("next") < least), F.col("low")).alias("end"))
+    return falls.agg(F.when(F.max("high") >= least, F.coalesce(F.max("end"), F.lit(least))).alias("cut"))
+
+
 def weight(tier: Column) -> Column:
     """The weight of a trust tier; 1 for one that isn't known."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])[tier], F.lit(1.0))
@@ -175,12 +186,13 @@ def vector_search(vectors: DataFrame, query: Sequence[float], top_k: int, id_col
 
 
 def semantic_search(intents: DataFrame, query: Sequence[float], skills_wide: DataFrame, top_k: int = 5) -> DataFrame:
-    """Intents (intent, embedding, skills) by cosine times the best weight of their skills, cut off. Skills unknown weigh 1, as do none."""
+    """Intents (intent, embedding, skills) by cosine times the best weight of their skills: all are cut off first, the best top_k of what is left stay. Skills unknown weigh 1, as do none."""
     weights = intents.select("intent", F.explode("skills").alias("id")).join(skills_wide.select("id", "trust_tier"), "id", "left").groupBy("intent").agg(F.max(weight(F.col("trust_tier"))).alias("w"))
     literal = F.array(*[F.lit(float(x)) for x in query])
     scored = intents.where(F.size("embedding") == len(query)).join(weights, "intent", "left")
     scored = scored.select(F.col("intent").alias("id"), "skills", (dot(normalise(F.col("embedding")), normalise(literal)) * F.coalesce("w", F.lit(1.0))).alias("score"))
-    return cutoff(scored.orderBy(F.desc("score"), "id").limit(2 * top_k), 0.4, 0.15).where(F.col("rank") <= top_k)
+    kept = scored.crossJoin(F.broadcast(cut_score(scored, 0.4, 0.15))).where("score >= cut")
+    return kept.orderBy(F.desc("score"), "id").limit(top_k).select("id", "skills", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
 
 
 def mean_pool(vectors: Column, mask: Column) -> Column:

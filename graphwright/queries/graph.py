@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from graphwright.operators import bench, catalog, diff, graphs, lint, search
+from graphwright.operators import bench, catalog, diff, graphs, impacts, lint, nearest, search
 from graphwright.operators.closure import closure
 from graphwright.operators.triples import facts, star, store
 from graphwright.sources import star_graph as sg
@@ -383,6 +383,54 @@ def vec_cutoff(spark, sf_dir):
     return search.cutoff(found, 0.4, 0.15)
 
 
+@query("""WITH v AS (SELECT vec_id AS id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings),
+s AS (SELECT q.id AS query, v.id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE / q.norm) * (x[2]::DOUBLE / v.norm))), 9) AS score FROM v q JOIN v ON q.id % 20 = 0 AND v.id <> q.id)
+SELECT query, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""", skills=False)
+def vec_neighbours_exact(spark, sf_dir):
+    """The ten nearest vectors of every 20th, from all cells."""
+    vectors = table(spark, sf_dir, "embeddings")
+    centres = nearest.fit_cells(vectors, 16)
+    found = nearest.neighbours(nearest.file_vectors(vectors, centres), centres, vectors.where("vec_id % 20 = 0"), 10)
+    return found.select("query", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def vec_neighbours(spark, sf_dir):
+    """The same from a stored index, out of the nearest cells."""
+    vectors, path = table(spark, sf_dir, "embeddings"), fresh(spark)
+    centres = nearest.fit_cells(vectors, 32)
+    nearest.store_cells(nearest.file_vectors(vectors, centres), path)
+    found = nearest.neighbours(spark.read.parquet(path), centres, vectors.where("vec_id % 20 = 0"), 10, probes=20)
+    return found.select("query", "rank", "id", F.round("score", 6).alias("score"))
+
+
+_SKILL_TEXTS = """, n AS (SELECT count(*) AS n FROM part), own AS (SELECT doc_id % n AS p_partkey, string_agg(text, ' ' ORDER BY doc_id) AS said FROM documents, n GROUP BY ALL),
+x AS (SELECT id, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || coalesce(said, '')), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM k LEFT JOIN own USING (p_partkey)),
+w AS (SELECT id, len(words) AS l, unnest(words) AS term FROM x), tf AS (SELECT id, l, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+g AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM x),
+part_ AS (SELECT term, id, round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) * 1000000)::BIGINT AS impact FROM tf JOIN df USING (term), g)"""
+
+
+def skill_texts(spark, sf_dir) -> DataFrame:
+    """(id, text): each skill's name, category and the texts of its knowledge."""
+    part, docs = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents")
+    said = docs.groupBy((F.col("doc_id") % max(part.count(), 1)).alias("p_partkey")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    said = said.select("p_partkey", F.array_join("d.text", " ").alias("said"))
+    return part.join(said, "p_partkey", "left").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", "p_type", "said").alias("text"))
+
+
+@query(_SKILL_TEXTS + """, q AS (SELECT DISTINCT intent AS query, intent AS term FROM intents UNION SELECT DISTINCT p_name || ' ' || p_type, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) FROM part)
+SELECT query, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT query, id, sum(impact) / 1000000 AS score, row_number() OVER (PARTITION BY query ORDER BY sum(impact) DESC, id) AS rank FROM q JOIN part_ USING (term) GROUP BY query, id) WHERE rank <= 5""")
+def search_all_intents(spark, sf_dir):
+    """The five best skills for every intent, and for every name with its category, by all their texts."""
+    path = fresh(spark)
+    impacts.store_impacts(skill_texts(spark, sf_dir), path, "id", block=32)
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("query"))
+    asked = facts(sg.old_graph(spark, sf_dir), "oc:resolvesIntent", "s", "query").select("query").union(names).distinct()
+    found = impacts.search_all(spark, path, asked.withColumn("text", F.col("query")), 5)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT intent, string_agg(DISTINCT id, ',' ORDER BY id) AS skills FROM intents GROUP BY intent")
 def intent_index(spark, sf_dir):
     """Intents and their skills."""
