@@ -157,3 +157,69 @@ def sparql_path(spark, sf_dir):
 def sparql_union(spark, sf_dir):
     """Query text with UNION and BIND."""
     return sparql.select(sg.old_graph(spark, sf_dir), "SELECT ?s ?role ?state WHERE { ?s oc:hasCategory \"PROMO\" . { ?s oc:requiresState ?state . BIND(\"needs\" AS ?role) } UNION { ?s oc:yieldsState ?state . BIND(\"gives\" AS ?role) } }", merged=True)
+
+
+def _select(spark, sf_dir, text: str):
+    return sparql.select(sg.old_graph(spark, sf_dir), text, merged=True)
+
+
+@query(", p(o) AS (SELECT b.s FROM k a JOIN k b ON b.yields = a.requires WHERE a.s = 'oc:skill_7' UNION SELECT b.s FROM p JOIN k a ON a.s = p.o JOIN k b ON b.yields = a.requires) SELECT o FROM p")
+def sparql_path_sequence(spark, sf_dir):
+    """What a skill needs first, step by step: a repeated sequence with a step against the arrow."""
+    return _select(spark, sf_dir, "SELECT ?o WHERE { oc:skill_7 (oc:requiresState/^oc:yieldsState)+ ?o }")
+
+
+@query(", e AS (FROM ups UNION FROM deps), p(s) AS (SELECT 'oc:skill_3' UNION SELECT src FROM p JOIN e ON dst = p.s) SELECT p.s, id FROM p JOIN k ON k.s = p.s")
+def sparql_path_alternative(spark, sf_dir):
+    """What leads to a skill by either of two predicates, searched from its end."""
+    return _select(spark, sf_dir, "SELECT ?s ?id WHERE { ?s (oc:extends|oc:dependsOnSkill)* oc:skill_3 . ?s dcterms:identifier ?id }")
+
+
+@query("""SELECT o, CAST(count(*) AS BIGINT) AS n FROM (SELECT p_type AS o FROM k WHERE s = 'oc:skill_10' UNION ALL SELECT p_name FROM k WHERE s = 'oc:skill_10' UNION ALL SELECT dst FROM deps WHERE src = 'oc:skill_10'
+UNION ALL SELECT dst FROM ups WHERE src = 'oc:skill_10' UNION ALL SELECT requires FROM k WHERE s = 'oc:skill_10' UNION ALL SELECT yields FROM k WHERE s = 'oc:skill_10' UNION ALL SELECT requirement FROM k WHERE s = 'oc:skill_10'
+UNION ALL SELECT intent FROM intents WHERE s = 'oc:skill_10' UNION ALL SELECT p_brand FROM k WHERE s = 'oc:skill_10' UNION ALL SELECT src FROM deps WHERE dst = 'oc:skill_10') GROUP BY o""")
+def sparql_path_negated(spark, sf_dir):
+    """All that a skill says but three predicates, and what says anything of it but one."""
+    return _select(spark, sf_dir, "SELECT ?o (COUNT(*) AS ?n) WHERE { oc:skill_10 !(rdf:type|dcterms:identifier|oc:trustTier|^oc:extends) ?o } GROUP BY ?o")
+
+
+@query("SELECT s, s AS o FROM k WHERE p_type = 'PROMO' UNION SELECT s, dst FROM k JOIN ups ON src = s WHERE p_type = 'PROMO'")
+def sparql_path_optional(spark, sf_dir):
+    """Skills of a category, and what they extend: one step or none."""
+    return _select(spark, sf_dir, "SELECT ?s ?o WHERE { ?s oc:hasCategory \"PROMO\" . ?s oc:extends? ?o }")
+
+
+@query("SELECT s, id AS i FROM k WHERE s NOT IN (SELECT src FROM deps JOIN k ON k.s = dst WHERE tier = 'official') AND NOT (p_size % 2 = 0 AND p_type = 'PROMO')")
+def sparql_not_exists(spark, sf_dir):
+    """Skills that depend on none of a tier, less some of a category."""
+    return _select(spark, sf_dir, "SELECT ?s ?i WHERE { ?s dcterms:identifier ?i FILTER NOT EXISTS { ?s oc:dependsOnSkill ?d . ?d oc:trustTier ?t FILTER(?t = \"official\") } MINUS { ?s a oc:ExecutableSkill ; oc:hasCategory \"PROMO\" } MINUS { ?x oc:hasAlias ?y } }")
+
+
+@query("SELECT DISTINCT a.s, a.p_type AS c FROM k a JOIN deps ON src = a.s JOIN k b ON b.s = dst AND b.p_type = a.p_type WHERE a.tier = 'local'")
+def sparql_exists(spark, sf_dir):
+    """Skills that depend on one of their own category: the filter within sees the variable without."""
+    return _select(spark, sf_dir, "SELECT DISTINCT ?s ?c WHERE { ?s oc:hasCategory ?c ; oc:trustTier \"local\" FILTER(EXISTS { ?s oc:dependsOnSkill ?d . ?d oc:hasCategory ?e FILTER(?e = ?c) } && STRLEN(?c) > 0) }")
+
+
+@query(", v(tier, p_type) AS (VALUES ('official', 'PROMO'), ('local', 'ECONOMY'), ('verified', NULL)) SELECT s, k.tier AS t, k.p_type AS c FROM k JOIN v ON k.tier = v.tier AND (v.p_type IS NULL OR k.p_type = v.p_type)")
+def sparql_values(spark, sf_dir):
+    """Skills by pairs of a tier and a category, one of them any."""
+    return _select(spark, sf_dir, "SELECT ?s ?t ?c WHERE { ?s oc:trustTier ?t ; oc:hasCategory ?c VALUES (?t ?c) { (\"official\" \"PROMO\") (\"local\" \"ECONOMY\") (\"verified\" UNDEF) } }")
+
+
+@query("SELECT requires AS state, CAST(count(*) AS BIGINT) AS n, count(DISTINCT p_type) / count(*) AS share FROM k GROUP BY requires HAVING count(*) > 4 AND count(DISTINCT p_type) * 2 > 4")
+def sparql_having(spark, sf_dir):
+    """States that more than four skills of more than two categories require, and how many categories a skill."""
+    return _select(spark, sf_dir, "SELECT ?state (COUNT(?s) AS ?n) (COUNT(DISTINCT ?c) / COUNT(?s) AS ?share) WHERE { ?s oc:requiresState ?state ; oc:hasCategory ?c } GROUP BY ?state HAVING (COUNT(?s) > 4 && COUNT(DISTINCT ?c) * 2 > 4)")
+
+
+@query(", m AS (SELECT requires AS state, count(*) AS n FROM k GROUP BY requires ORDER BY n DESC, state LIMIT 10) SELECT s, state, CAST(n AS BIGINT) AS n FROM m JOIN k ON yields = state")
+def sparql_subselect(spark, sf_dir):
+    """Who yields the ten states that most skills require."""
+    return _select(spark, sf_dir, "SELECT ?s ?state ?n WHERE { { SELECT ?state (COUNT(*) AS ?n) WHERE { ?x oc:requiresState ?state } GROUP BY ?state ORDER BY DESC(?n) ?state LIMIT 10 } ?s oc:yieldsState ?state }")
+
+
+@query("SELECT id AS i, (length(p_name) + length(p_type)) / 2 - 1 AS x FROM k WHERE length(p_name) * 2 - 3 > length(p_type) + 12")
+def sparql_arithmetic(spark, sf_dir):
+    """Sums and products of lengths, in a column and in a condition."""
+    return _select(spark, sf_dir, "SELECT ?i ((STRLEN(?n) + STRLEN(?c)) / 2 -1 AS ?x) WHERE { ?s dcterms:identifier ?i ; oc:nature ?n ; oc:hasCategory ?c FILTER(STRLEN(?n) * 2 - 3 > STRLEN(?c) + 12) }")
