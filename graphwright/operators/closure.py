@@ -109,3 +109,29 @@ def _least(edges: DataFrame, src: str, dst: str) -> DataFrame:
         labels.stored_at = new.stored_at
         if not moved:
             return labels
+
+
+def representatives(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, representative): the least node of the connected part that each node of the edges is in, whatever their direction.
+
+    Stars: each node's neighbours are joined to the least of them, in turn the greater neighbours and the lesser ones, until nothing changes. The
+    number of rounds grows with the logarithm of the nodes. Each round is written to a table.
+    """
+    ends = _steps(edges, src, dst)
+    nodes = stored(ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct())
+    links = stored(ends.where("src <> dst").select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")).distinct())
+    marks = None
+    while True:
+        # the greater neighbours of each node get the least one
+        near = links.select(F.col("high").alias("node"), F.col("low").alias("other")).union(links.select(F.col("low").alias("node"), F.col("high").alias("other")))
+        least = near.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("low"))
+        grown = near.where("other > node").join(least, "node").select(F.col("other").alias("high"), "low").distinct()
+        # then its lesser ones, and itself
+        lows = grown.groupBy("high").agg(F.min("low").alias("least"))
+        shrunk = grown.join(lows, "high").select(F.col("low").alias("high"), F.col("least").alias("low")).union(lows.select("high", F.col("least").alias("low")))
+        last, links = links, stored(shrunk.where("high <> low").distinct())
+        drop(last)
+        now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("high", "low").cast("decimal(20,0)")), F.lit(0))).first()
+        if now == marks:
+            return nodes.join(links.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("low")), "node", "left").select("node", F.coalesce("low", "node").alias("representative"))
+        marks = now

@@ -1,12 +1,21 @@
-"""Inference by rules to a fixpoint, and violations of axioms."""
+"""Inference by rules to a fixpoint, with equality, and violations of axioms.
+
+Rounds are semi-naive: rules are applied to what the last round added, and joined with all that is known where they need two facts. Nodes that are the
+same, stated or by functional properties, are one class with one representative: facts hold of representatives, and a table has
+the members, so that a class of n nodes has n rows and not n times its facts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.operators.catalog import superclasses
-from graphwright.operators.closure import closure
+from graphwright.operators.closure import closure, representatives
 from graphwright.operators.triples import TYPE, facts
 from graphwright.sources.scratch import drop, stored
 
@@ -20,6 +29,26 @@ DOMAINS = {"oc:impartsKnowledge": ("oc:Skill", "oc:KnowledgeNode"), "oc:extends"
 ASYMMETRIC = ("oc:impartsKnowledge", "oc:dependsOn", "oc:dependsOnSkill")
 IRREFLEXIVE = ("oc:impartsKnowledge",)
 DISJOINT = (("oc:ExecutableSkill", "oc:DeclarativeSkill"),)
+SAME = "owl:sameAs"
+
+
+@dataclass(frozen=True)
+class Axioms:
+    """What holds of properties and classes. `equivalent` pairs of properties imply each other."""
+
+    inverses: Sequence[tuple[str, str]] = tuple(INVERSES.items())
+    symmetric: Sequence[str] = SYMMETRIC
+    transitive: Sequence[str] = TRANSITIVE
+    sub_properties: Sequence[tuple[str, str]] = tuple(SUB_PROPERTIES.items())
+    equivalent: Sequence[tuple[str, str]] = ()
+    chains: Sequence[tuple[str, tuple[str, str]]] = tuple(CHAINS.items())
+    domains: Sequence[tuple[str, tuple[str, str]]] = tuple(DOMAINS.items())
+    functional: Sequence[str] = ()
+    inverse_functional: Sequence[str] = ()
+    equivalent_classes: Sequence[tuple[str, str]] = ()
+
+
+VOCABULARY = Axioms()
 
 
 def _links(t: DataFrame) -> DataFrame:
@@ -77,17 +106,78 @@ def types(links: DataFrame, subclasses: list[tuple[str, str]]) -> DataFrame:
     return given.distinct().select("s", F.lit(TYPE).alias("p"), F.explode(F.coalesce(F.element_at(up, F.col("c")), F.array("c"))).alias("o")).distinct()
 
 
-def infer(t: DataFrame, subclasses: list[tuple[str, str]]) -> DataFrame:
-    """(s, p, o): all links of a graph and what the rules add, to the fixpoint."""
+def _follow(new: DataFrame, known: DataFrame, axioms: Axioms, subclasses: list[tuple[str, str]]) -> DataFrame:
+    """What follows from new links, alone or with one of the known, which have the new ones among them. One scan of the new ones gives all that follows from a single link."""
+    at = F.col("p")
+    both = [*axioms.inverses, *[(b, a) for a, b in axioms.inverses], *[(p, p) for p in axioms.symmetric]]
+    below = [*axioms.sub_properties, *axioms.equivalent, *[(b, a) for a, b in axioms.equivalent]]
+    up = superclasses([*subclasses, *axioms.equivalent_classes, *[(b, a) for a, b in axioms.equivalent_classes]])
+    made = [F.when(at == a, F.struct(F.col("o").alias("s"), F.lit(b).alias("p"), F.col("s").alias("o"))) for a, b in both]
+    made += [F.when(at == a, F.struct(F.col("s").alias("s"), F.lit(b).alias("p"), F.col("o").alias("o"))) for a, b in below]
+    for p, (domain, range_) in axioms.domains:
+        made += [F.when(at == p, F.struct(F.col(end).alias("s"), F.lit(TYPE).alias("p"), F.lit(c).alias("o"))) for end, c in (("s", domain), ("o", range_)) if c]
+    rows = []
+    if made:
+        rows.append(new.select(F.inline(F.filter(F.array(*made), lambda m: m.isNotNull()))))
+    if up:
+        above = F.create_map(*[x for c, more in up.items() for x in (F.lit(c), F.array(*map(F.lit, more)))])
+        rows.append(new.where((at == TYPE) & F.col("o").isin(*up)).select("s", "p", F.explode(F.element_at(above, F.col("o"))).alias("o")))
+    for made_, (first, then) in [*axioms.chains, *((p, (p, p)) for p in axioms.transitive)]:
+        for a, b in ((new, known), (known, new)):
+            rows.append(facts_of(a, first, "s", "m").join(facts_of(b, then, "m", "o"), "m").select("s", F.lit(made_).alias("p"), "o"))
+    return reduce(DataFrame.union, rows).distinct() if rows else new.where("false")
+
+
+def _equal(new: DataFrame, known: DataFrame, axioms: Axioms) -> DataFrame:
+    """(src, dst): nodes that new links make the same: stated, or objects of a functional property of one subject, or subjects of an inverse functional one of one object. Each with the least, so no group has all its pairs."""
+    rows = [new.where(F.col("p") == SAME).select(F.col("s").alias("src"), F.col("o").alias("dst"))]
+    for names, key, value in ((axioms.functional, "s", "o"), (axioms.inverse_functional, "o", "s")):
+        if names:
+            touched = new.where(F.col("p").isin(*names)).select("p", key).distinct()
+            of = known.where(F.col("p").isin(*names)).join(touched, ["p", key])
+            least = of.groupBy("p", key).agg(F.min(value).alias("least"), F.max(value).alias("most")).where("least <> most")
+            rows.append(of.join(least, ["p", key]).where(F.col(value) != F.col("least")).select(F.col(value).alias("src"), F.col("least").alias("dst")))
+    return reduce(DataFrame.union, rows).distinct()
+
+
+def fixpoint(t: DataFrame, subclasses: list[tuple[str, str]], axioms: Axioms = VOCABULARY) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(s, p, o) of representatives, (node, representative) of nodes that are the same as others, and how many links each round added.
+
+    A representative is the least node of its class. Links of other members are moved to it, and links so moved count as new, since a rule may join them now. Stated equality is in the
+    second table only. Literals take part in nothing.
+    """
     known = stored(_links(t))
+    new, same, edges, added = known, None, None, []
     while True:
-        new = transitive(known).union(inverse(known)).union(symmetric(known)).union(sub_properties(known)).union(chains(known)).union(types(known, subclasses)).distinct()
-        new = stored(new.join(known, ["s", "p", "o"], "left_anti"))
-        if new.isEmpty():
-            drop(new)
-            return known
-        last, known = known, stored(known.union(new))
-        drop(last, new)
+        while True:  # links moved to a representative may make more nodes the same
+            equal = _equal(new, known, axioms).where("src <> dst")
+            equal = stored(equal if edges is None else equal.join(edges, ["src", "dst"], "left_anti"))
+            if equal.isEmpty():
+                break
+            edges = equal if edges is None else stored(edges.union(equal))
+            same = stored(representatives(edges))
+            moved = known
+            for end in ("s", "o"):
+                names = same.where("node <> representative").select(F.col("node").alias(end), "representative")
+                moved = moved.join(names, end, "left").withColumn(end, F.coalesce("representative", end)).drop("representative")
+            moved = stored(moved.select("s", "p", "o").distinct())
+            # the moved links, and those of the new ones that stayed
+            new = stored(moved.join(known, ["s", "p", "o"], "left_anti").union(new.join(moved, ["s", "p", "o"], "left_semi")).distinct())
+            known = moved
+        follows = stored(_follow(new, known, axioms, subclasses).join(known, ["s", "p", "o"], "left_anti"))
+        n = follows.count()
+        if not n:
+            drop(follows)
+            break
+        added.append(n)
+        new, known = follows, stored(known.union(follows))
+    members = same if same is not None else known.sparkSession.createDataFrame([], "node string, representative string")
+    return known.where(F.col("p") != SAME), members, added
+
+
+def infer(t: DataFrame, subclasses: list[tuple[str, str]], axioms: Axioms = VOCABULARY) -> DataFrame:
+    """(s, p, o): all links of a graph and what the rules add, to the fixpoint; of nodes that are the same those of the representative."""
+    return fixpoint(t, subclasses, axioms)[0]
 
 
 def violations(t: DataFrame) -> DataFrame:

@@ -35,6 +35,41 @@ def rsn_chain(spark, sf_dir):
     return reason.chains(sg.graph(spark, sf_dir).where("o_kind <> 'literal'").select("s", "p", "o"))
 
 
+_FIX = """, l AS (SELECT s, 'rdf:type' AS p, 'oc:Skill' AS o FROM k UNION SELECT s, 'rdf:type', CASE WHEN p_size % 2 = 0 THEN 'oc:ExecutableSkill' ELSE 'oc:DeclarativeSkill' END FROM k
+  UNION SELECT src, 'oc:extends', dst FROM ups UNION SELECT src, 'oc:dependsOnSkill', dst FROM deps UNION SELECT s, 'oc:requiresState', requires FROM k UNION SELECT s, 'oc:yieldsState', yields FROM k UNION SELECT s, 'oc:hasRequirement', requirement FROM k
+  UNION SELECT requirement, 'rdf:type', ['oc:RequirementTool', 'oc:RequirementFile', 'oc:RequirementEnv'][p_size % 3 + 1] FROM k),
+n AS (SELECT count(*) AS n FROM part), i AS (SELECT 'oc:skill_' || (doc_id % n) AS s, 'oc:kn_' || doc_id AS o, doc_id FROM documents, n)"""
+
+
+@query(_FIX + """, x AS (SELECT src, dst FROM ups), e AS (SELECT src, dst FROM x UNION SELECT e.src, x.dst FROM e JOIN x ON e.dst = x.src),
+h AS (SELECT s, o FROM i UNION SELECT e.src, i.o FROM e JOIN i ON e.dst = i.s),
+kinds AS (SELECT doc_id, ['oc:NormativeRule', 'oc:StrategicInsight', 'oc:ResilienceTactic', 'oc:ExecutionPhysics', NULL][doc_id % 5 + 1] AS d, ['oc:Standard', 'oc:Heuristic', 'oc:KnownIssue', 'oc:SideEffect', 'oc:Procedure'][doc_id % 5 + 1] AS kind FROM documents),
+a AS (SELECT * FROM l UNION SELECT src, 'oc:extends', dst FROM e UNION SELECT dst, 'oc:isExtendedBy', src FROM e UNION SELECT dst, 'oc:enablesSkill', src FROM deps
+  UNION SELECT s, 'oc:impartsKnowledge', o FROM i UNION SELECT s, 'oc:inheritsKnowledge', o FROM h UNION SELECT o, 'rdf:type', 'oc:KnowledgeNode' FROM i
+  UNION SELECT 'oc:kn_' || doc_id, 'rdf:type', unnest([d, kind]) FROM kinds)
+SELECT p, CASE WHEN p = 'rdf:type' THEN o ELSE '' END AS class, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT s) AS BIGINT) AS subjects FROM a WHERE o IS NOT NULL GROUP BY ALL""")
+def rsn_fixpoint(spark, sf_dir):
+    """All links that hold, counted by property and class: inherited knowledge along any number of extensions, inverses and types."""
+    axioms = reason.Axioms(chains=[("oc:inheritsKnowledge", ("oc:extends", "oc:inheritsKnowledge"))], domains=[("oc:impartsKnowledge", ("oc:Skill", "oc:KnowledgeNode")), ("oc:extends", ("oc:Skill", "oc:Skill"))])
+    found = reason.infer(sg.graph(spark, sf_dir), catalog.class_tree(), axioms)
+    return found.groupBy("p", F.when(F.col("p") == "rdf:type", F.col("o")).otherwise("").alias("class")).agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+
+
+@query(""", tie AS (SELECT a.yields AS x, b.yields AS y FROM k a JOIN k b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 9 = 0 AND a.yields <> b.yields), b AS (SELECT x, y FROM tie UNION SELECT y, x FROM tie),
+c(x, y) AS (SELECT x, y FROM b UNION SELECT x, x FROM b UNION SELECT c.x, b.y FROM c JOIN b ON c.y = b.x), r AS (SELECT x AS node, min(y) AS representative FROM c GROUP BY x),
+z AS (SELECT a.s AS node, least(a.s, b.s) AS representative FROM k a JOIN k b ON b.p_partkey = a.p_partkey + 1 AND a.p_partkey % 9 = 0 OR b.p_partkey = a.p_partkey - 1 AND b.p_partkey % 9 = 0)
+SELECT node, representative FROM r UNION SELECT node, representative FROM z""")
+def rsn_same(spark, sf_dir):
+    """Every ninth skill is the same as the next one, and a skill yields one state: so states are the same too, and whole classes of them."""
+    t = sg.old_graph(spark, sf_dir).where("p in ('oc:yieldsState', 'oc:requiresState')")
+    k = F.col("p_partkey")
+    ninth = table(spark, sf_dir, "part").select(k).where(k % 9 == 0)
+    next_ = table(spark, sf_dir, "part").select((k - 1).alias("p_partkey"))
+    ties = ninth.join(next_, "p_partkey").select(F.concat(F.lit("oc:skill_"), k.cast("string")).alias("s"), F.concat(F.lit("oc:skill_"), (k + 1).cast("string")).alias("o"))
+    ties = ties.select(F.lit("old").alias("graph_id"), "s", F.lit("iri").alias("s_kind"), F.lit(reason.SAME).alias("p"), "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    return reason.fixpoint(t.union(ties), [], reason.Axioms(functional=["oc:yieldsState"]))[1]
+
+
 @query("SELECT 'ExecutableSkill' AS shape, s AS focus, 'oc:hasPayload' AS path, '0' AS value FROM k WHERE skill_type = 'executable'")
 def shacl_min_count(spark, sf_dir):
     """Executable skills have no payload in this graph."""
@@ -56,6 +91,46 @@ def shacl_class(spark, sf_dir):
     return shapes.validate(sg.old_graph(spark, sf_dir), catalog.class_tree(), wanted).select("focus", "value")
 
 
+#: Content in the order of its shapes: class, path, value, datatype, and the one that is wrong.
+_CONTENT = [
+    ("CodeExample", "codeLanguage", "python", "xsd:string", "xsd:integer"), ("CodeExample", "codeContent", "x = 1", "xsd:string", "xsd:integer"),
+    ("Table", "tableMarkdown", "| a |", "xsd:string", "rdf:langString"), ("Flowchart", "flowchartSource", "a->b", "xsd:string", "xsd:integer"), ("Flowchart", "flowchartType", "mermaid", "xsd:string", "xsd:token"),
+    ("Template", "templateContent", "hi", "xsd:string", "xsd:integer"), ("Template", "templateType", "prompt", "xsd:string", "xsd:integer"), ("Section", "sectionTitle", "T", "xsd:string", "xsd:integer"),
+    ("Section", "sectionLevel", "1", "xsd:integer", "xsd:string"), ("Section", "sectionOrder", "2", "xsd:integer", "xsd:long"), ("Paragraph", "textContent", "words", "xsd:string", "xsd:integer"),
+    ("Paragraph", "contentOrder", "3", "xsd:integer", "xsd:string"), ("BulletList", "hasItem", "oc:c_7", "iri", ""), ("BulletItem", "itemText", "one", "xsd:string", "xsd:integer"), ("BulletItem", "itemOrder", "4", "xsd:integer", "xsd:string"),
+    ("BlockQuote", "quoteContent", "said", "xsd:string", "xsd:integer"), ("BlockQuote", "contentOrder", "5", "xsd:integer", "xsd:string"), ("BlockQuote", "quoteAttribution", "me", "xsd:string", "xsd:integer"),
+    ("HTMLBlock", "htmlContent", "<p>", "xsd:string", "rdf:HTML"), ("HTMLBlock", "contentOrder", "6", "xsd:integer", "xsd:string"), ("FrontmatterBlock", "rawYaml", "a: 1", "xsd:string", "xsd:integer"), ("FrontmatterBlock", "contentOrder", "0", "xsd:integer", "xsd:string"),
+]
+
+
+@query("""WITH plan(i, class, path, value, good, wrong, least, most, listed) AS (VALUES (0, 0, 'codeLanguage', 'python', 'string', 'integer', 1, 99, NULL), (1, 0, 'codeContent', 'x = 1', 'string', 'integer', 1, 99, NULL), (2, 1, 'tableMarkdown', '| a |', 'string', 'x', 1, 99, NULL),
+(3, 2, 'flowchartSource', 'a->b', 'string', 'x', 1, 99, NULL), (4, 2, 'flowchartType', 'mermaid', 'string', 'x', 1, 99, 'graphviz mermaid'), (5, 3, 'templateContent', 'hi', 'string', 'x', 1, 99, NULL), (6, 3, 'templateType', 'prompt', 'string', 'x', 0, 1, 'prompt output boilerplate'),
+(7, 4, 'sectionTitle', 'T', 'string', 'x', 1, 99, NULL), (8, 4, 'sectionLevel', '1', 'integer', 'x', 1, 99, NULL), (9, 4, 'sectionOrder', '2', 'integer', 'x', 1, 99, NULL), (10, 5, 'textContent', 'words', 'string', 'x', 1, 99, NULL), (11, 5, 'contentOrder', '3', 'integer', 'x', 1, 99, NULL),
+(12, 6, 'hasItem', 'oc:c_7', NULL, NULL, 1, 99, NULL), (13, 7, 'itemText', 'one', 'string', 'x', 1, 99, NULL), (14, 7, 'itemOrder', '4', 'integer', 'x', 1, 99, NULL), (15, 8, 'quoteContent', 'said', 'string', 'x', 1, 99, NULL), (16, 8, 'contentOrder', '5', 'integer', 'x', 1, 99, NULL),
+(17, 8, 'quoteAttribution', 'me', 'string', 'x', 0, 1, NULL), (18, 9, 'htmlContent', '<p>', 'string', 'x', 1, 99, NULL), (19, 9, 'contentOrder', '6', 'integer', 'x', 1, 99, NULL), (20, 10, 'rawYaml', 'a: 1', 'string', 'x', 1, 99, NULL), (21, 10, 'contentOrder', '0', 'integer', 'x', 1, 99, NULL)),
+named(class, shape) AS (SELECT i, ['CodeExample', 'Table', 'Flowchart', 'Template', 'Section', 'Paragraph', 'BulletList', 'BulletItem', 'BlockQuote', 'HTMLBlock', 'FrontmatterBlock'][i + 1] FROM range(11) r(i)),
+x AS (SELECT 'oc:c_' || doc_id AS focus, doc_id // 11 + i AS turn, plan.* FROM documents JOIN plan ON class = doc_id % 11),
+v AS (SELECT focus, class, path, unnest([value, CASE WHEN turn % 7 = 2 THEN value || '2' END]) AS value, CASE WHEN turn % 5 = 1 THEN wrong ELSE good END AS dt, good, listed FROM x WHERE turn % 4 <> 0),
+n AS (SELECT focus, class, path, least, most, CASE WHEN turn % 4 = 0 THEN 0 WHEN turn % 7 = 2 THEN 2 ELSE 1 END AS n FROM x)
+SELECT shape, focus, 'oc:' || path AS path, kind, value FROM named JOIN (
+  SELECT class, focus, path, 'min' AS kind, CAST(n AS VARCHAR) AS value FROM n WHERE n < least UNION ALL SELECT class, focus, path, 'max', CAST(n AS VARCHAR) FROM n WHERE n > most
+  UNION ALL SELECT class, focus, path, 'datatype', value FROM v WHERE value IS NOT NULL AND dt <> good UNION ALL SELECT class, focus, path, 'in', value FROM v WHERE value IS NOT NULL AND NOT list_contains(string_split(listed, ' '), value)
+  UNION ALL SELECT class, focus, path, 'class', value FROM v WHERE class = 6 AND value IS NOT NULL AND value NOT IN (SELECT 'oc:c_' || doc_id FROM documents WHERE doc_id % 11 = 7)) USING (class)""", skills=False)
+def shacl_content(spark, sf_dir):
+    """Violations of the eleven shapes of content, whose constraints are read from their graph."""
+    found = shapes.validate(sg.content_nodes(table(spark, sf_dir, "documents"), _CONTENT), catalog.class_tree(), shapes.read(shapes.vocabulary(spark, *shapes.CONTENT)))
+    return found.select("shape", "focus", "path", "kind", "value")
+
+
+@query("""SELECT shape, path, kind, severity, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'ExecutableSkill' AS shape, 'oc:hasPayload' AS path, 'min' AS kind, 'Violation' AS severity, count(*) AS n FROM k WHERE skill_type = 'executable'
+  UNION ALL SELECT 'Skill', 'oc:impartsKnowledge', 'min', 'Warning', count(*) - (SELECT count(DISTINCT doc_id % (SELECT count(*) FROM part)) FROM documents) FROM k) WHERE n > 0""")
+def shacl_vocabulary(spark, sf_dir):
+    """Violations of all shapes of the vocabulary in the graph of skills and knowledge, counted by constraint."""
+    found = shapes.validate(sg.graph(spark, sf_dir), catalog.class_tree(), shapes.read(shapes.vocabulary(spark)))
+    return found.groupBy("shape", "path", "kind", "severity").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT severity, shape, CAST(n AS BIGINT) AS n FROM (
   SELECT 'Violation' AS severity, 'ExecutableSkill' AS shape, count(*) AS n FROM k WHERE skill_type = 'executable'
   UNION ALL SELECT 'Warning', 'Skill', count(*) - (SELECT count(DISTINCT doc_id % (SELECT count(*) FROM part)) FROM documents) + (SELECT count(*) FROM k WHERE p_partkey % 20 >= 5 AND p_partkey = 0) FROM k

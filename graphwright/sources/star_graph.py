@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphwright.operators.triples import TYPE
+
 TIERS = ("official", "local", "verified", "community")
 KINDS = ("Standard", "Heuristic", "KnownIssue", "SideEffect", "Procedure")
 
@@ -144,6 +146,23 @@ def content_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("content").alias("graph_id"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", F.when(number, F.lit("xsd:integer")).alias("o_dt"), none.alias("o_lang"))
 
 
+def content_nodes(documents: DataFrame, plan: list[tuple[str, str, str, str, str]]) -> DataFrame:
+    """Nodes of content, document d one of class d mod classes. `plan` has (class, path, value, its kind or datatype, another datatype); of each path the q-th node of its class lacks it where q is a multiple of 4, has the
+    other datatype where q leaves 1 by 5, and has two values where q leaves 2 by 7."""
+    classes = list(dict.fromkeys(c for c, *_ in plan))
+    q, of = F.floor(F.col("doc_id") / len(classes)), F.col("doc_id") % len(classes)
+    node, none = F.concat(F.lit("oc:c_"), F.col("doc_id").cast("string")), F.lit(None).cast("string")
+    facts = [F.struct(F.lit(TYPE).alias("p"), F.element_at(F.array(*[F.lit(f"oc:{c}") for c in classes]), (of + 1).cast("int")).alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_dt"))]
+    for i, (name, path, value, kind, other) in enumerate(plan):
+        turn = q + i
+        mine = (of == classes.index(name)) & (turn % 4 != 0)
+        said = lambda text, kind=kind, other=other, turn=turn: (text.alias("o"), F.lit("iri" if kind == "iri" else "literal").alias("o_kind"), F.when(F.lit(kind != "iri"), F.when(turn % 5 == 1, F.lit(other)).otherwise(F.lit(kind))).alias("o_dt"))
+        facts.append(F.when(mine, F.struct(F.lit(f"oc:{path}").alias("p"), *said(F.lit(value)))))
+        facts.append(F.when(mine & (turn % 7 == 2), F.struct(F.lit(f"oc:{path}").alias("p"), *said(F.concat(F.lit(value), F.lit("2"))))))
+    rows = documents.select(node.alias("s"), F.inline(F.filter(F.array(*facts), lambda f: f.isNotNull())))
+    return rows.select(F.lit("content").alias("graph_id"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_dt", none.alias("o_lang"))
+
+
 def records(part: DataFrame) -> DataFrame:
     """Structured records of skills, as a compiler makes them, derived from parts; see operators.serialise."""
     k = F.col("p_partkey")
