@@ -63,7 +63,16 @@ def reached(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "ds
 
 
 def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node): the nodes that lie on a cycle, loops included.
+    """(node): the nodes that lie on a cycle, loops included."""
+    return _ends(cycle_edges(edges, src, dst))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+
+
+def cycle_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, dst): the edges that lie on a cycle, loops included; each is within one strongly connected part.
 
     Edges from nodes that nothing leads to, and to nodes that lead nowhere, are peeled off until none is left, which leaves cycles and ways
     between them. If there are as many edges as nodes then, all are on cycles. Else each node gets the least node that reaches it and
@@ -80,8 +89,7 @@ def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
         drop(last)
         if n == before:
             break
-    ends = lambda t: t.select(F.col("src").alias("node")).union(t.select(F.col("dst").alias("node"))).distinct()
-    while n and n != ends(rest).count():
+    while n and n != _ends(rest).count():
         ahead, back = _least(rest, "src", "dst"), _least(rest, "dst", "src")
         labels = stored(ahead.join(back.withColumnRenamed("label", "other"), "node").select("node", F.struct("label", "other").alias("label")))
         cut = rest.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
@@ -90,7 +98,41 @@ def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
         n = rest.count()
         if n == before:
             break
-    return ends(rest)
+    return rest
+
+
+def shortest_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(root, n, node): for each strongly connected part with a cycle the shortest one through its least node, from that node (n = 0) back to it.
+
+    A search goes breadth first from all roots at once and keeps each node's least predecessor of those a round earlier; a part is done when its root is met again. The way is then
+    rebuilt from its end by joins with the predecessors of each round. Rounds are as many as the longest of the cycles has edges.
+    """
+    step = cycle_edges(edges, src, dst)
+    labels = _least(step, "src", "dst")  # within a part, of all its nodes the least
+    roots = labels.where("node = label").select(F.col("node").alias("root"))
+    step = stored(step)
+    seen = front = stored(roots.select("root", F.col("root").alias("node")))
+    open_, levels, closed = stored(roots), [], []
+    while True:
+        met = step.join(front.withColumnRenamed("node", "src"), "src").groupBy("root", F.col("dst").alias("node")).agg(F.min("src").alias("before"))
+        met = stored(met.join(seen, ["root", "node"], "left_anti").union(met.where("node = root")))
+        levels.append(met)
+        closed.append(met.where("node = root"))
+        open_ = stored(open_.join(closed[-1].select("root"), "root", "left_anti"))
+        if open_.isEmpty():
+            break
+        front = met.join(open_, "root", "left_semi").where("node <> root").select("root", "node")
+        seen = stored(seen.union(front))
+    out, at = [], None
+    for n in range(len(levels), 0, -1):
+        begin = closed[n - 1].select("root", F.col("root").alias("node"))
+        at = begin if at is None else begin.union(at)
+        out.append(at.select("root", F.lit(n).alias("n"), "node"))
+        at = stored(at.join(levels[n - 1], ["root", "node"]).select("root", F.col("before").alias("node")))
+    found = at.select("root", F.lit(0).alias("n"), "node")
+    for rows in out:
+        found = found.union(rows)
+    return found
 
 
 def _least(edges: DataFrame, src: str, dst: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.functions.terms import local_name
-from graphwright.operators.closure import on_cycles
+from graphwright.operators.closure import on_cycles, shortest_cycles
 from graphwright.operators.triples import facts
 
 # Words in an intent that mark a way in.
@@ -51,14 +51,18 @@ def duplicate_intents(t: DataFrame) -> DataFrame:
 
 
 def workflow_cycles(t: DataFrame) -> DataFrame:
-    """Every workflow with steps that depend on each other in a circle. A step names what it depends on by its node or by its id."""
+    """A circle of steps in a skill's workflow, `a -> b -> a`: the shortest through the least step of each set of steps that need each other. A step names what it depends on by its node or by its id."""
+    owners = facts(t, "oc:hasWorkflow", "skill", "workflow").join(facts(t, "dcterms:identifier", "skill", "name"), "skill", "left")
+    owners = owners.groupBy("workflow").agg(F.min(F.coalesce("name", local_name(F.col("skill")))).alias("skill"))
     steps = facts(t, "oc:hasStep", "workflow", "step")
     named = steps.join(facts(t, "oc:stepId", "step", "id"), "step")
     needs = named.join(facts(t, "oc:stepDependsOn", "step", "need"), "step").select("workflow", F.col("step").alias("src"), "need")
     by_node = needs.join(named.select("workflow", F.col("step").alias("need")), ["workflow", "need"], "left_semi").select("src", F.col("need").alias("dst"))
     by_id = needs.join(named.select("workflow", F.col("id").alias("need"), F.col("step").alias("dst")), ["workflow", "need"]).select("src", "dst")
-    rows = on_cycles(by_node.union(by_id)).withColumnRenamed("node", "step").join(named, "step")
-    return _issues(rows, "error", "workflow-cycle", local_name(F.col("workflow")), F.col("id"))
+    ways = shortest_cycles(by_node.union(by_id)).withColumnRenamed("node", "step").join(named, "step")
+    ways = ways.groupBy("workflow", "root").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("way"))
+    rows = ways.join(owners, "workflow", "left")
+    return _issues(rows, "error", "workflow-cycle", F.coalesce("skill", local_name(F.col("workflow"))), F.array_join("way.id", " -> "))
 
 
 def person_pattern(phrase: str) -> str:

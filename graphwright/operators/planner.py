@@ -2,7 +2,7 @@
 
 A plan's search is bounded in depth and looks at the producers of the states it needs, so the graph's adjacency, not its texts, is what a
 search needs. A search runs on the driver, as the answer to one request, over the part of the graph that a few rounds of joins
-reach from its targets; what is collected is checked against MOST.
+reach from its targets; what is collected is checked against MOST. `least_costs` plans for all skills at once, in rounds of joins, without a driver's search.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphwright.functions.terms import BASE
 from graphwright.operators.closure import reached
+from graphwright.sources.scratch import drop, stored
 
 MAX_DEPTH = 10
 #: Skills that one request may reach; more is an error, not a cut.
@@ -113,6 +114,43 @@ def reachable(skills_wide: DataFrame, targets: list[str], depth: int = 0) -> Ski
     return Skills([Skill(r.id, r.qualified_id, sorted(r.requires_state), sorted(r.yields_state), list(r.depends_on), list(r.contradicts)) for r in rows])
 
 
+#: Costs stop growing here, far beyond any plan that can be run.
+UNPAYABLE = 10**15
+
+
+def least_costs(skills_wide: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, cost) of the skills that can be run from some states (one column), and (state, cost, producer) of the states that can be had.
+
+    A skill costs 1 and what each of its required states costs; a state that is there costs nothing, any other what its cheapest producer does, of equals the one with
+    the least id. So shared steps count each time they are needed. Rounds are semi-naive: only skills are priced again that need a state which the last round made
+    cheaper, and only such states go on; a cost only falls, so cycles end. Skills that lack a state for good have no row. A skill's repeated states count once.
+    """
+    needs = stored(skills_wide.select("id", F.explode(F.array_distinct("requires_state")).alias("state")).where("state is not null").distinct())
+    makes = stored(skills_wide.select("id", F.explode(F.array_distinct("yields_state")).alias("state")).where("state is not null").distinct())
+    number = needs.groupBy("id").agg(F.count("*").alias("n"))
+    free = skills_wide.select("id").distinct().join(number, "id", "left_anti").select("id", F.lit(1).cast("long").alias("cost"))
+    states = stored(current.toDF("state").distinct().select("state", F.lit(0).cast("long").alias("cost"), F.lit(None).cast("string").alias("producer")))
+    priced, changed = stored(free), None
+    while True:
+        if changed is None:  # those that need nothing, and those that need what is there
+            touched = needs.join(states.select("state"), "state", "left_semi").select("id").distinct()
+        else:
+            touched = needs.join(changed.select("state"), "state", "left_semi").select("id").distinct()
+        paid = needs.join(touched, "id", "left_semi").join(states, "state").groupBy("id").agg(F.count("*").alias("have"), F.least(F.sum("cost") + 1, F.lit(UNPAYABLE)).alias("cost"))
+        again = paid.join(number, "id").where("have = n").select("id", "cost")
+        new = stored(again if changed is not None else again.union(priced))
+        offers = makes.join(new, "id").groupBy("state").agg(F.min(F.struct("cost", "id")).alias("offer")).select("state", F.col("offer.cost").alias("cost"), F.col("offer.id").alias("producer"))
+        better = offers.join(states.select("state", F.col("cost").alias("had"), F.col("producer").alias("by")), "state", "left")
+        better = better.where("had is null or (by is not null and (cost < had or (cost = had and producer < by)))").select("state", "cost", "producer")
+        changed = stored(better)
+        last, priced = priced, stored(priced.join(new, "id", "left_anti").union(new))
+        drop(last, new)
+        if changed.isEmpty():
+            return priced, states
+        last, states = states, stored(states.join(changed.select("state"), "state", "left_anti").union(changed))
+        drop(last)
+
+
 def evaluate(skills_wide: DataFrame, current: list[str], intent: str | None = None, skill_id: str | None = None, depth: int = 0) -> dict:
     """Plans for an intent or a skill, exactly one of them, the best first: fewest unresolved, fewest steps, then by id.
 

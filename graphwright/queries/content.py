@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwright.functions import terms
 from graphwright.operators import bench, catalog, diff, graphs, links, lint, reason, registry, search, security, serialise, shapes
+from graphwright.operators.closure import shortest_cycles
 from graphwright.operators.triples import facts
 from graphwright.plans import sparql
 from graphwright.queries.graph import query, skills, table
@@ -63,12 +64,23 @@ def link_steps(spark, sf_dir):
     return links.applies_to_step(_content(spark, sf_dir))
 
 
-@query("SELECT 'error' AS severity, 'workflow-cycle' AS code, 'wf_' || p_partkey AS skill_id, unnest(['1', '2']) AS detail FROM k WHERE p_partkey % 7 = 0")
+@query("SELECT 'error' AS severity, 'workflow-cycle' AS code, 'skill_' || p_partkey AS skill_id, '1 -> 2 -> 1' AS detail FROM k WHERE p_partkey % 7 = 0")
 def lint_workflow_cycles(spark, sf_dir):
-    """Steps that depend on each other in a circle."""
+    """Steps that depend on each other in a circle, as the way around."""
     return lint.workflow_cycles(_content(spark, sf_dir)).select("severity", "code", F.regexp_replace("skill_id", "^oc:", "").alias("skill_id"), "detail")
 
 
+@query(""", e AS (SELECT src, dst FROM deps UNION SELECT src, dst FROM ups), m AS (SELECT s, p_partkey // 20 AS ring FROM k WHERE p_partkey % 20 < 5),
+c(root, node, way, d) AS (SELECT s, s, s, 0 FROM m WHERE s = 'oc:skill_' || ring * 20 UNION ALL SELECT root, dst, way || ' -> ' || dst, d + 1 FROM c JOIN e ON e.src = node JOIN m x ON x.s = node JOIN m y ON y.s = dst AND x.ring = y.ring WHERE d < 5 AND (d = 0 OR node <> root))
+SELECT root, way FROM (SELECT root, way, row_number() OVER (PARTITION BY root ORDER BY d) AS i FROM c WHERE d > 0 AND node = root) WHERE i = 1""")
+def lint_cycle_paths(spark, sf_dir):
+    """The shortest way around for each set of skills that depend on or extend each other in circles."""
+    t = sg.old_graph(spark, sf_dir)
+    edges = facts(t, "oc:dependsOnSkill", "src", "dst").union(facts(t, "oc:extends", "src", "dst"))
+    ways = shortest_cycles(edges).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("way"))
+    return ways.select("root", F.array_join("way.node", " -> ").alias("way"))
+
+
 @query("""SELECT path, kind, focus, value FROM (
   SELECT 'oc:timeout' AS path, 'datatype' AS kind, 'oc:pay_' || p_partkey AS focus, 'soon ' || p_partkey AS value FROM k WHERE p_size % 2 = 0 AND p_partkey % 10 = 0
   UNION ALL SELECT 'oc:executor', 'in', 'oc:pay_' || p_partkey, 'cobol' FROM k WHERE p_size % 2 = 0 AND p_partkey % 3 = 2

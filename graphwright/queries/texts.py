@@ -70,6 +70,26 @@ def plan_bounded(spark, sf_dir):
     return spark.createDataFrame([(i, s["skill_id"], plan["applicable"]) for i, s in enumerate(plan["plan_steps"])], "n int, step string, applicable boolean")
 
 
+_WANTS = ", wants AS (SELECT id, requires AS state FROM k UNION SELECT id, replace(requires, regexp_extract(requires, '[0-9]+$'), '') || ((p_size + 7) % 12) FROM k WHERE p_partkey % 3 = 0), numbers AS (SELECT id, count(*) AS n FROM wants GROUP BY id)"
+_WANTS += ", s0 AS MATERIALIZED (SELECT 'oc:S_Brand_' || b || '_' || n AS state, 0::HUGEINT AS cost, NULL::VARCHAR AS producer FROM range(1, 26) r(b), (VALUES (0), (5)) v(n))"
+for _i in range(1, 16):
+    _WANTS += f""", k{_i} AS MATERIALIZED (SELECT id, sum(cost) + 1 AS cost FROM wants JOIN s{_i - 1} USING (state) JOIN numbers USING (id) GROUP BY id, n HAVING count(*) = n),
+s{_i} AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT yields, min(k{_i}.cost), min(struct_pack(c := k{_i}.cost, i := k.id)).i FROM k{_i} JOIN k USING (id) WHERE yields NOT IN (SELECT state FROM s0) GROUP BY yields)"""
+
+
+@query(_WANTS + " SELECT id, requires AS state, CAST(coalesce(k15.cost, -1) AS BIGINT) AS cost, s15.producer FROM k LEFT JOIN k15 USING (id) LEFT JOIN s15 ON s15.state = requires")
+def plan_costs(spark, sf_dir):
+    """What each skill costs from two states of each brand, -1 if it can't be run, and who yields its first state most cheaply; every third skill needs another state too."""
+    size, brand = F.col("p_size"), F.regexp_replace("p_brand", "#", "_")
+    other = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("oc:S_"), brand, F.lit("_"), ((size + 7) % 12).cast("string")).alias("more"))
+    wide = skills(spark, sf_dir).join(other, "id", "left")
+    first = F.col("requires_state")[0]
+    wide = wide.select("id", first.alias("state"), F.when(F.col("more").isNull(), F.col("requires_state")).otherwise(F.concat("requires_state", F.array("more"))).alias("requires_state"), "yields_state")
+    had = spark.createDataFrame([(f"oc:S_Brand_{b}_{n}",) for b in range(1, 26) for n in (0, 5)], "state string")
+    costs, states = planner.least_costs(wide, had)
+    return wide.select("id", "state").join(costs, "id", "left").join(states.select("state", "producer"), "state", "left").select("id", "state", F.coalesce("cost", F.lit(-1).cast("long")).alias("cost"), "producer")
+
+
 @query(""", had(state, depth) AS (SELECT 'oc:S_Brand_' || b || '_0', 0 FROM range(1, 26) r(b) UNION SELECT yields, depth + 1 FROM had JOIN k ON requires = state WHERE depth < 10)
 SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM had JOIN k ON requires = state GROUP BY id""")
 def plan_forward(spark, sf_dir):
