@@ -6,9 +6,13 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.sources.scratch import stored
+
 Z = 1.96
 
 
@@ -90,17 +94,72 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
     return (tokens_in * a + tokens_out * b) / 1_000_000
 
 
+#: Accuracy of the sketches, and how far around a rank a bracket reaches, in hundredths of the rows.
+SKETCH, AROUND = 800, 2
+#: Distinct values of a bracket that are put in order.
+BRACKET = 5_000
+
+
 def percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Mean, extremes and nearest-rank percentiles: the value at places n*50 div 100 and n*99 div 100, from 0.
+    """Mean, extremes and nearest-rank percentiles: the value at places n*50 div 100 and n*99 div 100, from 0. Nulls don't count.
 
-    Places are counted over distinct values, each with the number of its rows, which are added up before they meet; a value's first place is
-    the number of rows below it. What a key's task orders is its distinct values, not its rows.
+    A quantile sketch for each key, merged from those of the tasks, brackets the value of a place. An exact count of the rows below and inside says whether the bracket holds it, and a
+    bracket with more than BRACKET distinct values is sketched again and narrowed; one that misses the place is widened. Only the distinct values of the last brackets, at most BRACKET for a place, are ever put in
+    order, however many rows a key has.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_up_to", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    at = lambda p: F.max(F.when((F.floor(F.col("_n") * p / 100) < F.col("_up_to")) & (F.floor(F.col("_n") * p / 100) >= F.col("_up_to") - F.col("_c")), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), at(50).alias("p50"), at(99).alias("p99"))
+    v = F.col(value)
+    held = rows.where(v.isNotNull()).select(*keys, value)
+    number = F.when(~F.isnan(v.cast("double")), v.cast("double"))
+    totals = held.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(v.cast("double")) / F.count("*")).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(number).alias("_m"), F.kll_sketch_agg_double(number, F.lit(SKETCH)).alias("_sketch"))
+    totals = stored(totals)
+    at = F.explode(F.array(F.lit(50), F.lit(99)))
+
+    def bracket(place: Column, n: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """The ends of a bracket around a place among n rows that a sketch has seen; the given ends where it would reach beyond them, or where values that aren't numbers would be cut off."""
+        grid = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(i / 100) for i in range(101)]))
+        i, j = (F.floor(place * 100 / n) - AROUND).cast("int"), (F.ceil(place * 100 / n) + AROUND).cast("int")
+        known = F.col("_m") > 0
+        return F.when(known & (i > 0), grid[F.greatest(i, F.lit(0))]).otherwise(low), F.when(known & (F.col("_m") == n) & (j < 100), grid[F.least(j, F.lit(100))]).otherwise(high)
+
+    open_ = totals.select(*keys, "n", "min", "max", "_m", "_sketch", at.alias("_p")).withColumn("_place", F.floor(F.col("n") * F.col("_p") / 100))
+    # an end that is null is open
+    none = F.lit(None).cast("double")
+    low, high = bracket(F.col("_place"), F.col("n"), none, none)
+    open_ = stored(open_.select(*keys, "_p", "_place", low.alias("_low"), high.alias("_high")))
+    found = []
+    while True:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"r.{k}"))
+        d = F.col(f"r.{value}").cast("double")
+        joined = held.alias("r").join(open_.alias("b"), same).select(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("_p"), F.col("_place"), F.col("_low"), F.col("_high"), F.col(f"r.{value}").alias(value), (F.col("_low").isNotNull() & (d < F.col("_low"))).alias("_below"))
+        joined = joined.withColumn("_inside", ~F.col("_below") & (F.col("_high").isNull() | (F.col(value).cast("double") <= F.col("_high"))))
+        group = [*keys, "_p", "_place", "_low", "_high"]
+        inner = F.when(F.col("_inside") & ~F.isnan(v.cast("double")), v.cast("double"))
+        sums = stored(joined.groupBy(*group).agg(F.count_if("_below").alias("_b"), F.count_if("_inside").alias("_i"), F.count(inner).alias("_m"), F.approx_count_distinct(F.when(F.col("_inside"), v)).alias("_d"), F.kll_sketch_agg_double(inner, F.lit(SKETCH)).alias("_sketch")))
+        hit = (F.col("_b") <= F.col("_place")) & (F.col("_place") < F.col("_b") + F.col("_i"))
+        # a bracket of one value is as narrow as it gets, and so is one that didn't narrow
+        next_low, next_high = bracket(F.col("_place") - F.col("_b"), F.col("_i"), F.col("_low"), F.col("_high"))
+        told = stored(sums.select(*group, "_b", "_d", hit.alias("_hit"), F.when(hit & (F.col("_d") > BRACKET), next_low).otherwise(F.col("_low")).alias("_to_low"), F.when(hit & (F.col("_d") > BRACKET), next_high).otherwise(F.col("_high")).alias("_to_high")))
+        still = F.col("_to_low").eqNullSafe(F.col("_low")) & F.col("_to_high").eqNullSafe(F.col("_high"))
+        ready = told.where(F.col("_hit") & ((F.col("_d") <= BRACKET) | still))
+        same = F.lit(True)
+        for k in (*keys, "_p"):
+            same = same & F.col(f"j.{k}").eqNullSafe(F.col(f"t.{k}"))
+        counted = joined.where("_inside").groupBy(*keys, "_p", "_place", value).agg(F.count("*").alias("_c"))
+        picked = counted.alias("j").join(ready.alias("t"), same).groupBy(*[F.col(f"j.{k}").alias(k) for k in (*keys, "_p")], F.col("j._place").alias("_place"), F.col("t._b").alias("_b")).agg(F.array_sort(F.collect_list(F.struct(F.col(f"j.{value}").alias("v"), F.col("j._c").alias("c")))).alias("_values"))
+        kind = held.schema[value].dataType
+        fold = F.aggregate("_values", F.struct(F.col("_b").alias("up"), F.lit(None).cast(kind).alias("v")), lambda s, x: F.struct((s["up"] + x["c"]).alias("up"), F.when(s["v"].isNull() & (s["up"] + x["c"] > F.col("_place")), x["v"]).otherwise(s["v"]).alias("v")))
+        found.append(stored(picked.select(*keys, "_p", fold["v"].alias("_v"))))
+        left = told.where(~(F.col("_hit") & ((F.col("_d") <= BRACKET) | still)))
+        open_ = stored(left.select(*keys, "_p", "_place", F.when(F.col("_hit"), F.col("_to_low")).otherwise(none).alias("_low"), F.when(F.col("_hit"), F.col("_to_high")).otherwise(none).alias("_high")))
+        if open_.isEmpty():
+            break
+    values = reduce(DataFrame.union, found).groupBy(*keys).agg(F.max(F.when(F.col("_p") == 50, F.col("_v"))).alias("p50"), F.max(F.when(F.col("_p") == 99, F.col("_v"))).alias("p99"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return totals.alias("a").join(values.alias("b"), same).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.n", "a.avg", "a.min", "a.max", "b.p50", "b.p99")
 
 
 def rate_limited(message: Column) -> Column:

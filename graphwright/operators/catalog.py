@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.terms import compact, requirement_type, snake
-from graphwright.operators.closure import closure, reached
+from graphwright.operators.closure import closure, reached_from, reached
 from graphwright.operators.triples import as_long, facts, of_class, star
 
 #: Trust tiers in the order in which they are preferred, and their weights in searches. Fixed values.
@@ -232,10 +232,15 @@ def epistemic_rules(nodes: DataFrame, kind: str | None = None, dimension: str |
     return out.orderBy(F.asc_nulls_first("kind"), F.asc_nulls_first("dimension"), "owner", "node", "uri").limit(limit_of(limit))
 
 
-def section_content(t: DataFrame) -> DataFrame:
-    """(uri, content_type, section_title, content, language, section_order, block) of code examples and tables in a skill's sections, at any depth."""
-    below = closure(facts(t, "oc:hasSubsection", "src", "dst"), reflexive=True, nodes=facts(t, "oc:hasSection", "s", "section").select("section"))
-    sections = facts(t, "oc:hasSection", "uri", "src").join(below, "src").select("uri", F.col("dst").alias("section"))
+def section_content(t: DataFrame, skills: DataFrame | None = None) -> DataFrame:
+    """(uri, content_type, section_title, content, language, section_order, block) of code examples and tables in a skill's sections, at any depth.
+
+    `skills` (one column of uris) asks for some skills only. The search goes down from their sections, so it makes a row for a skill and a section of it and no table of all pairs of sections.
+    """
+    tops = facts(t, "oc:hasSection", "uri", "section")
+    if skills is not None:
+        tops = tops.join(skills.toDF("uri"), "uri", "left_semi")
+    sections = reached_from(facts(t, "oc:hasSubsection", "src", "dst"), tops).toDF("uri", "section")
     blocks = facts(t, "oc:hasContent", "section", "block")
     kinds = facts(t, "rdf:type", "block", "kind").where(F.col("kind").isin("oc:CodeExample", "oc:Table"))
     wide = star(t, ["oc:codeContent", "oc:codeLanguage", "oc:tableMarkdown", "oc:tableCaption", "oc:textContent"]).withColumnRenamed("s", "block")

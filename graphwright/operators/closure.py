@@ -62,6 +62,22 @@ def reached(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "ds
     return known
 
 
+def reached_from(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(root, node): for each root of the seeds (root, node) its nodes and all that paths of edges from them reach, each once, also where ways meet or run in circles.
+
+    Breadth first for all roots at once; a round joins only the pairs found in the last one.
+    """
+    step = stored(_steps(edges, src, dst))
+    known = front = stored(seeds.toDF("root", "node").where("root is not null and node is not null").distinct())
+    while True:
+        new = front.withColumnRenamed("node", "src").join(step, "src").select("root", F.col("dst").alias("node")).distinct()
+        front = stored(new.join(known, ["root", "node"], "left_anti"))
+        if front.isEmpty():
+            drop(front, step)
+            return known
+        known = known.union(front)
+
+
 def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node): the nodes that lie on a cycle, loops included."""
     return _ends(cycle_edges(edges, src, dst))

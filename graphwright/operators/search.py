@@ -149,22 +149,30 @@ def rank_nodes(nodes: DataFrame, query: str, group: str = "uri") -> DataFrame:
 
 
 def fit_budget(sections: DataFrame, budget: int, group: str = "uri", order: Sequence[str] = ("rank",), content: str = "content") -> DataFrame:
-    """Each group's sections in order, as many as fit in so many bytes; one that doesn't fit is skipped and the next is tried.
+    """Each group's sections in order, as many as fit in so many bytes; one that doesn't fit is skipped and the next is tried. Equal ones in order are tried by their content; null and empty ones always fit.
 
-    Sequential within a group, so a group is one call; groups are skills, which have few sections.
+    Once a section of some size is skipped, no later one of that size fits, and no more than budget / size of them can. So of each size only the first
+    budget / size are tried: at most budget * (1 + ln budget) of a group, whatever the group has. What is folded, with the room left as its state, is their
+    sizes alone, in the order of the group.
     """
-    schema = sections.schema
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, left, kept = rows.sort_values(list(order), kind="stable"), budget, []
-        for i, text in zip(rows.index, rows[content], strict=True):
-            size = len((text or "").encode())
-            if size <= left:
-                kept.append(i)
-                left -= size
-        return rows.loc[kept]
-
-    return sections.groupBy(group).applyInPandas(fill, schema)
+    size = F.octet_length(F.coalesce(F.col(content), F.lit(""))).cast("long")
+    sized = sections.withColumn("_size", size)
+    empty = sized.where("_size = 0").drop("_size")
+    first = Window.partitionBy(group, "_size").orderBy(*order, content)
+    tried = sized.where((F.col("_size") > 0) & (F.col("_size") <= budget)).withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= F.lit(budget) / F.col("_size"))
+    # the first by order, then by content as the size and place within it don't tell
+    key = F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], F.xxhash64(content).alias("h"), F.col("_size").alias("size"), F.col("_i").alias("i"))
+    rows = tried.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("_tried"))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<size:bigint,i:int>>").alias("taken"))
+
+    def take(state: Column, x: Column) -> Column:
+        fits = x["size"] <= state["left"]
+        one = F.array(F.struct(x["size"].alias("size"), x["i"].cast("int").alias("i")))
+        return F.struct(F.when(fits, state["left"] - x["size"]).otherwise(state["left"]).alias("left"), F.when(fits, F.concat(state["taken"], one)).otherwise(state["taken"]).alias("taken"))
+
+    taken = rows.select(F.col(group).alias("_g"), F.inline(F.aggregate("_tried", start, take)["taken"])).toDF("_g", "_taken_size", "_taken_i")
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_size") == F.col("_taken_size")) & (F.col("_i") == F.col("_taken_i"))
+    return tried.join(taken, same, "left_semi").select(sections.columns).unionByName(empty)
 
 
 def normalise(vector: Column) -> Column:

@@ -525,11 +525,14 @@ def diff_skills(spark, sf_dir):
     return changes.where("category = 'skill'").groupBy("change_type", "action").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source AS uri, CAST(doc_id AS VARCHAR) AS node FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, 1000 AS budget, sum(100) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= budget", skills=False)
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+f(source, i, doc_id, room, taken) AS (SELECT source, 0, NULL::BIGINT, 20000::BIGINT, false FROM (SELECT DISTINCT source FROM d) UNION ALL
+  SELECT d.source, f.i + 1, d.doc_id, CASE WHEN size <= room THEN room - size ELSE room END, size <= room FROM f JOIN d ON d.source = f.source AND d.i = f.i + 1)
+SELECT source AS uri, CAST(doc_id AS VARCHAR) AS node FROM f WHERE taken""", skills=False)
 def search_fit_budget(spark, sf_dir):
-    """As many pieces of each source as fit in a budget."""
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("uri"), F.col("doc_id").alias("rank"), F.repeat(F.lit("x"), 100).alias("content"))
-    return search.fit_budget(rows, 1000).select("uri", F.col("rank").cast("string").alias("node"))
+    """As many texts of each source as fit in 20,000 bytes, each tried in order."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("uri"), F.col("doc_id").alias("rank"), F.col("text").alias("content"))
+    return search.fit_budget(rows, 20_000).select("uri", F.col("rank").cast("string").alias("node"))
 
 
 @query("SELECT trust_tier, CASE trust_tier WHEN 'official' THEN 1.2 WHEN 'community' THEN 0.8 ELSE 1.0 END::DOUBLE AS weight, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN 'odd' ELSE tier END AS trust_tier FROM k) GROUP BY ALL")

@@ -70,7 +70,7 @@ def plan_bounded(spark, sf_dir):
     return spark.createDataFrame([(i, s["skill_id"], plan["applicable"]) for i, s in enumerate(plan["plan_steps"])], "n int, step string, applicable boolean")
 
 
-_WANTS = ", wants AS (SELECT id, requires AS state FROM k UNION SELECT id, replace(requires, regexp_extract(requires, '[0-9]+$'), '') || ((p_size + 7) % 12) FROM k WHERE p_partkey % 3 = 0), numbers AS (SELECT id, count(*) AS n FROM wants GROUP BY id)"
+_WANTS = ", wants AS (SELECT id, requires AS state FROM k UNION SELECT id, regexp_replace(requires, '[0-9]+$', '') || ((p_size + 7) % 12) FROM k WHERE p_partkey % 3 = 0), numbers AS (SELECT id, count(*) AS n FROM wants GROUP BY id)"
 _WANTS += ", s0 AS MATERIALIZED (SELECT 'oc:S_Brand_' || b || '_' || n AS state, 0::HUGEINT AS cost, NULL::VARCHAR AS producer FROM range(1, 26) r(b), (VALUES (0), (5)) v(n))"
 for _i in range(1, 16):
     _WANTS += f""", k{_i} AS MATERIALIZED (SELECT id, sum(cost) + 1 AS cost FROM wants JOIN s{_i - 1} USING (state) JOIN numbers USING (id) GROUP BY id, n HAVING count(*) = n),
