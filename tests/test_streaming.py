@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,17 +60,54 @@ def test_error_runs_end_at_five(spark, tmp_path, store):
     assert got["a"][2:] == (0, False) and got["d"] == ("d", 9, 0, False)
 
 
-def test_idle_tasks_are_forgotten(spark, tmp_path, store):
-    import time
+class Value:
+    """State of a task, held here."""
 
-    make = lambda rows: results.best_attempts(rows, idle=1)
-    first = run(spark, tmp_path, make, [[("a", 1, 0.9, True, False)]], "idle")
-    time.sleep(1)
-    # the timer fires in this run, after the task's own rows or before them
-    run(spark, tmp_path, make, [[("z", 1, 0.1, True, False)]], "idle")
-    time.sleep(1)
-    after = run(spark, tmp_path, make, [[("a", 2, 0.3, True, False)]], "idle")
-    assert first["a"][1] == 0.9 and after["a"] == ("a", 0.3, 2, 3)
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.values = [], {}
+
+    def getValueState(self, name, schema):
+        return self.values.setdefault(name, Value())
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_idle_tasks_are_forgotten():
+    """Each row of a task sets its one timer anew; when that fires, the state goes."""
+    handle, task = Handle(), results.BestAttempt(idle=50)
+    task.init(handle)
+    rows = pd.DataFrame({"attempt": [1, 2], "reward": [0.9, 0.3], "counted": [True, True]})
+    for _ in range(2):
+        assert next(task.handleInputRows(("a",), iter([rows]), handle)).iloc[0].tolist() == ["a", 0.9, 1, 3] and handle.timers == [1050]
+    assert list(task.handleExpiredTimer(("a",), handle, None)) == [] and not handle.values["best"].exists()
+    assert next(task.handleInputRows(("a",), iter([rows[1:]]), handle)).iloc[0].tolist() == ["a", 0.3, 2, 3]
 
 
 def test_documents_are_ingested_once(spark, tmp_path):
