@@ -57,10 +57,24 @@ def compute_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return _whole(marked).union(_values(marked, *RULES))
 
 
+#: Breaking changes that call for a migration: its name, by category and action; the pattern that finds who is affected; what to do. %1$s is the value as a term or text, %2$s the skill.
+MIGRATIONS: dict[tuple[str, str], tuple[str, str, str]] = {
+    ("skill", "removed"): ("skill-removed", "{ ?s oc:dependsOnSkill %1$s } UNION { ?s oc:dependsOn %1$s }", "Nothing is %1$s any more: point what depends on it to a skill with the same intents, or drop the dependency."),
+    ("intent", "removed"): ("intent-renamed", '?s oc:resolvesIntent "%1$s"', "%2$s no longer resolves '%1$s': ask for one of its other intents, or for a skill that still has this one."),
+    ("requires_state", "removed"): ("state-removed", "?s oc:requiresState %1$s", "%2$s no longer waits for %1$s: plan without it, and check what used to come before."),
+    ("yields_state", "removed"): ("state-removed", "?s oc:requiresState %1$s", "%2$s no longer leads to %1$s: find another producer for the skills that require it."),
+    ("requirement", "added"): ("requirement-added", "?s oc:hasRequirement %1$s", "%2$s now needs %1$s: have it ready wherever the skill runs."),
+}
+
+
 def suggestions(changes: DataFrame) -> DataFrame:
-    """What to do about each breaking change."""
-    text = F.format_string("Look for users of %s %s (SELECT ?s WHERE { ?s ?p \"%s\" }) and move them before it is %s.", "category", "value", "value", "action")
-    return changes.where("change_type = 'breaking'").withColumn("suggestion", text)
+    """What to do about each breaking change: its kind of migration, a query for what it affects, and advice."""
+    table = F.create_map(*[x for (category, action), texts in MIGRATIONS.items() for x in (F.lit(f"{category} {action}"), F.array(*map(F.lit, texts)))])
+    texts = table[F.concat_ws(" ", "category", "action")]
+    broken = changes.where("change_type = 'breaking'").withColumn("_texts", texts).where("_texts is not null")
+    told = lambda i: F.replace(F.replace(F.col("_texts")[i], F.lit("%1$s"), F.col("value")), F.lit("%2$s"), F.col("skill"))
+    pattern = F.concat(F.lit("SELECT ?s WHERE { "), told(1), F.lit(" }"))
+    return broken.select(*changes.columns, F.col("_texts")[0].alias("migration"), pattern.alias("query"), told(2).alias("suggestion"))
 
 
 def summary(changes: DataFrame) -> DataFrame:

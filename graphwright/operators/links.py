@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.operators.closure import reached_from
 from graphwright.operators.triples import facts
 
 # Titles of sections that tell what to do instead.
@@ -27,16 +28,18 @@ def best_sections(contexts: DataFrame, titles: DataFrame, least: int = 2) -> Dat
 
 
 def derived_from_section(t: DataFrame) -> DataFrame:
-    """(s, p, o): each knowledge node's section of its skill, by the words of its context; nodes that have one already are left out."""
+    """(s, p, o): each knowledge node's section of its skill, at any depth, by the words of its context; nodes that have one already are left out."""
     nodes = facts(t, "oc:impartsKnowledge", "scope", "node").join(facts(t, "oc:appliesToContext", "node", "context"), "node")
     nodes = nodes.join(facts(t, "oc:derivedFromSection", "node", "x").select("node"), "node", "left_anti")
-    titles = facts(t, "oc:hasSection", "scope", "section").join(facts(t, "oc:sectionTitle", "section", "title"), "section")
+    sections = reached_from(facts(t, "oc:hasSubsection", "src", "dst"), facts(t, "oc:hasSection", "scope", "section")).toDF("scope", "section")
+    titles = sections.join(facts(t, "oc:sectionTitle", "section", "title"), "section")
     return best_sections(nodes, titles).select(F.col("node").alias("s"), F.lit("oc:derivedFromSection").alias("p"), F.col("section").alias("o"))
 
 
 def correct_alternative(t: DataFrame) -> DataFrame:
-    """(s, p, o): an anti-pattern's only sibling section that tells what to do instead; else the only code example in its own section."""
-    anti = facts(t, "rdf:type", "node", "kind").where("kind = 'oc:AntiPattern'").select("node")
+    """(s, p, o): an anti-pattern's only sibling section that tells what to do instead; else the only code example in its own section. Those that have an alternative already are left out."""
+    anti = facts(t, "rdf:type", "node", "kind").where("kind = 'oc:AntiPattern'").select("node").distinct()
+    anti = anti.join(facts(t, "oc:correctAlternative", "node", "x").select("node"), "node", "left_anti")
     own = anti.join(facts(t, "oc:derivedFromSection", "node", "section"), "node")
     parents = facts(t, "oc:hasSection", "parent", "section").union(facts(t, "oc:hasSubsection", "parent", "section"))
     siblings = own.join(parents, "section").select("node", "section", "parent").join(parents.withColumnRenamed("section", "other"), "parent").where("other <> section")

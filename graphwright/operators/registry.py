@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwright.operators.catalog import TIERS
 from graphwright.operators.closure import reached
+from graphwright.sources.scratch import stored
 
 
 def tier_rank(tier: Column) -> Column:
@@ -15,9 +16,13 @@ def tier_rank(tier: Column) -> Column:
     return F.when(place > 0, place).otherwise(5)
 
 
-def resolve_packages(references: DataFrame, packages: DataFrame) -> DataFrame:
+def resolve_packages(references: DataFrame, packages: DataFrame, skills: DataFrame | None = None) -> DataFrame:
     """(ref, package_id, level, n) for each reference: 1 a package's id, 2 an author's packages (no slash), 3 the end of an id, any number of its
-    segments, 4 a skill in a package (package/skill). n counts the packages on the best level; more than 1 on level 3 is ambiguous."""
+    segments, 4 a skill in a package. n counts the packages on the best level; more than 1 on level 3 is ambiguous.
+
+    A skill's package comes first in the reference, by its id or by an end that only it has; the shortest such beginning counts. With `skills` (package_id, skill_id) a package must
+    have the skill that the rest names, else the reference has no row.
+    """
     ids = packages.select("package_id").distinct()
     segments = F.split("package_id", "/")
     ends = F.when(F.size(segments) > 1, F.transform(F.sequence(F.lit(2), F.size(segments)), lambda i: F.array_join(F.slice(segments, i, F.size(segments)), "/"))).otherwise(F.array().cast("array<string>"))
@@ -27,28 +32,72 @@ def resolve_packages(references: DataFrame, packages: DataFrame) -> DataFrame:
     ), F.transform(ends, lambda e: F.struct(F.lit(3).alias("level"), e.alias("key"))))).alias("k")).select("package_id", "k.*").where("key is not null")
     wanted = references.select("ref").distinct()
     parts = F.split("ref", "/")
-    prefixes = wanted.select("ref", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))).alias("key"))
+    begins = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(parts, 1, i), "/").alias("key"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("skill_id"))))
+    prefixes = wanted.select("ref", F.inline(begins))
+    # a package by its id, else by an end that no other has
+    named = keys.where("level in (1, 3)").groupBy("key").agg(F.min(F.when(F.col("level") == 1, F.col("package_id"))).alias("whole"), F.min("package_id").alias("package_id"), F.count("*").alias("n"))
+    named = named.where("whole is not null or n = 1").select("key", F.coalesce("whole", "package_id").alias("package_id"))
+    of_skills = prefixes.join(named, "key").groupBy("ref").agg(F.min(F.struct("at", "package_id", "skill_id")).alias("b")).select("ref", "b.package_id", "b.skill_id")
+    if skills is not None:
+        of_skills = of_skills.join(skills.select("package_id", "skill_id"), ["package_id", "skill_id"], "left_semi")
     found = wanted.join(keys, F.col("ref") == F.col("key")).select("ref", "package_id", "level")
-    found = found.union(prefixes.join(keys.where("level = 1"), "key").select("ref", "package_id", F.lit(4).alias("level")))
+    found = found.union(of_skills.select("ref", "package_id", F.lit(4).alias("level")))
     best = Window.partitionBy("ref")
     return found.withColumn("best", F.min("level").over(best)).where("level = best").withColumn("n", F.count("*").over(best)).drop("best")
 
 
+def _with_packages(rows: DataFrame) -> DataFrame:
+    """A null package where rows tell none."""
+    return rows if "package_id" in rows.columns else rows.withColumn("package_id", F.lit(None).cast("string"))
+
+
 def enable(lock: DataFrame, dependencies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`lock` (package_id, skill_id, trust_tier, enabled) with the wanted skills (skill_id), and all they need, enabled.
+    """`lock` (package_id, skill_id, trust_tier, enabled) with the wanted skills (skill_id, package_id), and all they need, enabled.
 
-    dependencies: (skill_id, needs). Of a skill in several packages the one of the best tier, then package, is enabled.
+    A package asked for is the first choice at each step of what its skills need; else, or without one, that of the best tier, then the first id. A null skill asks for all of the package. dependencies: (skill_id, needs), and package_id where
+    what a skill needs differs by package.
     """
-    needed = reached(dependencies, wanted.select("skill_id"), "skill_id", "needs").withColumnRenamed("node", "skill_id")
-    order = Window.partitionBy("skill_id").orderBy(tier_rank(F.col("trust_tier")), "package_id")
-    chosen = lock.join(needed, "skill_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").select("package_id", "skill_id", F.lit(True).alias("now"))
-    return lock.join(chosen, ["package_id", "skill_id"], "left").withColumn("enabled", F.col("enabled") | F.coalesce("now", F.lit(False))).select(lock.columns)
+    held = lock.select("package_id", "skill_id", "trust_tier").dropDuplicates(["package_id", "skill_id"])
+    best = held.groupBy("skill_id").agg(F.min(F.struct(tier_rank(F.col("trust_tier")), "package_id"))["package_id"].alias("other"))
+    needs = _with_packages(dependencies).where("needs is not null").select(F.col("package_id").alias("of"), "skill_id", "needs").distinct()
+    asked = _with_packages(wanted).select(F.col("package_id").alias("first"), "skill_id")
+    every = asked.where("skill_id is null and first is not null").select("first").join(held.select(F.col("package_id").alias("first"), "skill_id"), "first")
+    front = stored(asked.where("skill_id is not null").union(every.select("first", "skill_id")).distinct())
+    own = held.select(F.col("package_id").alias("first"), "skill_id", F.col("package_id").alias("mine"))
+    known = found = None
+    while True:
+        # which package each is taken from
+        taken = stored(front.join(own, ["first", "skill_id"], "left").join(best, "skill_id").select("first", "skill_id", F.coalesce("mine", "other").alias("package_id")))
+        found, known = taken if found is None else found.union(taken), front if known is None else known.union(front)
+        onward = taken.join(needs, "skill_id").where(F.col("of").isNull() | (F.col("of") == F.col("package_id"))).select("first", F.col("needs").alias("skill_id")).distinct()
+        same = F.col("n.skill_id").eqNullSafe(F.col("k.skill_id")) & F.col("n.first").eqNullSafe(F.col("k.first"))
+        front = stored(onward.alias("n").join(known.alias("k"), same, "left_anti"))
+        if front.isEmpty():
+            break
+    chosen = found.select("package_id", "skill_id").distinct().withColumn("now", F.lit(True))
+    return lock.join(chosen, ["package_id", "skill_id"], "left").withColumn("enabled", F.coalesce("enabled", F.lit(False)) | F.coalesce("now", F.lit(False))).select(lock.columns)
 
 
 def disable(lock: DataFrame, dependencies: DataFrame, unwanted: DataFrame) -> DataFrame:
-    """`lock` with the unwanted skills, and all that need them, disabled."""
-    users = reached(dependencies, unwanted.select("skill_id"), "needs", "skill_id").withColumnRenamed("node", "skill_id")
-    return lock.join(users.withColumn("gone", F.lit(True)), "skill_id", "left").withColumn("enabled", F.col("enabled") & F.col("gone").isNull()).select(lock.columns)
+    """`lock` with the unwanted skills (skill_id, package_id), and all enabled ones that need them, disabled. Without a package a skill goes from all; a null skill stands for all of a package.
+
+    Those that need a skill are found by its id, in whatever package they are, but only through skills that are enabled.
+    """
+    needs = _with_packages(dependencies).where("needs is not null").select(F.col("package_id").alias("of"), "skill_id", "needs").distinct()
+    held = lock.select("package_id", "skill_id", F.coalesce("enabled", F.lit(False)).alias("on")).distinct()
+    asked = _with_packages(unwanted).select(F.col("package_id").alias("p"), F.col("skill_id").alias("s"))
+    first = held.join(asked, (F.col("p").isNull() | (F.col("p") == F.col("package_id"))) & (F.col("s") == F.col("skill_id")), "left_semi")
+    first = first.union(held.join(asked.where("s is null and p is not null"), F.col("p") == F.col("package_id"), "left_semi"))
+    front = known = stored(first.select("package_id", "skill_id").distinct())
+    users = stored(held.where("on").join(needs, "skill_id").where(F.col("of").isNull() | (F.col("of") == F.col("package_id"))).select("package_id", "skill_id", "needs").distinct())
+    while True:
+        new = users.join(front.select(F.col("skill_id").alias("needs")), "needs", "left_semi").select("package_id", "skill_id").distinct()
+        front = stored(new.join(known, ["package_id", "skill_id"], "left_anti"))
+        if front.isEmpty():
+            break
+        known = known.union(front)
+    gone = known.withColumn("gone", F.lit(True))
+    return lock.join(gone, ["package_id", "skill_id"], "left").withColumn("enabled", F.coalesce("enabled", F.lit(False)) & F.col("gone").isNull()).select(lock.columns)
 
 
 def enabled_paths(lock: DataFrame) -> DataFrame:

@@ -261,13 +261,30 @@ def enrich(records: DataFrame, paths: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("depends_on", F.array_except(some("depends_on"), "extends")).select(records.columns)
 
 
+# What states and the segments of a relation look like.
+STATE = "^oc:[A-Z][a-zA-Z0-9]*(:[a-zA-Z0-9_-]+)?$"
+SEGMENT = "^[a-z0-9]+(-[a-z0-9]+)*$"
+RELATIONS = ("depends_on", "extends", "contradicts")
+
+
 def valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records that can be serialised, cleaned, and those that can't, with the reason: states must look like terms, ids like ids."""
-    states = lambda c: F.forall(F.coalesce(F.col(c), F.array().cast(LIST)), lambda x: x.rlike("^(oc:|https?://)?[A-Za-z][A-Za-z0-9_/#.:-]*$"))
+    """Records that can be serialised, cleaned, and those that can't, with the reason: `id`, `state` or `relation`.
+
+    A relation is an address, an `oc:` term, or segments of small letters, digits and hyphens, of which the last stays; spaces around it go. Knowledge without a type or directive is
+    dropped. `is_user_invocable` as text is true for true, yes and 1 in any case of letters. A null list or state is none; an empty relation is wrong.
+    """
+    every = lambda c, test: F.forall(F.coalesce(F.col(c), F.array().cast(LIST)), lambda x: F.coalesce(test(x), F.lit(False)))
+    states = lambda c: every(c, lambda x: x.rlike(STATE))
+    address = lambda x: F.startswith(x, F.lit("http://")) | F.startswith(x, F.lit("https://")) | F.startswith(x, F.lit("oc:"))
+    related = lambda c: every(c, lambda x: (F.trim(x) != "") & (address(F.trim(x)) | F.forall(F.split(F.trim(x), "/"), lambda part: part.rlike(SEGMENT))))
     reason = F.when(F.col("id").isNull() | ~F.col("id").rlike("^[A-Za-z0-9._/-]{1,64}$"), "id").when(~states("requires_state") | ~states("yields_state") | ~states("handles_failure"), "state")
+    for c in RELATIONS:
+        reason = reason.when(~related(c), "relation")
     rows = records.withColumn("reason", reason)
-    last = lambda c: F.transform(F.col(c), lambda x: F.substring_index(x, "/", -1)).alias(c)
-    clean = rows.where("reason is null").drop("reason").withColumns({c: last(c) for c in ("depends_on", "contradicts")})
+    last = lambda c: F.transform(F.col(c), lambda x: F.when(address(F.trim(x)), F.trim(x)).otherwise(F.substring_index(F.trim(x), "/", -1))).alias(c)
+    clean = rows.where("reason is null").drop("reason").withColumns({c: last(c) for c in RELATIONS})
+    if dict(clean.dtypes).get("is_user_invocable") == "string":
+        clean = clean.withColumn("is_user_invocable", F.lower("is_user_invocable").isin("true", "yes", "1"))
     return clean.withColumn("knowledge", F.filter("knowledge", lambda k: k["node_type"].isNotNull() & k["directive"].isNotNull())), rows.where("reason is not null")
 
 

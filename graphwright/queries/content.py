@@ -51,11 +51,20 @@ def kn_links(spark, sf_dir):
     return nodes.select("node", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["property"], x["target_title"], x["target_type"])), ";").alias("links"), "kind")
 
 
-@query("""SELECT 'oc:note_' || p_partkey AS s, 'oc:correctAlternative' AS p, 'oc:sub_' || p_partkey AS o FROM k WHERE false
-UNION ALL SELECT 'oc:note_' || p_partkey, 'oc:correctAlternative', 'oc:code_' || p_partkey FROM k WHERE p_partkey % 4 = 0""")
+@query("""SELECT 'oc:note_' || p_partkey AS s, 'oc:correctAlternative' AS p, CASE WHEN p_partkey % 3 <> 1 AND p_partkey % 8 <> 0 THEN 'oc:alt_' || p_partkey ELSE 'oc:code_' || p_partkey END AS o FROM k WHERE p_partkey % 4 = 0 AND p_partkey % 5 <> 0""")
 def link_alternatives(spark, sf_dir):
-    """What to do instead: the only code example of the section that an anti-pattern comes from; no section has siblings here."""
-    return links.correct_alternative(_content(spark, sf_dir))
+    """What to do instead: the only sibling of its section that tells it, else the section's only code example. Some have two such siblings, or none, and every fifth has an alternative already."""
+    t, k = _content(spark, sf_dir), F.col("p_partkey")
+    node = lambda name: F.concat(F.lit(f"oc:{name}_"), k.cast("string"))
+    fact = lambda s, p, o, kind, when: F.when(when, F.struct(node(s).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind")))
+    title = F.when(k % 3 == 1, "Other things").when(k % 3 == 2, "The RIGHT WAY").otherwise("Use this instead")
+    more = F.array(
+        fact("sec", "oc:hasSubsection", node("alt"), "iri", F.lit(True)), fact("alt", "oc:sectionTitle", title, "literal", F.lit(True)),
+        fact("sec", "oc:hasSubsection", node("two"), "iri", k % 8 == 0), fact("two", "oc:sectionTitle", title, "literal", k % 8 == 0), fact("note", "oc:correctAlternative", node("x"), "iri", k % 5 == 0),
+    )
+    rows = table(spark, sf_dir, "part").select(F.inline(F.filter(more, lambda m: m.isNotNull())))
+    none = F.lit(None).cast("string")
+    return links.correct_alternative(t.union(rows.select(F.lit("content").alias("graph_id"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", none.alias("o_dt"), none.alias("o_lang"))))
 
 
 @query("""SELECT 'oc:note_' || p_partkey AS s, 'oc:appliesToStep' AS p, 'oc:step1_' || p_partkey AS o FROM k WHERE p_partkey % 5 = 1 OR (p_partkey % 5 = 0 AND p_partkey > 0)""")
@@ -248,14 +257,22 @@ def ser_enrich(spark, sf_dir):
     return rows.select("id", F.array_join("extends", ",").alias("extends"), F.array_join("depends_on", ",").alias("depends_on"))
 
 
-@query("SELECT id, CASE WHEN p_partkey % 7 = 0 THEN 'state' WHEN p_partkey % 11 = 0 THEN 'id' ELSE 'good' END AS verdict FROM (SELECT CASE WHEN p_partkey % 11 = 0 AND p_partkey % 7 <> 0 THEN 'part ' || p_partkey ELSE 'part-' || p_partkey END AS id, p_partkey FROM k)")
+@query("""SELECT CASE WHEN p_partkey % 11 = 0 THEN 'part ' || p_partkey ELSE 'part-' || p_partkey END AS id,
+  CASE WHEN p_partkey % 11 = 0 THEN 'id' WHEN p_partkey % 7 IN (0, 1, 2, 3) THEN 'state' WHEN p_partkey % 13 IN (0, 1, 2, 4) THEN 'relation' ELSE 'good' END AS verdict,
+  CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 IN (0, 1, 2, 3) OR p_partkey % 13 IN (0, 1, 2, 4) THEN '' WHEN p_partkey % 13 = 3 THEN 'office' WHEN p_partkey % 13 = 5 THEN 'oc:skill_x' ELSE 'part-1' END AS extends FROM k""")
 def ser_valid(spark, sf_dir):
-    """Records that can be serialised, and why others can't."""
+    """Records that can be serialised, and why others can't: states and relations of several wrong forms, and right ones that are shortened."""
     k = F.regexp_replace("id", "part-", "").cast("bigint")
-    rows = sg.records(table(spark, sf_dir, "part")).withColumn("yields_state", F.when(k % 7 == 0, F.array(F.lit("not a state!"))).otherwise(F.col("yields_state")))
-    rows = rows.withColumn("id", F.when((k % 11 == 0) & (k % 7 != 0), F.replace(F.col("id"), F.lit("-"), F.lit(" "))).otherwise(F.col("id")))
+    of = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    rows = sg.records(table(spark, sf_dir, "part"))
+    rows = rows.withColumns({
+        "yields_state": F.array(of(7, "not a state!", "lowercase", "oc:bad/State#x", "http://x.org/S", "oc:Good", "oc:Good:with_a-part", "oc:G2")),
+        "extends": F.array(F.lit("part-1"), of(13, "Not Valid!", "", " ", "author/package/office", "a//b", " oc:skill_x ", *["part-1"] * 7)),
+        "contradicts": F.lit(None).cast("array<string>"),
+    })
+    rows = rows.withColumn("id", F.when(k % 11 == 0, F.replace(F.col("id"), F.lit("-"), F.lit(" "))).otherwise(F.col("id")))
     good, bad = serialise.valid(rows)
-    return good.select("id", F.lit("good").alias("verdict")).union(bad.select("id", "reason"))
+    return good.select("id", F.lit("good").alias("verdict"), F.col("extends")[1].alias("extends")).union(bad.select("id", "reason", F.lit("")))
 
 
 @query("SELECT CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE 'old' END AS side, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1")
@@ -383,13 +400,13 @@ def reg_install_closure(spark, sf_dir):
     return registry.install_closure(rows, package, "part-77")
 
 
-@query("SELECT package_id, skill_id, module_path, trust_tier, enabled FROM (SELECT p_brand AS package_id, 'part-' || p_partkey AS skill_id, CASE WHEN p_brand = 'Brand#7' THEN 'author/' || p_brand || '/part-' || p_partkey || '/ontoskill.ttl' ELSE 'old' END AS module_path, CASE WHEN p_brand = 'Brand#7' THEN 'verified' ELSE 'local' END AS trust_tier, p_size % 2 = 0 AND (p_brand <> 'Brand#7' OR p_partkey % 3 = 0) AS enabled, p_partkey FROM part) WHERE package_id = 'Brand#7' OR p_partkey % 3 = 0", skills=False)
+@query("SELECT package_id, skill_id, module_path, trust_tier, enabled FROM (SELECT p_brand AS package_id, 'part-' || p_partkey AS skill_id, CASE WHEN p_brand = 'Brand#7' THEN 'author/' || p_brand || '/part-' || p_partkey || '/skill.ttl' ELSE 'old' END AS module_path, CASE WHEN p_brand = 'Brand#7' THEN 'verified' ELSE 'local' END AS trust_tier, p_size % 2 = 0 AND (p_brand <> 'Brand#7' OR p_partkey % 3 = 0) AS enabled, p_partkey FROM part) WHERE package_id = 'Brand#7' OR p_partkey % 3 = 0", skills=False)
 def reg_install(spark, sf_dir):
     """A package installed over what was there of it."""
     k = F.col("p_partkey")
     part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("package_id"), F.concat(F.lit("part-"), k.cast("string")).alias("skill_id"), k, "p_size")
     lock = part.where(k % 3 == 0).select("package_id", "skill_id", F.lit("old").alias("module_path"), F.lit("local").alias("trust_tier"), (F.col("p_size") % 2 == 0).alias("enabled"))
-    manifests = part.select("package_id", "skill_id", F.concat("skill_id", F.lit("/ontoskill.ttl")).alias("path"), F.lit(None).cast("string").alias("trust_tier"), F.lit("verified").alias("source_tier"), F.lit(1).alias("source_order"))
+    manifests = part.select("package_id", "skill_id", F.concat("skill_id", F.lit("/skill.ttl")).alias("path"), F.lit(None).cast("string").alias("trust_tier"), F.lit("verified").alias("source_tier"), F.lit(1).alias("source_order"))
     return registry.install(lock, manifests, "Brand#7")
 
 
@@ -416,12 +433,12 @@ def graph_author(spark, sf_dir):
     return graphs.author_graph(rows, "Brand#7")
 
 
-@query("""SELECT id AS skill_id, id || '/' || f AS module, f AS label, CASE f WHEN 'ontoskill.ttl' THEN 'main' WHEN 'a_test.ttl' THEN 'test' ELSE 'prompt' END AS category, CASE WHEN f <> 'ontoskill.ttl' AND p_partkey % 2 = 0 THEN id || '/ontoskill.ttl' END AS source
-FROM k, (VALUES ('ontoskill.ttl'), ('a_test.ttl'), ('prompt.ttl')) v(f) WHERE f <> 'ontoskill.ttl' OR p_partkey % 2 = 0""")
+@query("""SELECT id AS skill_id, id || '/' || f AS module, f AS label, CASE f WHEN 'skill.ttl' THEN 'main' WHEN 'a_test.ttl' THEN 'test' ELSE 'prompt' END AS category, CASE WHEN f <> 'skill.ttl' AND p_partkey % 2 = 0 THEN id || '/skill.ttl' END AS source
+FROM k, (VALUES ('skill.ttl'), ('a_test.ttl'), ('prompt.ttl')) v(f) WHERE f <> 'skill.ttl' OR p_partkey % 2 = 0""")
 def graph_files(spark, sf_dir):
     """The modules of each skill; every second one lacks its own."""
     k = F.col("p_partkey")
-    names = F.when(k % 2 == 0, F.array(F.lit("ontoskill.ttl"), F.lit("a_test.ttl"), F.lit("prompt.ttl"))).otherwise(F.array(F.lit("a_test.ttl"), F.lit("prompt.ttl")))
+    names = F.when(k % 2 == 0, F.array(F.lit("skill.ttl"), F.lit("a_test.ttl"), F.lit("prompt.ttl"))).otherwise(F.array(F.lit("a_test.ttl"), F.lit("prompt.ttl")))
     rows = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), k.cast("string")).alias("skill_id"), F.explode(names).alias("f"))
     return graphs.file_graph(rows.select("skill_id", F.concat_ws("/", "skill_id", "f").alias("module")))
 

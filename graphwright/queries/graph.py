@@ -295,6 +295,16 @@ def diff_summary(spark, sf_dir):
     return diff.summary(diff.compute_diff(sg.old_graph(spark, sf_dir), sg.new_graph(spark, sf_dir)))
 
 
+@query(_OLDNEW + """, both_ AS (SELECT DISTINCT skill FROM i1 SEMI JOIN i2 USING (skill))
+SELECT skill, 'skill-removed' AS migration, 'SELECT ?s WHERE { { ?s oc:dependsOnSkill ' || skill || ' } UNION { ?s oc:dependsOn ' || skill || ' } }' AS query, 'Nothing is ' || skill || ' any more: point what depends on it to a skill with the same intents, or drop the dependency.' AS suggestion FROM (SELECT DISTINCT skill FROM i1) ANTI JOIN i2 USING (skill)
+UNION ALL SELECT skill, 'intent-renamed', 'SELECT ?s WHERE { ?s oc:resolvesIntent "' || value || '" }', skill || ' no longer resolves ' || chr(39) || value || chr(39) || ': ask for one of its other intents, or for a skill that still has this one.' FROM i1 SEMI JOIN both_ USING (skill) ANTI JOIN i2 USING (skill, value)
+UNION ALL SELECT s, 'requirement-added', 'SELECT ?s WHERE { ?s oc:hasRequirement ' || requirement || '_x }', s || ' now needs ' || requirement || '_x: have it ready wherever the skill runs.' FROM k WHERE p_partkey % 11 = 0 AND p_partkey % 50 <> 0""")
+def diff_suggestions(spark, sf_dir):
+    """Advice for skills that are gone, intents that were renamed and requirements that were added."""
+    changes = diff.compute_diff(sg.old_graph(spark, sf_dir), _shifted(spark, sf_dir, "oc:hasRequirement"))
+    return diff.suggestions(changes).select("skill", "migration", "query", "suggestion")
+
+
 _EDGES = ", e AS (SELECT DISTINCT substr(a.s, 4) AS producer, substr(b.s, 4) AS consumer, substr(a.yields, 4) AS state FROM k a JOIN k b ON a.yields = b.requires)"
 
 

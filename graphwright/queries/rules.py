@@ -182,13 +182,52 @@ def reg_enable_closure(spark, sf_dir):
     return registry.enable(lock, needs, spark.createDataFrame([("part-77",)], "skill_id string")).select("package_id", "skill_id", "enabled")
 
 
-@query(_LOCK + ", down(skill_id) AS (SELECT 'part-5' UNION SELECT need.skill_id FROM need JOIN down ON needs = down.skill_id) SELECT package_id, skill_id, enabled AND skill_id NOT IN (SELECT skill_id FROM down) AS enabled FROM lock")
+@query(_LOCK + ", down(skill_id) AS (SELECT 'part-5' UNION SELECT need.skill_id FROM need JOIN down ON needs = down.skill_id JOIN lock ON lock.skill_id = need.skill_id AND lock.enabled) SELECT package_id, skill_id, enabled AND skill_id NOT IN (SELECT skill_id FROM down) AS enabled FROM lock")
 def reg_disable_closure(spark, sf_dir):
-    """A skill disabled with all that need it."""
+    """A skill disabled with the enabled ones that need it."""
     lock, needs = _lock(spark, sf_dir)
     return registry.disable(lock, needs, spark.createDataFrame([("part-5",)], "skill_id string")).select("package_id", "skill_id", "enabled")
 
 
+_TWO = ", lock AS (SELECT pkg AS package_id, id AS skill_id, CASE pkg WHEN 'mine' THEN 'community' WHEN 'other' THEN 'official' ELSE 'local' END AS trust_tier, p_partkey % 10 <> 3 AS enabled, p_partkey FROM k, (VALUES ('mine'), ('other'), ('third')) v(pkg) WHERE pkg <> 'mine' OR p_partkey % 2 = 0), need AS (SELECT 'part-' || substr(src, 10) AS skill_id, 'part-' || substr(dst, 10) AS needs FROM ups)"
+
+
+def _packages(spark, sf_dir, enabled):
+    """Skills in three packages, half of them in the first."""
+    _, needs = _lock(spark, sf_dir)
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k, F.concat(F.lit("part-"), k.cast("string")).alias("skill_id"), F.explode(F.array(F.lit("mine"), F.lit("other"), F.lit("third"))).alias("package_id")).where((F.col("package_id") != "mine") | (k % 2 == 0))
+    tier = F.when(F.col("package_id") == "mine", "community").when(F.col("package_id") == "other", "official").otherwise("local")
+    return rows.select("package_id", "skill_id", tier.alias("trust_tier"), enabled(k).alias("enabled")), needs
+
+
+@query(_TWO + ", up(skill_id) AS (SELECT id FROM k WHERE p_partkey IN (44, 77) UNION SELECT needs FROM need JOIN up USING (skill_id)) SELECT package_id, skill_id, skill_id IN (SELECT skill_id FROM up) AND package_id = CASE WHEN p_partkey % 2 = 0 THEN 'mine' ELSE 'other' END AS enabled FROM lock")
+def reg_enable_package(spark, sf_dir):
+    """Two skills of a package enabled with all they need: of the package where it has them, else of the best tier."""
+    lock, needs = _packages(spark, sf_dir, lambda k: F.lit(False))
+    return registry.enable(lock, needs, spark.createDataFrame([("mine", "part-44"), ("mine", "part-77")], "package_id string, skill_id string")).select("package_id", "skill_id", "enabled")
+
+
+@query(_TWO + ", gone(package_id, skill_id) AS (SELECT 'mine', 'part-4' UNION SELECT l.package_id, l.skill_id FROM gone JOIN need ON needs = gone.skill_id JOIN lock l ON l.skill_id = need.skill_id AND l.enabled) SELECT lock.package_id, lock.skill_id, enabled AND gone.skill_id IS NULL AS enabled FROM lock LEFT JOIN gone USING (package_id, skill_id)")
+def reg_disable_package(spark, sf_dir):
+    """A skill of one package disabled, with the enabled ones of all packages that need it; a disabled link in the chain stops it."""
+    lock, needs = _packages(spark, sf_dir, lambda k: k % 10 != 3)
+    return registry.disable(lock, needs, spark.createDataFrame([("mine", "part-4")], "package_id string, skill_id string")).select("package_id", "skill_id", "enabled")
+
+
+@query(""", p AS (SELECT 'author-' || (p_partkey % 7) || '/pack-' || p_partkey AS package_id, 'pack-' || p_partkey AS short, p_partkey FROM k),
+r AS (SELECT unnest([short || '/tool', package_id || '/tool', short || '/none', 'author-1/tool']) AS ref, package_id, p_partkey FROM p)
+SELECT DISTINCT ref, package_id, 4 AS level, 1::BIGINT AS n FROM r WHERE ref LIKE '%/tool' AND ref <> 'author-1/tool' AND p_partkey % 3 <> 0""")
+def reg_resolve_skills(spark, sf_dir):
+    """References to skills by the short or the whole name of their package; every third package lacks the skill."""
+    k = F.col("p_partkey")
+    short = F.concat(F.lit("pack-"), k.cast("string"))
+    whole = F.concat(F.lit("author-"), (k % 7).cast("string"), F.lit("/"), short)
+    packs = table(spark, sf_dir, "part").select(k, short.alias("short"), whole.alias("package_id"))
+    refs = packs.select(F.explode(F.array(F.concat("short", F.lit("/tool")), F.concat("package_id", F.lit("/tool")), F.concat("short", F.lit("/none")), F.lit("author-1/tool"))).alias("ref"))
+    return registry.resolve_packages(refs, packs, packs.where(k % 3 != 0).select("package_id", F.lit("tool").alias("skill_id")))
+
+
 @query("SELECT s_suppkey AS package_id, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE s_name END AS name, s_acctbal AS balance FROM supplier UNION ALL SELECT -1, 'new', NULL", skills=False)
 def reg_upsert(spark, sf_dir):
     """Registry entries, every second one renewed and one added."""

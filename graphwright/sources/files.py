@@ -13,26 +13,41 @@ from pyspark.sql import functions as F
 
 from graphwright.functions.terms import BASE
 
-# Folders that a scan leaves out.
-IGNORED = (".git", "__pycache__", "node_modules", ".venv", "venv", ".pytest_cache", ".mypy_cache", "dist", "build", ".idea", ".vscode", ".tox", ".eggs")
-# Types of files by their ending.
-MIME = {"md": "text/markdown", "txt": "text/plain", "py": "text/x-python", "sh": "text/x-shellscript", "js": "text/javascript", "json": "application/json", "yaml": "application/yaml", "yml": "application/yaml", "html": "text/html", "csv": "text/csv", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "ttl": "text/turtle"}
+# Folders that a scan leaves out, beside hidden ones.
+IGNORED = ("__pycache__", "node_modules", "venv", "dist", "build", "target")
+# Types of files, and the endings that have them.
+TYPES = {
+    "text/plain": ("txt", "ini", "cfg", "env"), "text/markdown": ("md",), "text/html": ("html",), "text/css": ("css",), "text/csv": ("csv",),
+    "text/x-python": ("py",), "text/x-shellscript": ("sh",), "text/javascript": ("js",), "text/typescript": ("ts",),
+    "application/json": ("json",), "application/x-yaml": ("yaml", "yml"), "application/toml": ("toml",), "application/xml": ("xml",), "application/pdf": ("pdf",),
+    **{f"application/vnd.openxmlformats-officedocument.{kind}": (ending,) for kind, ending in (("wordprocessingml.document", "docx"), ("spreadsheetml.sheet", "xlsx"), ("presentationml.presentation", "pptx"))},
+    "image/png": ("png",), "image/jpeg": ("jpg", "jpeg"), "image/gif": ("gif",), "image/svg+xml": ("svg",), "image/x-icon": ("ico",),
+}
+MIME = {ending: kind for kind, endings in TYPES.items() for ending in endings}
 INTENTS = "model string, dimension int, intents array<struct<intent:string, embedding:array<float>, skills:array<string>>>"
 LOCK = "packages map<string, struct<package_id:string, version:string, trust_tier:string, source:string, skills:array<struct<skill_id:string, module_path:string, enabled:boolean, aliases:array<string>>>>>"
 
 
 def directory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, relative, size, sha256, mime, rule) of each file below a root, ignored and hidden ones left out. Rule A: a SKILL.md; B: other
+    """(path, relative, size, sha256, mime, rule) of each file below a root, those with a backslash in their path, and ignored and hidden ones left out. Rule A: a SKILL.md; B: other
     Markdown outside reference/; C: assets."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_replace(F.col("path"), "^(file:)?/*" + root.strip("/") + "/", "")
     rows = files.select("path", relative.alias("relative"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     parts = F.split("relative", "/")
-    rows = rows.where(~F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | p.isin(*IGNORED)))
-    mime = F.coalesce(F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])[F.lower(F.substring_index("relative", ".", -1))], F.lit("application/octet-stream"))
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    rows = rows.where(~F.exists(parts, lambda p: F.startswith(p, F.lit("."))) & ~F.exists(folders, lambda p: p.isin(*IGNORED)) & ~F.contains("relative", F.lit("\\")))
+    mime = mime_type(F.col("relative"))
     return rows.withColumn("mime", mime).withColumn("rule", rule(F.col("relative"))).orderBy("relative")
 
 
+def mime_type(path: Column) -> Column:
+    """The type of a file by its ending, in any case of letters."""
+    name = F.substring_index(path, "/", -1)
+    ending = F.when(F.contains(F.substring(name, 2, 1_000_000), F.lit(".")), F.lower(F.substring_index(name, ".", -1)))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])[ending], F.lit("application/octet-stream"))
+
+
 def rule(path: Column) -> Column:
     """A, B or C; see `directory`."""
     name = F.substring_index(path, "/", -1)

@@ -7,7 +7,7 @@ HTML and paragraphs. Nesting is kept in `parent_block_id`, since rows can't recu
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,8 +19,6 @@ from graphwright.sources.scratch import stored
 # Fence languages that are flowcharts, and those that may hold a template.
 CHARTS = {"dot": "graphviz", "graphviz": "graphviz", "mermaid": "mermaid"}
 NEUTRAL = ("", "text", "markdown", "md", "prompt", "jinja", "j2", "jinja2", "template")
-#: Lists within lists beyond this depth aren't read.
-MAX_NESTING = 20
 VARIABLE = re.compile(r"\{([A-Za-z_]\w*)\}")
 
 BLOCKS = "block_id string, parent_block_id string, block_type string, line_start int, line_end int, content_order int, level int, language string, content string, caption string, row_count int, attribution string, variables array<string>, position int"
@@ -64,12 +62,15 @@ def fence_block(number: str, language: str, content: str, start: int, end: int)
 
 
 class Reader:
-    """Blocks of one text, ids blk_1, blk_2 and so on in order; children of items are blk_n_item_k."""
+    """Blocks of one text, ids blk_1, blk_2 and so on in order; children of items are blk_n_item_k.
 
-    def __init__(self, text: str, depth: int = 0):
+    Items are texts of their own. Reading one asks for its reader's blocks and waits for them on a stack of readers, so lists may be nested to any depth.
+    """
+
+    def __init__(self, text: str):
         self.lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         self.blocks: list[Block] = []
-        self.depth, self.made = depth, 0
+        self.made = 0
 
     def _new(self) -> str:
         """The id of the next top-level block."""
@@ -85,6 +86,18 @@ class Reader:
         return None
 
     def read(self) -> list[Block]:
+        waiting, found = [self._steps()], None
+        while waiting:
+            try:
+                waiting.append(waiting[-1].send(found)._steps())
+                found = None
+            except StopIteration as done:
+                waiting.pop()
+                found = done.value
+        return found
+
+    def _steps(self) -> Generator[Reader, list[Block], list[Block]]:
+        """Yields the readers of items, and is sent their blocks."""
         at = 0
         if self.lines and self.lines[0].strip() == "---":
             end = next((i for i in range(1, len(self.lines)) if self.lines[i].strip() == "---"), None)
@@ -92,7 +105,7 @@ class Reader:
                 self.blocks.append(Block(self._new(), "frontmatter", 1, end + 1, "\n".join(self.lines[1:end])))
                 at = end + 1
         while at < len(self.lines):
-            at = self._block(at)
+            at = yield from self._block(at)
         for i, b in enumerate(self.blocks):
             b.content_order = i + 1
         return self.blocks
@@ -100,7 +113,7 @@ class Reader:
     def _starts(self, line: str) -> bool:
         return not line.strip() or bool(_HEADING.match(line) or _FENCE.match(line) or _RULE.match(line) or line.lstrip().startswith(">") or _HTML.match(line)) or bool((m := _ITEM.match(line)) and (m[3] or "") and len(m[1]) < 4)
 
-    def _block(self, at: int) -> int:
+    def _block(self, at: int) -> Generator[Reader, list[Block], int]:
         line = self.lines[at]
         if not line.strip() or _RULE.match(line):
             return at + 1
@@ -118,7 +131,7 @@ class Reader:
         if line.lstrip().startswith(">") and len(line) - len(line.lstrip()) < 4:
             return self._quote(at)
         if (m := _ITEM.match(line)) and len(m[1]) < 4:
-            return self._list(at, m)
+            return (yield from self._list(at, m))
         if _HTML.match(line):
             end = at
             while end < len(self.lines) and self.lines[end].strip():
@@ -158,7 +171,7 @@ class Reader:
         self.blocks.append(Block(self._new(), "blockquote", at + 1, end, "\n".join(inner[:-1] if attribution is not None else inner).strip(), attribution=attribution))
         return end
 
-    def _list(self, at: int, first: re.Match[str]) -> int:
+    def _list(self, at: int, first: re.Match[str]) -> Generator[Reader, list[Block], int]:
         ordered = first[2][0].isdigit()
         indent = len(first[1])
         items: list[tuple[int, int, list[str]]] = []
@@ -188,7 +201,7 @@ class Reader:
         texts = []
         children: list[Block] = []
         for k, (start, _, lines) in enumerate(items, 1):
-            inner = Reader("\n".join(lines), self.depth + 1).read() if self.depth < MAX_NESTING else []
+            inner = yield Reader("\n".join(lines))
             head = inner[0].content if inner and inner[0].block_type == "paragraph" else ""
             texts.append(head)
             item = f"{number}_item_{k}"

@@ -254,22 +254,22 @@ def test_install(spark):
     assert got == {("p", "a"): (["b"], False), ("p", "b"): (["c"], False), ("p", "c"): (["a"], False), ("p", "d"): ([], True), ("q", "z"): ([], True)}
     assert {r.skill_id for r in registry.install_closure(skills, "p", "b").collect()} == {"a", "b", "c"}
     lock = spark.createDataFrame([("p", "a", "old/a", "local", True), ("p", "x", "old/x", "local", True), ("r", "k", "r/k", "local", False)], "package_id string, skill_id string, module_path string, trust_tier string, enabled boolean")
-    manifests = spark.createDataFrame([("p", "a", "a/ontoskill.ttl", None, "verified", 1), ("p", "b", "b/ontoskill.ttl", "official", "verified", 1), ("p", "a", "other", None, "community", 2)], "package_id string, skill_id string, path string, trust_tier string, source_tier string, source_order int")
+    manifests = spark.createDataFrame([("p", "a", "a/skill.ttl", None, "verified", 1), ("p", "b", "b/skill.ttl", "official", "verified", 1), ("p", "a", "other", None, "community", 2)], "package_id string, skill_id string, path string, trust_tier string, source_tier string, source_order int")
     rows = lambda df: {tuple(r) for r in df.collect()}
-    assert rows(registry.install(lock, manifests, "p")) == {("p", "a", "author/p/a/ontoskill.ttl", "verified", True), ("p", "b", "author/p/b/ontoskill.ttl", "official", False), ("r", "k", "r/k", "local", False)}
-    assert rows(registry.install(lock, manifests, "p", "b")) == {("p", "a", "old/a", "local", True), ("p", "x", "old/x", "local", True), ("p", "b", "author/p/b/ontoskill.ttl", "official", True), ("r", "k", "r/k", "local", False)}
+    assert rows(registry.install(lock, manifests, "p")) == {("p", "a", "author/p/a/skill.ttl", "verified", True), ("p", "b", "author/p/b/skill.ttl", "official", False), ("r", "k", "r/k", "local", False)}
+    assert rows(registry.install(lock, manifests, "p", "b")) == {("p", "a", "old/a", "local", True), ("p", "x", "old/x", "local", True), ("p", "b", "author/p/b/skill.ttl", "official", True), ("r", "k", "r/k", "local", False)}
     with pytest.raises(LookupError):
         registry.install(lock, manifests, "p", "none")
-    modules = spark.createDataFrame([("s/a/ontoskill.ttl",), ("s/a/x/y.ttl",), ("s/b/ontoskill.ttl",)], "module string")
-    assert {r.module for r in registry.modules_of(modules, "s/a/ontoskill.ttl").collect()} == {"s/a/ontoskill.ttl", "s/a/x/y.ttl"}
+    modules = spark.createDataFrame([("s/a/skill.ttl",), ("s/a/x/y.ttl",), ("s/b/skill.ttl",)], "module string")
+    assert {r.module for r in registry.modules_of(modules, "s/a/skill.ttl").collect()} == {"s/a/skill.ttl", "s/a/x/y.ttl"}
 
 
 def test_graphs_of_packages(spark):
     skills = spark.createDataFrame([("au/p", "a", ["b", "a", "zz"], "au", "x"), ("au/p", "b", [], "au", None), ("au/q", "c", ["a"], "au", "y"), ("bu/q", "d", [], "bu", "y")], "package_id string, skill_id string, depends_on array<string>, author string, category string")
     assert {tuple(r) for r in graphs.dependency_graph(skills).collect()} == {("au/p/a", "au/p/b"), ("au/q/c", "au/q/a")}
     assert {tuple(r) for r in graphs.author_graph(skills, "au").collect()} == {("au/p", "p", 2, "x"), ("au/q", "q", 1, "y")}
-    modules = spark.createDataFrame([("s", "s/ontoskill.ttl"), ("s", "s/test_x.ttl"), ("s", "s/prompt.ttl"), ("s", "t/o.ttl"), ("t", "t/o.ttl")], "skill_id string, module string")
-    assert {tuple(r)[1:] for r in graphs.file_graph(modules).collect()} == {("s/ontoskill.ttl", "ontoskill.ttl", "main", None), ("s/test_x.ttl", "test_x.ttl", "test", "s/ontoskill.ttl"), ("s/prompt.ttl", "prompt.ttl", "prompt", "s/ontoskill.ttl"), ("t/o.ttl", "o.ttl", "module", None)}
+    modules = spark.createDataFrame([("s", "s/skill.ttl"), ("s", "s/test_x.ttl"), ("s", "s/prompt.ttl"), ("s", "t/o.ttl"), ("t", "t/o.ttl")], "skill_id string, module string")
+    assert {tuple(r)[1:] for r in graphs.file_graph(modules).collect()} == {("s/skill.ttl", "skill.ttl", "main", None), ("s/test_x.ttl", "test_x.ttl", "test", "s/skill.ttl"), ("s/prompt.ttl", "prompt.ttl", "prompt", "s/skill.ttl"), ("t/o.ttl", "o.ttl", "module", None)}
     text = 'oc:skill_a oc:dependsOnSkill oc:skill_b_c ; oc:yieldsState oc:ToolInstalled ; oc:requiresState oc:ToolInstalled ; oc:resolvesIntent "x" ; oc:impartsKnowledge oc:kn_0a, oc:kn_0b .\noc:kn_0a a oc:KnowledgeNode, oc:Standard ; oc:appliesToContext "ctx" ; oc:hasRationale "why" .'
     found = graphs.text_map(spark.createDataFrame([("a", text), ("n", None)], "skill_id string, text string"))
     assert {tuple(r)[2:] for r in found.collect()} == {("dependency", "dep:b_c", "b-c", ""), ("yield", "state:ToolInstalled", "Tool Installed", ""), ("require", "state:ToolInstalled", "Tool Installed", ""), ("intent", "intent:x", "x", ""), ("Standard", "kn_0a", "ctx", "why")}
