@@ -163,10 +163,15 @@ _SUBCLASS = ", sub(sub, sup) AS (VALUES " + ", ".join(
 ) + ")"
 
 
-@query(_SUBCLASS + ", c(src, dst) AS (SELECT sub, sup FROM sub UNION SELECT sub, sub FROM sub UNION SELECT sup, sup FROM sub UNION SELECT c.src, sub.sup FROM c JOIN sub ON c.dst = sub.sub) SELECT src, dst FROM c")
+@query(_SUBCLASS + """, c(src, dst) AS (SELECT sub, sup FROM sub UNION SELECT sub, sub FROM sub UNION SELECT sup, sup FROM sub UNION SELECT c.src, sub.sup FROM c JOIN sub ON c.dst = sub.sub),
+typed AS (SELECT s, 'oc:Skill' AS kind FROM k UNION SELECT s, CASE WHEN p_size % 2 = 0 THEN 'oc:ExecutableSkill' ELSE 'oc:DeclarativeSkill' END FROM k
+  UNION SELECT 'oc:kn_' || doc_id, ['oc:Standard', 'oc:Heuristic', 'oc:KnownIssue', 'oc:SideEffect', 'oc:Procedure'][doc_id % 5 + 1] FROM documents)
+SELECT src, dst, CAST(count(DISTINCT s) AS BIGINT) AS nodes FROM c JOIN typed ON kind = src GROUP BY src, dst""")
 def clo_subclass_star(spark, sf_dir):
-    """Classes and all they fall under, themselves included."""
-    return closure(catalog.subclass_edges(spark), "sub", "super", reflexive=True)
+    """Classes and all they fall under, themselves included, with the number of nodes of each class that so fall under another."""
+    pairs = closure(catalog.subclass_edges(spark), "sub", "super", reflexive=True)
+    typed = facts(sg.graph(spark, sf_dir), "rdf:type", "s", "src")
+    return pairs.join(typed, "src").groupBy("src", "dst").agg(F.count_distinct("s").alias("nodes"))
 
 
 _KNOWLEDGE = f"""
@@ -229,15 +234,20 @@ def lint_dup_intents(spark, sf_dir):
     return _plain(lint.duplicate_intents(sg.old_graph(spark, sf_dir)))
 
 
+_SPOKEN = "(SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'You can ' || text WHEN 1 THEN text || ' as i said' WHEN 2 THEN 'Wei ' || text || ' ours' WHEN 3 THEN 'so we, and my' || chr(10) || text ELSE text END AS text FROM documents)"
+
+
 @query(
     "SELECT 'warning' AS severity, 'third-person' AS code, CAST(doc_id AS VARCHAR) AS skill_id, array_to_string(f, ',') AS detail FROM (SELECT doc_id, list_filter(["
     + ", ".join("CASE WHEN regexp_matches(text, '{}') THEN '{}' END".format(lint.person_pattern(p).replace("'", "''"), p.replace("'", "''")) for p in lint.PERSON)
-    + "], lambda x: x IS NOT NULL) AS f FROM documents) WHERE len(f) > 0",
+    + f"], lambda x: x IS NOT NULL) AS f FROM {_SPOKEN}) WHERE len(f) > 0",
     skills=False,
 )
 def lint_third_person(spark, sf_dir):
-    """Documents that speak in the first or second person."""
-    return lint.third_person(table(spark, sf_dir, "documents"))
+    """Documents that speak in the first or second person; some are made to, and some nearly."""
+    turn, text = F.col("doc_id") % 9, F.col("text")
+    spoken = F.when(turn == 0, F.concat(F.lit("You can "), text)).when(turn == 1, F.concat(text, F.lit(" as i said"))).when(turn == 2, F.concat(F.lit("Wei "), text, F.lit(" ours"))).when(turn == 3, F.concat(F.lit("so we, and my\n"), text)).otherwise(text)
+    return lint.third_person(table(spark, sf_dir, "documents").withColumn("text", spoken))
 
 
 @query("SELECT 'warning' AS severity, 'body-length' AS code, CAST(doc_id AS VARCHAR) AS skill_id, CAST(n AS VARCHAR) AS detail FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) WHERE n > 20", skills=False)
@@ -441,6 +451,21 @@ def search_all_intents(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT list_transform(range(1, 65), lambda i: list_sum(list_transform(l, lambda x: x[i]))) AS q FROM (SELECT list(e ORDER BY vec_id) AS l FROM v WHERE vec_id < 3)),
+s AS (SELECT 'v' || vec_id AS id, list_dot_product(e, q) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(q, q)) * CASE vec_id % 4 WHEN 0 THEN 1.2 WHEN 3 THEN 0.8 ELSE 1.0 END AS score FROM v, q),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank, lag(score) OVER (ORDER BY score DESC, id) AS b FROM s)
+SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2 AND (SELECT max(score) FROM r) >= 0.4 AND rank <= coalesce((SELECT min(rank) FROM r WHERE b - score > 0.15 AND score < 0.4) - 1, (SELECT count(*) FROM r WHERE score >= 0.4))""", skills=False)
+def search_semantic(spark, sf_dir):
+    """The two best intents for a query: cosines times the weights of their skills' tiers, cut off over all, then shortened."""
+    vectors = table(spark, sf_dir, "embeddings")
+    intents = vectors.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("intent"), "embedding", F.array(F.concat(F.lit("part-"), F.col("vec_id").cast("string"))).alias("skills"))
+    tiers = F.element_at(F.array(*map(F.lit, sg.TIERS)), (F.col("vec_id") % 4 + 1).cast("int"))
+    wide = vectors.select(F.concat(F.lit("part-"), F.col("vec_id").cast("string")).alias("id"), tiers.alias("trust_tier"))
+    few = [r.embedding for r in vectors.where("vec_id < 3").orderBy("vec_id").collect()]
+    found = search.semantic_search(intents, [sum(map(float, x)) for x in zip(*few, strict=True)], wide, top_k=2)
+    return found.select("id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT intent, string_agg(DISTINCT id, ',' ORDER BY id) AS skills FROM intents GROUP BY intent")
 def intent_index(spark, sf_dir):
     """Intents and their skills."""
