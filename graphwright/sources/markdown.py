@@ -6,6 +6,7 @@ HTML and paragraphs. Nesting is kept in `parent_block_id`, since rows can't recu
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,8 @@ from graphwright.sources.scratch import stored
 # Fence languages that are flowcharts, and those that may hold a template.
 CHARTS = {"dot": "graphviz", "graphviz": "graphviz", "mermaid": "mermaid"}
 NEUTRAL = ("", "text", "markdown", "md", "prompt", "jinja", "j2", "jinja2", "template")
+#: Characters of what a block's id begins with.
+LONGEST = 400
 VARIABLE = re.compile(r"\{([A-Za-z_]\w*)\}")
 
 BLOCKS = "block_id string, parent_block_id string, block_type string, line_start int, line_end int, content_order int, level int, language string, content string, caption string, row_count int, attribution string, variables array<string>, position int"
@@ -62,20 +65,24 @@ def fence_block(number: str, language: str, content: str, start: int, end: int)
 
 
 class Reader:
-    """Blocks of one text, ids blk_1, blk_2 and so on in order; children of items are blk_n_item_k.
+    """Blocks of one text, ids blk_1, blk_2 and so on in order; children of items are blk_n_item_k, and blocks in them begin with that.
 
-    Items are texts of their own. Reading one asks for its reader's blocks and waits for them on a stack of readers, so lists may be nested to any depth.
+    Items are texts of their own. Reading one asks for its reader's blocks and waits for them on a stack of readers, so lists may be nested to any depth. What ids begin with is
+    replaced by its hash where lists are nested so deep that it has more than LONGEST characters.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, item: str | None = None, above: int = 0):
         self.lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         self.blocks: list[Block] = []
-        self.made = 0
+        self.made, self.item, self.above = 0, item, above
+        self.begin = "" if item is None else f"{item}_"
+        if len(self.begin) > LONGEST:
+            self.begin = f"blk_{hashlib.sha256(item.encode()).hexdigest()[:32]}_"
 
     def _new(self) -> str:
         """The id of the next top-level block."""
         self.made += 1
-        return f"blk_{self.made}"
+        return f"{self.begin}blk_{self.made}"
 
     def _filled(self, at: int, step: int) -> str | None:
         """The next line that isn't blank, from a place on, forwards or backwards."""
@@ -106,8 +113,12 @@ class Reader:
                 at = end + 1
         while at < len(self.lines):
             at = yield from self._block(at)
-        for i, b in enumerate(self.blocks):
-            b.content_order = i + 1
+        for b in self.blocks:
+            if b.parent_block_id is None:
+                b.parent_block_id, b.line_start, b.line_end = self.item, b.line_start + self.above, b.line_end + self.above
+        if self.item is None:
+            for i, b in enumerate(self.blocks):
+                b.content_order = i + 1
         return self.blocks
 
     def _starts(self, line: str) -> bool:
@@ -201,16 +212,12 @@ class Reader:
         texts = []
         children: list[Block] = []
         for k, (start, _, lines) in enumerate(items, 1):
-            inner = yield Reader("\n".join(lines))
+            item = f"{number}_item_{k}"
+            inner = yield Reader("\n".join(lines), item, self.above + start)
             head = inner[0].content if inner and inner[0].block_type == "paragraph" else ""
             texts.append(head)
-            item = f"{number}_item_{k}"
-            children.append(Block(item, "procedure_step" if ordered else "bullet_item", start + 1, start + len(lines), head, parent_block_id=number, position=k))
-            for b in inner[1:] if head else inner:
-                b.block_id = f"{item}_{b.block_id}"
-                b.parent_block_id = f"{item}_{b.parent_block_id}" if b.parent_block_id else item
-                b.line_start, b.line_end = b.line_start + start, b.line_end + start
-                children.append(b)
+            children.append(Block(item, "procedure_step" if ordered else "bullet_item", self.above + start + 1, self.above + start + len(lines), head, parent_block_id=number, position=k))
+            children += inner[1:] if head else inner
         last = max(i for i in range(at, end) if self.lines[i].strip())
         self.blocks.append(Block(number, "ordered_procedure" if ordered else "bullet_list", at + 1, last + 1, "\n".join(texts)))
         self.blocks += children
