@@ -41,7 +41,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages_of_odd_tables(spark):
