@@ -210,32 +210,58 @@ def known_ids_text(skills: DataFrame) -> str:
 
 
 # The class of each kind of block and where its content goes.
-BLOCK_CLASSES = {"paragraph": ("Paragraph", "textContent"), "code_block": ("CodeExample", "codeContent"), "table": ("Table", "tableMarkdown"), "flowchart": ("Flowchart", "flowchartSource"), "template": ("Template", "templateContent"), "bullet_list": ("BulletList", "textContent"), "ordered_procedure": ("Workflow", "textContent"), "blockquote": ("BlockQuote", "quoteContent"), "html_block": ("HTMLBlock", "htmlContent"), "frontmatter": ("FrontmatterBlock", "rawYaml"), "bullet_item": ("BulletItem", "itemText"), "procedure_step": ("WorkflowStep", "stepDescription")}
+BLOCK_CLASSES = {"paragraph": ("Paragraph", "textContent"), "code_block": ("CodeExample", "codeContent"), "table": ("Table", "tableMarkdown"), "flowchart": ("Flowchart", "flowchartSource"), "template": ("Template", "templateContent"), "bullet_list": ("BulletList", None), "ordered_procedure": ("Workflow", None), "blockquote": ("BlockQuote", "quoteContent"), "html_block": ("HTMLBlock", "htmlContent"), "frontmatter": ("FrontmatterBlock", "rawYaml"), "bullet_item": ("BulletItem", "itemText"), "procedure_step": ("WorkflowStep", "dcterms:description")}
+# How a block hangs on the one it is in, by that one's kind.
+PART_OF = {"bullet_list": "oc:hasItem", "ordered_procedure": "oc:hasStep", "bullet_item": "oc:hasChild", "procedure_step": "oc:hasChild"}
 
 
 def section_triples(sections: DataFrame, blocks: DataFrame, skill: Column) -> DataFrame:
-    """Triples of section trees and their blocks (see sources.markdown); `skill` names a document's skill node from doc_id."""
+    """Triples of section trees and their blocks, items and steps (see sources.markdown); `skill` names a document's skill node from doc_id.
+
+    With a `section_id`, blocks hang on their sections, and procedures are workflows of the skill; items and steps hang on their lists and procedures, and what stands in them on them. Empty
+    content is content too, null isn't. A block whose parent isn't among the blocks stays by itself.
+    """
     section = lambda c: hashed_node("sec", 16, F.col("doc_id").cast("string"), F.lit("section"), F.col(c))
     block = lambda c: hashed_node("blk", 16, F.col("doc_id").cast("string"), F.lit("block"), F.col(c))
-    graph = F.col("doc_id").cast("string").alias("graph_id")
+    graph, none = F.col("doc_id").cast("string").alias("graph_id"), F.lit(None).cast("string")
     s = sections.select(graph, "*", section("section_id").alias("s"))
     out = [_facts(s, ("rdf:type", F.lit("oc:Section"), "iri", None), ("oc:sectionTitle", F.col("title"), "literal", "xsd:string"), ("oc:sectionLevel", F.col("level"), "literal", "xsd:integer"), ("oc:sectionOrder", F.col("ord"), "literal", "xsd:integer"))]
-    up = sections.select(graph, F.when(F.col("parent_section_id").isNull(), skill).otherwise(section("parent_section_id")).alias("s"), F.when(F.col("parent_section_id").isNull(), F.lit("oc:hasSection")).otherwise(F.lit("oc:hasSubsection")).alias("p"), section("section_id").alias("o"))
-    out.append(up.select("*", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt")))
-    classes, fields = (F.create_map(*[F.lit(x) for k, v in BLOCK_CLASSES.items() for x in (k, f"oc:{v[i]}")]) for i in range(2))
-    b = blocks.where(F.col("block_type").isin(*BLOCK_CLASSES)).select(graph, "*", block("block_id").alias("s"))
-    facts = F.array(
-        F.struct(F.lit("rdf:type").alias("p"), classes[F.col("block_type")].alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt")),
-        F.struct(fields[F.col("block_type")].alias("p"), F.col("content").alias("o"), F.lit("literal").alias("o_kind"), F.lit("xsd:string").alias("o_dt")),
-        F.struct(F.lit("oc:codeLanguage").alias("p"), F.col("language").alias("o"), F.lit("literal").alias("o_kind"), F.lit("xsd:string").alias("o_dt")),
-        F.struct(F.lit("oc:tableCaption").alias("p"), F.col("caption").alias("o"), F.lit("literal").alias("o_kind"), F.lit("xsd:string").alias("o_dt")),
-        F.struct(F.lit("oc:rowCount").alias("p"), F.col("row_count").cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit("xsd:integer").alias("o_dt")),
-        F.struct(F.lit("oc:stepOrder").alias("p"), F.col("position").cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit("xsd:integer").alias("o_dt")),
-    )
-    out.append(b.select("graph_id", "s", F.explode(F.filter(facts, lambda f: f["o"].isNotNull())).alias("f")).select("graph_id", "s", "f.*"))
+    linked = lambda rows, s, p, o: rows.select("graph_id", s.alias("s"), p.alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_dt"))
+    top = F.col("parent_section_id").isNull()
+    out.append(linked(sections.select(graph, "*"), F.when(top, skill).otherwise(section("parent_section_id")), F.when(top, F.lit("oc:hasSection")).otherwise(F.lit("oc:hasSubsection")), section("section_id")))
+    kind = F.col("block_type")
+    b = blocks.where(kind.isin(*BLOCK_CLASSES)).select(graph, "*", block("block_id").alias("s"))
+    classes, fields, parts = (F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) for d in ({k: f"oc:{v[0]}" for k, v in BLOCK_CLASSES.items()}, {k: v[1] if ":" in v[1] else f"oc:{v[1]}" for k, v in BLOCK_CLASSES.items() if v[1]}, PART_OF))
+    is_ = lambda *kinds: kind.isin(*kinds)
+    inner = is_("bullet_item", "procedure_step")
+    text, number = "xsd:string", "xsd:integer"
+    out.append(_facts(
+        b,
+        ("rdf:type", classes[kind], "iri", None),
+        ("oc:blockType", F.when(is_("procedure_step"), F.lit("workflow_step")).otherwise(kind), "literal", text),
+        ("oc:contentOrder", F.when(~inner, F.col("content_order")), "literal", number),
+        ("oc:codeLanguage", F.when(is_("code_block"), F.coalesce("language", F.lit(""))), "literal", text),
+        ("oc:flowchartType", F.when(is_("flowchart"), F.col("language")), "literal", text),
+        ("oc:sourceLocation", F.when(is_("code_block"), F.format_string("lines %d-%d", "line_start", "line_end")), "literal", text),
+        ("oc:tableCaption", F.when(F.col("caption") != "", F.col("caption")), "literal", text),
+        ("oc:rowCount", F.when(is_("table"), F.col("row_count")), "literal", number),
+        ("oc:quoteAttribution", F.when(F.col("attribution") != "", F.col("attribution")), "literal", text),
+        ("oc:itemOrder", F.when(is_("bullet_item"), F.col("position")), "literal", number),
+        ("oc:stepOrder", F.when(is_("procedure_step"), F.col("position")), "literal", number),
+        ("oc:stepId", F.when(is_("procedure_step"), F.concat(F.lit("step_"), F.col("position").cast("string"))), "literal", text),
+        ("oc:workflowId", F.when(is_("ordered_procedure"), F.concat(F.lit("procedure_"), F.col("content_order").cast("string"))), "literal", text),
+        ("oc:workflowName", F.when(is_("ordered_procedure"), F.lit("Ordered Procedure")), "literal", text),
+    ))
+    said = b.where(fields[kind].isNotNull() & F.col("content").isNotNull())
+    out.append(said.select("graph_id", "s", fields[kind].alias("p"), F.col("content").alias("o"), F.lit("literal").alias("o_kind"), F.lit(text).alias("o_dt")))
+    out.append(_each(b.where(is_("template")), "oc:templateVariables", F.col("variables"), "literal"))
+    lists = blocks.select("doc_id", F.col("block_id").alias("parent_block_id"), F.col("block_type").alias("parent_type"))
+    held = b.where("parent_block_id is not null").join(lists, ["doc_id", "parent_block_id"]).where(parts[F.col("parent_type")].isNotNull())
+    out.append(linked(held, block("parent_block_id"), parts[F.col("parent_type")], F.col("s")))
     if "section_id" in blocks.columns:
-        held = b.where("parent_block_id is null").select("graph_id", section("section_id").alias("s0"), "s")
-        out.append(held.select("graph_id", F.col("s0").alias("s"), F.lit("oc:hasContent").alias("p"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt")))
+        tops = b.where("parent_block_id is null")
+        out.append(linked(tops, section("section_id"), F.lit("oc:hasContent"), F.col("s")))
+        out.append(linked(tops.where(is_("ordered_procedure")), skill, F.lit("oc:hasWorkflow"), F.col("s")))
     rows = reduce(DataFrame.unionByName, out)
     return distinct_triples(rows.select("graph_id", "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_dt", F.lit(None).cast("string").alias("o_lang")))
 

@@ -92,3 +92,32 @@ def test_lists_within_lists_at_any_depth():
     assert [b.content for b in items] == [f"level {i}" for i in range(200)] and len({b.block_id for b in deep}) == 400 and items[-1].line_start == 200 and max(len(b.block_id) for b in deep) < 450
     mixed = markdown.parse("1. a\n   - b\n     1. c\n\n2. d")
     assert [(b.block_type, b.content) for b in mixed if b.position] == [("procedure_step", "a"), ("bullet_item", "b"), ("procedure_step", "c"), ("procedure_step", "d")]
+
+
+CONTENT = "intro\n\n# Top\n- a\n  > q\n  > — Me\n- b\n\n1. one\n   ```py\n   x\n   ```\n2. two\n\nT:\n| a |\n|---|\n| 1 |\n\n```mermaid\ng\n```\n\n```\nHi {name} {name} {b}\n```\n\n<div>x</div>\n"
+
+
+def test_content_nodes_as_they_are_read_again(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, CONTENT), (2, None), (3, "```\nx\n```")], "doc_id int, text string")
+    found = markdown.blocks(docs)
+    inside = markdown.in_sections(found)
+    placed = inside.unionByName(found.where("parent_block_id is not null").withColumn("section_id", F.lit(None).cast("string")))
+    t = serialise.section_triples(markdown.sections(found), placed, F.concat(F.lit("oc:skill_"), F.col("doc_id").cast("string")))
+    facts = {}
+    for r in t.where("graph_id = '1'").collect():
+        facts.setdefault(r.s, {}).setdefault(r.p, []).append(r.o)
+    kind = lambda name: [n for n, f in facts.items() if f.get("oc:blockType") == [name]]
+    say = lambda n, *ps: [facts[n].get(f"oc:{p}") for p in ps]
+    (bullets,), (steps,), (quote,), (code,), (table,), (chart,), (template,), (html,) = map(kind, ("bullet_list", "ordered_procedure", "blockquote", "code_block", "table", "flowchart", "template", "html_block"))
+    assert facts["oc:skill_1"]["oc:hasWorkflow"] == [steps] and say(steps, "workflowName", "workflowId") == [["Ordered Procedure"], ["procedure_2"]] and "oc:textContent" not in facts[bullets]
+    items = {facts[n]["oc:itemOrder"][0]: n for n in facts[bullets]["oc:hasItem"]}
+    assert {k: facts[n]["oc:itemText"] for k, n in items.items()} == {"1": ["a"], "2": ["b"]} and facts[items["1"]]["oc:hasChild"] == [quote] and say(quote, "quoteContent", "quoteAttribution") == [["q"], ["Me"]]
+    done = {facts[n]["oc:stepOrder"][0]: n for n in facts[steps]["oc:hasStep"]}
+    assert {k: (facts[n]["oc:stepId"], facts[n]["dcterms:description"], facts[n]["oc:blockType"]) for k, n in done.items()} == {"1": (["step_1"], ["one"], ["workflow_step"]), "2": (["step_2"], ["two"], ["workflow_step"])}
+    assert facts[done["1"]]["oc:hasChild"] == [code] and say(code, "codeLanguage", "codeContent", "sourceLocation") == [["py"], ["x"], ["lines 10-12"]]
+    assert say(table, "tableCaption", "rowCount", "contentOrder") == [["T"], ["1"], ["4"]]
+    assert say(chart, "flowchartType", "codeLanguage", "flowchartSource") == [["mermaid"], None, ["g"]] and sorted(facts[template]["oc:templateVariables"]) == ["b", "name"] and say(html, "htmlContent") == [["<div>x</div>"]]
+    # a code block without a language has an empty one
+    assert t.where("graph_id = '3' and p = 'oc:codeLanguage'").first().o == "" and t.where("graph_id = '2'").isEmpty()
