@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphwright.functions.terms import compact, requirement_type, snake
+from graphwright.functions.terms import compact, local_name, requirement_type, snake
 from graphwright.operators.closure import closure, reached_from, reached
 from graphwright.operators.triples import as_long, facts, of_class, star
 
@@ -252,6 +252,21 @@ def section_content(t: DataFrame, skills: DataFrame | None = None) -> DataFrame:
     return out.where(F.trim("content") != "").orderBy("uri", F.coalesce("section_order", F.lit(999)), "block")
 
 
+def find_named(t: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, uri) of the skills that names (one column) mean: by identifier, else by a node's local name, else by the name's letters and digits in lower case as a local name.
+
+    Any node with an identifier counts for the first, nodes with intents for the others. Of several on the best level the least node counts. Unknown and null names have no row.
+    """
+    asked = names.toDF("name").where("name is not null").distinct()
+    by_id = facts(t, "dcterms:identifier", "uri", "key").select("uri", "key", F.lit(1).alias("level"))
+    nodes = facts(t, "oc:resolvesIntent", "uri", "x").select("uri").distinct()
+    local = nodes.select("uri", F.regexp_replace(local_name(F.col("uri")), "^[A-Za-z]+:", "").alias("key"))
+    plain = F.lower(F.translate("name", "-_", ""))
+    keys = asked.select("name", F.inline(F.array(F.struct(F.col("name").alias("key"), F.lit(1).alias("level")), F.struct(F.col("name").alias("key"), F.lit(2).alias("level")), F.struct(plain.alias("key"), F.lit(3).alias("level")))))
+    known = by_id.union(local.select("uri", "key", F.explode(F.array(F.lit(2), F.lit(3))).alias("level")))
+    return keys.join(known, ["key", "level"]).groupBy("name").agg(F.min(F.struct("level", "uri"))["uri"].alias("uri"))
+
+
 def explain(t: DataFrame, skills_wide: DataFrame) -> DataFrame:
     """Skills with their own knowledge, sorted by kind and node, and the first 8 digits of their content hash."""
     nodes = knowledge(t, inherited=False).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("kind", "node", "directive_content"))).alias("knowledge"))
@@ -266,14 +281,23 @@ def aliases(t: DataFrame, alias: str) -> DataFrame:
     return facts(t, "oc:hasAlias", "uri", "alias").where(F.lower("alias") == alias.lower()).join(of_class(t, "oc:Skill").withColumnRenamed("s", "uri"), "uri", "left_semi")
 
 
-def facets(packages: DataFrame, text: str | None = None, tier: str | None = None, category: str | None = None, descending: bool = False) -> DataFrame:
-    """Skills of package documents (package_id, trust_tier, skills array) by a word in any of their fields, tier and category, by id."""
+def facet_values(packages: DataFrame) -> DataFrame:
+    """(facet, value, n): the authors, categories and tiers of the skills of package documents, and how many skills each has; an author is what comes before a package's slash. Empty and null values count nowhere."""
+    rows = packages.select(F.substring_index("package_id", "/", 1).alias("author"), F.col("trust_tier").alias("tier"), F.explode("skills").alias("skill"))
+    facets_ = rows.select(F.explode(F.array(*[F.struct(F.lit(name).alias("facet"), value.alias("value")) for name, value in (("author", F.col("author")), ("category", F.col("skill.category")), ("tier", F.col("tier")))])).alias("f")).select("f.*")
+    return facets_.where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def facets(packages: DataFrame, text: str | None = None, tier: str | None = None, category: str | None = None, descending: bool = False, author: str | None = None) -> DataFrame:
+    """Skills of package documents (package_id, trust_tier, skills array) by a word in any of their fields, tier, category and author, by id."""
     rows = packages.select("package_id", "trust_tier", F.explode("skills").alias("skill")).select("package_id", "trust_tier", "skill.*")
     words = [c for c, kind in rows.dtypes if kind == "string"]
     if text:
         rows = rows.where(F.contains(F.lower(F.concat_ws(" ", *words, *[F.array_join(c, " ") for c, kind in rows.dtypes if kind == "array<string>"])), F.lit(text.lower())))
     if tier:
         rows = rows.where(F.col("trust_tier") == tier)
+    if author:
+        rows = rows.where(F.substring_index("package_id", "/", 1) == author)
     if category:
         rows = rows.where(F.col("category") == category)
     return rows.orderBy(F.col("id").desc() if descending else F.col("id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwright.operators.catalog import TIERS
 from graphwright.operators.closure import reached
+from graphwright.operators.triples import facts, of_class
 from graphwright.sources.scratch import stored
 
 
@@ -46,6 +47,22 @@ def resolve_packages(references: DataFrame, packages: DataFrame, skills: DataFra
     return found.withColumn("best", F.min("level").over(best)).where("level = best").withColumn("n", F.count("*").over(best)).drop("best")
 
 
+# The relations that closures of a registry follow.
+FOLLOWED = ("oc:extends", "oc:dependsOnSkill", "oc:dependsOn")
+
+
+def skill_relations(t: DataFrame) -> DataFrame:
+    """(skill_id, needs): what each skill extends or depends on, by any of three predicates, each once; the dependencies of `enable` and `disable`.
+
+    A target without an identifier counts by its node's name, if that is a skill's, with hyphens for underscores; other terms and texts count nowhere, nor do skills without an identifier.
+    """
+    ids = facts(t, "dcterms:identifier", "node", "id").groupBy("node").agg(F.min("id").alias("id"))
+    own = of_class(t, "oc:Skill").join(ids.withColumnRenamed("node", "s"), "s").select("s", F.col("id").alias("skill_id"))
+    links = t.where(F.col("p").isin(*FOLLOWED)).select("s", F.col("o").alias("node"), "o_kind").distinct().join(own, "s")
+    named = F.when((F.col("o_kind") == "iri") & F.contains("node", F.lit("skill_")) & F.col("node").rlike("(^oc:|#)skill_"), F.translate(F.regexp_extract("node", "(?:^oc:|#)skill_(.*)$", 1), "_", "-"))
+    return links.join(ids, "node", "left").select("skill_id", F.coalesce("id", named).alias("needs")).where("needs is not null").distinct()
+
+
 def _with_packages(rows: DataFrame) -> DataFrame:
     """A null package where rows tell none."""
     return rows if "package_id" in rows.columns else rows.withColumn("package_id", F.lit(None).cast("string"))

@@ -454,6 +454,36 @@ def graph_text_map(spark, sf_dir):
     return graphs.text_map(modules).select("skill_id", "kind", "node", "name")
 
 
+@query(""", r AS (SELECT 'author-' || (p_partkey % 3) AS author, tier, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_type END AS category FROM k)
+SELECT facet, value, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'author' AS facet, author AS value FROM r UNION ALL SELECT 'tier', tier FROM r UNION ALL SELECT 'category', category FROM r) WHERE value <> '' GROUP BY ALL""")
+def cat_facets(spark, sf_dir):
+    """Authors, categories and tiers of packages, with their skills."""
+    return catalog.facet_values(_documents(spark, sf_dir))
+
+
+@query("SELECT 'part-' || p_partkey AS id FROM k WHERE p_partkey % 3 = 1 AND p_size % 5 <> 0 AND p_type = 'PROMO' AND contains(lower(p_name), 'ring')")
+def cat_facet_search(spark, sf_dir):
+    """Skills by author, category and a word."""
+    return catalog.facets(_documents(spark, sf_dir), text="RING", category="PROMO", author="author-1").select("id")
+
+
+@query(""", n AS (SELECT unnest([id, 'skill_' || p_partkey, 'SKILL-' || p_partkey, 'none ' || p_partkey]) AS name, s, p_partkey FROM k)
+SELECT name, s AS uri FROM n WHERE name LIKE 'part-%' OR name LIKE 'skill@_%' ESCAPE '@'""")
+def cat_named(spark, sf_dir):
+    """Skills by their identifier and by their node's name; other forms of names mean nothing here."""
+    k = F.col("p_partkey").cast("string")
+    names = table(spark, sf_dir, "part").select(F.explode(F.array(F.concat(F.lit("part-"), k), F.concat(F.lit("skill_"), k), F.concat(F.lit("SKILL-"), k), F.concat(F.lit("none "), k))).alias("name"))
+    return catalog.find_named(sg.old_graph(spark, sf_dir), names)
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """Package documents, one a skill."""
+    k = F.col("p_partkey")
+    skill = F.struct(F.concat(F.lit("part-"), k.cast("string")).alias("id"), F.col("p_name").alias("description"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_type")).alias("category"))
+    tier = F.element_at(F.array(*map(F.lit, sg.TIERS)), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("author-"), (k % 3).cast("string"), F.lit("/pack-"), k.cast("string")).alias("package_id"), tier.alias("trust_tier"), F.array(skill).alias("skills"))
+
+
 # --- benchmark reports ------------------------------------------------------------------------------------
 
 _EV = "WITH e AS (SELECT *, user_id AS task, event_id % 5 AS attempt, round(value, 6) AS reward, event_id % 4 <> 0 AS counted FROM events)"

@@ -189,6 +189,16 @@ def reg_disable_closure(spark, sf_dir):
     return registry.disable(lock, needs, spark.createDataFrame([("part-5",)], "skill_id string")).select("package_id", "skill_id", "enabled")
 
 
+@query("SELECT DISTINCT id AS skill_id, 'part-' || substr(dst, 10) AS needs FROM k JOIN (FROM ups UNION FROM deps) ON src = s UNION SELECT id, 'new-thing-' || p_partkey FROM k WHERE p_partkey % 7 = 0")
+def reg_relations(spark, sf_dir):
+    """What skills extend or depend on by three predicates; some depend on skills that aren't there, on texts and on other terms."""
+    k = F.col("p_partkey")
+    node, none = F.concat(F.lit("oc:skill_"), k.cast("string")), F.lit(None).cast("string")
+    more = F.array(F.struct(F.concat(F.lit("oc:skill_new_thing_"), k.cast("string")).alias("o"), F.lit("iri").alias("o_kind")), F.struct(F.lit("oc:skill_text").alias("o"), F.lit("literal").alias("o_kind")), F.struct(F.lit("oc:Other").alias("o"), F.lit("iri").alias("o_kind")))
+    rows = table(spark, sf_dir, "part").where(k % 7 == 0).select(node.alias("s"), F.inline(more)).select(F.lit("old").alias("graph_id"), "s", F.lit("iri").alias("s_kind"), F.lit("oc:dependsOn").alias("p"), "o", "o_kind", none.alias("o_dt"), none.alias("o_lang"))
+    return registry.skill_relations(sg.old_graph(spark, sf_dir).union(rows))
+
+
 _TWO = ", lock AS (SELECT pkg AS package_id, id AS skill_id, CASE pkg WHEN 'mine' THEN 'community' WHEN 'other' THEN 'official' ELSE 'local' END AS trust_tier, p_partkey % 10 <> 3 AS enabled, p_partkey FROM k, (VALUES ('mine'), ('other'), ('third')) v(pkg) WHERE pkg <> 'mine' OR p_partkey % 2 = 0), need AS (SELECT 'part-' || substr(src, 10) AS skill_id, 'part-' || substr(dst, 10) AS needs FROM ups)"
 
 

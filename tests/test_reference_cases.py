@@ -121,3 +121,17 @@ def test_content_nodes_as_they_are_read_again(spark):
     assert say(chart, "flowchartType", "codeLanguage", "flowchartSource") == [["mermaid"], None, ["g"]] and sorted(facts[template]["oc:templateVariables"]) == ["b", "name"] and say(html, "htmlContent") == [["<div>x</div>"]]
     # a code block without a language has an empty one
     assert t.where("graph_id = '3' and p = 'oc:codeLanguage'").first().o == "" and t.where("graph_id = '2'").isEmpty()
+
+
+def test_names_relations_and_facets(spark):
+    from graphwright.operators import catalog
+
+    t = graph(spark, """@prefix dcterms: <http://purl.org/dc/terms/> . oc:skill_a a oc:Skill ; dcterms:identifier "a-skill" ; oc:resolvesIntent "x" ; oc:extends oc:skill_b, oc:skill_no_id ; oc:dependsOn oc:skill_b, oc:State, "oc:skill_text" . oc:skill_b a oc:Skill ; dcterms:identifier "b" ; oc:dependsOnSkill oc:skill_a .
+    oc:createpdf oc:resolvesIntent "y" . oc:skill_c a oc:Skill ; oc:extends oc:skill_a .""")
+    assert {(r.skill_id, r.needs) for r in registry.skill_relations(t).collect()} == {("a-skill", "b"), ("a-skill", "no-id"), ("b", "a-skill")}
+    names = spark.createDataFrame([("a-skill",), ("skill_a",), ("Create-PDF",), ("create_pdf",), ("skill_b",), ("gone",), (None,)], "n string")
+    assert {r.name: r.uri for r in catalog.find_named(t, names).collect()} == {"a-skill": "oc:skill_a", "skill_a": "oc:skill_a", "Create-PDF": "oc:createpdf", "create_pdf": "oc:createpdf"}
+    skill = "skills array<struct<id:string,category:string,intents:array<string>>>"
+    packages = spark.createDataFrame([("me/p", "local", [("i", "c", ["Find it"]), ("j", None, None)]), ("you", None, [("k", "", [])])], f"package_id string, trust_tier string, {skill}")
+    assert {tuple(r) for r in catalog.facet_values(packages).collect()} == {("author", "me", 2), ("author", "you", 1), ("category", "c", 1), ("tier", "local", 2)}
+    assert [r.id for r in catalog.facets(packages, author="me", text="find").collect()] == ["i"] and [r.id for r in catalog.facets(packages, author="p").collect()] == []
