@@ -251,7 +251,8 @@ def coded(column: pa.Array, v: Vocabulary) -> pa.Array:
 def encode_decode(text: Column, path: str) -> Column:
     """struct<ids binary, decoded string> of a text column; ids are little-endian unsigned 32-bit integers.
 
-    path: a JSON vocabulary with word ends that every executor can open. Null texts count as empty.
+    path: a JSON vocabulary with word ends that every executor can open. Null texts count as empty. Texts are coded whole, each row for
+    itself, so repeated rows have equal values. Of pairs of one rank the first in the text is merged first, as in the library.
     """
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -264,7 +265,7 @@ def encode_decode(text: Column, path: str) -> Column:
 
 
 def token_count(text: Column, path: str) -> Column:
-    """The number of tokens (bigint) of a text column under a byte-level JSON vocabulary; null texts have none."""
+    """The number of tokens (bigint) of a text column under a byte-level JSON vocabulary; null texts have none. Texts are counted whole, each row for itself."""
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)

@@ -131,7 +131,8 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     ends_at counts characters of the normalised text. The items are a stated query set: they are read to the driver and sent
     out in blocks of at most `block` characters, one pass each. Items with a null id, and null or blank items, match nothing;
     an item's repeated rows count once, and several texts under one id are as many items. Null texts match nothing.
-    Repeated rows of `docs` give repeated rows.
+    Repeated rows of `docs` give repeated rows. Texts are read whole, however long; of equally near places the first counts. Other
+    columns of both tables are ignored, whatever their names; an empty table on either side gives no rows.
     """
     parts = dealt(items.select(F.col(item_column).alias("item"), F.col(item_text).alias("text")), block)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")

@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from graphwright.llm.blocks import blocks, spans
 from graphwright.llm.linking import linked_groups
@@ -131,8 +132,10 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     Null texts are empty; null ids come first and make one range. Rows are dealt by ranges of ids of about `rows_together` rows; ids are numbers.
     Each range also gets the first row of the range that follows. What goes to the driver is the bounds and first ids of ranges.
-    Rows with one id stand in one range. Other columns aren't looked at.
+    Rows with one id stand in one range, and follow each other in order of their texts. Other columns aren't looked at. Ids of another type are an error (TypeError).
     """
+    if not isinstance(docs.schema[id_column].dataType, NumericType):
+        raise TypeError(f"{id_column} has no numbers")
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     ranges = -(-rows.count() // rows_together) or 1
     shares = [i / ranges for i in range(1, ranges)]

@@ -256,7 +256,7 @@ def without_repeats(docs: DataFrame, text_column: str = "text", length: int = 20
     only stay (and count as kept). n_spans: maximal runs of removed bytes.
 
     Null texts are empty. Texts shorter than `length` stay as they are. Repeated rows are copies of
-    each other, and lose everything from `length` bytes on. Other columns, whatever their
+    each other, and lose everything from `length` bytes on. Texts are read whole, however long. Other columns, whatever their
     names, pass through; `out` replaces one of its name.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
