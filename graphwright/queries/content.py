@@ -11,7 +11,7 @@ from graphwright.operators.closure import shortest_cycles
 from graphwright.operators.triples import facts
 from graphwright.plans import sparql
 from graphwright.queries.graph import query, skills, table
-from graphwright.sources import files, turtle
+from graphwright.sources import files, front, turtle
 from graphwright.sources import star_graph as sg
 from graphwright.sources.scratch import fresh, stored
 
@@ -484,6 +484,21 @@ def _documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("author-"), (k % 3).cast("string"), F.lit("/pack-"), k.cast("string")).alias("package_id"), tier.alias("trust_tier"), F.array(skill).alias("skills"))
 
 
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN 'part-' || p_partkey ELSE 'skill-part-' || p_partkey END AS name, CASE WHEN p_partkey % 6 IN (0, 2) THEN NULL WHEN p_partkey % 6 = 3 THEN '<b>' || p_name || '</b>' ELSE p_name || ' of ' || p_type END AS description,
+  CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 4 THEN p_type || ',' || p_brand ELSE p_brand END AS aliases, CASE p_partkey % 6 WHEN 0 THEN 'missing' WHEN 2 THEN 'no description' WHEN 3 THEN 'description' END AS error FROM k""")
+def src_front_matter(spark, sf_dir):
+    """Front matter of six forms, some of it wrong."""
+    k, nl = F.col("p_partkey"), "\n"
+    turn = k % 6
+    name = F.when(turn == 1, F.concat(F.lit("part_"), k.cast("string"))).otherwise(F.concat(F.lit("'Skill: Part "), k.cast("string"), F.lit("'")))
+    description = F.when(turn == 3, F.concat(F.lit("<b>"), "p_name", F.lit("</b>"))).when(turn == 5, F.concat(F.lit(f">{nl}  "), "p_name", F.lit(f"{nl}  of "), "p_type")).otherwise(F.concat(F.lit('"'), "p_name", F.lit(" of "), "p_type", F.lit('"  # said')))
+    tags = F.when(turn == 4, F.concat(F.lit("tags: ["), "p_type", F.lit(", '"), "p_brand", F.lit("']"))).otherwise(F.concat(F.lit(f"also_known_as:{nl}  - '"), "p_brand", F.lit("'")))
+    text = F.concat_ws(nl, F.lit("---"), F.concat(F.lit("name: "), name), F.when(turn != 2, F.concat(F.lit("description: "), description)), tags, F.lit("---"), F.lit("body"))
+    docs = table(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(turn == 0, F.lit("no front matter")).otherwise(text).alias("text"))
+    found = front.front_matter(docs)
+    return found.select("id", "name", "description", F.array_join(F.col("fields")["aliases"], ",").alias("aliases"), "error")
+
+
 # --- benchmark reports ------------------------------------------------------------------------------------
 
 _EV = "WITH e AS (SELECT *, user_id AS task, event_id % 5 AS attempt, round(value, 6) AS reward, event_id % 4 <> 0 AS counted FROM events)"
