@@ -56,23 +56,25 @@ STEP_NUMBER = "(?i)step\\s+(\\d+)|#(\\d+)|(\\d+)(?:st|nd|rd|th)\\s+step"
 
 def applies_to_step(t: DataFrame) -> DataFrame:
     """(s, p, o): the step that a node's context names (`step 2`, `#2`, `2nd step`): of the numbers in the order in which they stand, the first that
-    is the order of exactly one workflow step of the graph; else the one step whose label stands in the context. Nodes that have a step already are left out."""
+    is the order of exactly one workflow step of the graph; else the one step whose label stands in the context. Nodes that have a step already are left out. Each graph
+    of the table, as a module is one, has its own steps."""
+    of = lambda p, s, o: t.where(F.col("p") == p).select(F.coalesce("graph_id", F.lit("")).alias("graph"), F.col("s").alias(s), F.col("o").alias(o))
     has = facts(t, "oc:appliesToStep", "node", "x").select("node")
-    nodes = facts(t, "oc:impartsKnowledge", "skill", "node").select("node").distinct().join(facts(t, "oc:appliesToContext", "node", "context"), "node").join(has, "node", "left_anti")
-    nodes = nodes.groupBy("node").agg(F.min("context").alias("context"))
-    steps = facts(t, "rdf:type", "step", "kind").where("kind = 'oc:WorkflowStep'").select("step").distinct()
-    orders = steps.join(facts(t, "oc:stepOrder", "step", "number"), "step").select("step", F.col("number").try_cast("int").alias("number"))
-    unique = orders.groupBy("number").agg(F.countDistinct("step").alias("n"), F.min("step").alias("o")).where("n = 1 and number is not null").select("number", "o")
-    found = nodes.select("node", F.posexplode(F.regexp_extract_all("context", F.lit(STEP_NUMBER), F.lit(0))).alias("at", "text"))
-    found = found.select("node", "at", F.regexp_extract("text", "\\d+", 0).try_cast("int").alias("number"))
-    by_number = found.join(unique, "number").groupBy("node").agg(F.min_by("o", "at").alias("o"))
-    labels = steps.join(facts(t, "oc:stepLabel", "step", "label"), "step").where("label <> ''").select("step", F.lower("label").alias("label"))
+    nodes = of("oc:impartsKnowledge", "skill", "node").select("graph", "node").distinct().join(facts(t, "oc:appliesToContext", "node", "context"), "node").join(has, "node", "left_anti")
+    nodes = nodes.groupBy("graph", "node").agg(F.min("context").alias("context"))
+    steps = of("rdf:type", "step", "kind").where("kind = 'oc:WorkflowStep'").select("graph", "step").distinct()
+    orders = steps.join(of("oc:stepOrder", "step", "number"), ["graph", "step"]).select("graph", "step", F.col("number").try_cast("int").alias("number"))
+    unique = orders.groupBy("graph", "number").agg(F.countDistinct("step").alias("n"), F.min("step").alias("o")).where("n = 1 and number is not null").select("graph", "number", "o")
+    found = nodes.select("graph", "node", F.posexplode(F.regexp_extract_all("context", F.lit(STEP_NUMBER), F.lit(0))).alias("at", "text"))
+    found = found.select("graph", "node", "at", F.regexp_extract("text", "\\d+", 0).try_cast("int").alias("number"))
+    by_number = found.join(unique, ["graph", "number"]).groupBy("graph", "node").agg(F.min_by("o", "at").alias("o"))
+    labels = steps.join(of("oc:stepLabel", "step", "label"), ["graph", "step"]).where("label <> ''").select("graph", "step", F.lower("label").alias("label"))
     # a label stands in a context only where its first letters do, so these join them
     letters = lambda n: F.transform(F.sequence(F.lit(1), F.length("context")), lambda i: F.substr(F.lower("context"), i, F.lit(n)))
-    spelled = nodes.where("context <> ''").join(by_number, "node", "left_anti").select("node", "context", F.explode(F.array_distinct(F.concat(letters(1), letters(2), letters(3)))).alias("start"))
-    both = spelled.join(labels.withColumn("start", F.substring("label", 1, 3)), "start").where(F.contains(F.lower("context"), F.col("label"))).select("node", "step")
-    by_label = both.groupBy("node").agg(F.countDistinct("step").alias("n"), F.min("step").alias("o")).where("n = 1")
-    return by_number.union(by_label.select("node", "o")).select(F.col("node").alias("s"), F.lit("oc:appliesToStep").alias("p"), "o")
+    spelled = nodes.where("context <> ''").join(by_number, ["graph", "node"], "left_anti").select("graph", "node", "context", F.explode(F.array_distinct(F.concat(letters(1), letters(2), letters(3)))).alias("start"))
+    both = spelled.join(labels.withColumn("start", F.substring("label", 1, 3)), ["graph", "start"]).where(F.contains(F.lower("context"), F.col("label"))).select("graph", "node", "step")
+    by_label = both.groupBy("graph", "node").agg(F.countDistinct("step").alias("n"), F.min("step").alias("o")).where("n = 1")
+    return by_number.union(by_label.select("graph", "node", "o")).select(F.col("node").alias("s"), F.lit("oc:appliesToStep").alias("p"), "o").distinct()
 
 
 def infer_links(t: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.functions.terms import hashed_node, skill_uri
+from graphwright.functions.terms import BASE, hashed_node, skill_uri
+from graphwright.operators.links import infer_links
 from graphwright.operators.triples import distinct_triples
+from graphwright.sources.scratch import drop, stored
 
 LIST = "array<string>"
 
@@ -314,6 +316,48 @@ def valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean.withColumn("knowledge", F.filter("knowledge", lambda k: k["node_type"].isNotNull() & k["directive"].isNotNull())), rows.where("reason is not null")
 
 
+class InvalidModules(ValueError):
+    """Modules that shapes refuse, with the first of their violations."""
+
+
+def modules(records: DataFrame, content: DataFrame | None = None, core: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(triples, rejected): the modules of records, a graph each, ready to be written, and the records that `valid` rejects with the reason.
+
+    content: more triples of the modules, of sections and blocks (see `section_triples`). A module has the links that its own nodes and sections imply, and imports `core` if that is given.
+    """
+    good, bad = valid(records)
+    t = skill_triples(good)
+    if content is not None:
+        t = t.unionByName(content.join(good.select(F.col("id").alias("graph_id")), "graph_id", "left_semi"))
+    t, none = stored(t), F.lit(None).cast("string")
+    home = t.select("s", "graph_id").groupBy("s").agg(F.min("graph_id").alias("graph_id"))
+    linked = infer_links(t).join(home, "s").select("graph_id", "s", F.lit("iri").alias("s_kind"), "p", "o", F.lit("iri").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"))
+    t = t.unionByName(linked)
+    if core:
+        t = t.unionByName(t.select("graph_id").distinct().select("graph_id", F.lit(BASE.rstrip("#")).alias("s"), F.lit("iri").alias("s_kind"), F.lit("owl:imports").alias("p"), F.lit(core).alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang")))
+    return distinct_triples(t), bad
+
+
+def publish(records: DataFrame, path: str, content: DataFrame | None = None, core: str | None = None) -> DataFrame:
+    """Write the modules of records as Turtle, a folder each; the records that were rejected, with the reason.
+
+    Nothing is written if the vocabulary's shapes find anything worse than a warning: that is an error (InvalidModules) with the first violations.
+    """
+    from graphwright.operators import shapes
+    from graphwright.operators.catalog import class_tree
+    from graphwright.sources.turtle import write_turtle
+
+    t, bad = modules(records, content, core)
+    t = stored(t)
+    found = shapes.validate(t, class_tree(), shapes.read(shapes.vocabulary(t.sparkSession))).where("severity = 'Violation'")
+    first = found.orderBy("focus", "path", "kind").limit(5).collect()
+    if first:
+        raise InvalidModules("; ".join(f"{r.focus} {r.path}: {r.kind} {r.value}" for r in first))
+    write_turtle(t, path, BASE)
+    drop(t)
+    return bad
+
+
 def merge(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     """The old graph with the new one's skills in place of theirs. A skill with the same content hash stays unless forced; what goes with a skill
     goes too: all triples of its graph."""

@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, tables, name):
 
 
 def test_all_queries_without_sql_have_tests_of_their_own():
-    assert {n for n in graph.QUERIES if n not in graph.ORACLE_SQL} == {"bm25_stemmed_topk", "md_blocks", "md_sections", "md_coverage", "html_sections"}
+    assert {n for n in graph.QUERIES if n not in graph.ORACLE_SQL} == {"bm25_stemmed_topk", "md_blocks", "md_sections", "md_coverage", "html_sections", "vec_neighbours"}
 
 
 def test_stemmed_search_is_brute_force(spark):

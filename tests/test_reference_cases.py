@@ -135,3 +135,30 @@ def test_names_relations_and_facets(spark):
     packages = spark.createDataFrame([("me/p", "local", [("i", "c", ["Find it"]), ("j", None, None)]), ("you", None, [("k", "", [])])], f"package_id string, trust_tier string, {skill}")
     assert {tuple(r) for r in catalog.facet_values(packages).collect()} == {("author", "me", 2), ("author", "you", 1), ("category", "c", 1), ("tier", "local", 2)}
     assert [r.id for r in catalog.facets(packages, author="me", text="find").collect()] == ["i"] and [r.id for r in catalog.facets(packages, author="p").collect()] == []
+
+
+def test_modules_are_checked_before_they_are_written(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    rows = sg.records(spark.read.parquet("/root/testdata/sf0.001/part.parquet")).where("id in ('part-4', 'part-5', 'part-6', 'part-8')")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"yields_state": none, "contradicts": none, "depends_on": none, "extends": F.when(F.col("id") == "part-6", F.array(F.lit("Not Valid"))).otherwise(none), "package": F.lit(None).cast("string")})
+    core = "http://example.org/core.ttl"
+    bad = serialise.publish(rows, str(tmp_path / "out"), core=core)
+    assert [(r.id, r.reason) for r in bad.collect()] == [("part-6", "relation")]
+    back = turtle.read_turtle(spark, str(tmp_path / "out"))
+    skills = {r.o for r in back.where("p = 'dcterms:identifier'").collect()}
+    assert skills == {"part-4", "part-5", "part-8"} and {r.o for r in back.where("p = 'owl:imports'").collect()} == {core} and back.where("p = 'owl:imports'").count() == 3
+    # a second step of order 1 in one module doesn't make the other's ambiguous
+    told = rows.withColumn("knowledge", F.transform("knowledge", lambda k: k.withField("context", F.lit("see step 0"))))
+    steps = spark.createDataFrame([("part-4", "oc:st4", "0"), ("part-5", "oc:st5", "0"), ("part-5", "oc:st5b", "0")], "graph_id string, s string, n string")
+    fact = lambda p, o, kind: steps.select("graph_id", "s", F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    t, _ = serialise.modules(told, fact("rdf:type", F.lit("oc:WorkflowStep"), "iri").union(fact("oc:stepOrder", F.col("n"), "literal")))
+    # a procedure's step of the record itself may have the order 0 too; links go to steps of the own module only
+    links_ = {(r.graph_id, r.o) for r in t.where("p = 'oc:appliesToStep'").collect()}
+    assert ("part-4", "oc:st4") in links_ and not {o for g, o in links_ if g == "part-5"} & {"oc:st4", "oc:st5", "oc:st5b"}
+    # no intent, no module at all
+    with pytest.raises(serialise.InvalidModules, match="resolvesIntent"):
+        serialise.publish(rows.withColumn("intents", F.when(F.col("id") != "part-4", F.col("intents"))), str(tmp_path / "never"), core=core)
+    assert not os.path.exists(tmp_path / "never")
