@@ -69,11 +69,15 @@ def applies_to_step(t: DataFrame) -> DataFrame:
     found = found.select("graph", "node", "at", F.regexp_extract("text", "\\d+", 0).try_cast("int").alias("number"))
     by_number = found.join(unique, ["graph", "number"]).groupBy("graph", "node").agg(F.min_by("o", "at").alias("o"))
     labels = steps.join(of("oc:stepLabel", "step", "label"), ["graph", "step"]).where("label <> ''").select("graph", "step", F.lower("label").alias("label"))
-    # a label stands in a context only where its first letters do, so these join them
-    letters = lambda n: F.transform(F.sequence(F.lit(1), F.length("context")), lambda i: F.substr(F.lower("context"), i, F.lit(n)))
-    spelled = nodes.where("context <> ''").join(by_number, ["graph", "node"], "left_anti").select("graph", "node", "context", F.explode(F.array_distinct(F.concat(letters(1), letters(2), letters(3)))).alias("start"))
-    both = spelled.join(labels.withColumn("start", F.substring("label", 1, 3)), ["graph", "start"]).where(F.contains(F.lower("context"), F.col("label"))).select("graph", "node", "step")
-    by_label = both.groupBy("graph", "node").agg(F.countDistinct("step").alias("n"), F.min("step").alias("o")).where("n = 1")
+    labels = labels.groupBy("graph", "label").agg(F.min("step").alias("first"), F.max("step").alias("last"))
+    # where the first letters of labels stand in a context, what stands there in the lengths of those labels is joined to whole labels
+    lengths = labels.groupBy("graph", F.substring("label", 1, 3).alias("start")).agg(F.collect_set(F.length("label")).alias("lengths"))
+    letters = lambda n: F.transform(F.sequence(F.lit(1), F.length("context")), lambda i: F.struct(F.substr("context", i, F.lit(n)).alias("start"), i.alias("i")))
+    spelled = nodes.where("context <> ''").join(by_number, ["graph", "node"], "left_anti").withColumn("context", F.lower("context"))
+    places = spelled.select("graph", "node", "context", F.inline(F.array_distinct(F.concat(letters(1), letters(2), letters(3))))).join(lengths, ["graph", "start"])
+    words = places.select("graph", "node", F.explode(F.transform("lengths", lambda n: F.substr("context", F.col("i"), n))).alias("label")).distinct()
+    both = words.join(labels, ["graph", "label"])
+    by_label = both.groupBy("graph", "node").agg(F.min("first").alias("o"), F.max("last").alias("last")).where("o = last")
     return by_number.union(by_label.select("graph", "node", "o")).select(F.col("node").alias("s"), F.lit("oc:appliesToStep").alias("p"), "o").distinct()
 
 
