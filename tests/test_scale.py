@@ -19,3 +19,14 @@ def test_steps_by_labels_of_one_beginning(spark):
     assert {tuple(r) for r in found.collect()} == {(f"oc:n{i}", "oc:appliesToStep", f"oc:s{i}") for i in range(n)} | {("oc:x", "oc:appliesToStep", "oc:s7")}
     # labels are joined whole, not by letters that all of them share
     assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_one_hop_makes_no_edges_of_other_states(spark, tmp_path):
+    rows = [(s, p, o) for i in range(60) for s, p, o in ((f"oc:far{i}", "oc:yieldsState", "oc:Far"), (f"oc:far{i}", "oc:requiresState", "oc:Far"))]
+    rows += [("oc:a", "oc:yieldsState", "oc:X"), ("oc:b", "oc:requiresState", "oc:X"), ("oc:b", "oc:yieldsState", "oc:Y"), ("oc:c", "oc:requiresState", "oc:Y"), ("oc:d", "oc:yieldsState", "oc:X"), ("oc:c", "oc:yieldsState", "oc:Far")]
+    t = triples(spark, rows)
+    for node in ("oc:a", "oc:b", "oc:far1", "oc:none"):
+        whole = graphs.one_hop(graphs.state_edges(t), node).select("producer", "consumer", "state")
+        assert sorted(map(tuple, graphs.states_around(t, node).collect())) == sorted(map(tuple, whole.collect()))
+    made = graphs.states_around(t, "oc:a")._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("Join Inner") == 1
