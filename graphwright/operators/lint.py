@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from graphwright.operators.triples import facts
 ENTRY_WORDS = ("create", "import", "load", "init", "start", "open", "new")
 # Words and phrases in the first or second person.
 PERSON = ("I", "I'm", "I'll", "I've", "me", "my", "mine", "we", "our", "You can", "You should", "Your")
-EDGE = "[^\\p{L}\\p{N}_]"
+WORD, EDGE = "[\\p{L}\\p{N}_]", "[^\\p{L}\\p{N}_]"
 MOST_LINES = 500
 
 
@@ -73,8 +75,14 @@ def person_pattern(phrase: str) -> str:
 def third_person(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Texts in the first or second person: the phrases found, in any case of letters and as whole words, in the order of PERSON."""
     text = F.col(text_column)
-    found = F.array_compact(F.array(*[F.when(text.rlike(person_pattern(p)), F.lit(p)) for p in PERSON]))
-    rows = docs.select(F.col(id_column).cast("string").alias("id"), found.alias("found")).where(F.size("found") > 0)
+    # one pass finds whole phrases, the longest at each place; what they have within them is there too
+    longest = "|".join(sorted(PERSON, key=len, reverse=True))
+    whole = f"(?i)(?:^|{EDGE})({longest})(?!{WORD})"
+    places = {q.lower(): [i for i, p in enumerate(PERSON, 1) if re.search(rf"(?i)(?<!\w){p}(?!\w)", q)] for q in PERSON}
+    of = F.create_map(*[x for q, at in places.items() for x in (F.lit(q), F.array(*map(F.lit, at)))])
+    at = F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(1)), lambda m: of[F.lower(m)]))))
+    found = F.transform(at, lambda i: F.element_at(F.array(*map(F.lit, PERSON)), i))
+    rows = docs.where(text.rlike(whole)).select(F.col(id_column).cast("string").alias("id"), found.alias("found"))
     return _issues(rows, "warning", "third-person", F.col("id"), F.array_join("found", ","))
 
 

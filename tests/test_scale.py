@@ -30,3 +30,12 @@ def test_one_hop_makes_no_edges_of_other_states(spark, tmp_path):
         assert sorted(map(tuple, graphs.states_around(t, node).collect())) == sorted(map(tuple, whole.collect()))
     made = graphs.states_around(t, "oc:a")._jdf.queryExecution().optimizedPlan().toString()
     assert made.count("Join Inner") == 1
+
+
+def test_phrases_of_a_person_in_one_pass(spark):
+    texts = ["I'm", "i'll, MY", "Your, you can", "im", "I_m my2 wE'd", "mine me", "éme me", None, "You  can", "x I've x", "𝐀me", "You should\nour"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = lint.third_person(docs)
+    slow = docs.select(F.col("doc_id").cast("string").alias("i"), F.array_join(F.array_compact(F.array(*[F.when(F.col("text").rlike(lint.person_pattern(p)), F.lit(p)) for p in lint.PERSON])), ",").alias("f")).where("f <> ''")
+    assert sorted((r.skill_id, r.detail) for r in found.collect()) == sorted(map(tuple, slow.collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("rlike") <= 1 < len(lint.PERSON)
