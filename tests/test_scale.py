@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from graphwright.llm import lexical
 from graphwright.operators import graphs, links, lint, reason
 from graphwright.operators.triples import SCHEMA
+from graphwright.queries import content, graph  # noqa: F401
+from graphwright.queries.graph import table
+from graphwright.sources import scratch, star_graph
 
 
 def triples(spark, rows):
@@ -39,3 +42,22 @@ def test_phrases_of_a_person_in_one_pass(spark):
     slow = docs.select(F.col("doc_id").cast("string").alias("i"), F.array_join(F.array_compact(F.array(*[F.when(F.col("text").rlike(lint.person_pattern(p)), F.lit(p)) for p in lint.PERSON])), ",").alias("f")).where("f <> ''")
     assert sorted((r.skill_id, r.detail) for r in found.collect()) == sorted(map(tuple, slow.collect()))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("rlike") <= 1 < len(lint.PERSON)
+
+
+def test_one_long_row_group_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "ROWS", 100)
+    part = spark.range(1000).select(F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), F.lit("Brand#7").alias("p_brand"), F.lit("PROMO").alias("p_type"), F.lit(4).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for rows in (star_graph.content_graph(spark, str(tmp_path)), table(spark, str(tmp_path), "part")):
+        assert rows.rdd.getNumPartitions() == 10
+    assert table(spark, str(tmp_path), "part").count() == 1000
+
+
+def test_broadcasts_go_by_measured_sizes(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    own = graph.QUERIES["kn_links"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in own._jdf.queryExecution().sparkPlan().toString()
+    assert own.sparkSession.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == limit
+    assert own.sparkSession.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    # the caller's session stays as it was
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == limit != "-1"
