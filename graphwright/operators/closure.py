@@ -18,23 +18,25 @@ def _steps(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: bool = False, most: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(src, dst): distinct pairs joined by a path of one edge or more; of none too if `reflexive`.
 
-    Semi-naive: each round joins only the pairs found in the last one, with all known pairs, and keeps what is new. A shortest path is
-    a prefix as long as the longest found last and a rest that is known, so lengths double and rounds are logarithmic in the depth. `most` bounds
+    Semi-naive: each round joins only the pairs that are farthest apart so far, with all known pairs, and keeps what is new. A shortest path is
+    a prefix as long as the longest found so far and a rest that is known, so lengths double, rounds are logarithmic in the depth, and a shortest path is made by its one prefix of that length. `most` bounds
     paths to most + 1 edges; then each round adds one edge. Rounds are written to tables, so that plans stay short and an executor's loss costs a
     round at most. `nodes` (one column) adds nodes without edges to the zero-length pairs. Edges with a null end don't count.
     The result has a row for each pair: where only some nodes matter, use `reached` or `on_cycles`.
     """
-    step = stored(_steps(edges, src, dst))
-    known, delta, turn = step, step, 0
+    step = stored(_steps(edges, src, dst).withColumn("steps", F.lit(1)))
+    known, delta, turn, length = step, step, 0, 1
     while most is None or turn < most:
         turn += 1
-        onward = (known if most is None else step).select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        new = delta.join(onward, "dst").select("src", F.col("next").alias("dst")).distinct()
+        onward = (known if most is None else step).select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("steps").alias("rest"))
+        new = delta.join(onward, "dst").groupBy("src", F.col("next").alias("dst")).agg(F.min(F.col("steps") + F.col("rest")).alias("steps"))
         new = stored(new.join(known, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             drop(new)
             break
-        delta, known = new, known.union(new)
+        length = 2 * length if most is None else length + 1
+        delta, known = new.where(F.col("steps") == length), known.union(new)
+    known = known.select("src", "dst")
     if reflexive:
         ends = step.select("src").union(step.select("dst"))
         if nodes is not None:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphwright.llm import lexical
-from graphwright.operators import graphs, links, lint, reason
+from graphwright.operators import closure, graphs, links, lint, reason
 from graphwright.operators.triples import SCHEMA
 from graphwright.queries import content, graph  # noqa: F401
 from graphwright.queries.graph import table
@@ -73,3 +73,11 @@ def test_index_is_stored_in_files_of_few_blocks(spark, monkeypatch):
     found = lexical.rank(docs, spark.createDataFrame([(1, "words")], "item_id int, text string"), 3)
     assert [r.id for r in found.orderBy("rank").collect()] == [0, 1, 2]
     assert sum(sizes) == 20 and max(sizes) <= lexical.TOGETHER
+
+
+def test_a_closure_makes_each_pair_of_a_chain_once(spark, monkeypatch):
+    edges, made = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)], "src string, dst string"), []
+    join = type(edges).join
+    monkeypatch.setattr(type(edges), "join", lambda self, other, on=None, how=None: (out := join(self, other, on, how), made.append(out.count()) if on == "dst" else None)[0])
+    assert closure.closure(edges).count() == 20 * 21 // 2 and sum(made) == 20 * 21 // 2 - 20
+    assert closure.closure(edges, most=2).count() == 20 + 19 + 18
