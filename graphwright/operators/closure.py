@@ -15,6 +15,11 @@ def _steps(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """One side of a join of rounds, sorted and merged whatever its size: each broadcast would send it to the driver, and searches have a join or more for every step."""
+    return df.hint("merge")
+
+
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: bool = False, most: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(src, dst): distinct pairs joined by a path of one edge or more; of none too if `reflexive`.
 
@@ -101,7 +106,7 @@ def cycle_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
     while n:
         last, before = rest, n
         for _ in range(STEPS):
-            rest = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            rest = rest.join(_apart(rest.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(_apart(rest.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").select("src", "dst")
         rest = stored(rest)
         n = rest.count()
         drop(last)
@@ -109,8 +114,8 @@ def cycle_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
             break
     while n and n != _ends(rest).count():
         ahead, back = _least(rest, "src", "dst"), _least(rest, "dst", "src")
-        labels = stored(ahead.join(back.withColumnRenamed("label", "other"), "node").select("node", F.struct("label", "other").alias("label")))
-        cut = rest.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
+        labels = stored(ahead.join(_apart(back.withColumnRenamed("label", "other")), "node").select("node", F.struct("label", "other").alias("label")))
+        cut = rest.join(_apart(labels.select(F.col("node").alias("src"), F.col("label").alias("a"))), "src").join(_apart(labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))), "dst").where("a = b").select("src", "dst")
         last, before, rest = rest, n, stored(cut)
         drop(last, labels, ahead, back)
         n = rest.count()
@@ -132,21 +137,21 @@ def shortest_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     seen = front = stored(roots.select("root", F.col("root").alias("node")))
     open_, levels, closed = stored(roots), [], []
     while True:
-        met = step.join(front.withColumnRenamed("node", "src"), "src").groupBy("root", F.col("dst").alias("node")).agg(F.min("src").alias("before"))
-        met = stored(met.join(seen, ["root", "node"], "left_anti").union(met.where("node = root")))
+        met = step.join(_apart(front.withColumnRenamed("node", "src")), "src").groupBy("root", F.col("dst").alias("node")).agg(F.min("src").alias("before"))
+        met = stored(met.join(_apart(seen), ["root", "node"], "left_anti").union(met.where("node = root")))
         levels.append(met)
         closed.append(met.where("node = root"))
-        open_ = stored(open_.join(closed[-1].select("root"), "root", "left_anti"))
+        open_ = stored(open_.join(_apart(closed[-1].select("root")), "root", "left_anti"))
         if open_.isEmpty():
             break
-        front = met.join(open_, "root", "left_semi").where("node <> root").select("root", "node")
+        front = met.join(_apart(open_), "root", "left_semi").where("node <> root").select("root", "node")
         seen = stored(seen.union(front))
     out, at = [], None
     for n in range(len(levels), 0, -1):
         begin = closed[n - 1].select("root", F.col("root").alias("node"))
         at = begin if at is None else begin.union(at)
         out.append(at.select("root", F.lit(n).alias("n"), "node"))
-        at = stored(at.join(levels[n - 1], ["root", "node"]).select("root", F.col("before").alias("node")))
+        at = stored(at.join(_apart(levels[n - 1]), ["root", "node"]).select("root", F.col("before").alias("node")))
     found = at.select("root", F.lit(0).alias("n"), "node")
     for rows in out:
         found = found.union(rows)
@@ -160,8 +165,8 @@ def _least(edges: DataFrame, src: str, dst: str) -> DataFrame:
     while True:
         new = labels.withColumn("changed", F.lit(False))
         for _ in range(STEPS):
-            sent = step.join(new.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("sent"))
-            new = new.join(sent, "node", "left").select("node", F.least("label", "sent").alias("label"), (F.col("changed") | F.coalesce(F.col("sent") < F.col("label"), F.lit(False))).alias("changed"))
+            sent = step.join(_apart(new.select(F.col("node").alias("src"), "label")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("sent"))
+            new = new.join(_apart(sent), "node", "left").select("node", F.least("label", "sent").alias("label"), (F.col("changed") | F.coalesce(F.col("sent") < F.col("label"), F.lit(False))).alias("changed"))
         new = stored(new)
         moved = not new.where("changed").isEmpty()
         drop(labels)

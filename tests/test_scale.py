@@ -75,9 +75,24 @@ def test_index_is_stored_in_files_of_few_blocks(spark, monkeypatch):
     assert sum(sizes) == 20 and max(sizes) <= lexical.TOGETHER
 
 
+def _kept(monkeypatch, look):
+    """Has `look` see each table that a closure stores, before it is written."""
+    write = closure.stored
+    monkeypatch.setattr(closure, "stored", lambda df, *a, **b: (look(df), write(df, *a, **b))[1])
+
+
 def test_a_closure_makes_each_pair_of_a_chain_once(spark, monkeypatch):
     edges, made = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)], "src string, dst string"), []
     join = type(edges).join
     monkeypatch.setattr(type(edges), "join", lambda self, other, on=None, how=None: (out := join(self, other, on, how), made.append(out.count()) if on == "dst" else None)[0])
     assert closure.closure(edges).count() == 20 * 21 // 2 and sum(made) == 20 * 21 // 2 - 20
     assert closure.closure(edges, most=2).count() == 20 + 19 + 18
+
+
+def test_rounds_of_a_search_for_cycles_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    _kept(monkeypatch, lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()))
+    edges = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("x", "a")]
+    found = closure.shortest_cycles(spark.createDataFrame(edges, "src string, dst string"))
+    assert {tuple(r) for r in found.collect()} == {("a", 0, "a"), ("a", 1, "b"), ("a", 2, "a"), ("c", 0, "c"), ("c", 1, "d"), ("c", 2, "e"), ("c", 3, "c")}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
