@@ -122,14 +122,19 @@ def contexts(skills: DataFrame, nodes: DataFrame, sections: DataFrame | None = N
         fit = sections.where(F.octet_length("content") <= SECTION_BUDGET).withColumn("place", F.row_number().over(order))
         rows = rows.union(fit.select("uri", F.lit(1), F.col("place").cast("long"), F.to_json(F.struct("content_type", "section_title", "language", "content"))))
 
-    def text(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["part", "place"], kind="stable")
-        parts = {p: [json.loads(r) for r in group.loc[group["part"] == p, "row"]] for p in (-1, 0, 1)}
-        if not parts[-1]:
-            return pd.DataFrame({"uri": [], "text": []})
-        return pd.DataFrame({"uri": [group["uri"].iloc[0]], "text": [context_text(parts[-1][0], parts[0], parts[1])]})
-
-    return rows.groupBy("uri").applyInPandas(text, "uri string, text string")
+    def texts(groups: pd.Series) -> pd.Series:
+        out = []
+        for group in groups:
+            parts: dict[int, list] = {-1: [], 0: [], 1: []}
+            for row in group:
+                parts[row["part"]].append(json.loads(row["row"]))
+            out.append(context_text(parts[-1][0], parts[0], parts[1]))
+        return pd.Series(out, dtype=object)
+
+    texts.__annotations__ = {"groups": pd.Series, "return": pd.Series}
+    # a batch of many skills goes to Python at once: a call for each would take longer than its text
+    whole = rows.groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("part", "place", "row"))).alias("rows")).where(F.col("rows")[0]["part"] == -1)
+    return whole.select("uri", F.pandas_udf(texts, "string")("rows").alias("text"))
 
 
 def plan_text(plan: Mapping) -> str:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphwright.llm import lexical
-from graphwright.operators import closure, graphs, links, lint, reason
+from graphwright.operators import closure, graphs, links, lint, reason, render
 from graphwright.operators.triples import SCHEMA
 from graphwright.queries import content, graph  # noqa: F401
 from graphwright.queries.graph import table
@@ -96,3 +96,13 @@ def test_rounds_of_a_search_for_cycles_are_not_broadcast(spark, monkeypatch):
     found = closure.shortest_cycles(spark.createDataFrame(edges, "src string, dst string"))
     assert {tuple(r) for r in found.collect()} == {("a", 0, "a"), ("a", 1, "b"), ("a", 2, "a"), ("c", 0, "c"), ("c", 1, "d"), ("c", 2, "e"), ("c", 3, "c")}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_contexts_of_many_skills_are_one_batch(spark):
+    skills = spark.createDataFrame([(f"s{i}", f"i{i}", ["x"]) for i in range(30)], "uri string, id string, intents array<string>")
+    nodes = spark.createDataFrame([(f"s{i}", f"n{j}", "rule", f"do {j}", None) for i in range(0, 40, 2) for j in range(i % 3)], "uri string, node string, kind string, directive_content string, step_order long")
+    found = render.contexts(skills, nodes)
+    want = {f"s{i}": f"## i{i}\nIntents: x" + ("\n\n" + "\n".join(f"  RULE:\n  do {j}" for j in range(i % 3)) if i % 2 == 0 and i % 3 else "") for i in range(30)}
+    assert {r.uri: r.text for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan
