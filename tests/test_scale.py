@@ -106,3 +106,18 @@ def test_contexts_of_many_skills_are_one_batch(spark):
     assert {r.uri: r.text for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan
+
+
+def test_edges_of_a_state_of_many_are_dealt_by_their_number(spark, monkeypatch):
+    rows = [x for i in range(40) for x in ((f"oc:n{i}", "oc:yieldsState", "oc:Many"), (f"oc:n{i}", "oc:requiresState", "oc:Many"))]
+    rows += [("oc:n1", "oc:yieldsState", "oc:One"), ("oc:n2", "oc:requiresState", "oc:One"), ("oc:n2", "oc:requiresState", "oc:One"), ("oc:n3", "oc:yieldsState", "oc:None")]
+    monkeypatch.setattr(graphs, "SHARE", 8)
+    monkeypatch.setattr(graphs, "EDGES", 100)
+    found = graphs.state_edges(triples(spark, rows))
+    assert sorted(map(tuple, found.collect())) == sorted([(f"oc:n{a}", f"oc:n{b}", "oc:Many") for a in range(40) for b in range(40)] + [("oc:n1", "oc:n2", "oc:One")])
+    sizes = [n for n in found.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+    assert found.rdd.getNumPartitions() == 17 and len(sizes) > 5 and max(sizes) < 800
+    # names are cut before there is a row for each pair
+    plan = graph.QUERIES["graph_state_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan.split("Join Inner")[0]
+    assert graphs.state_edges(triples(spark, rows[:0])).collect() == []
