@@ -3,7 +3,7 @@
 Centres are fitted on a bounded sample. Every vector is filed under its nearest centre, and under the next nearest too where that is nearly as
 close. A query looks into the cells whose centres are nearest to it and ranks what it finds by its exact cosine; looking into all
 cells is the exact search. A cell's vectors and its queries are dealt over as many shares as their numbers ask for, so a task compares
-at most some SHARE vectors with SHARE queries, however many a cell has.
+at most some SHARE vectors with SHARE queries, however many a cell has, and holds SCORES of their scores at a time.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ SAMPLE, ROUNDS = 20_000, 10
 CLOSE = 0.1
 #: Vectors, and queries, of a cell that go to one task.
 SHARE = 20_000
-#: Queries that a task compares at a time.
-BLOCK = 250
+#: Queries that a task compares at a time, and scores that it holds of them: fewer queries where a share has many vectors.
+BLOCK, SCORES = 250, 500_000
 #: Places that scores are rounded to before they are ranked, so that equal vectors tie.
 PLACES = 9
 
@@ -101,20 +101,25 @@ def store_cells(filed: DataFrame, path: str) -> None:
     filed.repartition("cell", "share").write.partitionBy("cell").parquet(path)
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, none of them or of their numbers null, as rows; not copied where they are in one batch."""
+    return vectors.combine_chunks().flatten().to_numpy().reshape(len(vectors), -1)
+
+
 def _compared(k: int):
     """Ranks the queries of a share of a cell against its vectors: the k best of each, those of equal id left out."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         queries, ids, rows = [], [], []
         if left.num_rows and right.num_rows:
-            at = _unit(np.stack(left.column("v").to_numpy()))
-            asked = _unit(np.stack(right.column("v").to_numpy()))
             own, other = left.column("id").to_numpy(), right.column("id").to_numpy()
             order = np.argsort(own, kind="stable")
-            at, own = at[order], own[order]
-            for start in range(0, len(asked), BLOCK):
-                scores = np.round(asked[start : start + BLOCK] @ at.T, PLACES)
-                scores[other[start : start + BLOCK, None] == own[None, :]] = -np.inf
+            at, own = _unit(_matrix(left.column("v"))[order]), own[order]
+            asked, block = _matrix(right.column("v")), max(min(BLOCK, SCORES // len(at)), 1)
+            for start in range(0, len(asked), block):
+                scores = _unit(asked[start : start + block]) @ at.T
+                np.round(scores, PLACES, out=scores)
+                scores[other[start : start + block, None] == own[None, :]] = -np.inf
                 n = min(k, scores.shape[1])
                 least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
                 q, v = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))

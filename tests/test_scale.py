@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphwright.llm import lexical
-from graphwright.operators import closure, graphs, links, lint, reason, render
+from graphwright.operators import closure, graphs, links, lint, nearest, reason, render
 from graphwright.operators.triples import SCHEMA
 from graphwright.queries import content, graph  # noqa: F401
 from graphwright.queries.graph import table
@@ -121,3 +121,23 @@ def test_edges_of_a_state_of_many_are_dealt_by_their_number(spark, monkeypatch):
     plan = graph.QUERIES["graph_state_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan.split("Join Inner")[0]
     assert graphs.state_edges(triples(spark, rows[:0])).collect() == []
+
+
+def test_a_full_share_of_vectors_is_compared_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), nearest.SHARE
+    side = lambda m: pa.table({"id": pa.array(np.arange(m)), "v": pa.array(list(rng.normal(size=(m, 16))))})
+    left, right = side(n), side(500)
+    tracemalloc.start()
+    found = nearest._compared(3)(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 < 250 * n * 8 * 2
+    at, asked = (np.stack(t.column("v").to_numpy()) for t in (left, right))
+    scores = (asked[:20] / np.linalg.norm(asked[:20], axis=1, keepdims=True)) @ (at / np.linalg.norm(at, axis=1, keepdims=True)).T
+    scores[np.arange(20), np.arange(20)] = -1
+    assert found.num_rows == 1500 and found.column("id").to_numpy()[:60].tolist() == np.argsort(-scores, axis=1)[:, :3].ravel().tolist()
