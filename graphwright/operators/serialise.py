@@ -20,6 +20,8 @@ from graphwright.operators.triples import distinct_triples
 from graphwright.sources.scratch import drop, stored
 
 LIST = "array<string>"
+#: Records whose triples, some 60 of each, one task makes distinct.
+RECORDS = 10_000
 
 
 def _facts(rows: DataFrame, *facts: tuple[str, Column, str, str | None]) -> DataFrame:
@@ -98,7 +100,8 @@ def skill_triples(records: DataFrame) -> DataFrame:
         if needed in rows.columns:
             out.append(made(rows))
     rows = reduce(DataFrame.unionByName, out)
-    return distinct_triples(rows.select("graph_id", "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_dt", F.lit(None).cast("string").alias("o_lang")))
+    n = records.count()
+    return distinct_triples(rows.select("graph_id", "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_dt", F.lit(None).cast("string").alias("o_lang")), -(-n // RECORDS) if n > RECORDS else None)
 
 
 def content_node(prefix: str, kind: str, *parts: Column) -> Column:

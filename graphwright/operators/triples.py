@@ -16,8 +16,10 @@ SCHEMA = "graph_id string, s string, s_kind string, p string, o string, o_kind s
 TYPE = "rdf:type"
 
 
-def distinct_triples(t: DataFrame) -> DataFrame:
-    """Set semantics of a graph: each triple once in each graph."""
+def distinct_triples(t: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Set semantics of a graph: each triple once in each graph. With `tasks`, by so many tasks, however small the triples pack: a task holds all of its own at once."""
+    if tasks:
+        t = t.repartition(tasks, "graph_id", "s", "p", "o")
     return t.dropDuplicates(["graph_id", "s", "p", "o", "o_kind", "o_dt", "o_lang"])
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphwright.llm import lexical
-from graphwright.operators import closure, graphs, links, lint, nearest, reason, render
+from graphwright.operators import closure, graphs, links, lint, nearest, reason, render, serialise
 from graphwright.operators.triples import SCHEMA
 from graphwright.queries import content, graph  # noqa: F401
 from graphwright.queries.graph import table
@@ -141,3 +141,13 @@ def test_a_full_share_of_vectors_is_compared_in_little_memory():
     scores = (asked[:20] / np.linalg.norm(asked[:20], axis=1, keepdims=True)) @ (at / np.linalg.norm(at, axis=1, keepdims=True)).T
     scores[np.arange(20), np.arange(20)] = -1
     assert found.num_rows == 1500 and found.column("id").to_numpy()[:60].tolist() == np.argsort(-scores, axis=1)[:, :3].ravel().tolist()
+
+
+def test_triples_of_records_are_made_distinct_by_tasks_in_number(spark, monkeypatch):
+    records = star_graph.records(table(spark, "/root/testdata/sf0.001", "part").where("p_partkey < 60"))
+    whole = sorted(map(str, serialise.skill_triples(records).collect()))
+    monkeypatch.setattr(serialise, "RECORDS", 10)
+    dealt = serialise.skill_triples(records.union(records))
+    assert sorted(map(str, dealt.collect())) == whole
+    rows = dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert dealt.rdd.getNumPartitions() == 12 and len(rows) == 12 and rows.max() < len(whole) / 6
