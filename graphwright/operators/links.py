@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.operators.closure import reached_from
 from graphwright.operators.triples import facts
+from graphwright.sources.scratch import stored
 
 # Titles of sections that tell what to do instead.
 ALTERNATIVES = ("correct", "recommended", "proper", "instead", "best practice", "right way", "should")
@@ -36,17 +40,29 @@ def derived_from_section(t: DataFrame) -> DataFrame:
     return best_sections(nodes, titles).select(F.col("node").alias("s"), F.lit("oc:derivedFromSection").alias("p"), F.col("section").alias("o"))
 
 
+#: The predicates that `correct_alternative` reads.
+ALTERNATIVE_FACTS = ("rdf:type", "oc:correctAlternative", "oc:derivedFromSection", "oc:hasSection", "oc:hasSubsection", "oc:sectionTitle", "oc:hasContent")
+
+
 def correct_alternative(t: DataFrame) -> DataFrame:
-    """(s, p, o): an anti-pattern's only sibling section that tells what to do instead; else the only code example in its own section. Those that have an alternative already are left out."""
-    anti = facts(t, "rdf:type", "node", "kind").where("kind = 'oc:AntiPattern'").select("node").distinct()
-    anti = anti.join(facts(t, "oc:correctAlternative", "node", "x").select("node"), "node", "left_anti")
-    own = anti.join(facts(t, "oc:derivedFromSection", "node", "section"), "node")
-    parents = facts(t, "oc:hasSection", "parent", "section").union(facts(t, "oc:hasSubsection", "parent", "section"))
-    siblings = own.join(parents, "section").select("node", "section", "parent").join(parents.withColumnRenamed("section", "other"), "parent").where("other <> section")
-    good = facts(t, "oc:sectionTitle", "other", "title").where(F.lower("title").rlike("|".join(ALTERNATIVES)))
-    first = siblings.join(good, "other").groupBy("node").agg(F.countDistinct("other").alias("n"), F.min("other").alias("o")).where("n = 1").select("node", "o")
-    examples = own.join(facts(t, "oc:hasContent", "section", "block"), "section").join(facts(t, "rdf:type", "block", "kind").where("kind = 'oc:CodeExample'"), "block")
-    second = examples.groupBy("node").agg(F.countDistinct("block").alias("n"), F.min("block").alias("o")).where("n = 1").select("node", "o").join(first, "node", "left_anti")
+    """(s, p, o): an anti-pattern's only sibling section that tells what to do instead; else the only code example in its own section. Those that have an alternative already are left out.
+
+    The facts it reads are stored once. Of a section's children that tell it three are looked at, which is enough to see whether a sibling of one of them is the only one; of a section's examples the
+    first and the last. So a section of many notes and many children isn't paired with itself."""
+    p, o = F.col("p"), F.col("o")
+    t = stored(t.where(p.isin(*ALTERNATIVE_FACTS) & ((p != "rdf:type") | o.isin("oc:AntiPattern", "oc:CodeExample"))).select("s", "p", "o"))
+    said = t.where((o == "oc:AntiPattern") & (p == "rdf:type") | (p == "oc:correctAlternative"))
+    anti = said.groupBy(F.col("s").alias("node")).agg(F.max(p == "oc:correctAlternative").alias("has"), F.max(p == "rdf:type").alias("anti")).where("anti and not has").select("node")
+    own = facts(t, "oc:derivedFromSection", "node", "section").join(anti, "node")
+    parents = t.where(p.isin("oc:hasSection", "oc:hasSubsection")).select(F.col("s").alias("parent"), o.alias("section"))
+    good = facts(t, "oc:sectionTitle", "other", "title").where(reduce(or_, [F.contains(F.lower("title"), F.lit(w)) for w in ALTERNATIVES])).select("other")
+    kids = parents.withColumnRenamed("section", "other").join(good, "other").select("parent", "other").distinct()
+    kids = kids.withColumn("i", F.row_number().over(Window.partitionBy("parent").orderBy("other"))).where("i <= 3").drop("i")
+    only = lambda rows, least, last: rows.groupBy("node").agg(F.min(least).alias("o"), F.max(last).alias("last")).where("o = last").select("node", "o")
+    first = only(own.join(parents, "section").select("node", "section", "parent").join(kids, "parent").where("other <> section"), "other", "other")
+    code = facts(t, "rdf:type", "block", "kind").where("kind = 'oc:CodeExample'").select("block")
+    examples = facts(t, "oc:hasContent", "section", "block").join(code, "block").groupBy("section").agg(F.min("block").alias("least"), F.max("block").alias("last"))
+    second = only(own.join(examples, "section"), "least", "last").join(first, "node", "left_anti")
     return first.union(second).select(F.col("node").alias("s"), F.lit("oc:correctAlternative").alias("p"), "o")
 
 

@@ -18,8 +18,8 @@ from graphwright.sources.scratch import fresh, stored
 # --- what skills hold -------------------------------------------------------------------------------------
 
 
-def _content(spark, sf_dir) -> DataFrame:
-    return sg.content_graph(spark, sf_dir)
+def _content(spark, sf_dir, *predicates: str) -> DataFrame:
+    return sg.content_graph(spark, sf_dir, *predicates)
 
 
 @query("""SELECT s AS uri, ['shell', 'python', 'cobol'][p_partkey % 3 + 1] AS executor, CASE WHEN p_partkey % 4 <> 0 THEN 'run ' || p_partkey END AS code,
@@ -54,7 +54,7 @@ def kn_links(spark, sf_dir):
 @query("""SELECT 'oc:note_' || p_partkey AS s, 'oc:correctAlternative' AS p, CASE WHEN p_partkey % 3 <> 1 AND p_partkey % 8 <> 0 THEN 'oc:alt_' || p_partkey ELSE 'oc:code_' || p_partkey END AS o FROM k WHERE p_partkey % 4 = 0 AND p_partkey % 5 <> 0""")
 def link_alternatives(spark, sf_dir):
     """What to do instead: the only sibling of its section that tells it, else the section's only code example. Some have two such siblings, or none, and every fifth has an alternative already."""
-    t, k = _content(spark, sf_dir), F.col("p_partkey")
+    t, k = _content(spark, sf_dir, *links.ALTERNATIVE_FACTS), F.col("p_partkey")
     node = lambda name: F.concat(F.lit(f"oc:{name}_"), k.cast("string"))
     fact = lambda s, p, o, kind, when: F.when(when, F.struct(node(s).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind")))
     title = F.when(k % 3 == 1, "Other things").when(k % 3 == 2, "The RIGHT WAY").otherwise("Use this instead")

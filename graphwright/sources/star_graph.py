@@ -93,8 +93,9 @@ def new_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("o", F.when(renamed, F.concat("o", F.lit("_v2"))).otherwise(F.col("o")))
 
 
-def content_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What skills hold: payloads, aliases, sections with code and tables, notes, and workflows of two steps, each derived from a part."""
+def content_graph(spark: SparkSession, sf_dir: str, *predicates: str) -> DataFrame:
+    """What skills hold: payloads, aliases, sections with code and tables, notes, and workflows of two steps, each derived from a part. With `predicates`, their facts alone are made; a filter
+    afterwards would make all of a part's first."""
     part = _parts(spark, sf_dir)
     k = F.col("p_partkey")
     node = lambda name: F.concat(F.lit(f"oc:{name}_"), k.cast("string"))
@@ -145,8 +146,9 @@ def content_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         (node("step1"), "oc:stepLabel", F.concat(F.lit("label "), k.cast("string"), F.lit(";")), text, None),
     ]
     none = F.lit(None).cast("string")
-    facts = F.array(*[F.struct(F.when(condition if condition is not None else F.lit(True), s).alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind or "literal").alias("o_kind")) for s, p, o, kind, condition in plan])
-    rows = part.select(F.explode(F.filter(facts, lambda f: f["s"].isNotNull())).alias("f")).select("f.*")
+    facts = F.array(*[F.struct(F.when(condition if condition is not None else F.lit(True), s).alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind or "literal").alias("o_kind")) for s, p, o, kind, condition in plan if not predicates or p in predicates])
+    # nulls go after the explode: a lambda over the array would keep it from being compiled
+    rows = part.select(F.explode(facts).alias("f")).select("f.*").where("s is not null")
     number = (F.col("p").isin("oc:stepOrder", "oc:sectionOrder")) | ((F.col("p") == "oc:timeout") & ~F.startswith("o", F.lit("soon")))
     return rows.select(F.lit("content").alias("graph_id"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", F.when(number, F.lit("xsd:integer")).alias("o_dt"), none.alias("o_lang"))
 

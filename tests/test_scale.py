@@ -151,3 +151,24 @@ def test_triples_of_records_are_made_distinct_by_tasks_in_number(spark, monkeypa
     assert sorted(map(str, dealt.collect())) == whole
     rows = dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert dealt.rdd.getNumPartitions() == 12 and len(rows) == 12 and rows.max() < len(whole) / 6
+
+
+def test_alternatives_read_the_graph_once_and_pair_no_siblings(spark, monkeypatch):
+    n = 40
+    rows = [x for i in range(n) for x in (("oc:p", "oc:hasSubsection", f"oc:s{i:02}"), (f"oc:s{i:02}", "oc:sectionTitle", "what you SHOULD do"), (f"oc:a{i}", "rdf:type", "oc:AntiPattern"), (f"oc:a{i}", "oc:derivedFromSection", f"oc:s{i:02}"), ("oc:s00", "oc:hasContent", f"oc:b{i}"), (f"oc:b{i}", "rdf:type", "oc:CodeExample"))]
+    # one of two parents has a sibling that tells it; the other parent's only one is the section itself
+    rows += [("oc:q", "oc:hasSection", "oc:x"), ("oc:r", "oc:hasSection", "oc:x"), ("oc:r", "oc:hasSubsection", "oc:y"), ("oc:r", "oc:hasSubsection", "oc:y"), ("oc:y", "oc:sectionTitle", "instead"), ("oc:x", "oc:sectionTitle", "proper"), ("oc:n", "rdf:type", "oc:AntiPattern"), ("oc:n", "oc:derivedFromSection", "oc:x")]
+    rows += [("oc:s01", "oc:hasContent", "oc:b1"), ("oc:had", "rdf:type", "oc:AntiPattern"), ("oc:had", "oc:derivedFromSection", "oc:x"), ("oc:had", "oc:correctAlternative", "oc:z"), ("oc:m", "oc:derivedFromSection", "oc:x")]
+    made, join = [], type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, on=None, how=None: (out := join(self, other, on, how), made.append(out.count()))[0])
+    found = links.correct_alternative(triples(spark, rows))
+    assert {tuple(r) for r in found.collect()} == {("oc:n", "oc:correctAlternative", "oc:y"), ("oc:a1", "oc:correctAlternative", "oc:b1")}
+    assert max(made) <= 3 * n + 10
+    assert "Generate" not in graph.QUERIES["link_alternatives"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_of_named_predicates_are_those_of_the_whole_graph(spark):
+    whole, some = star_graph.content_graph(spark, "/root/testdata/sf0.001"), ("oc:hasContent", "oc:timeout", "rdf:type")
+    few = star_graph.content_graph(spark, "/root/testdata/sf0.001", *some)
+    assert sorted(map(str, few.collect())) == sorted(map(str, whole.where(F.col("p").isin(*some)).collect()))
+    assert "oc:directiveContent" not in few._jdf.queryExecution().optimizedPlan().toString()
