@@ -7,13 +7,13 @@ reach from its targets; what is collected is checked against MOST. `least_costs`
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.terms import BASE
-from graphwright.operators.closure import reached
 from graphwright.sources.scratch import drop, stored
 
 MAX_DEPTH = 10
@@ -102,15 +102,29 @@ def build(skills: Skills, target: str, current: set[str], depth: int = 0) -> Pla
     return plan_of(target, frozenset(current), 0, frozenset([target]))
 
 
-def reachable(skills_wide: DataFrame, targets: list[str], depth: int = 0) -> Skills:
-    """The skills that plans for some targets can use: those that paths of at most `depth` steps from a need to its producers reach."""
-    makers = skills_wide.select(F.col("id").alias("dst"), F.explode("yields_state").alias("state"))
-    edges = skills_wide.select(F.col("id").alias("src"), F.explode("requires_state").alias("state")).join(makers, "state").select("src", "dst").distinct()
+def reachable(skills_wide: DataFrame, targets: list[str], depth: int = 0, current: Iterable[str] = ()) -> Skills:
+    """The skills that plans for some targets can use: those that paths of at most `depth` steps from a need to its producers reach. States that are there need no producer.
+
+    Breadth first, from skills to the states they need and on to those that yield them. A state is asked for once, and no pair of a skill and a producer is made: a state of many skills on both sides
+    would have their product.
+    """
+    wide, limit = stored(skills_wide.select("id", "qualified_id", "requires_state", "yields_state", "depends_on", "contradicts")), depth_limit(depth)
+    needs = wide.select("id", F.explode("requires_state").alias("state"))
+    makers = wide.select("id", F.explode("yields_state").alias("state"))
     spark = skills_wide.sparkSession
-    ids = reached(edges, spark.createDataFrame([(t,) for t in targets], "node string"), most=depth_limit(depth))
-    rows = skills_wide.join(ids.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "qualified_id", "requires_state", "yields_state", "depends_on", "contradicts").limit(MOST + 1).collect()
+    asked = spark.createDataFrame([(s,) for s in sorted(set(current))], "state string")
+    known = front = spark.createDataFrame([(t,) for t in sorted(set(targets))], "id string")
+    for _ in range(limit):
+        wanted = stored(needs.join(front, "id", "left_semi").select("state").distinct().join(asked, "state", "left_anti"))
+        if wanted.isEmpty():
+            break
+        asked = asked.union(wanted)
+        front = stored(makers.join(wanted, "state", "left_semi").select("id").distinct().join(known, "id", "left_anti"))
+        known = known.union(front)
+    rows = wide.join(known, "id", "left_semi").limit(MOST + 1).collect()
     if len(rows) > MOST:
         raise ValueError(f"the plan reaches over {MOST} skills")
+    drop(wide)
     return Skills([Skill(r.id, r.qualified_id, sorted(r.requires_state), sorted(r.yields_state), list(r.depends_on), list(r.contradicts)) for r in rows])
 
 
@@ -166,7 +180,7 @@ def evaluate(skills_wide: DataFrame, current: list[str], intent: str | None = No
     out = {"intent": intent, "requested_skill": skill_id, "matching_skills": targets, "current_states": states}
     if not targets:
         return out | {"recommended_skill": None, "applicable": False, "required_states": [], "missing_states": [], "dependency_warnings": [], "conflict_warnings": [], "plan_steps": [], "reasoning_summary": f"No skills resolve intent '{intent}'."}
-    skills = reachable(skills_wide, targets, limit)
+    skills = reachable(skills_wide, targets, limit, states)
     best = min((build(skills, t, set(states), limit) for t in dict.fromkeys(targets)), key=lambda p: p.rank)
     chosen, missing = skills.known[best.target], sorted(best.unresolved)
     begin = f"Evaluated {len(targets)} skills for intent '{intent}'." if intent is not None else f"Evaluated requested skill '{skill_id}'."

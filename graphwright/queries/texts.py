@@ -8,6 +8,7 @@ from graphwright.operators import catalog, planner, render
 from graphwright.queries.graph import query, skills, table
 from graphwright.sources import markdown
 from graphwright.sources import star_graph as sg
+from graphwright.sources.scratch import stored
 
 
 def as_markdown(spark, sf_dir):
@@ -64,7 +65,8 @@ SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS n, step, (SELECT r
   SELECT 0 AS o, maker.id AS step FROM maker, me WHERE me.requires NOT IN (SELECT state FROM had) AND maker.id IS NOT NULL UNION ALL SELECT 1, id FROM me)""")
 def plan_bounded(spark, sf_dir):
     """A plan for one skill, with the default depth, from the even states of its brand; a row for each step."""
-    wide = skills(spark, sf_dir)
+    t = sg.old_graph(spark, sf_dir).where(F.col("p").isin("dcterms:identifier", "oc:nature", "oc:inPackage", "oc:requiresState", "oc:yieldsState", "oc:dependsOnSkill", "oc:contradicts"))
+    wide = stored(catalog.skills(t).select("id", "qualified_id", "requires_state", "yields_state", "depends_on", "contradicts"))
     brand = wide.where("id = 'part-7'").first().requires_state[0].split("_")[2]
     plan = planner.evaluate(wide, _even_states(brand), skill_id="part-7")
     return spark.createDataFrame([(i, s["skill_id"], plan["applicable"]) for i, s in enumerate(plan["plan_steps"])], "n int, step string, applicable boolean")

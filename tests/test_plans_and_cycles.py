@@ -101,3 +101,22 @@ def test_shortest_cycles(spark, seed):
 def test_no_cycles(spark):
     for edges in ([("a", "b"), ("b", "c")], []):
         assert closure.shortest_cycles(spark.createDataFrame(edges, "src string, dst string")).collect() == []
+
+
+def test_plan_makes_no_pairs_of_a_state(spark, monkeypatch):
+    """Skills of two states that lead to each other: each round of a search keeps rows by semi-joins, and pairs no skill with another."""
+    rows = [(f"k{i:02}", [f"oc:{i % 2}"], [f"oc:{(i + 1) % 2}"]) for i in range(40)] + [("goal", ["oc:0"], ["oc:G"]), ("start", ["oc:H"], ["oc:1"])]
+    plans, keep = [], closure.stored
+    for module in (closure, planner):
+        monkeypatch.setattr(module, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    assert len(planner.reachable(wide(spark, rows), ["goal"], 4).known) == 42
+    assert plans and not any("Join Inner" in x for x in plans)
+    assert planner.reachable(wide(spark, rows), ["goal"], 1).known.keys() == {"goal", *(i for i, _, makes in rows if makes == ["oc:0"])}
+
+
+def test_states_that_are_there_need_no_producers(spark):
+    rows = [("goal", ["oc:A", "oc:B"], []), ("a", ["oc:X"], ["oc:A"]), ("x", [], ["oc:X"]), ("b", ["oc:A"], ["oc:B"])]
+    skills = wide(spark, rows)
+    assert planner.reachable(skills, ["goal"], 0, ["oc:A"]).known.keys() == {"goal", "b"}
+    steps = lambda had: [s["skill_id"] for s in planner.evaluate(skills, had, skill_id="goal")["plan_steps"]]
+    assert steps(["oc:A"]) == ["b", "goal"] and steps([]) == ["x", "a", "b", "goal"]
