@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.sources.scratch import drop, stored
+from graphwright.sources.scratch import drop, stored, together
 
 #: Steps of a search along edges that make one round, whose result is written.
 STEPS = 3
@@ -29,10 +29,23 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: boo
     round at most. `nodes` (one column) adds nodes without edges to the zero-length pairs. Edges with a null end don't count.
     The result has a row for each pair: where only some nodes matter, use `reached` or `on_cycles`.
     """
+    step, *more = closure_rounds(edges, src, dst, most)
+    known = together(step, *more)
+    known = known.select("src", "dst")
+    if reflexive:
+        ends = step.select("src").union(step.select("dst"))
+        if nodes is not None:
+            ends = ends.union(nodes.toDF("src"))
+        known = known.union(ends.distinct().select("src", F.col("src").alias("dst"))).distinct()
+    return known
+
+
+def closure_rounds(edges: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> list[DataFrame]:
+    """(src, dst, steps) tables: the edges, then the pairs that each round of `closure` adds."""
     step = stored(_steps(edges, src, dst).withColumn("steps", F.lit(1)))
-    known, delta, turn, length = step, step, 0, 1
-    while most is None or turn < most:
-        turn += 1
+    rounds, delta, length = [step], step, 1
+    while most is None or len(rounds) <= most:
+        known = together(*rounds)
         onward = (known if most is None else step).select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("steps").alias("rest"))
         new = delta.join(onward, "dst").groupBy("src", F.col("next").alias("dst")).agg(F.min(F.col("steps") + F.col("rest")).alias("steps"))
         new = stored(new.join(known, ["src", "dst"], "left_anti"))
@@ -40,14 +53,9 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", reflexive: boo
             drop(new)
             break
         length = 2 * length if most is None else length + 1
-        delta, known = new.where(F.col("steps") == length), known.union(new)
-    known = known.select("src", "dst")
-    if reflexive:
-        ends = step.select("src").union(step.select("dst"))
-        if nodes is not None:
-            ends = ends.union(nodes.toDF("src"))
-        known = known.union(ends.distinct().select("src", F.col("src").alias("dst"))).distinct()
-    return known
+        delta = new.where(F.col("steps") == length)
+        rounds.append(new)
+    return rounds
 
 
 def reached(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:

@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import zip_longest
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.operators.catalog import superclasses
-from graphwright.operators.closure import closure, representatives
+from graphwright.operators.closure import closure, closure_rounds, representatives
 from graphwright.operators.triples import TYPE, facts
-from graphwright.sources.scratch import drop, stored
+from graphwright.sources.scratch import drop, stored, together
 
 # The axioms of the vocabulary.
 INVERSES = {"oc:dependsOn": "oc:enables", "oc:dependsOnSkill": "oc:enablesSkill", "oc:extends": "oc:isExtendedBy", "oc:derivedFromSection": "oc:isSourceOf", "oc:correctAlternative": "oc:isAlternativeTo", "oc:appliesToStep": "oc:hasStepConstraint"}
@@ -106,26 +107,59 @@ def types(links: DataFrame, subclasses: list[tuple[str, str]]) -> DataFrame:
     return given.distinct().select("s", F.lit(TYPE).alias("p"), F.explode(F.coalesce(F.element_at(up, F.col("c")), F.array("c"))).alias("o")).distinct()
 
 
-def _follow(new: DataFrame, known: DataFrame, axioms: Axioms, subclasses: list[tuple[str, str]]) -> DataFrame:
-    """What follows from new links, alone or with one of the known, which have the new ones among them. One scan of the new ones gives all that follows from a single link."""
+#: How a link was made, where that spares work: by a transitive property's closure, by the one inverse of its property, or by the chain of that number from CHAIN on.
+CLOSED, TURNED, CHAIN = 1, 2, 3
+
+
+def _follow(new: DataFrame, known: DataFrame, axioms: Axioms, subclasses: list[tuple[str, str]], first: bool) -> tuple[DataFrame, set[str]]:
+    """(s, p, o, by): what follows from new links, alone or with one of the known, which have the new ones among them, and the properties that it may have. One scan of the new ones gives all
+    that follows from a single link. At `first` all links are new, and transitive properties are closed.
+
+    What can only give known links is left out: a link turned round again; classes of the ends of a link of a closure, which its first and last edge have; and a property that is inherited along a
+    transitive one (a chain that makes its own second part) handed on again, since the transitive one leads from the start.
+    """
     at = F.col("p")
-    both = [*axioms.inverses, *[(b, a) for a, b in axioms.inverses], *[(p, p) for p in axioms.symmetric]]
+    both = list(dict.fromkeys([*axioms.inverses, *[(b, a) for a, b in axioms.inverses], *[(p, p) for p in axioms.symmetric]]))
     below = [*axioms.sub_properties, *axioms.equivalent, *[(b, a) for a, b in axioms.equivalent]]
     up = superclasses([*subclasses, *axioms.equivalent_classes, *[(b, a) for a, b in axioms.equivalent_classes]])
-    made = [F.when(at == a, F.struct(F.col("o").alias("s"), F.lit(b).alias("p"), F.col("s").alias("o"))) for a, b in both]
-    made += [F.when(at == a, F.struct(F.col("s").alias("s"), F.lit(b).alias("p"), F.col("o").alias("o"))) for a, b in below]
+    # of each property: what is made of it (subject, property, object), how, and the links it isn't made of
+    single: dict[str, list[Column]] = {}
+
+    def made(of: str, s: str, p: str, o: str, by: int | None = None, unless: int = 0) -> None:
+        single.setdefault(of, []).append(F.struct(F.lit(s).alias("s"), F.lit(p).alias("p"), F.lit(o).alias("o"), F.lit(by).cast("int").alias("by"), F.lit(unless).alias("unless")))
+
+    for a, b in both:
+        made(a, "o", b, "s", TURNED if [y for x, y in both if x == b] == [a] else None, TURNED)
+    for a, b in below:
+        made(a, "s", b, "o")
     for p, (domain, range_) in axioms.domains:
-        made += [F.when(at == p, F.struct(F.col(end).alias("s"), F.lit(TYPE).alias("p"), F.lit(c).alias("o"))) for end, c in (("s", domain), ("o", range_)) if c]
-    rows = []
-    if made:
-        rows.append(new.select(F.inline(F.filter(F.array(*made), lambda m: m.isNotNull()))))
-    if up:
+        for end, c in (("s", domain), ("o", range_)):
+            if c:
+                made(p, end, TYPE, c, unless=CLOSED)
+    chains = [(m, f, t, CHAIN + i if m == t and f in axioms.transitive else None) for i, (m, (f, t)) in enumerate(axioms.chains)] + [(p, p, p, None) for p in axioms.transitive if not first]
+    names = {*single, TYPE, *[x for _, f, t, _ in chains for x in (f, t)]}
+    here = {(r.p, r.by) for r in new.where(at.isin(*names)).select("p", "by").distinct().collect()}
+    present, rows, targets = {p for p, _ in here}, [], set()
+    if single and present & {*single}:
+        rules = F.create_map(*[x for of, rs in single.items() for x in (F.lit(of), F.array(*rs))])
+        one = new.where(at.isin(*single)).select("s", "o", "by", F.explode(rules[at]).alias("r")).where("by is null or by <> r.unless")
+        end = lambda c: F.when(c == "s", F.col("s")).when(c == "o", F.col("o")).otherwise(c)
+        rows.append(one.select(end(F.col("r.s")).alias("s"), "r.p", end(F.col("r.o")).alias("o"), "r.by"))
+        targets |= {b for a, b in [*both, *below] if a in present} | {TYPE for p, _ in axioms.domains if p in present}
+    none = F.lit(None).cast("int").alias("by")
+    if up and TYPE in present:
         above = F.create_map(*[x for c, more in up.items() for x in (F.lit(c), F.array(*map(F.lit, more)))])
-        rows.append(new.where((at == TYPE) & F.col("o").isin(*up)).select("s", "p", F.explode(F.element_at(above, F.col("o"))).alias("o")))
-    for made_, (first, then) in [*axioms.chains, *((p, (p, p)) for p in axioms.transitive)]:
-        for a, b in ((new, known), (known, new)):
-            rows.append(facts_of(a, first, "s", "m").join(facts_of(b, then, "m", "o"), "m").select("s", F.lit(made_).alias("p"), "o"))
-    return reduce(DataFrame.union, rows).distinct() if rows else new.where("false")
+        rows.append(new.where((at == TYPE) & F.col("o").isin(*up)).select("s", "p", F.explode(F.element_at(above, F.col("o"))).alias("o"), none))
+        targets.add(TYPE)
+    for name, head, tail, by in chains:
+        own = lambda df: df.where(F.coalesce(F.col("by") != by, F.lit(True))) if by else df  # noqa: B023, E731
+        sides = [(new, known)] * (head in present) + [(known, new)] * (not first and any(p == tail and (by is None or b != by) for p, b in here))
+        for a, b in sides:
+            rows.append(facts_of(a, head, "s", "m").join(facts_of(own(b), tail, "m", "o"), "m").select("s", F.lit(name).alias("p"), "o", F.lit(by).cast("int").alias("by")))
+            targets.add(name)
+    if not rows:
+        return new.where("false"), targets
+    return reduce(DataFrame.union, rows).groupBy("s", "p", "o").agg(F.min("by").alias("by")), targets
 
 
 def _equal(new: DataFrame, known: DataFrame, axioms: Axioms) -> DataFrame:
@@ -146,10 +180,13 @@ def fixpoint(t: DataFrame, subclasses: list[tuple[str, str]], axioms: Axioms = V
     A representative is the least node of its class. Links of other members are moved to it, and links so moved count as new, since a rule may join them now. Stated equality is in the
     second table only. Literals take part in nothing.
     """
-    known = stored(_links(t))
-    new, same, edges, added = known, None, None, []
+    plain = lambda links: links.select("s", "p", "o", F.lit(None).cast("int").alias("by"))
+    new = stored(plain(_links(t)))
+    tables, closed, same, edges, added, first = [new], [], None, None, [], True
+    every = lambda: reduce(DataFrame.union, [together(*tables), *closed])
     while True:
         while True:  # links moved to a representative may make more nodes the same
+            known = every()
             equal = _equal(new, known, axioms).where("src <> dst")
             equal = stored(equal if edges is None else equal.join(edges, ["src", "dst"], "left_anti"))
             if equal.isEmpty():
@@ -160,19 +197,30 @@ def fixpoint(t: DataFrame, subclasses: list[tuple[str, str]], axioms: Axioms = V
             for end in ("s", "o"):
                 names = same.where("node <> representative").select(F.col("node").alias(end), "representative")
                 moved = moved.join(names, end, "left").withColumn(end, F.coalesce("representative", end)).drop("representative")
-            moved = stored(moved.select("s", "p", "o").distinct())
+            moved = stored(plain(moved.select("s", "p", "o").distinct()))
             # the moved links, and those of the new ones that stayed
-            new = stored(moved.join(known, ["s", "p", "o"], "left_anti").union(new.join(moved, ["s", "p", "o"], "left_semi")).distinct())
-            known = moved
-        follows = stored(_follow(new, known, axioms, subclasses).join(known, ["s", "p", "o"], "left_anti"))
-        n = follows.count()
+            new = stored(plain(moved.join(known, ["s", "p", "o"], "left_anti").select("s", "p", "o").union(new.join(moved, ["s", "p", "o"], "left_semi").select("s", "p", "o")).distinct()))
+            tables, closed = [moved], []
+        if first:
+            for p in axioms.transitive:
+                _, *more = closure_rounds(facts_of(known, p, "src", "dst"))
+                if more:
+                    closed.append(together(*more).select(F.col("src").alias("s"), F.lit(p).alias("p"), F.col("dst").alias("o"), F.lit(CLOSED).alias("by")))
+                counts = [table.count() for table in more]
+                added = [sum(x) for x in zip_longest(added, counts, fillvalue=0)]
+            new = known = every()
+        follows, targets = _follow(new, known, axioms, subclasses, first)
+        # only links of properties that were made can be known already
+        follows = stored(follows.join(known.where(F.col("p").isin(*targets)), ["s", "p", "o"], "left_anti"))
+        first, n = False, follows.count()
         if not n:
             drop(follows)
             break
         added.append(n)
-        new, known = follows, stored(known.union(follows))
+        new = follows
+        tables.append(follows)
     members = same if same is not None else known.sparkSession.createDataFrame([], "node string, representative string")
-    return known.where(F.col("p") != SAME), members, added
+    return every().where(F.col("p") != SAME).select("s", "p", "o"), members, added
 
 
 def infer(t: DataFrame, subclasses: list[tuple[str, str]], axioms: Axioms = VOCABULARY) -> DataFrame:
