@@ -14,7 +14,7 @@ from graphwright.operators import bench, catalog, diff, graphs, impacts, lint, n
 from graphwright.operators.closure import closure
 from graphwright.operators.triples import facts, star, store
 from graphwright.sources import star_graph as sg
-from graphwright.sources.scratch import fresh, sized_at_run_time, spread
+from graphwright.sources.scratch import fresh, sized_at_run_time, spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -448,10 +448,10 @@ SELECT query, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (
 def search_all_intents(spark, sf_dir):
     """The five best skills for every intent, and for every name with its category, by all their texts."""
     path = fresh(spark)
-    impacts.store_impacts(skill_texts(spark, sf_dir), path, "id", block=32)
     names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("query"))
-    asked = facts(sg.old_graph(spark, sf_dir), "oc:resolvesIntent", "s", "query").select("query").union(names).distinct()
-    found = impacts.search_all(spark, path, asked.withColumn("text", F.col("query")), 5)
+    asked = stored(facts(sg.old_graph(spark, sf_dir), "oc:resolvesIntent", "s", "query").select("query").union(names).distinct()).withColumn("text", F.col("query"))
+    impacts.store_impacts(skill_texts(spark, sf_dir), path, "id", block=32, asked=asked)
+    found = impacts.search_all(spark, path, asked, 5)
     return found.withColumn("score", F.round("score", 6))
 
 

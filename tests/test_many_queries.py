@@ -134,3 +134,18 @@ def test_documents_of_the_same_words_are_indexed_once(spark, tmp_path):
     for k in (1, 3, 100):
         found = impacts.search_all(spark, path, spark.createDataFrame(queries, "query string, text string"), k)
         assert {(r.query, r.rank, r.id, round(r.score * 1e6)) for r in found.collect()} == brute_bm25(docs, queries, k)
+
+
+def test_index_for_the_queries_alone(spark, tmp_path):
+    """An index for some queries finds what the whole one does, and has no other words; documents of the same length that differ in other words are one class."""
+    random.seed(5)
+    docs = [(i, " ".join(random.choices("abcdefgh", k=random.randint(1, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "a x y"), (63, "a z w")]
+    table = spark.createDataFrame(docs, "id long, text string")
+    asked = spark.createDataFrame([("a", "a"), ("both", "A b b"), ("none", "q"), ("empty", "")], "query string, text string")
+    found = []
+    for name, only in (("whole", None), ("some", asked)):
+        impacts.store_impacts(table, str(tmp_path / name), "id", block=4, asked=only)
+        found.append(sorted(map(tuple, impacts.search_all(spark, str(tmp_path / name), asked, 5).collect())))
+    assert found[0] == found[1] and len(found[0]) == 10
+    assert {r.term for r in spark.read.parquet(str(tmp_path / "some/postings")).select("term").collect()} == {"a", "b"}
+    assert len({r.id for r in spark.read.parquet(str(tmp_path / "some/members")).where("member in (62, 63)").collect()}) == 1
